@@ -82,6 +82,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymised
+
+    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key of the deployment")
+    return found.select("doc_id", F.col("__p_n").alias("n_entities"), F.array_join("__p_kinds", ",").alias("kinds"), "text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import removal_lists, repeated_lines
 
@@ -103,5 +110,6 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
+    "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
