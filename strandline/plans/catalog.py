@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from ..operators import authors, discovery, ecosystem, engagement, graph, social, threads  # noqa: F401
-from ..sources import adapters  # noqa: F401
+from ..sources import adapters, payloads  # noqa: F401
+from ..streaming import jobs
 from .template import REGISTRY, build, oracle
 
 #: Frames that stand for inputs, not operators.
 ADAPTERS = ("present", "ev", "notes", "acts", "follow", "payments", "sightings", "posts", "post_now", "hashtags", "links", "chat", "probes", "edges")
 QUERIES = {name: (lambda spark, sf_dir, name=name: build(spark, sf_dir, name)) for name in REGISTRY if name not in ADAPTERS}
 ORACLES = {name: oracle(name) for name in QUERIES}
-QUERIES |= graph.QUERIES
-ORACLES |= graph.oracles()
+QUERIES |= graph.QUERIES | payloads.QUERIES | jobs.QUERIES
+ORACLES |= graph.oracles() | payloads.ORACLES | jobs.ORACLES
