@@ -86,3 +86,25 @@ define(
     "SELECT o_custkey % 12 AS relay, o_orderstatus <> 'F' AS ok, CAST(floor(o_totalprice) AS BIGINT) % 3000 AS latency_ms, o_orderdate AS ts FROM {orders}",
 )
 define("edges", "Thread edges of notes: child, parent, child_at, author.", "SELECT c.id AS child, p.id AS parent, c.ts AS child_at, c.pubkey AS author FROM {notes} c JOIN {notes} p ON c.target = p.id WHERE c.id <> p.id")
+define(
+    "tags",
+    "Tags of notes, one row each: event_id, pubkey, ts, k, idx, name, value, hint, marker. A tag's place in its event is idx.",
+    """
+SELECT * FROM (SELECT e.id AS event_id, e.pubkey, e.created_at, e.ts, e.k, g.idx,
+  CASE WHEN g.idx <= 1 THEN 'e' WHEN g.idx = 2 AND e.k % 2 = 0 THEN 'e' WHEN g.idx = 3 THEN 'p' WHEN g.idx = 4 AND e.k % 5 = 0 THEN 'q' WHEN g.idx = 5 THEN 't' WHEN g.idx = 6 AND e.k % 4 > 0 THEN 'client'
+    WHEN g.idx = 7 AND e.k % 13 = 0 THEN 'expiration' WHEN g.idx = 8 AND e.k % 4 = 0 THEN 'a' WHEN g.idx = 9 AND e.k % 17 = 0 THEN 'content-warning' WHEN g.idx = 10 AND e.k % 3 = 0 THEN 'emoji' WHEN g.idx = 11 THEN 'l' END AS name,
+  CASE g.idx WHEN 0 THEN @str(e.target) WHEN 1 THEN @str(greatest(e.target - e.k % 7, 0)) WHEN 2 THEN @str(greatest(e.target - e.k % 11, 0)) WHEN 3 THEN @str((e.pubkey * 7 + e.k) % 150)
+    WHEN 4 THEN CASE WHEN e.k % 10 = 0 THEN concat('30023:', @str(e.pubkey), ':post') ELSE @str(e.target) END WHEN 5 THEN concat('#Tag', @str(e.k % 9)) WHEN 6 THEN concat('App ', @str(e.k % 8))
+    WHEN 7 THEN @str(e.created_at + e.k * 3600) WHEN 8 THEN concat('30023:', @str(e.pubkey), ':d', @str(e.k % 5)) WHEN 9 THEN 'reason' WHEN 10 THEN concat(':name', @str(e.k % 12), ':') ELSE concat('label', @str(e.k % 6)) END AS value,
+  concat('WSS://Relay', @str(e.k % 12), '.Example.com:443/') AS hint,
+  CASE WHEN g.idx = 0 THEN CASE e.k % 4 WHEN 0 THEN 'ROOT' WHEN 2 THEN 'reply' ELSE '' END WHEN g.idx = 1 THEN CASE e.k % 3 WHEN 0 THEN 'reply' WHEN 2 THEN 'mention' ELSE '' END ELSE '' END AS marker
+  FROM {ev} e CROSS JOIN (SELECT @grid(0, 11) AS idx) g WHERE e.kind = 1) t WHERE name IS NOT NULL""",
+)
+define(
+    "profiles",
+    "Profile documents of customers: pubkey, doc (JSON), updated_at.",
+    """
+SELECT c_custkey AS pubkey, concat('{"name": "', c_name, '", "nip05": "', lower(c_mktsegment), '@Example', @str(c_nationkey), '.com", "website": "https://www.site', @str(c_custkey % 40), '.org/x", "bot": ', CASE WHEN c_custkey % 20 = 0 THEN 'true' ELSE 'false' END, '}') AS doc
+FROM {customer}""",
+)
+define("relay_lists", "Relays that each customer lists: pubkey, relay.", "SELECT DISTINCT o.o_custkey AS pubkey, s.relay FROM {sightings} s JOIN {orders} o ON s.event_id = o.o_orderkey WHERE o.o_orderpriority LIKE '1%' OR o.o_orderpriority LIKE '2%'")
