@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_WS = r"[\x20\x09-\x0D]+"
-
 ORACLES = {
     "op1_mixing": rf"""
 WITH d AS (
@@ -70,4 +68,36 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n_shingles + y.n_shingles - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT n.doc_id, n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n_shingles""",
+    "op7_quality": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM d, range(5) AS x(k) GROUP BY r),
+f AS (
+  SELECT t.r, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         length(text) - length(replace(text, '!', '')) AS n_marks, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+s AS (
+  SELECT r, doc_id, lang, base_failed, unnest(['symbols', 'marks', 'dup_lines', 'repeats', 'long_words', 'short_words', 'few_words']) AS rule,
+         unnest([n_symbols / n_words, n_marks / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words, word_chars / n_words, -word_chars / n_words, -n_words::DOUBLE]) AS score
+  FROM b),
+l AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT lang, rule, score, good FROM s JOIN l USING (doc_id) WHERE NOT base_failed AND score IS NOT NULL),
+a AS (SELECT lang, rule, score, sum(good) AS good, sum(1 - good) AS bad FROM h GROUP BY ALL),
+v AS (
+  SELECT lang, rule, score, coalesce(sum(good) OVER w, 0) AS good_above, coalesce(sum(bad) OVER w, 0) AS bad_above, sum(good) OVER p AS all_good, sum(bad) OVER p AS all_bad
+  FROM a WINDOW p AS (PARTITION BY lang, rule), w AS (PARTITION BY lang, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT DISTINCT lang, rule, all_good FROM v),
+k AS (
+  SELECT lang, rule, k, sum(exp(lgamma(all_good + 1) - lgamma(k + 1) - lgamma(all_good - k + 1) + k * ln(0.05 / 7) + (all_good - k) * ln(1 - 0.05 / 7))) OVER (PARTITION BY lang, rule ORDER BY k) AS tail
+  FROM (SELECT n.*, unnest(range(0, ceil(all_good * 0.05 / 7)::BIGINT + 1)) AS k FROM n)),
+m AS (SELECT lang, rule, max(k) AS most FROM k WHERE tail <= 0.05 / (7 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM h))) GROUP BY lang, rule),
+q AS (SELECT v.lang, v.rule, v.score, bad_above / all_bad - good_above / all_good AS gain FROM v JOIN m ON v.lang IS NOT DISTINCT FROM m.lang AND v.rule = m.rule WHERE good_above <= most),
+z AS (SELECT lang, rule, score AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, score DESC) AS rn FROM q WHERE gain > 0) WHERE rn = 1),
+x AS (SELECT s.r, bool_or(coalesce(s.score > z.cutoff, false)) AS rejected FROM s LEFT JOIN z ON s.lang IS NOT DISTINCT FROM z.lang AND s.rule = z.rule GROUP BY s.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN x USING (r)""",
 }
