@@ -16,23 +16,29 @@ from .common import SPACES, written
 BROADCAST_IDS = 1_000_000
 
 
-def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 1) of a line of n characters; the last n % parts segments have one more."""
-    base, extra = F.expr("0") + F.floor(n / parts), n % parts
-    longer_before = F.greatest(F.lit(0), i - 1 - (parts - extra))
-    return (1 + base * (i - 1) + longer_before).cast("int"), (base + (F.lit(i) > parts - extra).cast("int")).cast("int")
+def _segment(d: int, i: int, parts: int) -> tuple[str, str]:
+    """SQL for start (from 1) and length of segment i (from 1) of a line of n - d characters: the first cut_d are shorter by one."""
+    return f"(1 + base_{d} * {i - 1} + greatest(0, {i - 1} - cut_{d}))", f"(base_{d} + if({i} > cut_{d}, 1, 0))"
 
 
-def index_keys(line: Column, n: Column, threshold: int) -> list[Column]:
-    """Hashes of (length, segment number, segment) of a line."""
+def with_measures(lines: DataFrame, threshold: int) -> DataFrame:
+    """lines (column line) with n, its characters, and for each d up to threshold base_d and cut_d, which segments are made of."""
+    parts = threshold + 1
+    out = lines.withColumn("n", F.length("line"))
+    made = {f"base_{d}": F.expr(f"cast((n - {d}) div {parts} as int)") for d in range(parts)}
+    return out.withColumns(made | {f"cut_{d}": F.expr(f"{parts} - pmod(n - {d}, {parts})") for d in range(parts)})
+
+
+def index_keys(threshold: int) -> list[Column]:
+    """Hashes of (length, segment number, segment) of a line, from with_measures' columns."""
     out = []
     for i in range(1, threshold + 2):
-        start, length = _segment(n, i, threshold + 1)
-        out.append(F.xxhash64(n.cast("int"), F.lit(i), F.substring(line, start, length)))
+        start, length = _segment(0, i, threshold + 1)
+        out.append(F.expr(f"xxhash64(n, {i}, substring(line, {start}, {length}))"))
     return out
 
 
-def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
+def probe_keys(threshold: int) -> list[Column]:
     """Hashes of the substrings at which a line of n - d characters, d from 0 to threshold, can share a segment with this one.
 
     A segment i of the shorter line can be shifted by less than i, and by less than what the segments after it leave: both
@@ -40,16 +46,20 @@ def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
     """
     parts, out = threshold + 1, []
     for d in range(threshold + 1):
-        shorter = n - d
         for i in range(1, parts + 1):
-            start, length = _segment(shorter, i, parts)
+            start, length = _segment(d, i, parts)
             for shift in range(max(-(i - 1), d - (parts - i)), min(i - 1, d + (parts - i)) + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + length - 1 <= n) & (length >= 1)
-                out.append(F.when(inside, F.xxhash64(shorter.cast("int"), F.lit(i), F.substring(line, at, length))))
+                at = f"({start} + {shift})"
+                out.append(F.expr(f"if({at} >= 1 and {at} + {length} - 1 <= n and {length} >= 1, xxhash64(n - {d}, {i}, substring(line, {at}, {length})), null)"))
     return out
 
 
+def pieces_left(short: Column, long_: Column, pieces: int) -> Column:
+    """How many of short's pieces, cut evenly, stand somewhere in long: each edit spoils one at most."""
+    base = F.call_function("div", F.length(short), F.lit(pieces)).cast("int")
+    return sum((F.contains(long_, F.substring(short, base * k + 1, base)).cast("int") for k in range(1, pieces)), F.contains(long_, F.substring(short, F.lit(1), base)).cast("int"))
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of two arrays of characters, or threshold + 1 if it is larger; a has at most threshold fewer than b, not more.
 
@@ -91,16 +101,31 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, place and line (without white space at its ends) of each line of docs that has min_chars characters or more."""
+    """doc_id, place and line (without spaces at its ends) of each line of docs that has min_chars characters or more."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("place", "line"))
-    return lines.withColumn("line", F.trim("line", F.lit(SPACES))).where(F.length("line") >= min_chars)
+    return lines.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
+
+
+def candidates(here: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: hashes of different lines of here (column line) that share a segment's key.
+
+    Both sides of the join are one table of keys, so lines and keys are each shuffled once.
+    """
+    lines = with_measures(here.groupBy("line").agg(F.count(F.lit(1)).alias("copies")), threshold)
+    own, probes = index_keys(threshold), probe_keys(threshold)
+    keys = F.array(*own, *probes)
+    drawn = lines.select(F.xxhash64("line").alias("id"), F.posexplode(keys).alias("k", "key"))
+    drawn = drawn.select("id", "key", (F.col("k") < len(own)).alias("own")).repartition("key")
+    one, two = (drawn.select("key", F.col("id").alias(s), F.col("own").alias(f"own_{s}")) for s in "ab")
+    met = one.join(two, "key").where("own_a > own_b and a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) -> DataFrame:
     """Lines to remove: doc_id, place (from 0), near (boolean), one row each.
 
     docs: doc_id (long, not null: other rows have no removals) and text; others are dropped. Lines split at line feeds and
-    compared without white space at their ends; those under min_chars characters always stay. A line goes if the same line stands
+    compared without spaces at their ends; those under min_chars characters always stay. A line goes if the same line stands
     in a document with a smaller doc_id or earlier in its own (near false), or if all its copies are within threshold edits of
     a different line that first stands in a document with a smaller doc_id, or in the same one and is smaller by its hash
     (near true). So of lines alike the first stays, whatever its copies.
@@ -111,12 +136,7 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     here = occurrences(docs, min_chars)
     id_ = F.xxhash64("line")
-    lines = here.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", id_)
-    n = F.length("line")
-    drawn = lines.select("id", "first", "n", F.array(*index_keys(F.col("line"), n, threshold)).alias("own"), F.array(*probe_keys(F.col("line"), n, threshold)).alias("probes"))
-    own = drawn.select(F.col("id").alias("a"), F.explode("own").alias("key"))
-    probes = drawn.select(F.col("id").alias("b"), F.explode("probes").alias("key"))
-    pairs = written(probes.join(own, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = written(candidates(here, threshold), "pairs")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     count = ids.count()
     few = here.withColumn("id", id_).join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi")
@@ -125,21 +145,23 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) ->
     one, two = (texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
     both = pairs.join(one, "a").join(two, "b")
     swap = F.length("line_a") > F.length("line_b")
-    short, long_ = F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), F.when(swap, F.col("line_a")).otherwise(F.col("line_b"))
-    both = both.where(F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
-    both = both.withColumn("short", F.split(short, "")).withColumn("long", F.split(long_, ""))
-    # written, else the condition would move below the arrays, and each step would split its line anew
+    both = both.withColumn("s", F.when(swap, F.col("line_b")).otherwise(F.col("line_a"))).withColumn("l", F.when(swap, F.col("line_a")).otherwise(F.col("line_b")))
+    pieces = 5 * (threshold + 1)
+    both = both.where((F.length("l") - F.length("s") <= threshold) & ((F.length("s") < pieces) | (pieces_left(F.col("s"), F.col("l"), pieces) >= pieces - threshold)))
+    # written twice, else conditions would move below the arrays, and each step would split its line anew
+    both = written(both, "close").withColumn("short", F.split("s", "")).withColumn("long", F.split("l", ""))
     both = written(both.select("a", "b", "line_a", "line_b", "first_a", "first_b", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
     close = both.where(F.col("edits") <= threshold)
     later = F.struct("first_a", "a") > F.struct("first_b", "b")
     near = close.select(F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"))
-    near = near.select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")).distinct().withColumn("near", F.lit(True))
+    second = F.xxhash64("line", F.lit("second"))
+    near = near.select(F.xxhash64("line").alias("id"), second.alias("id2")).distinct().withColumn("near", F.lit(True))
 
     # what is marked: near lines, and lines that stand more than once
-    twice = lines.where("n > 1").select("id", F.xxhash64("line", F.lit("second")).alias("id2"), "first").withColumn("near", F.lit(False))
-    marked = near.select("id", "id2", F.lit(None).cast("long").alias("first"), "near").union(twice)
-    marked = marked.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
-    spots = here.select("doc_id", "place", id_.alias("id"), F.xxhash64("line", F.lit("second")).alias("id2"))
+    spots = here.select("doc_id", "place", id_.alias("id"), second.alias("id2"))
+    twice = spots.groupBy("id", "id2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = near.select("id", "id2", F.lit(None).cast("long").alias("first"), "near").union(twice.select("id", "id2", "first", F.lit(False)))
+    marked = written(marked.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near")), "marked")
     hit = spots.join(marked, ["id", "id2"])
     # in the first document the first place stays; its other places of that line go
     kept_at = hit.where("not near and doc_id = first").groupBy("id", "id2", "doc_id").agg(F.min("place").alias("kept"))
