@@ -12,19 +12,19 @@ FULL OUTER JOIN (SELECT pubkey, day, @isum(given) AS given, @isum(received) AS r
   UNION ALL SELECT author, @date(ts), 0, 1 FROM {acts} WHERE actor <> author) u GROUP BY pubkey, day) b ON a.pubkey = b.pubkey AND a.day = b.day""")
 for _days in (7, 30):
     define(f"auth_engagement_{_days}d", f"Sums, active days and cadence over {_days} days.", f"""
-SELECT pubkey, @isum(notes) AS notes, @isum(given) AS given, @isum(received) AS received, count_if(notes > 0) AS active_days, round(sum(notes) / {_days}.0, 6) AS per_day
+SELECT pubkey, @isum(notes) AS notes, @isum(given) AS given, @isum(received) AS received, @count_if(notes > 0) AS active_days, round(sum(notes) / {_days}e0, 6) AS per_day
 FROM {{auth_activity_daily}} d CROSS JOIN {{present}} a WHERE @days(@date(a.as_of), d.day) < {_days} GROUP BY pubkey""")
 define("auth_topics_window", "Hashtags of each author over 14 days, with days of use.", """
 SELECT author, tag, count(*) AS n, count(DISTINCT @date(h.ts)) AS days FROM {hashtags} h CROSS JOIN {post_now} p WHERE h.ts > p.as_of - INTERVAL 14 DAYS GROUP BY author, tag""")
 define("auth_media_mix", "Posts with links, lists, questions or plain text by author.", """
-SELECT author, count(*) AS posts, count_if(@matches(text, 'https?://')) AS with_link, count_if(@matches(text, '[|]')) AS with_table, count_if(@matches(text, '[?]')) AS with_question FROM {posts} GROUP BY author""")
+SELECT author, count(*) AS posts, @count_if(@matches(text, 'https?://')) AS with_link, @count_if(@matches(text, '[|]')) AS with_table, @count_if(@matches(text, '[?]')) AS with_question FROM {posts} GROUP BY author""")
 define("auth_timing", "Engagement received by weekday and hour.", "SELECT author, @dow(ts) AS dow, hour(ts) AS hour, count(*) AS n FROM {acts} WHERE actor <> author GROUP BY 1, 2, 3")
 define("auth_posting_pattern", "Own notes by weekday and hour.", "SELECT pubkey, @dow(ts) AS dow, hour(ts) AS hour, count(*) AS n FROM {notes} GROUP BY 1, 2, 3")
-define("auth_hourly", "Hours in which an author wrote two notes or more.", "SELECT pubkey, date_trunc('hour', ts) AS hour, count(*) AS n FROM {notes} GROUP BY 1, 2 HAVING count(*) >= 2")
+define("auth_hourly", "Hours in which an author wrote two notes or more.", "SELECT pubkey, @trunc('hour', ts) AS hour, count(*) AS n FROM {notes} GROUP BY 1, 2 HAVING count(*) >= 2")
 define("auth_summary", "Windows side by side.", """
 SELECT w.pubkey, coalesce(s.notes, 0) AS notes_7d, w.notes AS notes_30d, coalesce(s.received, 0) AS received_7d, w.received AS received_30d FROM {auth_engagement_30d} w LEFT JOIN {auth_engagement_7d} s ON w.pubkey = s.pubkey""")
 define("auth_weighted_notes", "Weighted engagement of each note: 3 replies, 2 reposts, 1 reaction, 2 payments, sats over 100.", """
-SELECT n.id, n.pubkey, n.ts, round(3 * c.replies + 2 * c.reposts + c.reactions + 2 * c.zaps + c.sats / 100.0, 6) AS value FROM {cnt_event_counts} c JOIN {notes} n ON c.id = n.id""")
+SELECT n.id, n.pubkey, n.ts, round(3 * c.replies + 2 * c.reposts + c.reactions + 2 * c.zaps + c.sats / 100e0, 6) AS value FROM {cnt_event_counts} c JOIN {notes} n ON c.id = n.id""")
 define("auth_top_notes", "The three notes of each author with most weighted engagement.", "SELECT pubkey, id, value, rn FROM (SELECT w.*, row_number() OVER (PARTITION BY pubkey ORDER BY value DESC, id DESC) AS rn FROM {auth_weighted_notes} w) r WHERE rn <= 3")
 define("auth_performance", "Weighted engagement of the last 14 days against the 14 before.", """
 SELECT pubkey, round(sum(CASE WHEN d < 14 THEN value ELSE 0 END), 4) AS now, round(sum(CASE WHEN d >= 14 AND d < 28 THEN value ELSE 0 END), 4) AS before
@@ -38,7 +38,7 @@ define("auth_relay_footprint", "Relays that carry each customer's events, with t
 SELECT o.o_custkey AS author, s.relay, count(DISTINCT s.event_id) AS n, round(count(DISTINCT s.event_id) / sum(count(DISTINCT s.event_id)) OVER (PARTITION BY o.o_custkey), 6) AS share
 FROM {sightings} s JOIN {orders} o ON s.event_id = o.o_orderkey GROUP BY o.o_custkey, s.relay""")
 define("auth_public_stats", "Notes, replies, payments in and out, first and last activity.", """
-SELECT e.pubkey, count_if(e.kind = 1) AS notes, count_if(e.kind = 9735) AS paid, @isum(e.sats) AS sats_out, min(e.created_at) AS joined_at, max(e.created_at) AS last_at, coalesce(max(r.sats), 0) AS sats_in
+SELECT e.pubkey, @count_if(e.kind = 1) AS notes, @count_if(e.kind = 9735) AS paid, @isum(e.sats) AS sats_out, min(e.created_at) AS joined_at, max(e.created_at) AS last_at, coalesce(max(r.sats), 0) AS sats_in
 FROM {ev} e LEFT JOIN (SELECT author, @isum(sats) AS sats FROM {acts} GROUP BY author) r ON e.pubkey = r.author GROUP BY e.pubkey""")
 define("auth_graph_stats", "Mutual follows and reciprocity in hundredths of a percent.", """
 SELECT a.follower AS pubkey, count(*) AS following, count(b.follower) AS mutual, @div(10000 * count(b.follower), count(*)) AS reciprocity_bps FROM {follow} a LEFT JOIN {follow} b ON a.follower = b.followed AND a.followed = b.follower GROUP BY a.follower""")
@@ -47,7 +47,7 @@ define("auth_account_state", "unknown, observed, candidate, meaningful or truste
 SELECT s.pubkey, CASE WHEN t.weight >= 1 THEN 'trusted' WHEN p.engaged >= 40 THEN 'meaningful' WHEN p.engaged >= 10 THEN 'candidate' WHEN s.notes > 0 THEN 'observed' ELSE 'unknown' END AS state
 FROM {auth_public_stats} s LEFT JOIN {disc_profile_stats} p ON s.pubkey = p.pubkey LEFT JOIN {disc_engager_weight} t ON s.pubkey = t.pubkey""")
 define("auth_completeness", "Coverage of each account: profile, notes and payments that were seen.", """
-SELECT pubkey, CASE WHEN profiles > 0 AND notes > 0 AND paid > 0 THEN 'full' WHEN notes > 0 THEN 'partial' ELSE 'sparse' END AS coverage FROM (SELECT pubkey, count_if(kind = 0) AS profiles, count_if(kind = 1) AS notes, count_if(kind = 9735) AS paid FROM {ev} GROUP BY pubkey) c""")
+SELECT pubkey, CASE WHEN profiles > 0 AND notes > 0 AND paid > 0 THEN 'full' WHEN notes > 0 THEN 'partial' ELSE 'sparse' END AS coverage FROM (SELECT pubkey, @count_if(kind = 0) AS profiles, @count_if(kind = 1) AS notes, @count_if(kind = 9735) AS paid FROM {ev} GROUP BY pubkey) c""")
 define("auth_state_transitions", "Days on which an author's activity class changed.", """
 SELECT pubkey, day, before, state FROM (SELECT pubkey, day, state, lag(state) OVER (PARTITION BY pubkey ORDER BY day) AS before FROM (
   SELECT pubkey, day, CASE WHEN notes >= 3 THEN 'busy' WHEN notes > 0 THEN 'active' ELSE 'passive' END AS state FROM {auth_activity_daily}) s) l WHERE before IS NULL OR before <> state""")
@@ -61,7 +61,7 @@ define("auth_kind_counts", "Count and oldest time by author and kind.", "SELECT
 define("auth_cohort_retention", "Authors by week of their first event and weeks since.", """
 SELECT @week(f.first_ts) AS cohort, @div(@days(@week(e.ts), @week(f.first_ts)), 7) AS week, count(DISTINCT e.pubkey) AS authors FROM {ev} e JOIN (SELECT pubkey, min(ts) AS first_ts FROM {ev} GROUP BY pubkey) f ON e.pubkey = f.pubkey GROUP BY 1, 2""")
 define("auth_account_stats", "Authors active in a day, a week and a month, and dormant ones.", """
-SELECT count_if(age < 86400) AS day, count_if(age < 604800) AS week, count_if(age < 2592000) AS month, count_if(age >= 604800) AS dormant
+SELECT @count_if(age < 86400) AS day, @count_if(age < 604800) AS week, @count_if(age < 2592000) AS month, @count_if(age >= 604800) AS dormant
 FROM (SELECT e.pubkey, @unix(max(a.as_of)) - max(e.created_at) AS age FROM {ev} e CROSS JOIN {present} a GROUP BY e.pubkey) x""")
 define("auth_stat_reconcile", "Counters that a recount by another way does not confirm.", """
 SELECT coalesce(a.target_id, b.target_id) AS target_id, a.n AS stored, b.n AS counted FROM {cnt_replies} a FULL OUTER JOIN (SELECT parent AS target_id, count(*) AS n FROM {edges} GROUP BY parent) b ON a.target_id = b.target_id WHERE a.n IS DISTINCT FROM b.n""")

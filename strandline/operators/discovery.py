@@ -30,7 +30,7 @@ SELECT pubkey, round((greatest(new_engaged - 2, 0) / greatest(1, engaged / 500.0
 FROM (SELECT s.pubkey, s.engaged, coalesce(x.n, 0) AS new_engaged FROM {disc_profile_stats} s LEFT JOIN (
   SELECT a.author, count(DISTINCT a.actor) AS n FROM {acts} a CROSS JOIN {present} t WHERE a.actor <> a.author AND a.ts > t.as_of - INTERVAL 7 DAYS GROUP BY a.author) x ON s.pubkey = x.author) r""")
 define("disc_profile_engagement", "Engagement of each profile counted once an actor, by the strongest kind of act.", """
-SELECT author, count_if(best = 4) AS zappers, count_if(best = 3) AS repliers, count_if(best = 2) AS reposters, count_if(best = 1) AS reactors FROM (
+SELECT author, @count_if(best = 4) AS zappers, @count_if(best = 3) AS repliers, @count_if(best = 2) AS reposters, @count_if(best = 1) AS reactors FROM (
   SELECT author, actor, max(CASE relation WHEN 'zap' THEN 4 WHEN 'reply' THEN 3 WHEN 'repost' THEN 2 WHEN 'reaction' THEN 1 ELSE 0 END) AS best FROM {acts} WHERE actor <> author GROUP BY author, actor) b GROUP BY author""")
 define("disc_trending_profiles", "The 30 profiles of highest score.", "SELECT pubkey, score FROM {disc_profile_score} ORDER BY score DESC, pubkey LIMIT 30")
 _rank = "count(DISTINCT author) AS authors, round(count(DISTINCT author) / count(*), 6) AS diversity, count(*) AS events"
@@ -43,7 +43,7 @@ define("disc_per_language", "The five leading hashtags of each language.", """
 SELECT lang, tag, authors, events, rn FROM (SELECT lang, tag, authors, events, row_number() OVER (PARTITION BY lang ORDER BY authors DESC, events DESC, tag) AS rn FROM (
   SELECT lang, tag, count(DISTINCT author) AS authors, count(*) AS events FROM {hashtags} GROUP BY lang, tag) g) r WHERE rn <= 5""")
 define("disc_hashtag_summary", "Counts of each hashtag over a day, a week and all, first and last time.", """
-SELECT tag, count_if(h.ts > p.as_of - INTERVAL 1 DAY) AS day, count_if(h.ts > p.as_of - INTERVAL 7 DAYS) AS week, count(*) AS n, min(h.ts) AS first_at, max(h.ts) AS last_at FROM {hashtags} h CROSS JOIN {post_now} p GROUP BY tag""")
+SELECT tag, @count_if(h.ts > p.as_of - INTERVAL 1 DAY) AS day, @count_if(h.ts > p.as_of - INTERVAL 7 DAYS) AS week, count(*) AS n, min(h.ts) AS first_at, max(h.ts) AS last_at FROM {hashtags} h CROSS JOIN {post_now} p GROUP BY tag""")
 define("disc_related_hashtags", "The five hashtags that go most often with each of the 20 leading ones.", """
 SELECT seed, tag, n, rn FROM (SELECT seed, tag, n, row_number() OVER (PARTITION BY seed ORDER BY n DESC, tag) AS rn FROM (
   SELECT a.tag AS seed, b.tag, count(*) AS n FROM {hashtags} a JOIN (SELECT tag FROM {disc_trending_hashtags} ORDER BY authors DESC, diversity DESC, events DESC, tag LIMIT 20) s ON a.tag = s.tag
@@ -52,7 +52,7 @@ define("disc_entity_notes", "The newest five posts of each hashtag.", "SELECT ta
 define("disc_domain_summary", "Links, pages and hosts of each domain, and its first and last time.", "SELECT domain, count(*) AS links, count(DISTINCT id) AS pages, count(DISTINCT author) AS hosts, min(ts) AS first_at, max(ts) AS last_at FROM {links} WHERE domain <> '' GROUP BY domain")
 define("disc_related_profiles", "For each author the five with most shared engagement, capped by reason.", """
 SELECT one, two, score, rn FROM (SELECT one, two, score, row_number() OVER (PARTITION BY one ORDER BY score DESC, two) AS rn FROM (
-  SELECT author AS one, actor AS two, least(90, 10 * count_if(relation = 'reply')) + least(70, 8 * count_if(relation = 'reaction')) + least(100, 12 * count_if(relation = 'repost')) AS score
+  SELECT author AS one, actor AS two, least(90, 10 * @count_if(relation = 'reply')) + least(70, 8 * @count_if(relation = 'reaction')) + least(100, 12 * @count_if(relation = 'repost')) AS score
   FROM {acts} WHERE actor <> author GROUP BY author, actor) g WHERE score > 0) r WHERE rn <= 5""")
 define("disc_related_notes", "For each post, posts that share two hashtags or more with it.", """
 SELECT a.id AS one, b.id AS two, count(*) AS shared FROM {hashtags} a JOIN {hashtags} b ON a.tag = b.tag AND a.id < b.id JOIN (SELECT tag FROM {hashtags} GROUP BY tag HAVING count(*) <= 50) r ON a.tag = r.tag

@@ -6,7 +6,7 @@ from ..plans.template import define
 
 define("eco_kind_activity", "Events and authors by kind and day.", "SELECT kind, @date(ts) AS day, count(*) AS n, count(DISTINCT pubkey) AS authors FROM {ev} GROUP BY kind, @date(ts)")
 define("eco_kind_engagement", "Interactions by relation and day.", "SELECT relation, @date(ts) AS day, count(*) AS n, count(DISTINCT target_id) AS targets FROM {acts} GROUP BY relation, @date(ts)")
-define("eco_zap_daily", "Payments by day: count, sats, own payments, participants.", "SELECT @date(ts) AS day, count(*) AS n, @isum(sats) AS sats, count_if(sender = receiver) AS own, count(DISTINCT sender) AS senders, count(DISTINCT receiver) AS receivers FROM {payments} GROUP BY @date(ts)")
+define("eco_zap_daily", "Payments by day: count, sats, own payments, participants.", "SELECT @date(ts) AS day, count(*) AS n, @isum(sats) AS sats, @count_if(sender = receiver) AS own, count(DISTINCT sender) AS senders, count(DISTINCT receiver) AS receivers FROM {payments} GROUP BY @date(ts)")
 define("eco_zap_quantiles", "Median, ninth decile, mean and Gini (in hundredths of a percent) of payments by year.", """
 SELECT year, round(@quantile(sats, 0.5), 4) AS p50, round(@quantile(sats, 0.9), 4) AS p90, round(avg(sats), 4) AS mean,
   round(greatest(0, 2.0 * sum(CAST(i AS DOUBLE) * sats) / (count(*) * CAST(sum(sats) AS DOUBLE)) - (count(*) + 1.0) / count(*)) * 10000, 2) AS gini_bps
@@ -17,11 +17,11 @@ SELECT side, who, sats, rn FROM (SELECT side, who, sats, row_number() OVER (PART
 define("eco_zap_hourly", "Payments of notes by weekday and hour.", "SELECT @dow(ts) AS dow, hour(ts) AS hour, count(*) AS n, @isum(sats) AS sats FROM {acts} WHERE relation = 'zap' GROUP BY 1, 2")
 define("eco_zap_edges", "Totals of each pair that paid twice or more, first and last time.", "SELECT sender, receiver, count(*) AS n, @isum(sats) AS sats, min(ts) AS first_at, max(ts) AS last_at FROM {payments} GROUP BY sender, receiver HAVING count(*) >= 2")
 define("eco_content_shape_daily", "Histogram of posts' lengths by day, and hashtags.", """
-SELECT @date(ts) AS day, count(*) AS n, count_if(length(text) < 280) AS short, count_if(length(text) >= 280 AND length(text) < 2000) AS medium, count_if(length(text) >= 2000) AS long_, @isum(length(text)) AS chars FROM {posts} GROUP BY @date(ts)""")
+SELECT @date(ts) AS day, count(*) AS n, @count_if(length(text) < 280) AS short, @count_if(length(text) >= 280 AND length(text) < 2000) AS medium, @count_if(length(text) >= 2000) AS long_, @isum(length(text)) AS chars FROM {posts} GROUP BY @date(ts)""")
 define("eco_hashtag_daily", "Events and authors by hashtag and day.", "SELECT tag, @date(ts) AS day, count(*) AS n, count(DISTINCT author) AS authors FROM {hashtags} GROUP BY tag, @date(ts)")
 define("eco_hashtag_momentum", "Each hashtag's last week against the week before: emerging, fading or steady.", """
 SELECT tag, recent, prior, CASE WHEN prior >= 20 AND recent >= 2 * prior THEN 'emerging' WHEN prior > 0 AND 2 * recent < prior THEN 'fading' ELSE 'steady' END AS state,
-  round(CASE WHEN prior = 0 THEN recent ELSE (recent - prior) / greatest(prior, 1.0) END, 6) AS z
+  round(CASE WHEN prior = 0 THEN recent ELSE (recent - prior) / greatest(prior, 1e0) END, 6) AS z
 FROM (SELECT d.tag, @isum(CASE WHEN @days(@date(p.as_of), d.day) < 7 THEN d.n ELSE 0 END) AS recent, @isum(CASE WHEN @days(@date(p.as_of), d.day) BETWEEN 7 AND 13 THEN d.n ELSE 0 END) AS prior
   FROM {eco_hashtag_daily} d CROSS JOIN {post_now} p GROUP BY d.tag) x WHERE recent + prior >= 20""")
 define("eco_domain_momentum", "The same for links' domains, by hosts that link.", """
@@ -43,34 +43,34 @@ SELECT CASE WHEN followers = 0 THEN 0 ELSE CAST(floor(log10(followers)) AS BIGIN
 define("eco_label_stats", "Labels by value and language.", "SELECT d.lang, l.quality, l.toxic, count(*) AS n FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY d.lang, l.quality, l.toxic")
 define("eco_deletion_daily", "Reports a day with the total time since their target.", "SELECT @date(a.ts) AS day, count(*) AS n, @isum(greatest(a.created_at - n.created_at, 0)) AS latency_s FROM {acts} a JOIN {notes} n ON a.target_id = n.id WHERE a.relation = 'report' GROUP BY @date(a.ts)")
 define("eco_snapshot", "Notes and authors of a day, a week and a month.", """
-SELECT count_if(ts > as_of - INTERVAL 1 DAY) AS notes_24h, count_if(ts > as_of - INTERVAL 7 DAYS) AS notes_7d, count(*) AS notes, count(DISTINCT CASE WHEN ts > as_of - INTERVAL 1 DAY THEN pubkey END) AS authors_24h,
+SELECT @count_if(ts > as_of - INTERVAL 1 DAY) AS notes_24h, @count_if(ts > as_of - INTERVAL 7 DAYS) AS notes_7d, count(*) AS notes, count(DISTINCT CASE WHEN ts > as_of - INTERVAL 1 DAY THEN pubkey END) AS authors_24h,
   count(DISTINCT CASE WHEN ts > as_of - INTERVAL 7 DAYS THEN pubkey END) AS authors_7d FROM {notes} CROSS JOIN {present}""")
 define("eco_network_stats", "Totals of the network.", """
 SELECT e.events, e.authors, h.hashtags, r.relays, l.languages FROM (SELECT count(*) AS events, count(DISTINCT pubkey) AS authors FROM {ev}) e CROSS JOIN (SELECT count(DISTINCT tag) AS hashtags FROM {hashtags}) h
 CROSS JOIN (SELECT count(DISTINCT relay) AS relays FROM {sightings}) r CROSS JOIN (SELECT count(DISTINCT lang) AS languages FROM {documents}) l""")
-define("eco_series", "Hourly counts of events.", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT pubkey) AS authors, @isum(sats) AS sats FROM {ev} GROUP BY 1")
+define("eco_series", "Hourly counts of events.", "SELECT @trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT pubkey) AS authors, @isum(sats) AS sats FROM {ev} GROUP BY 1")
 define("eco_media_hosts", "Links by host and kind of file.", "SELECT domain, CASE WHEN @matches(url, '[.](png|jpe?g|gif|webp)$') THEN 'image' WHEN @matches(url, '[.](mp4|webm)$') THEN 'video' ELSE 'page' END AS media, count(*) AS n FROM {links} WHERE domain <> '' GROUP BY 1, 2")
 define("eco_dm_volume", "Turns that each speaker's partner receives.", "SELECT root, author, count(*) AS n FROM {chat} GROUP BY root, author")
 # relays
-define("rel_activity_hourly", "Sightings by relay and hour.", "SELECT relay, date_trunc('hour', seen_at) AS hour, count(*) AS n, count(DISTINCT event_id) AS events FROM {sightings} GROUP BY 1, 2")
+define("rel_activity_hourly", "Sightings by relay and hour.", "SELECT relay, @trunc('hour', seen_at) AS hour, count(*) AS n, count(DISTINCT event_id) AS events FROM {sightings} GROUP BY 1, 2")
 define("ingest_provenance", "One row an event and relay: first sighting, and whether it was the event's first.", """
 SELECT event_id, relay, seen_at, row_number() OVER (PARTITION BY event_id ORDER BY seen_at, relay) = 1 AS is_first_seen FROM (SELECT event_id, relay, min(seen_at) AS seen_at FROM {sightings} GROUP BY event_id, relay) s""")
 define("ingest_seen_on", "Relays of each event in order of time.", "SELECT event_id, @joined(@str(relay)) AS relays, min_by(relay, seen_at) AS hint, count(*) AS n FROM {ingest_provenance} p WHERE is_first_seen OR relay >= 0 GROUP BY event_id HAVING count(DISTINCT seen_at) = count(*)")
 define("rel_summary", "Relays, events and sightings of the last year and in all.", """
 SELECT count(DISTINCT relay) AS relays, count(DISTINCT event_id) AS events, count(*) AS sightings, count(DISTINCT CASE WHEN seen_at > as_of - INTERVAL 365 DAYS THEN event_id END) AS events_year FROM {sightings} CROSS JOIN (SELECT max(seen_at) AS as_of FROM {sightings}) a""")
-define("rel_top", "Relays by events, first sightings and name.", "SELECT relay, count(*) AS events, count_if(is_first_seen) AS first_seen FROM {ingest_provenance} GROUP BY relay ORDER BY events DESC, relay LIMIT 10")
+define("rel_top", "Relays by events, first sightings and name.", "SELECT relay, count(*) AS events, @count_if(is_first_seen) AS first_seen FROM {ingest_provenance} GROUP BY relay ORDER BY events DESC, relay LIMIT 10")
 define("rel_propagation", "Events, first and only sightings, and quantiles of the delay after the first.", """
-SELECT relay, count(*) AS events, count_if(is_first_seen) AS first_seen, count_if(n = 1) AS only_here, round(@quantile(delay, 0.5), 4) AS p50_s, round(@quantile(delay, 0.9), 4) AS p90_s FROM (
+SELECT relay, count(*) AS events, @count_if(is_first_seen) AS first_seen, @count_if(n = 1) AS only_here, round(@quantile(delay, 0.5), 4) AS p50_s, round(@quantile(delay, 0.9), 4) AS p90_s FROM (
   SELECT relay, is_first_seen, count(*) OVER (PARTITION BY event_id) AS n, @unix(seen_at) - min(@unix(seen_at)) OVER (PARTITION BY event_id) AS delay FROM {ingest_provenance}) p GROUP BY relay""")
 define("rel_overlap", "Events that pairs of relays share, and their Jaccard similarity.", """
 SELECT p.one, p.two, p.shared, round(p.shared / (a.n + b.n - p.shared), 6) AS jaccard FROM (
   SELECT x.relay AS one, y.relay AS two, count(*) AS shared FROM {ingest_provenance} x JOIN {ingest_provenance} y ON x.event_id = y.event_id AND x.relay < y.relay GROUP BY x.relay, y.relay) p
 JOIN (SELECT relay, count(*) AS n FROM {ingest_provenance} GROUP BY relay) a ON a.relay = p.one JOIN (SELECT relay, count(*) AS n FROM {ingest_provenance} GROUP BY relay) b ON b.relay = p.two""")
 define("rel_health_daily", "Probes by relay and month: success in hundredths of a percent, latency.", """
-SELECT relay, date_trunc('month', ts) AS month, count(*) AS probes, @div(10000 * count_if(ok), count(*)) AS ok_bps, round(@quantile(latency_ms, 0.5), 4) AS p50_ms, round(@quantile(latency_ms, 0.9), 4) AS p90_ms FROM {probes} GROUP BY 1, 2""")
+SELECT relay, @trunc('month', ts) AS month, count(*) AS probes, @div(10000 * @count_if(ok), count(*)) AS ok_bps, round(@quantile(latency_ms, 0.5), 4) AS p50_ms, round(@quantile(latency_ms, 0.9), 4) AS p90_ms FROM {probes} GROUP BY 1, 2""")
 define("rel_score", "Admission score of relays from users, probes, latency and propagation.", """
 SELECT h.relay, round(greatest(0, least(150, 22 * log10(1 + t.events)) + CASE WHEN h.ok_bps >= 9500 THEN 20 WHEN h.ok_bps > 0 THEN 5 ELSE 0 END + CASE WHEN h.p50 < 500 THEN 10 ELSE 5 END + least(12, 12.0 * t.first_seen / greatest(t.events, 1)) - least(30, (10000 - h.ok_bps) / 100.0)), 4) AS score
-FROM (SELECT relay, @div(10000 * count_if(ok), count(*)) AS ok_bps, @quantile(latency_ms, 0.5) AS p50 FROM {probes} GROUP BY relay) h JOIN {rel_top} t ON h.relay = t.relay""")
+FROM (SELECT relay, @div(10000 * @count_if(ok), count(*)) AS ok_bps, @quantile(latency_ms, 0.5) AS p50 FROM {probes} GROUP BY relay) h JOIN {rel_top} t ON h.relay = t.relay""")
 define("rel_transition", "State of each relay: the five of highest score above the threshold are admitted.", "SELECT relay, score, CASE WHEN score < 60 THEN 'rejected' WHEN row_number() OVER (ORDER BY score DESC, relay) <= 5 THEN 'admitted' ELSE 'waiting' END AS state FROM {rel_score}")
 define("rel_coverage", "Relays that carried events in only one of the last two years.", """
 SELECT coalesce(a.relay, b.relay) AS relay, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS now FROM (SELECT relay, count(*) AS n FROM {sightings} CROSS JOIN (SELECT max(seen_at) AS t FROM {sightings}) m WHERE seen_at <= t - INTERVAL 365 DAYS GROUP BY relay) a

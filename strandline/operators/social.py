@@ -7,7 +7,7 @@ from ..plans.template import define
 define("ingest_dedup", "Each event once, with its first sighting.", "SELECT event_id, min(seen_at) AS first_seen_at, count(*) AS sightings FROM {sightings} GROUP BY event_id")
 define("ingest_kind_census", "Events and authors by day and kind.", "SELECT @date(ts) AS day, kind, count(*) AS n, count(DISTINCT pubkey) AS authors FROM {ev} GROUP BY 1, 2")
 define("ingest_recipient_budget", "At most three acts an hour on one author, first come.", """
-SELECT source_id, author, rn FROM (SELECT source_id, author, row_number() OVER (PARTITION BY author, date_trunc('hour', ts) ORDER BY created_at, source_id) AS rn FROM {acts}) r WHERE rn <= 3""")
+SELECT source_id, author, rn FROM (SELECT source_id, author, row_number() OVER (PARTITION BY author, @trunc('hour', ts) ORDER BY created_at, source_id) AS rn FROM {acts}) r WHERE rn <= 3""")
 define("ingest_gate", "Admission of each interaction: trusted actor, trusted author, or why not.", """
 SELECT a.source_id, CASE WHEN t.pubkey IS NOT NULL THEN 'trusted actor' WHEN r.pubkey IS NOT NULL THEN 'trusted recipient' WHEN b.actor IS NOT NULL THEN 'blocked' ELSE 'shadow' END AS decision
 FROM {acts} a LEFT JOIN {trusted_users} t ON a.actor = t.pubkey LEFT JOIN {trusted_users} r ON a.author = r.pubkey

@@ -28,7 +28,7 @@ define("norm_relay_url", "Relay addresses in one form: lower case, without defau
 define("attr_relay_hints", "Relay hints in e and p tags by day.", "SELECT @date(ts) AS day, lower(regexp_extract(hint, '//([^:/]+)', 1)) AS host, count(*) AS n FROM {tags} WHERE name IN ('e', 'p') GROUP BY 1, 2")
 define("norm_tag_hashtags", "Hashtags of tags: lower case, without the mark, with a letter; each once an event.", "SELECT DISTINCT event_id, tag FROM (SELECT event_id, lower(@replace_all(value, '^#+', '')) AS tag FROM {tags} WHERE name = 't') t WHERE @matches(tag, '[a-z]')")
 define("eco_client_daily", "Notes and authors by client and day.", "SELECT value AS client, @date(ts) AS day, count(*) AS n, count(DISTINCT pubkey) AS authors FROM {tags} WHERE name = 'client' GROUP BY value, @date(ts)")
-define("eco_content_flags", "Warned and expiring notes by day.", "SELECT @date(ts) AS day, count(DISTINCT event_id) AS notes, count_if(name = 'content-warning') AS warned, count_if(name = 'expiration') AS expiring FROM {tags} GROUP BY @date(ts)")
+define("eco_content_flags", "Warned and expiring notes by day.", "SELECT @date(ts) AS day, count(DISTINCT event_id) AS notes, @count_if(name = 'content-warning') AS warned, @count_if(name = 'expiration') AS expiring FROM {tags} GROUP BY @date(ts)")
 define("eco_interests", "Authors of each hashtag's tags.", "SELECT lower(value) AS tag, count(DISTINCT pubkey) AS subscribers FROM {tags} WHERE name = 't' GROUP BY lower(value)")
 define("state_addressable", "Newest event of each address.", "SELECT value AS address, event_id, created_at FROM (SELECT t.*, row_number() OVER (PARTITION BY value ORDER BY created_at DESC, event_id DESC) AS rn FROM {tags} t WHERE name = 'a') r WHERE rn = 1")
 define("state_pins", "E-tags of each author's newest note, in order.", "SELECT t.pubkey, t.value AS item, t.idx FROM {tags} t JOIN (SELECT pubkey, max(event_id) AS id FROM {tags} GROUP BY pubkey) m ON t.event_id = m.id WHERE t.name = 'e'")
@@ -62,7 +62,7 @@ JOIN (SELECT relay, @joined(@str(pubkey)) AS supporters FROM (SELECT r.relay, r.
 define("trust_relay_suggestions", "Relays to promote and to demote by votes against use.", "SELECT v.relay, CASE WHEN v.rn <= 5 AND p.users IS NOT NULL THEN 'promote' WHEN p.users IS NULL THEN 'demote' ELSE 'keep' END AS step FROM (SELECT relay, row_number() OVER (ORDER BY score DESC, relay) AS rn FROM {trust_relay_votes}) v LEFT JOIN {rel_popular} p ON v.relay = p.relay")
 define("trust_merge_graph", "Interaction and note-reply edges with weights summed.", "SELECT src, dst, round(sum(weight), 6) AS weight FROM (SELECT src, dst, weight FROM {trust_interaction_edges} UNION ALL SELECT e.author, n.pubkey, 1e0 FROM {edges} e JOIN {notes} n ON e.parent = n.id WHERE e.author <> n.pubkey) u GROUP BY src, dst")
 define("trust_compare_ranks", "Overlap of the first 50 by sats and by engagement, and Spearman's coefficient on common users.", """
-SELECT count_if(a <= 50 AND b <= 50) / 50e0 AS overlap, round(1 - 6 * sum(CAST((a - b) * (a - b) AS DOUBLE)) / (count(*) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 6) AS spearman FROM (
+SELECT @count_if(a <= 50 AND b <= 50) / 50e0 AS overlap, round(1 - 6 * sum(CAST((a - b) * (a - b) AS DOUBLE)) / (count(*) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 6) AS spearman FROM (
   SELECT row_number() OVER (ORDER BY t.sats DESC, t.pubkey) AS a, row_number() OVER (ORDER BY p.engaged DESC, t.pubkey) AS b FROM {trusted_users} t JOIN {disc_profile_stats} p ON t.pubkey = p.pubkey) r""")
 define("trust_latest", "Hops and followers of each user, whichever is known.", "SELECT coalesce(h.pubkey, f.profile) AS pubkey, h.hops, coalesce(f.followers, 0) AS followers FROM {trust_hops} h FULL OUTER JOIN {fact_follower_edges} f ON h.pubkey = f.profile")
 define("lang_detect", "Language of each post by the short words of the posts with even ids: the sum of each word's share of a language.", """
@@ -76,7 +76,7 @@ SELECT p.id, CASE WHEN d.score >= 5 THEN d.detected ELSE coalesce(a.lang, 'und')
 LEFT JOIN (SELECT author, lang FROM {auth_languages} WHERE rn = 1) a ON p.author = a.author""")
 define("norm_reply_phrase", "Phrase of each assistant turn: lower case, first 40 letters and spaces.", "SELECT id, root, substring(trim(@replace_all(lower(text), '[^a-z ]+', '')), 1, 40) AS phrase FROM {chat} WHERE author LIKE 'assistant%'")
 define("disc_reply_discount", "Replies of each conversation with identical phrases counted once.", "SELECT root, count(*) AS replies, count(DISTINCT phrase) AS substantive FROM {norm_reply_phrase} GROUP BY root")
-define("attr_media_flags", "Image, video and other links of each page.", "SELECT id, count_if(@matches(url, '[.](png|jpe?g|gif|webp)$')) AS images, count_if(@matches(url, '[.](mp4|webm)$')) AS videos, count(*) AS links FROM {links} GROUP BY id")
+define("attr_media_flags", "Image, video and other links of each page.", "SELECT id, @count_if(@matches(url, '[.](png|jpe?g|gif|webp)$')) AS images, @count_if(@matches(url, '[.](mp4|webm)$')) AS videos, count(*) AS links FROM {links} GROUP BY id")
 define("attr_media_segment", "Video before image before link.", "SELECT id, CASE WHEN videos > 0 THEN 'video' WHEN images > 0 THEN 'image' WHEN links > 0 THEN 'link' ELSE 'text' END AS segment FROM {attr_media_flags}")
 define("str_dirty_keys", "Authors that acts of the newest day touch, with their recomputed engagement.", """
 SELECT p.pubkey, p.engaged, p.sats FROM {disc_profile_stats} p WHERE EXISTS (SELECT 1 FROM {acts} a CROSS JOIN {present} t WHERE a.author = p.pubkey AND a.ts > t.as_of - INTERVAL 1 DAY)""")

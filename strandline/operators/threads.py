@@ -16,12 +16,12 @@ define("thr_ancestors", "Ancestors of every note up to DEPTH levels, with their
 define("thr_depth", "Depth and root of every note: the furthest ancestor, itself if it has none.", """
 SELECT n.id, coalesce(max(a.distance), 0) AS depth, coalesce(min(a.ancestor), n.id) AS root FROM {notes} n LEFT JOIN {thr_ancestors} a ON n.id = a.id GROUP BY n.id""")
 define("thr_summary", "Per root: replies, participants, last activity, direct replies, latency of the first reply, branching times 100.", """
-SELECT t.root, count(*) AS replies, count(DISTINCT n.pubkey) AS participants, max(n.created_at) AS last_at, count_if(n.target = t.root) AS direct,
+SELECT t.root, count(*) AS replies, count(DISTINCT n.pubkey) AS participants, max(n.created_at) AS last_at, @count_if(n.target = t.root) AS direct,
   greatest(min(n.created_at) - min(r.created_at), 0) AS first_reply_s, @div(100 * count(*), count(DISTINCT n.target)) AS branching_x100
 FROM {thr_depth} t JOIN {notes} n ON t.id = n.id JOIN {notes} r ON t.root = r.id WHERE t.depth > 0 GROUP BY t.root""")
 define("thr_velocity", "Hot rank of a conversation: none for one author; small groups capped by authors a reply; else weight and bonus.", """
-SELECT root, replies, participants, round(CASE WHEN participants <= 1 THEN 0 WHEN participants <= 5 THEN (participants - 1) * least(1.0, 8.0 * participants / greatest(replies, 1))
-  ELSE replies + least(replies, 50) * 0.15 END, 6) AS velocity FROM {thr_summary}""")
+SELECT root, replies, participants, round(CASE WHEN participants <= 1 THEN 0 WHEN participants <= 5 THEN (participants - 1) * least(1e0, 8e0 * participants / greatest(replies, 1))
+  ELSE replies + least(replies, 50) * 15e-2 END, 6) AS velocity FROM {thr_summary}""")
 define("thr_hot", "The hottest 20 conversations.", "SELECT root, replies, participants, velocity FROM {thr_velocity} ORDER BY velocity DESC, replies DESC, root LIMIT 20")
 define("thr_replies_page", "The first ten replies to each note after its thousandth id, oldest first.", """
 SELECT parent, child, rn FROM (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child_at, child) AS rn FROM {edges} WHERE child > parent + 1) r WHERE rn <= 10""")
@@ -30,7 +30,7 @@ SELECT n.id, coalesce(a.n, 0) AS ancestors, coalesce(a.ids, '') AS ancestor_ids,
 LEFT JOIN (SELECT id, count(*) AS n, @joined(@str(ancestor)) AS ids FROM {thr_ancestors} GROUP BY id) a ON n.id = a.id
 LEFT JOIN (SELECT parent, count(*) AS n, @joined(@str(child)) AS ids FROM {edges} GROUP BY parent) r ON n.id = r.parent""")
 define("thr_activity", "Replies to each note's conversation in the last day and week.", """
-SELECT t.root, count_if(n.ts > a.as_of - INTERVAL 1 DAY) AS day, count_if(n.ts > a.as_of - INTERVAL 7 DAYS) AS week FROM {thr_depth} t JOIN {notes} n ON t.id = n.id CROSS JOIN {present} a GROUP BY t.root""")
+SELECT t.root, @count_if(n.ts > a.as_of - INTERVAL 1 DAY) AS day, @count_if(n.ts > a.as_of - INTERVAL 7 DAYS) AS week FROM {thr_depth} t JOIN {notes} n ON t.id = n.id CROSS JOIN {present} a GROUP BY t.root""")
 define("thr_shape_daily", "Threads a day, median first reply, mean branching.", """
 SELECT @date(r.ts) AS day, count(*) AS threads, round(@quantile(s.first_reply_s, 0.5), 6) AS p50_first_reply_s, round(avg(s.branching_x100), 6) AS branching_x100
 FROM {thr_summary} s JOIN {notes} r ON s.root = r.id GROUP BY @date(r.ts)""")

@@ -39,6 +39,8 @@ MACROS = {
     "str": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
     "grid": ("explode(sequence({0}, {1}))", "unnest(range({0}, {1} + 1))"),
     "minus": ("array_except({0}, {1})", "list_filter({0}, lambda x: NOT list_contains({1}, x))"),
+    "count_if": ("count_if({0})", "CAST(count_if({0}) AS BIGINT)"),
+    "trunc": ("CAST(date_trunc({0}, {1}) AS TIMESTAMP_NTZ)", "date_trunc({0}, {1})"),
     "json": ("get_json_object({0}, {1})", "json_extract_string({0}, {1})"),
     "bits": ("bit_count({0})", "bit_count({0})"),
 }
