@@ -16,42 +16,27 @@ from .common import SPACES, written
 BROADCAST_IDS = 1_000_000
 
 
-def _segment(d: int, i: int, parts: int) -> tuple[str, str]:
-    """SQL for start (from 1) and length of segment i (from 1) of a line of n - d characters: the first cut_d are shorter by one."""
-    return f"(1 + base_{d} * {i - 1} + greatest(0, {i - 1} - cut_{d}))", f"(base_{d} + if({i} > cut_{d}, 1, 0))"
+def keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """lines (column line and others) with own and key: the hashes of (length, number, text) of segments.
 
-
-def with_measures(lines: DataFrame, threshold: int) -> DataFrame:
-    """lines (column line) with n, its characters, and for each d up to threshold base_d and cut_d, which segments are made of."""
-    parts = threshold + 1
-    out = lines.withColumn("n", F.length("line"))
-    made = {f"base_{d}": F.expr(f"cast((n - {d}) div {parts} as int)") for d in range(parts)}
-    return out.withColumns(made | {f"cut_{d}": F.expr(f"{parts} - pmod(n - {d}, {parts})") for d in range(parts)})
-
-
-def index_keys(threshold: int) -> list[Column]:
-    """Hashes of (length, segment number, segment) of a line, from with_measures' columns."""
-    out = []
-    for i in range(1, threshold + 2):
-        start, length = _segment(0, i, threshold + 1)
-        out.append(F.expr(f"xxhash64(n, {i}, substring(line, {start}, {length}))"))
-    return out
-
-
-def probe_keys(threshold: int) -> list[Column]:
-    """Hashes of the substrings at which a line of n - d characters, d from 0 to threshold, can share a segment with this one.
-
-    A segment i of the shorter line can be shifted by less than i, and by less than what the segments after it leave: both
-    bounds hold for one of the shared segments, so their overlap is enough. Places outside the line give null.
+    own: of the line's threshold + 1 segments, the last n % (threshold + 1) of which have one character more. Others: of the
+    substrings at which a line of n - d characters, d from 0 to threshold, can share a segment with this one. A segment i of the
+    shorter line can be shifted by less than i, and by less than what the segments after it leave: both bounds hold for one of
+    the shared segments, so their overlap is enough. Places outside the line give no row.
     """
-    parts, out = threshold + 1, []
+    parts = threshold + 1
+    places = [(0, i, 0, True) for i in range(1, parts + 1)]
     for d in range(threshold + 1):
         for i in range(1, parts + 1):
-            start, length = _segment(d, i, parts)
-            for shift in range(max(-(i - 1), d - (parts - i)), min(i - 1, d + (parts - i)) + 1):
-                at = f"({start} + {shift})"
-                out.append(F.expr(f"if({at} >= 1 and {at} + {length} - 1 <= n and {length} >= 1, xxhash64(n - {d}, {i}, substring(line, {at}, {length})), null)"))
-    return out
+            places += [(d, i, shift, False) for shift in range(max(-(i - 1), d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
+    # one small expression a row, rather than one large one a line: the compiler leaves large ones alone
+    made = ", ".join(f"struct({d} as k_d, {i} as k_i, {shift} as k_shift, {str(own).lower()} as own)" for d, i, shift, own in places)
+    rows = lines.withColumn("k_n", F.length("line")).selectExpr("*", f"inline(array({made}))")
+    rows = rows.withColumn("k_base", F.expr(f"cast((k_n - k_d) div {parts} as int)")).withColumn("k_cut", F.expr(f"{parts} - pmod(k_n - k_d, {parts})"))
+    rows = rows.withColumn("k_at", F.expr("1 + k_shift + k_base * (k_i - 1) + greatest(0, k_i - 1 - k_cut)")).withColumn("k_size", F.expr("k_base + if(k_i > k_cut, 1, 0)"))
+    rows = rows.where("k_size >= 1 and k_at >= 1 and k_at + k_size - 1 <= k_n")
+    rows = rows.withColumn("key", F.expr("xxhash64(k_n - k_d, k_i, substring(line, k_at, k_size))"))
+    return rows.select(*lines.columns, "own", "key")
 
 
 def pieces_left(short: Column, long_: Column, pieces: int) -> Column:
@@ -60,6 +45,23 @@ def pieces_left(short: Column, long_: Column, pieces: int) -> Column:
     return sum((F.contains(long_, F.substring(short, base * k + 1, base)).cast("int") for k in range(1, pieces)), F.contains(long_, F.substring(short, F.lit(1), base)).cast("int"))
 
 
+def without_ends(pairs: DataFrame, steps: int = 6) -> DataFrame:
+    """pairs (columns s and l, s not longer) without most of what s and l begin and end with alike; their distance is the same.
+
+    Halves, quarters and so on of s are compared, down to its length / 2 ** steps.
+    """
+    pairs = pairs.withColumn("p", F.lit(0))
+    for k in range(1, steps + 1):
+        h = f"cast(length(s) div {2**k} as int)"
+        pairs = pairs.withColumn("p", F.expr(f"p + if(substring(s, p + 1, {h}) = substring(l, p + 1, {h}), {h}, 0)"))
+    pairs = pairs.withColumn("s", F.expr("substring(s, p + 1)")).withColumn("l", F.expr("substring(l, p + 1)")).withColumn("p", F.lit(0))
+    for k in range(1, steps + 1):
+        h = f"cast(length(s) div {2**k} as int)"
+        at = lambda x: f"substring({x}, length({x}) - p - {h} + 1, {h})"  # noqa: B023, E731
+        pairs = pairs.withColumn("p", F.expr(f"p + if({at('s')} = {at('l')}, {h}, 0)"))
+    return pairs.withColumn("s", F.expr("substring(s, 1, length(s) - p)")).withColumn("l", F.expr("substring(l, 1, length(l) - p)")).drop("p")
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of two arrays of characters, or threshold + 1 if it is larger; a has at most threshold fewer than b, not more.
 
@@ -100,24 +102,41 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.when(n == 0, m.cast("long")).otherwise(F.least(found, one(k + 1)))
 
 
+def characters(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, place and line (without spaces at its ends) of each line of docs that has min_chars characters or more."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("place", "line"))
     return lines.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
 
 
+#: Letters that are counted in each line: frequent ones, so that lines differ in them.
+LETTERS = "etaoinsr"
+
+
+def letter_counts() -> Column:
+    """Counts of LETTERS in a line modulo 256, a byte each."""
+    return F.expr(" | ".join(f"shiftleft(cast((length(line) - length(replace(line, '{c}', ''))) & 255 as bigint), {8 * k})" for k, c in enumerate(LETTERS)))
+
+
+def letter_gap(a: str, b: str) -> Column:
+    """At most twice the edit distance of two lines with these counts: an edit changes two counts by one at most."""
+    byte = lambda x, k: f"(shiftrightunsigned({x}, {8 * k}) & 255)"
+    gaps = [f"abs({byte(a, k)} - {byte(b, k)})" for k in range(len(LETTERS))]
+    return F.expr(" + ".join(f"least({g}, 256 - {g})" for g in gaps))
+
+
 def candidates(here: DataFrame, threshold: int) -> DataFrame:
-    """(a, b), a < b: hashes of different lines of here (column line) that share a segment's key.
+    """(a, b), a < b: hashes of different lines of here (column line) that share a segment's key and have about as many of each letter.
 
     Both sides of the join are one table of keys, so lines and keys are each shuffled once.
     """
-    lines = with_measures(here.groupBy("line").agg(F.count(F.lit(1)).alias("copies")), threshold)
-    own, probes = index_keys(threshold), probe_keys(threshold)
-    keys = F.array(*own, *probes)
-    drawn = lines.select(F.xxhash64("line").alias("id"), F.posexplode(keys).alias("k", "key"))
-    drawn = drawn.select("id", "key", (F.col("k") < len(own)).alias("own")).repartition("key")
-    one, two = (drawn.select("key", F.col("id").alias(s), F.col("own").alias(f"own_{s}")) for s in "ab")
-    met = one.join(two, "key").where("own_a > own_b and a <> b")
+    lines = here.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select("line", F.xxhash64("line").alias("id"), letter_counts().alias("letters"))
+    drawn = keys(lines, threshold).select("id", "letters", "key", "own").repartition("key")
+    one, two = (drawn.select("key", F.col("id").alias(s), F.col("own").alias(f"own_{s}"), F.col("letters").alias(f"letters_{s}")) for s in "ab")
+    met = one.join(two, "key").where("own_a > own_b and a <> b").where(letter_gap("letters_a", "letters_b") <= 2 * threshold)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -149,7 +168,7 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) ->
     pieces = 5 * (threshold + 1)
     both = both.where((F.length("l") - F.length("s") <= threshold) & ((F.length("s") < pieces) | (pieces_left(F.col("s"), F.col("l"), pieces) >= pieces - threshold)))
     # written twice, else conditions would move below the arrays, and each step would split its line anew
-    both = written(both, "close").withColumn("short", F.split("s", "")).withColumn("long", F.split("l", ""))
+    both = written(without_ends(both), "close").withColumn("short", characters(F.col("s"))).withColumn("long", characters(F.col("l")))
     both = written(both.select("a", "b", "line_a", "line_b", "first_a", "first_b", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
     close = both.where(F.col("edits") <= threshold)
     later = F.struct("first_a", "a") > F.struct("first_b", "b")
