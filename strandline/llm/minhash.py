@@ -66,7 +66,7 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     out = np.full(len(sets) * m, np.inf)
     places = None
     for j in range(m):
-        x = _mixed(element + np.uint64(2 * j + 1) * _GOLDEN)
+        x = _mixed(element + np.uint64((2 * j + 1) * int(_GOLDEN) % 2**64))
         r = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
         k = (j + (_mixed(x) >> np.uint64(32)) % np.uint64(m - j)).astype(np.int64)
         if places is None:
@@ -139,20 +139,17 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, set array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. pairs are confirmed once, in one pass.
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids (doc_id): by a broadcast while they are at most BROADCAST_IDS, by a shuffle beyond."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
 
-    Only documents of a pair are read again. Their ids are broadcast while they are few, and joined by a shuffle beyond that.
-    """
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Only documents of a pair are read again."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    n = ids.count()
-    if not n:
-        return pairs
-    mine = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    # an id that the table repeats has one text here: its largest
-    mine = mine.select("doc_id", "text")
-    sets = written(full_sets(mine, width), "sets")
+    sets = written(full_sets(of_ids(docs, ids), width), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
 
@@ -169,7 +166,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 5) -> DataFrame:
+def across(placed: DataFrame, docs: DataFrame, width: int, percent: int, at_most: int = AT_ONCE) -> DataFrame:
+    """Links (a, b) between components of the same star, enough of them to join all components that any link joins.
+
+    placed: pivot, rep, n (its set's size), c (its component): those that met a pivot in a bucket. In a star with several
+    components, all members outside the largest one are compared with all members: so is every pair across components. Members
+    are dealt to blocks of about at_most shingles, and a task compares two blocks, giving a row only where a link joins two
+    components of what it has seen. So rows grow with members and blocks, not with pairs, and memory is that of two blocks.
+    """
+    sizes = placed.groupBy("pivot", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    stars = sizes.groupBy("pivot").agg(F.max(F.struct("k", "n", "c")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
+    blocks = lambda total: F.ceil(total / at_most)
+    stars = stars.select("pivot", F.col("most.c").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("lefts"), blocks(F.col("n")).alias("rights"))
+    rows = placed.join(stars, "pivot")
+    own = lambda count: F.pmod(F.xxhash64("rep"), count)
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    left = rows.where("c <> main").select("pivot", "rep", "c", own(F.col("lefts")).alias("i"), each(F.col("rights")).alias("j"), F.lit(True).alias("left"))
+    right = rows.select("pivot", "rep", "c", each(F.col("lefts")).alias("i"), own(F.col("rights")).alias("j"), F.lit(False).alias("left"))
+    cells = written(left.union(right), "cells")
+    ids = written(cells.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = full_sets(of_ids(docs, ids), width)
+    cells = cells.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_left = table.column("left").to_numpy(zero_copy_only=False)
+        lefts, rights = table.filter(pa.array(is_left)), table.filter(pa.array(~is_left))
+        found: list[tuple[int, int]] = []
+        if len(lefts) and len(rights):
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            column = rights.column("set").combine_chunks()
+            starts, flat = column.offsets.to_numpy()[:-1], column.flatten().to_numpy()
+            starts = starts - column.offsets.to_numpy()[0]
+            vocabulary, place = np.unique(flat, return_inverse=True)
+            names, of, counts = rights.column("rep").to_pylist(), rights.column("c").to_pylist(), np.diff(np.append(starts, len(flat)))
+            here = np.zeros(len(vocabulary), np.int32)
+            for x, c, own in zip(lefts.column("rep").to_pylist(), lefts.column("c").to_pylist(), lefts.column("set"), strict=True):
+                mine = own.values.to_numpy()
+                at = np.searchsorted(vocabulary, mine)
+                at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == mine)]
+                here[at] = 1
+                both = np.add.reduceat(here[place], starts)
+                here[at] = 0
+                for y in np.flatnonzero(100 * both >= percent * (counts + len(mine) - both)):
+                    one, two = find(c), find(of[y])
+                    if one != two:
+                        up[one] = two
+                        found.append((x, names[y]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return written(cells.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     docs: columns doc_id (long) and text; others are dropped. Documents are linked when their shingle sets have a Jaccard
@@ -177,11 +231,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     Null and empty texts, and those of white space, have no shingles and are linked with nothing.
 
     1. Documents with equal sets form a class (one aggregate by digest); its smallest doc_id stands for it from here on.
-    2. Representatives meet in the buckets of bands bands of rows values of their SuperMinHash signature. A pair at 0.85 shares no
-       bucket of 24 bands of 5 with probability 8e-7, at 0.8 with 8e-5.
-    3. In each bucket all are compared with its smallest document on full sets, and the links grouped. Where a bucket still
-       holds several components, every pair across them is compared as well, so no pair is left out; pairs within a component
-       need no look, as they can't change it. Hence a bucket of n copies costs n comparisons, not n * n.
+    2. Representatives meet in the buckets of bands bands of rows values of their SuperMinHash signature. A pair at 0.8 shares no
+       bucket of 30 bands of 4 with probability 1e-7, one at 0.85 none of 24 bands of 5 with 8e-7.
+    3. In each bucket all are compared with its smallest document, the pivot, on full sets, and the links grouped: a bucket of n
+       costs n comparisons. Where those that met a pivot still lie in several components, every pair across them is
+       compared as well, inside tasks and by blocks (see across), so no pair of a bucket is left out.
 
     A third of all rows may be copies of one text: they are one class. Rows that repeat a doc_id with one text are alike in
     every column; a doc_id with several texts is one node whose texts all count. An empty table gives no rows.
@@ -198,13 +252,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = confirmed(stars.where(fits).select("a", "b").distinct(), docs, width, percent)
     group = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
 
-    crowded = members.join(least.select("bucket"), "bucket")
-    placed = crowded.join(group, crowded["rep"] == group["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    placed = placed.join(mixed.select("bucket"), "bucket")
-    one, two = (placed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "c"))) for s in "ab")
-    across = one.join(two, "bucket").where(f"c_a <> c_b and rep_a < rep_b and {fits}").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    more = confirmed(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), docs, width, percent)
+    met = members.join(least, "bucket").select(F.col("pivot.rep").alias("pivot"), "rep", "n").distinct()
+    placed = met.join(group, met["rep"] == group["node"], "left").select("pivot", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    more = across(placed, docs, width, percent)
     group = written(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
 
     known = drawn.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest")

@@ -79,7 +79,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, bands=24, rows=5)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
