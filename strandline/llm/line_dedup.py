@@ -112,32 +112,52 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
 
 
-#: Letters that are counted in each line: frequent ones, so that lines differ in them.
-LETTERS = "etaoinsr"
+def shared_keys(here: DataFrame, threshold: int) -> DataFrame:
+    """key, id, first, own of the lines of here (doc_id, line) that share a segment's key with another line.
 
+    id is the line's hash, first its smallest doc_id. Lines and keys are each shuffled once; most keys are of one line and go at
+    once, so what is written is small.
+    """
+    lines = here.groupBy("line").agg(F.min("doc_id").alias("first")).select("line", F.xxhash64("line").alias("id"), "first")
+    drawn = keys(lines, threshold).select("key", "id", "first", "own").repartition("key")
+    shared = drawn.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    return written(drawn.join(shared, "key"), "keys")
 
-def letter_counts() -> Column:
-    """Counts of LETTERS in a line modulo 256, a byte each."""
-    return F.expr(" | ".join(f"shiftleft(cast((length(line) - length(replace(line, '{c}', ''))) & 255 as bigint), {8 * k})" for k, c in enumerate(LETTERS)))
 
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): for each key's owners the first line that probes it, for its probes the first owner, where that is earlier."""
+    order = F.struct("first", "id")
+    pivots = rows.groupBy("key").agg(F.min(F.when(F.col("own"), order)).alias("owner"), F.min(F.when(~F.col("own"), order)).alias("probe"))
+    met = rows.join(pivots, "key").withColumn("pivot", F.when(F.col("own"), F.col("probe")).otherwise(F.col("owner")))
+    return met.where(F.col("pivot") < order).where("pivot.id <> id").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
 
-def letter_gap(a: str, b: str) -> Column:
-    """At most twice the edit distance of two lines with these counts: an edit changes two counts by one at most."""
-    byte = lambda x, k: f"(shiftrightunsigned({x}, {8 * k}) & 255)"
-    gaps = [f"abs({byte(a, k)} - {byte(b, k)})" for k in range(len(LETTERS))]
-    return F.expr(" + ".join(f"least({g}, 256 - {g})" for g in gaps))
 
+def other_pairs(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """(a, b): the lines of rows that are not in decided (id), each with every earlier line that it shares a key with."""
+    open_ = rows.join(decided, "id", "left_anti").select("key", F.col("id").alias("o_id"), F.col("first").alias("o_first"), F.col("own").alias("o_own"))
+    met = open_.join(rows, "key").where("own <> o_own and id <> o_id").where(F.struct("first", "id") < F.struct("o_first", "o_id"))
+    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
-def candidates(here: DataFrame, threshold: int) -> DataFrame:
-    """(a, b), a < b: hashes of different lines of here (column line) that share a segment's key and have about as many of each letter.
 
-    Both sides of the join are one table of keys, so lines and keys are each shuffled once.
-    """
-    lines = here.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select("line", F.xxhash64("line").alias("id"), letter_counts().alias("letters"))
-    drawn = keys(lines, threshold).select("id", "letters", "key", "own").repartition("key")
-    one, two = (drawn.select("key", F.col("id").alias(s), F.col("own").alias(f"own_{s}"), F.col("letters").alias(f"letters_{s}")) for s in "ab")
-    met = one.join(two, "key").where("own_a > own_b and a <> b").where(letter_gap("letters_a", "letters_b") <= 2 * threshold)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def near_lines(pairs: DataFrame, here: DataFrame, threshold: int) -> DataFrame:
+    """id, id2 (two hashes) of the later line of each of pairs (a, b) that are within threshold edits. Texts of those pairs only are read."""
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    found = here.withColumn("id", F.xxhash64("line")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    # a hash that two lines share keeps both: pairs are of ids and lines
+    texts = written(found.groupBy("id", "line").agg(F.min("doc_id").alias("first")), "lines")
+    one, two = (texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    swap = F.length("line_a") > F.length("line_b")
+    both = both.withColumn("s", F.when(swap, F.col("line_b")).otherwise(F.col("line_a"))).withColumn("l", F.when(swap, F.col("line_a")).otherwise(F.col("line_b")))
+    pieces = 5 * (threshold + 1)
+    both = both.where((F.length("l") - F.length("s") <= threshold) & ((F.length("s") < pieces) | (pieces_left(F.col("s"), F.col("l"), pieces) >= pieces - threshold)))
+    # written twice, else conditions would move below the arrays, and each step would split its line anew
+    both = written(without_ends(both), "close").withColumn("short", characters(F.col("s"))).withColumn("long", characters(F.col("l")))
+    both = written(both.select("a", "b", "line_a", "line_b", "first_a", "first_b", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
+    later = F.struct("first_a", "a") > F.struct("first_b", "b")
+    near = both.where(F.col("edits") <= threshold).select(F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"))
+    return near.select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")).distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) -> DataFrame:
@@ -150,31 +170,18 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) ->
     (near true). So of lines alike the first stays, whatever its copies.
 
     Equal lines meet by one aggregate, so a line that stands in a third of all rows is one row per task; different lines meet
-    by their segments' hashes, sixteen bytes a key. Only lines of a candidate pair are read again.
+    by their segments' hashes. Of the lines of a key each is compared with the first one, so a group of lines alike costs a
+    comparison a line; only lines that stay then are compared with every earlier line of their keys.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     here = occurrences(docs, min_chars)
     id_ = F.xxhash64("line")
-    pairs = written(candidates(here, threshold), "pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    count = ids.count()
-    few = here.withColumn("id", id_).join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi")
-    # a hash that two lines share keeps both: pairs are of ids and lines
-    texts = written(few.groupBy("id", "line").agg(F.min("doc_id").alias("first")), "lines")
-    one, two = (texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-    swap = F.length("line_a") > F.length("line_b")
-    both = both.withColumn("s", F.when(swap, F.col("line_b")).otherwise(F.col("line_a"))).withColumn("l", F.when(swap, F.col("line_a")).otherwise(F.col("line_b")))
-    pieces = 5 * (threshold + 1)
-    both = both.where((F.length("l") - F.length("s") <= threshold) & ((F.length("s") < pieces) | (pieces_left(F.col("s"), F.col("l"), pieces) >= pieces - threshold)))
-    # written twice, else conditions would move below the arrays, and each step would split its line anew
-    both = written(without_ends(both), "close").withColumn("short", characters(F.col("s"))).withColumn("long", characters(F.col("l")))
-    both = written(both.select("a", "b", "line_a", "line_b", "first_a", "first_b", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
-    close = both.where(F.col("edits") <= threshold)
-    later = F.struct("first_a", "a") > F.struct("first_b", "b")
-    near = close.select(F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"))
+    rows = shared_keys(here, threshold)
+    stars = written(star_pairs(rows), "pairs")
+    near = written(near_lines(stars, here, threshold), "near")
+    rest = written(other_pairs(rows, near.select("id")).join(stars, ["a", "b"], "left_anti"), "pairs")
+    near = near.union(near_lines(rest, here, threshold)).distinct().withColumn("near", F.lit(True))
     second = F.xxhash64("line", F.lit("second"))
-    near = near.select(F.xxhash64("line").alias("id"), second.alias("id2")).distinct().withColumn("near", F.lit(True))
 
     # what is marked: near lines, and lines that stand more than once
     spots = here.select("doc_id", "place", id_.alias("id"), second.alias("id2"))
