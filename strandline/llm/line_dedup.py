@@ -120,7 +120,9 @@ def shared_keys(here: DataFrame, threshold: int) -> DataFrame:
     """
     lines = here.groupBy("line").agg(F.min("doc_id").alias("first")).select("line", F.xxhash64("line").alias("id"), "first")
     drawn = keys(lines, threshold).select("key", "id", "first", "own").repartition("key")
-    shared = drawn.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    # every column is asked for, so that this reads the same shuffle as the join below
+    shared = drawn.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("first").alias("f"), F.max("own").alias("o"))
+    shared = shared.where("low <> high and f is not null and o is not null").select("key")
     return written(drawn.join(shared, "key"), "keys")
 
 
