@@ -1,3 +1,4 @@
+import json
 import zlib
 from array import array
 
@@ -56,3 +57,19 @@ def test_pack(spark):
         assert at <= 1024
     assert len(by) <= 1.1 * sum(r["length"] for r in found) / 1024 + 3
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    with open(PATH, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    assert added
+    whole = Tokenizer.from_file(PATH)  # as the contract has it: special tokens' strings are not ordinary text
+    for token, i in added.items():
+        assert encoder(PATH)(f"a{token}b") == [*encoder(PATH)("a"), i, *encoder(PATH)("b")]
+        texts = [token, token * 3, f"some  {token}  words", f" {token}\n{token[:-1]} {token[1:]}", f"{token[:4]}{token}{token[4:]}", f"é{token}你" * 700]
+        for text in texts:
+            assert encoder(PATH)(text) == whole.encode(text, add_special_tokens=False).ids
+        got = {}
+        for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, with_ids=True).orderBy("doc_id", "start").collect():
+            got.setdefault(r["doc_id"], []).extend(r["ids"])
+        assert [got[k] for k in range(len(texts))] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
