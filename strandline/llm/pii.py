@@ -19,7 +19,7 @@ _TITLES = {
 #: Types and their patterns, in order of precedence at one place. No pattern has a group that captures.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![\w])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)",
+    "secret": r"(?<![\w])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){14,15}(?![\w-])",
@@ -62,10 +62,10 @@ def kind(entity: Column) -> Column:
 
 
 def canonical(kind_: Column, entity: Column) -> Column:
-    """What makes two mentions the same: letters in lower case for e-mail, digits for numbers, names without title's dot."""
+    """What makes two mentions the same: letters in lower case for e-mail and secrets, digits for numbers, names without title's dot."""
     digits = F.regexp_replace(entity, r"\D", "")
     return (
-        F.when(kind_ == "email", F.lower(entity))
+        F.when(kind_.isin("email", "secret"), F.lower(entity))
         .when(kind_.isin("card", "phone", "national"), digits)
         .when(kind_ == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind_ == "person", F.regexp_replace(entity, r"\. ", " "))
@@ -109,7 +109,7 @@ def surrogate(kind_: Column, canon: Column, attempts: Column, key: str) -> Colum
     """The canonical form that stands for a canonical entity: same type, length and country or network digits, same script and gender.
 
     Cards keep their first digit and Luhn's sum; addresses stay addresses; e-mail has a letter for a letter and a
-    domain under example.com, the same for the same domain; further attempts at a name add initials, so names never run out.
+    domain under example.com, the same for the same domain; each further attempt at a name adds two more initials, so names never run out.
     """
     made = F.sha2(F.concat_ws("|", F.lit(key), kind_, canon, attempts.cast("string")), 256)
     return let(made, lambda digest: _surrogate(kind_, canon, attempts, digest, key))
@@ -124,7 +124,8 @@ def _surrogate(kind_: Column, canon: Column, attempts: Column, digest: Column, k
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     title = F.substring_index(canon, " ", 1)
     gender = F.when(title.isin(*_TITLES["f"]), "f").otherwise("m")
-    initials = F.when(attempts > 5, F.concat(F.lit(" "), F.upper(F.translate(F.substring(digest, 20, 2), "0123456789", "ghijklmnop")), F.lit("."))).otherwise("")
+    letters = F.upper(F.translate(F.substring(digest, F.lit(20), 2 * (attempts - 5)), "0123456789", "ghijklmnop"))
+    initials = F.when(attempts > 5, F.regexp_replace(letters, "(..)", " $1.")).otherwise("")
     name = F
     for s in GIVEN:
         for g in "fm":
@@ -157,7 +158,7 @@ def _hex_like(canon: Column, digest: Column) -> Column:
 
 
 def formatted(kind_: Column, entity: Column, canon: Column, put: Column) -> Column:
-    """The surrogate put in the mention's own format: its separators, or its title's dot."""
+    """The surrogate put in the mention's own format: its separators, its title's dot, or a secret's letters' case."""
     spread = F.aggregate(
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
@@ -165,7 +166,10 @@ def formatted(kind_: Column, entity: Column, canon: Column, put: Column) -> Colu
         lambda a: a["out"],
     )
     dotted = F.when(entity.rlike(r"^\S+\. "), F.regexp_replace(put, r"^(\S+) ", "$1. ")).otherwise(put)
-    return F.when(kind_.isin("card", "phone", "national", "iban"), spread).when(kind_ == "person", dotted).otherwise(put)
+    # where lower and upper case are mixed, each letter takes the case that the entity has at its place
+    mixed = F.array_join(F.transform(F.split(entity, ""), lambda c, i: let(F.substring(put, i + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
+    cased = F.when(entity == F.lower(entity), put).when(entity == F.upper(entity), F.upper(put)).otherwise(mixed)
+    return F.when(kind_.isin("card", "phone", "national", "iban"), spread).when(kind_ == "person", dotted).when(kind_ == "secret", cased).otherwise(put)
 
 
 def entities(docs: DataFrame) -> DataFrame:

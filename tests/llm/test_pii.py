@@ -59,3 +59,26 @@ def test_collisions_are_resolved(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pseudonymised(df, "k").count() == 0 and entities(df).where(F.col("kind").isNull()).count() == 0
+
+
+def test_secrets_in_either_case(spark):
+    secret = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [f"TOKEN = \"{x}\"" for x in (secret, secret.lower(), secret[:20].lower() + secret[20:], "AB12" + secret[4:32])] + ["ABCDEF0123 is too short"]
+    out = pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k")
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[i]["__p_n"] for i in range(5)] == [1, 1, 1, 1, 0] and got[3]["__p_kinds"] == ["secret"]
+    upper, lower, mixed = (re.fullmatch(r'TOKEN = "([0-9a-fA-F]{40})"', got[i]["text"])[1] for i in range(3))
+    assert upper == lower.upper() != secret and lower == upper.lower() == mixed.lower()
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{32}"', got[3]["text"]) and secret[4:32] not in got[3]["text"]
+
+
+def test_names_of_one_title_do_not_run_out(spark):
+    def names(title, first, alphabet, n):
+        word = lambda k: "".join(alphabet[k // len(alphabet) ** p % len(alphabet)] for p in range(6))
+        return [f"{title} {first}{word(k)}" for k in range(n)]
+
+    all_ = names("Mr", "Q", "abcdefgh", 10_000) + names("г-н", "Ш", "абвгдежз", 3_000)
+    docs = spark.createDataFrame([(i, f"{n} came") for i, n in enumerate(all_)], "doc_id long, text string")
+    out = [r["text"] for r in pseudonymised(docs, "k").collect()]
+    assert len(set(out)) == len(all_) and not set(out) & {f"{n} came" for n in all_}
+    assert sum(x.startswith("Mr ") for x in out) == 10_000
