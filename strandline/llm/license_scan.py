@@ -19,7 +19,8 @@ _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature over words in lower case with one space between them: pattern is tried only where keyword stands in the text.
+    """A signature over words in lower case with one space between them: pattern is tried only where keyword stands in the text,
+    so whatever pattern matches has to hold keyword.
 
     weight, 0 to 1: how sure a match is. Larger priority wins.
     """
@@ -31,7 +32,7 @@ class Rule:
     weight: float
 
 
-#: Families: label's stem, keyword, names as patterns, versions as words with their label suffixes.
+#: Families: label's stem, keyword (a name without it is its own), names as patterns, versions as words with their label suffixes.
 _FAMILIES = (
     ("apache", "apache", ("apache", "apache software foundation"), {"1 0": "1.0", "1 1": "1.1", "2 0": "2.0", "2": "2.0"}),
     ("gpl", "gpl", ("gpl", "gnu gpl"), {"1": "1.0", "2": "2.0", "2 0": "2.0", "3": "3.0", "3 0": "3.0"}),
@@ -84,7 +85,7 @@ _SINGLE = (
     ("public-domain", "public domain", r"(?:released into|placed in|dedicated to|is in) the public domain", 50, 0.8),
     ("public-domain-mark", "public domain mark", r"public domain mark(?: 1 0)?", 60, 0.9),
     ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary", 50, 0.8),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: \S+){0,6} (?:strictly )?prohibited", 50, 0.8),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: \S+){0,6} (?:strictly )?prohibited", 50, 0.8),
     ("proprietary", "permission", r"may not be (?:reproduced|copied|redistributed)(?: \S+){0,8} without(?: \S+){0,4} permission", 45, 0.7),
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)*", 30, 0.5),
     ("copyright", "copyright", r"(?:19|20)\d\d(?: \S+){0,5} copyright|copyright(?: \S+){1,5} (?:19|20)\d\d", 25, 0.4),
@@ -96,8 +97,9 @@ def rules() -> tuple[Rule, ...]:
     """Some hundreds of rules, in order: families times the ways of naming them, Creative Commons, and single signatures."""
     out = []
     licence = r"(?: (?:public )?licen[sc]e)?"
-    for stem, keyword, names, versions in _FAMILIES:
+    for stem, shared, names, versions in _FAMILIES:
         for name in names:
+            keyword = shared if shared in name else name
             lead = r"(?:(?:is |are )?(?:licensed|distributed|released|available|provided|covered) under (?:the )?(?:terms of (?:the )?)?)"
             own = "" if name.endswith(("license", "licence")) else licence
             for version, suffix in versions.items():

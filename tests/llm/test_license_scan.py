@@ -41,3 +41,43 @@ def test_containment_and_priority():
     assert resolve([(0, 5, b), (2, 3, c)]) == [(0, 5, b)]
     assert resolve([(0, 3, b), (3, 6, a)]) == [(0, 3, b)]
     assert resolve([(0, 2, b), (3, 6, a)]) == [(0, 2, b), (3, 6, a)]
+
+
+def strings(parsed):
+    """Strings that a parsed pattern matches: all branches, repeats at their least number and one more, one character a class."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            some = [{"CATEGORY_DIGIT": "0", "CATEGORY_NOT_SPACE": "x"}[str(x)] if str(kind) == "CATEGORY" else chr(x) for kind, x in arg]
+        elif op == "BRANCH":
+            some = [x for branch in arg[1] for x in strings(branch)]
+        elif op == "SUBPATTERN":
+            some = strings(arg[-1])
+        else:
+            assert op == "MAX_REPEAT", op
+            least, most, sub = arg
+            once = strings(sub)
+            some = [""]
+            for _ in range(least):
+                some = [a + b for a in some for b in once]
+            some += [a + b for a in some for b in once] if most > least else []
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_what_a_rule_matches_holds_its_keyword():
+    lost = set()
+    for rule in rules():
+        found = strings(re._parser.parse(rule.pattern))
+        assert found and all(re.fullmatch(rule.pattern, x) for x in found[:: len(found) // 50 + 1])
+        lost |= {(rule.keyword, rule.pattern) for x in found if rule.keyword not in x}
+    assert not lost
+
+
+def test_names_without_the_familys_keyword():
+    assert labels("Released under the Expat License") == ["mit"]
+    assert labels("Internet Systems Consortium license") == ["isc"]
+    assert labels("Unauthorised copying is strictly prohibited") == labels("Unauthorized copying is strictly prohibited") == ["proprietary"]
