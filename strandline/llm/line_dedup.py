@@ -106,10 +106,10 @@ def characters(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, place and line (without spaces at its ends) of each line of docs that has min_chars characters or more."""
+def occurrences(docs: DataFrame, min_chars: int, near_chars: int) -> DataFrame:
+    """doc_id, place and line (without spaces at its ends) of each line of docs that has min_chars characters or more, and a word or near_chars."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("place", "line"))
-    return lines.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
+    return lines.withColumn("line", F.trim("line")).where((F.length("line") >= min_chars) & ((F.length("line") >= near_chars) | (F.trim("line", F.lit(SPACES)) != "")))
 
 
 def shared_keys(here: DataFrame, threshold: int) -> DataFrame:
@@ -159,14 +159,15 @@ def near_lines(pairs: DataFrame, here: DataFrame, threshold: int) -> DataFrame:
     both = written(both.select("a", "b", "line_a", "line_b", "first_a", "first_b", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
     later = F.struct("first_a", "a") > F.struct("first_b", "b")
     near = both.where(F.col("edits") <= threshold).select(F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"))
-    return near.select(F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")).distinct()
+    return near.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("id2")).distinct()
 
 
-def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 1, near_chars: int = 24) -> DataFrame:
     """Lines to remove: doc_id, place (from 0), near (boolean), one row each.
 
     docs: doc_id (long, not null: other rows have no removals) and text; others are dropped. Lines split at line feeds and
-    compared without spaces at their ends; those under min_chars characters always stay. A line goes if the same line stands
+    compared without spaces at their ends; those under min_chars characters, and those without words
+    under near_chars, always stay; lines under near_chars go for equal lines only. A line goes if the same line stands
     in a document with a smaller doc_id or earlier in its own (near false), or if all its copies are within threshold edits of
     a different line that first stands in a document with a smaller doc_id, or in the same one and is smaller by its hash
     (near true). So of lines alike the first stays, whatever its copies.
@@ -176,14 +177,15 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24) ->
     comparison a line; only lines that stay then are compared with every earlier line of their keys.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    here = occurrences(docs, min_chars)
+    here = occurrences(docs, min_chars, near_chars)
+    long_ = here.where(F.length("line") >= near_chars)
     id_ = F.xxhash64("line")
-    rows = shared_keys(here, threshold)
+    rows = shared_keys(long_, threshold)
     stars = written(star_pairs(rows), "pairs")
-    near = written(near_lines(stars, here, threshold), "near")
+    near = written(near_lines(stars, long_, threshold), "near")
     rest = written(other_pairs(rows, near.select("id")).join(stars, ["a", "b"], "left_anti"), "pairs")
-    near = near.union(near_lines(rest, here, threshold)).distinct().withColumn("near", F.lit(True))
-    second = F.xxhash64("line", F.lit("second"))
+    near = near.union(near_lines(rest, long_, threshold)).distinct().withColumn("near", F.lit(True))
+    second = F.xxhash64(F.lit("second"), "line")
 
     # what is marked: near lines, and lines that stand more than once
     spots = here.select("doc_id", "place", id_.alias("id"), second.alias("id2"))

@@ -111,3 +111,9 @@ def test_without_lines(spark):
 
 def test_empty(spark):
     assert repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_go_for_equal_lines_only(spark):
+    docs = spark.createDataFrame([(1, "Les.\n\n}\nall rights reserved\n\t"), (2, " Les. \n\nLes!\nall rights reserved\n\t"), (3, "Les.\nown\nLes.\n}")], "doc_id long, text string")
+    removed = repeated_lines(docs).collect()
+    assert sorted(tuple(r) for r in removed) == [(2, 0, False), (2, 3, False), (3, 0, False), (3, 2, False), (3, 3, False)]
