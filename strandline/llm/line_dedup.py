@@ -7,13 +7,15 @@ bit-parallel edit distance.
 
 from __future__ import annotations
 
+from itertools import accumulate, combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, Scratch, written
 
-#: Ids that may be broadcast (16 bytes each in memory).
-BROADCAST_IDS = 1_000_000
+#: Ids that may be broadcast (16 bytes each in memory), lines of a block, and candidates that a row gives a line at first.
+BROADCAST_IDS, BLOCK, CANDIDATES = 1_000_000, 256, 16
 
 
 def keys(lines: DataFrame, threshold: int) -> DataFrame:
@@ -39,10 +41,50 @@ def keys(lines: DataFrame, threshold: int) -> DataFrame:
     return rows.select(*lines.columns, "own", "key")
 
 
-def pieces_left(short: Column, long_: Column, pieces: int) -> Column:
-    """How many of short's pieces, cut evenly, stand somewhere in long: each edit spoils one at most."""
-    base = F.call_function("div", F.length(short), F.lit(pieces)).cast("int")
-    return sum((F.contains(long_, F.substring(short, base * k + 1, base)).cast("int") for k in range(1, pieces)), F.contains(long_, F.substring(short, F.lit(1), base)).cast("int"))
+def finer_keys(lines: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """lines (column line and others) with own and key, as keys gives them, but of all segments but threshold of parts ones.
+
+    A line within threshold edits differs from another inside at most threshold segments. Each choice of the segments left out
+    gives keys: their edits move what stands after them by -1, 0 or 1 each, and by the difference of the lengths in all. So
+    lines that share a key differ inside the segments left out only. What remains is threshold + 1 runs of segments, hashed
+    as they are.
+    """
+    runs, places = range(threshold + 1), set()
+    for out in combinations(range(1, parts + 1), threshold):
+        bounds = (0, *out, parts + 1)
+        empty = [bounds[k] + 1 == bounds[k + 1] for k in runs]
+        places.add((0, out, (0,) * (threshold + 1), True))
+        for moves in product((-1, 0, 1), repeat=threshold):
+            shifts = (0, *accumulate(moves))
+            if shifts[-1] >= 0:
+                places.add((shifts[-1], out, tuple(0 if e else x for e, x in zip(empty, shifts, strict=True)), False))
+    made = ", ".join(
+        f"struct({d} as k_d, {str(own).lower()} as own, " + ", ".join([*(f"{e} as k_e{k}" for k, e in enumerate(out)), *(f"{x} as k_s{k}" for k, x in enumerate(shifts))]) + ")" for d, out, shifts, own in sorted(places)
+    )
+    rows = lines.withColumn("k_n", F.length("line")).selectExpr("*", f"inline(array({made}))").where("k_n >= k_d").withColumn("k_m", F.expr("k_n - k_d"))
+    before = lambda e: f"(k_m div {parts} * ({e}) + greatest(0, {e} - {parts} + pmod(k_m, {parts})))"  # noqa: E731  characters of the first e segments
+    ends = ["0", *(f"k_e{k}" for k in range(threshold))]
+    starts = [f"cast({before(e)} + k_s{k} as int)" for k, e in enumerate(ends)]
+    stops = [f"cast({before(f'(k_e{k} - 1)') if k < threshold else 'k_m'} + k_s{k} as int)" for k in runs]
+    rows = rows.where(" and ".join(f"{a} >= 0 and {b} <= k_n" for a, b in zip(starts, stops, strict=True)))
+    texts = ", ".join(f"substring(line, {a} + 1, {b} - {a})" for a, b in zip(starts, stops, strict=True))
+    names = ", ".join(f"k_e{k}" for k in range(threshold))
+    return rows.withColumn("key", F.expr(f"xxhash64(k_m, {names}, {texts})")).select(*lines.columns, "own", "key")
+
+
+def sketch(line: Column) -> Column:
+    """64 bits, each the parity of the pairs of neighbouring characters that hash to it.
+
+    An edit takes away two pairs at most and makes two at most, so lines within k edits differ in at most 4 * k bits.
+    """
+    bit = lambda a, b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int"))
+    bits = F.transform(F.array(characters(line)), lambda c: F.aggregate(F.zip_with(c, F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1))), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+    return F.element_at(bits, 1)
+
+
+def may_be_near(n: Column, sketch_: Column, other_n: Column, other_sketch: Column, threshold: int) -> Column:
+    """Whether lines of these lengths and sketches may be within threshold edits; most others are told from them by their sketches."""
+    return (F.bit_count(sketch_.bitwiseXOR(other_sketch)) <= 4 * threshold) & (F.abs(n - other_n) <= threshold)
 
 
 def without_ends(pairs: DataFrame, steps: int = 6) -> DataFrame:
@@ -112,91 +154,167 @@ def occurrences(docs: DataFrame, min_chars: int, near_chars: int) -> DataFrame:
     return lines.withColumn("line", F.trim("line")).where((F.length("line") >= min_chars) & ((F.length("line") >= near_chars) | (F.trim("line", F.lit(SPACES)) != "")))
 
 
-def shared_keys(here: DataFrame, threshold: int) -> DataFrame:
-    """key, id, first, own of the lines of here (doc_id, line) that share a segment's key with another line.
-
-    id is the line's hash, first its smallest doc_id. Lines and keys are each shuffled once; most keys are of one line and go at
-    once, so what is written is small.
-    """
-    lines = here.groupBy("line").agg(F.min("doc_id").alias("first")).select("line", F.xxhash64("line").alias("id"), "first")
-    drawn = keys(lines, threshold).select("key", "id", "first", "own").repartition("key")
+def shared_keys(drawn: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of drawn (key, id, first, own) whose key another line has too. Most keys are of one line and go at once."""
+    drawn = drawn.repartition("key")
     # every column is asked for, so that this reads the same shuffle as the join below
     shared = drawn.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("first").alias("f"), F.max("own").alias("o"))
     shared = shared.where("low <> high and f is not null and o is not null").select("key")
-    return written(drawn.join(shared, "key"), "keys")
+    return scratch.written(drawn.join(shared, "key"), "keys")
+
+
+def texts_of(ids: DataFrame, here: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, line, first, n, sketch of the lines of here (doc_id, line) that ids (id) name; a hash that two lines share keeps both."""
+    ids = scratch.written(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    found = here.withColumn("id", F.xxhash64("line")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    lines = found.groupBy("id", "line").agg(F.min("doc_id").alias("first"))
+    return scratch.written(lines.select("id", "line", "first", F.length("line").alias("n"), sketch(F.col("line")).alias("sketch")), "lines")
+
 
+def star_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """id, a, b: of members (key, id, first, own, n, sketch), for each key's owners the first line that probes it, for its probes the
+    first owner, where that is earlier and may be near; id is the later of a and b."""
+    order = F.struct("first", "id", "n", "sketch")
+    pivots = members.groupBy("key").agg(F.min(F.when(F.col("own"), order)).alias("owner"), F.min(F.when(~F.col("own"), order)).alias("probe"))
+    met = members.join(pivots, "key").withColumn("pivot", F.when(F.col("own"), F.col("probe")).otherwise(F.col("owner")))
+    met = met.where(F.struct("pivot.first", "pivot.id") < F.struct("first", "id")).where("pivot.id <> id")
+    met = met.where(may_be_near(F.col("n"), F.col("sketch"), F.col("pivot.n"), F.col("pivot.sketch"), threshold))
+    return met.select("id", F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): for each key's owners the first line that probes it, for its probes the first owner, where that is earlier."""
+
+def key_sizes(members: DataFrame) -> DataFrame:
+    """key, n_open (lines that are open), n_all: of the keys where an open line comes after another line."""
     order = F.struct("first", "id")
-    pivots = rows.groupBy("key").agg(F.min(F.when(F.col("own"), order)).alias("owner"), F.min(F.when(~F.col("own"), order)).alias("probe"))
-    met = rows.join(pivots, "key").withColumn("pivot", F.when(F.col("own"), F.col("probe")).otherwise(F.col("owner")))
-    return met.where(F.col("pivot") < order).where("pivot.id <> id").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+    sizes = members.groupBy("key").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("n_all"), F.min(order).alias("least"), F.max(F.when(F.col("open"), order)).alias("last"))
+    return sizes.where("last > least").select("key", "n_open", "n_all")
 
 
-def other_pairs(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    """(a, b): the lines of rows that are not in decided (id), each with every earlier line that it shares a key with."""
-    open_ = rows.join(decided, "id", "left_anti").select("key", F.col("id").alias("o_id"), F.col("first").alias("o_first"), F.col("own").alias("o_own"))
-    met = open_.join(rows, "key").where("own <> o_own and id <> o_id").where(F.struct("first", "id") < F.struct("o_first", "o_id"))
-    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+def block_candidates(members: DataFrame, sizes: DataFrame, threshold: int, most: int | None) -> DataFrame:
+    """id, near_to (array of bits, id), more: for the open lines of sizes' keys the earlier lines of a key that may be near, by sketch.
 
+    A key's lines are dealt to blocks of some BLOCK, and a row holds two blocks, so rows grow with lines and blocks, not with
+    pairs. Of the candidates that one row finds for a line, those with the most alike sketches are given, at most most of
+    them; more says that there are others.
+    """
+    here = members.join(sizes, "key")
+    line = F.struct("id", "first", "own", "n", "sketch")
 
-def near_lines(pairs: DataFrame, here: DataFrame, threshold: int) -> DataFrame:
-    """id, id2 (two hashes) of the later line of each of pairs (a, b) that are within threshold edits. Texts of those pairs only are read."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    found = here.withColumn("id", F.xxhash64("line")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    # a hash that two lines share keeps both: pairs are of ids and lines
-    texts = written(found.groupBy("id", "line").agg(F.min("doc_id").alias("first")), "lines")
+    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(name), "id"), F.ceil(F.col(n) / BLOCK))
+        return rows.groupBy("key", block.alias(name)).agg(F.collect_list(line).alias(name + "s"))
+
+    cells = blocks(here.where("open"), "n_open", "left").join(blocks(here, "n_all", "right"), "key")
+
+    def candidates(x: Column) -> Column:
+        earlier = lambda y: (F.struct(y["first"], y["id"]) < F.struct(x["first"], x["id"])) & (y["own"] != x["own"]) & (y["id"] != x["id"])
+        found = F.filter("rights", lambda y: may_be_near(x["n"], x["sketch"], y["n"], y["sketch"], threshold) & earlier(y))
+        sorted_ = F.array_sort(F.array_distinct(F.transform(found, lambda y: F.struct(F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])).alias("bits"), y["id"].alias("id")))))
+        if most is None:
+            return F.struct(x["id"].alias("id"), sorted_.alias("near_to"), F.lit(False).alias("more"))
+        return F.element_at(F.transform(F.array(sorted_), lambda all_: F.struct(x["id"].alias("id"), F.slice(all_, 1, most).alias("near_to"), (F.size(all_) > most).alias("more"))), 1)
+
+    return cells.select(F.inline(F.filter(F.transform("lefts", candidates), lambda c: F.size(c["near_to"]) > 0)))
+
+
+def near_lines(pairs: DataFrame, texts: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """id, id2 (two hashes) of the later line of each of pairs (a, b) that are within threshold edits."""
     one, two = (texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
     both = pairs.join(one, "a").join(two, "b")
     swap = F.length("line_a") > F.length("line_b")
-    both = both.withColumn("s", F.when(swap, F.col("line_b")).otherwise(F.col("line_a"))).withColumn("l", F.when(swap, F.col("line_a")).otherwise(F.col("line_b")))
-    pieces = 5 * (threshold + 1)
-    both = both.where((F.length("l") - F.length("s") <= threshold) & ((F.length("s") < pieces) | (pieces_left(F.col("s"), F.col("l"), pieces) >= pieces - threshold)))
-    # written twice, else conditions would move below the arrays, and each step would split its line anew
-    both = written(without_ends(both), "close").withColumn("short", characters(F.col("s"))).withColumn("long", characters(F.col("l")))
-    both = written(both.select("a", "b", "line_a", "line_b", "first_a", "first_b", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
     later = F.struct("first_a", "a") > F.struct("first_b", "b")
-    near = both.where(F.col("edits") <= threshold).select(F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"))
-    return near.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("id2")).distinct()
+    id2 = lambda line: F.xxhash64(F.lit("second"), line)
+    both = both.select(
+        F.when(swap, F.col("line_b")).otherwise(F.col("line_a")).alias("s"),
+        F.when(swap, F.col("line_a")).otherwise(F.col("line_b")).alias("l"),
+        F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"),
+        F.when(later, id2("line_a")).otherwise(id2("line_b")).alias("id2"),
+    ).where(F.length("l") - F.length("s") <= threshold)
+    # written twice, else conditions would move below the arrays, and each step would split its line anew
+    both = scratch.written(without_ends(both), "close").withColumn("short", characters(F.col("s"))).withColumn("long", characters(F.col("l")))
+    both = scratch.written(both.select("id", "id2", banded_distance(F.col("short"), F.col("long"), threshold).alias("edits")), "edits")
+    return both.where(F.col("edits") <= threshold).select("id", "id2").distinct()
+
 
+def near_by_keys(rows: DataFrame, texts: DataFrame, near: DataFrame | None, threshold: int, most_open: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(near, hot): id, id2 of the lines known to be near an earlier line, those of near and those found by the keys of rows
+    (key, id, first, own); and the ids of all lines of keys with more than most_open lines that stay, for which finer keys have to be drawn.
 
-def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 1, near_chars: int = 24) -> DataFrame:
+    Lines are compared with their key's first line, then lines that are still open with every earlier line of their keys.
+    """
+    members = scratch.written(rows.join(texts.select("id", "n", "sketch"), "id"), "members")
+    if near is None:
+        near = scratch.written(members.select("id", F.col("id").alias("id2")).limit(0), "near")
+    stars = star_pairs(members, threshold).join(near.select("id").distinct(), "id", "left_anti").select("a", "b")
+    near = scratch.written(near.union(near_lines(stars, texts, threshold, scratch)).distinct(), "near")
+    gone = near.select("id", F.lit(False).alias("is_open"))
+    state = members.join(gone, "id", "left").withColumn("open", F.coalesce("is_open", F.lit(True))).drop("is_open")
+    sizes = scratch.written(key_sizes(state), "sizes")
+    hot = None
+    if most_open is not None:
+        large = sizes.where(F.col("n_open") > most_open).select("key")
+        hot = scratch.written(members.join(large, "key", "left_semi").select("id").distinct(), "hot")
+        sizes = sizes.where(F.col("n_open") <= most_open)
+    found = scratch.written(block_candidates(state, sizes, threshold, CANDIDATES), "candidates")
+    for take in (F.slice("near_to", 1, 1), F.slice("near_to", 2, CANDIDATES)):
+        pairs = found.join(near.select("id").distinct(), "id", "left_anti").select("id", F.explode(take).alias("other")).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
+        near = scratch.written(near.union(near_lines(pairs.distinct(), texts, threshold, scratch)).distinct(), "near")
+    rest = found.where("more").select("id").distinct().join(near.select("id").distinct(), "id", "left_anti")
+    rest = scratch.written(rest, "rest")
+    if not rest.isEmpty():  # lines with many candidates, none of the most alike ones near: all of them
+        state = members.join(rest.withColumn("is_open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("is_open", F.lit(False))).drop("is_open")
+        pairs = block_candidates(state, key_sizes(state), threshold, None).select("id", F.explode("near_to").alias("other")).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
+        near = scratch.written(near.union(near_lines(pairs.distinct(), texts, threshold, scratch)).distinct(), "near")
+    return near, hot
+
+
+def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 1, near_chars: int = 24, finer: tuple[int, ...] = (6, 12), most_open: int = 1000) -> DataFrame:
     """Lines to remove: doc_id, place (from 0), near (boolean), one row each.
 
     docs: doc_id (long, not null: other rows have no removals) and text; others are dropped. Lines split at line feeds and
     compared without spaces at their ends; those under min_chars characters, and those without words
-    under near_chars, always stay; lines under near_chars go for equal lines only. A line goes if the same line stands
+    under near_chars, always stay; lines under near_chars (threshold + 1 at least) go for equal lines only. A line goes if the same line stands
     in a document with a smaller doc_id or earlier in its own (near false), or if all its copies are within threshold edits of
     a different line that first stands in a document with a smaller doc_id, or in the same one and is smaller by its hash
-    (near true). So of lines alike the first stays, whatever its copies.
+    (near true). So of lines alike the first stays, whatever its copies. Repeated rows count as one document.
 
     Equal lines meet by one aggregate, so a line that stands in a third of all rows is one row per task; different lines meet
     by their segments' hashes. Of the lines of a key each is compared with the first one, so a group of lines alike costs a
-    comparison a line; only lines that stay then are compared with every earlier line of their keys.
+    comparison a line; only lines that stay are then compared with the earlier lines of their keys, by sketches, in blocks.
+    Where more than most_open lines of a key stay, they share a passage without being alike: their lines are cut into more
+    segments (finer), and meet only where all segments but threshold agree. What is still large at the finest is compared by
+    blocks as it is. No comparison is left out.
     """
+    if near_chars <= threshold:
+        raise ValueError("near_chars must be above threshold")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     here = occurrences(docs, min_chars, near_chars)
     long_ = here.where(F.length("line") >= near_chars)
     id_ = F.xxhash64("line")
-    rows = shared_keys(long_, threshold)
-    stars = written(star_pairs(rows), "pairs")
-    near = written(near_lines(stars, long_, threshold), "near")
-    rest = written(other_pairs(rows, near.select("id")).join(stars, ["a", "b"], "left_anti"), "pairs")
-    near = near.union(near_lines(rest, long_, threshold)).distinct().withColumn("near", F.lit(True))
-    second = F.xxhash64(F.lit("second"), "line")
-
-    # what is marked: near lines, and lines that stand more than once
-    spots = here.select("doc_id", "place", id_.alias("id"), second.alias("id2"))
-    twice = spots.groupBy("id", "id2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = near.select("id", "id2", F.lit(None).cast("long").alias("first"), "near").union(twice.select("id", "id2", "first", F.lit(False)))
-    marked = written(marked.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near")), "marked")
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        lines = long_.groupBy("line").agg(F.min("doc_id").alias("first")).select("line", F.xxhash64("line").alias("id"), "first")
+        rows = shared_keys(keys(lines, threshold).select("key", "id", "first", "own"), scratch)
+        texts = texts_of(rows.select("id").distinct(), long_, scratch)
+        near, hot = near_by_keys(rows, texts, None, threshold, most_open if finer else None, scratch)
+        for k, parts in enumerate(finer):
+            if hot.isEmpty():
+                break
+            again = texts.join(hot, "id", "left_semi")
+            rows = shared_keys(finer_keys(again.select("line", "id", "first"), threshold, parts).select("key", "id", "first", "own"), scratch)
+            near, hot = near_by_keys(rows, again, near, threshold, most_open if k + 1 < len(finer) else None, scratch)
+        near = near.withColumn("near", F.lit(True))
+        second = F.xxhash64(F.lit("second"), "line")
+
+        # what is marked: near lines, and lines that stand more than once
+        spots = here.select("doc_id", "place", id_.alias("id"), second.alias("id2"))
+        twice = spots.groupBy("id", "id2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        marked = near.select("id", "id2", F.lit(None).cast("long").alias("first"), "near").union(twice.select("id", "id2", "first", F.lit(False)))
+        marked = written(marked.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near")), "marked")
     hit = spots.join(marked, ["id", "id2"])
     # in the first document the first place stays; its other places of that line go
     kept_at = hit.where("not near and doc_id = first").groupBy("id", "id2", "doc_id").agg(F.min("place").alias("kept"))
     hit = hit.join(kept_at, ["id", "id2", "doc_id"], "left")
-    return hit.where("near or kept is null or place > kept").select("doc_id", "place", "near")
+    return hit.where("near or kept is null or place > kept").select("doc_id", "place", "near").distinct()
 
 
 def removal_lists(removed: DataFrame) -> DataFrame:
@@ -213,5 +331,6 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     joined = docs.join(lists, docs["doc_id"] == F.col("__l_id"), "left")
     kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("__l_places", i))
     text = F.when(F.col("__l_places").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("__l_text", text).where(F.col("__l_places").isNull() | (F.trim("__l_text", F.lit(SPACES)) != ""))
+    wordless = lambda x: F.trim(F.coalesce(x, F.lit("")), F.lit(SPACES)) == ""
+    joined = joined.withColumn("__l_text", text).where(F.col("__l_places").isNull() | ~wordless(F.col("__l_text")) | wordless(docs["text"]))
     return joined.select(*(F.col("__l_text").alias(c) if c == "text" else docs[c] for c in docs.columns))

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.llm.line_dedup import banded_distance, keys, pieces_left, repeated_lines, without_ends, without_lines
+from strandline.llm.common import Scratch
+from strandline.llm.line_dedup import banded_distance, block_candidates, finer_keys, key_sizes, keys, may_be_near, repeated_lines, shared_keys, sketch, star_pairs, texts_of, without_ends, without_lines
 
 
 def edit(a, b):
@@ -48,16 +49,37 @@ def test_distance(spark):
             assert r["d"] == min(edit(r["a"], r["b"]), k + 1), (k, r)
 
 
+def shared(spark, make, rows, drop=frozenset()):
+    df = spark.createDataFrame([(i, x, side) for i, r in enumerate(rows) for x, side in zip(r, "ab", strict=True)], "i int, line string, side string")
+    own, probed = {}, {}
+    for r in make(df).collect():
+        assert set(r.asDict()) == {"i", "line", "side", "own", "key"}
+        if r["own"] == (r["side"] == "a"):
+            (own if r["own"] else probed).setdefault(r["i"], set()).add(r["key"])
+    return [bool(own.get(i, set()) & probed.get(i, set())) for i in range(len(rows))]
+
+
 def test_lines_within_the_threshold_share_a_key(spark):
     for k in (1, 2, 3):
         rows = [(a, b) for a, b in pairs(400, 60) if len(a) >= k + 1 and edit(a, b) <= k]
-        df = spark.createDataFrame([(i, x, side) for i, r in enumerate(rows) for x, side in zip(r, "ab", strict=True)], "i int, line string, side string")
-        own, probed = {}, {}
-        for r in keys(df, k).collect():
-            assert set(r.asDict()) == {"i", "line", "side", "own", "key"}
-            if r["own"] == (r["side"] == "a"):
-                (own if r["own"] else probed).setdefault(r["i"], set()).add(r["key"])
-        assert all(own[i] & probed[i] for i in range(len(rows)))
+        assert all(shared(spark, lambda df: keys(df, k), rows))  # noqa: B023
+
+
+def test_lines_within_the_threshold_share_a_finer_key(spark):
+    for k, parts in ((1, 4), (2, 6), (2, 12), (3, 5)):
+        rows = [(a, b) for a, b in pairs(300, 60) if len(a) >= k + 1 and edit(a, b) <= k]
+        assert len(rows) > 60 and all(shared(spark, lambda df: finer_keys(df, k, parts), rows))  # noqa: B023
+    passage = "the same forty characters stand in all of them "
+    rng = random.Random(3)
+    far = [tuple("".join(rng.choices("abcdefgh", k=40)) + passage + "".join(rng.choices("abcdefgh", k=40)) for _ in "ab") for _ in range(20)]
+    assert all(shared(spark, lambda df: keys(df, 2), far)) and not any(shared(spark, lambda df: finer_keys(df, 2, 6), far))
+
+
+def test_sketches_lose_nothing(spark):
+    rows = [(a, b) for a, b in pairs(600, 60) if edit(a, b) <= 2]
+    df = spark.createDataFrame(rows, "a string, b string")
+    kept = df.where(may_be_near(F.length("a"), sketch(F.col("a")), F.length("b"), sketch(F.col("b")), 2))
+    assert len(rows) > 100 and kept.count() == len(rows)
 
 
 def test_ends_do_not_change_the_distance(spark):
@@ -68,12 +90,6 @@ def test_ends_do_not_change_the_distance(spark):
     assert sum(len(r["s"]) for r in found) < 0.7 * sum(len(r["a"]) for r in found)
 
 
-def test_pieces_filter_loses_nothing(spark):
-    rows = [(a, b) for a, b in pairs(500, 60) if len(a) >= 15 and edit(a, b) <= 2]
-    df = spark.createDataFrame(rows, "a string, b string")
-    assert len(rows) > 50 and df.where(pieces_left(F.col("a"), F.col("b"), 15) < 13).count() == 0
-
-
 def brute(docs, threshold, min_chars):
     from pyspark.sql import SparkSession
 
@@ -99,8 +115,47 @@ def test_brute_force(spark):
         docs.append((100 - i, "\n".join(own + rng.choice([[], ["  short "], [base[0], base[0] + " "]]))))
     docs += [(200, None), (201, ""), (None, base[0]), (202, base[1] + "\n" + "z" * 50_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    removed = repeated_lines(df, threshold=2, min_chars=24)
-    assert sorted(tuple(r) for r in removed.collect()) == brute(docs, 2, 24)
+    expected = brute(docs, 2, 24)
+    for options in ({}, {"most_open": 1}, {"most_open": 1, "finer": (4, 8)}, {"finer": ()}):
+        removed = repeated_lines(df, threshold=2, min_chars=24, **options)
+        assert sorted(tuple(r) for r in removed.collect()) == expected, options
+
+
+def test_dense_group_against_brute_force(spark, monkeypatch):
+    from strandline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "CANDIDATES", 2)
+    docs = [(i, f"the ledger of entry {i * 7919 % 900:03d} was closed by hand") for i in range(160)]
+    docs += [(1000 + i, f"shelf {i:05b}{i:05b}{i:05b} of the archive".replace("0", "xy")) for i in range(32)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute(docs, 2, 24)
+    for options in ({}, {"most_open": 10}):
+        assert sorted(tuple(r) for r in repeated_lines(df, **options).collect()) == expected, options
+
+
+def test_rows_grow_with_the_lines_of_a_shared_passage(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdefgh ", k=30)) + "a passage that all of these lines have in common" + "".join(rng.choices("abcdefgh ", k=30)) for _ in range(800)]
+    here = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, line string")
+    with Scratch(spark, "test") as scratch:
+        all_ = here.select("line", F.xxhash64("line").alias("id"), F.col("doc_id").alias("first"))
+        rows = shared_keys(keys(all_, 2).select("key", "id", "first", "own"), scratch)
+        texts = texts_of(rows.select("id").distinct(), here, scratch)
+        members = rows.join(texts.select("id", "n", "sketch"), "id").withColumn("open", F.lit(True))
+        n, sizes = members.count(), key_sizes(members)
+        assert n > 800 and star_pairs(members, 2).count() <= n and sizes.agg(F.max("n_open")).first()[0] >= 800
+        assert block_candidates(members, sizes, 2, 16).count() < 50
+        assert shared_keys(finer_keys(all_, 2, 6).select("key", "id", "first", "own"), scratch).count() < 50
+    assert repeated_lines(here.select("doc_id", F.col("line").alias("text"))).count() == 0
+
+
+def test_ties_repeated_rows_and_clashing_columns(spark):
+    line = "one line of text that is long enough to count"
+    docs = spark.createDataFrame([(1, line + "\n" + line, "a", 1), (1, line + "\n" + line, "b", 2), (2, line + "!", "c", 3), (2, None, "d", 4)], "doc_id long, text string, line string, id int")
+    assert sorted(tuple(r) for r in repeated_lines(docs).collect()) == [(1, 1, False), (2, 0, True)]
+    out = without_lines(docs, repeated_lines(docs))
+    assert out.columns == docs.columns and sorted((r["id"], r["text"]) for r in out.collect()) == [(1, line), (2, line), (4, None)]
 
 
 def test_without_lines(spark):
