@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -90,6 +91,126 @@ _SINGLE = (
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)*", 30, 0.5),
     ("copyright", "copyright", r"(?:19|20)\d\d(?: \S+){0,5} copyright|copyright(?: \S+){1,5} (?:19|20)\d\d", 25, 0.4),
     ("license-reference", "licen", r"(?:see|read)(?: the)? (?:accompanying )?(?:file )?licen[sc]e(?: (?:file|txt|md))? for(?: \S+){0,3} details", 20, 0.3),
+    ("apache-2.0", "licensed to the apache software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements", 85, 0.95),
+    ("apache-2.0", "on an as is basis", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", 65, 0.8),
+    ("apache-2.0", "apache org licenses license 2 0", r"(?:http|https) (?:www )?apache org licenses license 2 0(?: txt| html)?", 85, 0.95),
+    ("apache-1.1", "developed by the apache software foundation", r"this product includes software developed by the apache software foundation", 75, 0.8),
+    ("mit", "opensource org licenses mit", r"(?:http|https) (?:www )?opensource org licenses mit(?: license)?(?: php)?", 85, 0.95),
+    ("mit", "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 75, 0.9),
+    ("mit-0", "mit no attribution", r"mit no attribution(?: license)?", 85, 0.9),
+    ("mit-modern", "modern variant", r"mit license modern variant", 85, 0.8),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising", 85, 0.9),
+    ("bsd", "neither the name of", r"neither the name of(?: the)?(?: \S+){1,12} nor the names of its contributors may be used to endorse or promote products", 72, 0.9),
+    ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 78, 0.95),
+    ("bsd-2-clause", "in no event shall", r"in no event shall the (?:regents or contributors|copyright (?:holder|owner)s? or contributors) be liable", 35, 0.5),
+    ("bsd-2-clause", "freebsd", r"(?:the )?freebsd (?:license|project license|documentation license)", 70, 0.8),
+    ("bsd-3-clause-clear", "clear bsd", r"clear bsd(?: license)?", 85, 0.9),
+    ("bsd-patent", "bsd 2 clause plus patent", r"bsd 2 clause plus patent(?: license)?", 90, 0.95),
+    ("isc", "above copyright notice and this permission notice appear in all copies", r"provided that the above copyright notice and this permission notice appear in all copies", 65, 0.8),
+    ("gpl", "without even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", 68, 0.85),
+    ("lgpl", "without even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details", 69, 0.85),
+    ("agpl", "without even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details", 69, 0.85),
+    ("gpl", "you should have received a copy of the gnu general public license", r"you should have received a copy of the gnu general public license along with this (?:program|library|file|package)", 68, 0.9),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license", r"you should have received a copy of the gnu lesser general public license along with this (?:program|library|file|package)", 69, 0.9),
+    ("gpl", "gnu org licenses gpl", r"(?:http|https) (?:www )?gnu org licenses gpl(?: \d \d)?(?: html| txt| en html)?", 80, 0.9),
+    ("lgpl", "gnu org licenses lgpl", r"(?:http|https) (?:www )?gnu org licenses lgpl(?: \d \d)?(?: html| txt| en html)?", 80, 0.9),
+    ("agpl", "gnu org licenses agpl", r"(?:http|https) (?:www )?gnu org licenses agpl(?: \d \d)?(?: html| txt| en html)?", 80, 0.9),
+    ("gfdl", "gnu org licenses fdl", r"(?:http|https) (?:www )?gnu org licenses fdl(?: \d \d)?(?: html| txt)?", 80, 0.9),
+    ("gpl-classpath-exception", "classpath exception", r"(?:with (?:the )?)?classpath exception", 70, 0.8),
+    ("gpl-linking-exception", "linking this library statically or dynamically", r"linking this library statically or dynamically with other modules is making a combined work", 80, 0.9),
+    ("gpl-font-exception", "with font exception", r"gpl(?: \S+){0,3} with font exception", 80, 0.8),
+    ("gpl-bison-exception", "bison", r"special exception(?: \S+){0,20} larger work that contains part or all of the bison parser skeleton", 80, 0.9),
+    ("gcc-exception", "gcc runtime library exception", r"gcc runtime library exception(?: version)?(?: 3 1)?", 80, 0.9),
+    ("mpl-2.0", "mozilla public license v 2 0", r"this source code form is subject to the terms of the mozilla public license v 2 0", 92, 1.0),
+    ("mpl-2.0", "mozilla org mpl 2 0", r"(?:http|https) (?:www )?mozilla org mpl 2 0", 85, 0.95),
+    ("mpl-1.1", "mozilla public license version 1 1", r"the contents of this file are subject to the mozilla public license version 1 1", 92, 1.0),
+    ("cddl-1.0", "cddl", r"cddl(?: version)? 1 0", 80, 0.9),
+    ("cddl", "common development and distribution license", r"subject to the terms of the common development and distribution license", 70, 0.9),
+    ("epl-1.0", "eclipse public license v1 0", r"(?:terms of the )?eclipse public license v1 0 which accompanies this distribution", 92, 0.95),
+    ("epl-2.0", "eclipse org", r"(?:http|https) (?:www )?eclipse org (?:org )?(?:legal epl|documents epl) (?:v20|2 0)(?: html| txt)?", 85, 0.95),
+    ("cpl-1.0", "common public license", r"common public license(?: version)?(?: v? ?1 0)?", 75, 0.9),
+    ("ipl-1.0", "ibm public license", r"ibm public license(?: version)?(?: v? ?1 0)?", 75, 0.9),
+    ("eupl", "eupl", r"(?:licensed under the )?eupl(?: v? ?1 [012])?", 75, 0.9),
+    ("ofl-1.1", "scripts sil org ofl", r"(?:http|https) (?:www )?scripts sil org ofl", 85, 0.95),
+    ("ofl", "reserved font name", r"with reserved font names?(?: \S+){0,4}", 60, 0.8),
+    ("ms-pl", "microsoft public license", r"(?:the )?microsoft public license(?: ms pl)?", 80, 0.95),
+    ("ms-rl", "microsoft reciprocal license", r"(?:the )?microsoft reciprocal license(?: ms rl)?", 80, 0.95),
+    ("ms-eula", "microsoft software license terms", r"microsoft software license terms", 70, 0.9),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 80, 0.95),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 80, 0.95),
+    ("libpng", "libpng", r"(?:the )?libpng license", 80, 0.9),
+    ("libpng", "png reference library", r"(?:the )?png reference library license", 80, 0.9),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain", 85, 1.0),
+    ("unlicense", "unlicense org", r"(?:http|https) (?:www )?unlicense org", 85, 0.95),
+    ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?", 80, 0.9),
+    ("beerware", "beer", r"(?:the )?beer ?ware license|buy me a beer in return", 80, 0.9),
+    ("postgresql", "postgresql license", r"(?:the )?postgresql license", 80, 0.9),
+    ("postgresql", "without a written agreement is hereby granted", r"for any purpose without fee and without a written agreement is hereby granted", 78, 0.9),
+    ("ntp", "ntp license", r"(?:the )?ntp license", 75, 0.8),
+    ("curl", "curl license", r"(?:the )?curl license", 75, 0.8),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project|(?:the )?openssl license", 80, 0.9),
+    ("ssleay", "eric young", r"this product includes cryptographic software written by eric young", 80, 0.9),
+    ("php", "php", r"(?:the )?php license(?: version)?(?: v?3 01?)?|this product includes php software", 75, 0.9),
+    ("ruby", "ruby license", r"(?:the )?ruby license|same (?:terms|license) as ruby license", 70, 0.8),
+    ("perl", "perl", r"(?:under )?the same terms as perl(?: itself)?(?: \d)?", 75, 0.9),
+    ("vim", "vim license", r"(?:the )?vim license", 75, 0.9),
+    ("w3c", "w3c", r"w3c (?:software (?:notice and|and document) )?license", 75, 0.9),
+    ("unicode", "unicode", r"unicode license(?: agreement)?(?: v3)?|unicode inc license agreement", 75, 0.9),
+    ("icu", "icu license", r"icu license", 75, 0.9),
+    ("json", "good not evil", r"the software shall be used for good not evil", 90, 1.0),
+    ("ijg", "independent jpeg group", r"based in part on the work of the independent jpeg group", 80, 0.95),
+    ("freetype", "freetype", r"(?:the )?freetype (?:project )?license", 80, 0.95),
+    ("tcl", "tcl", r"tcl tk license|tcl license", 75, 0.8),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? license", 80, 0.95),
+    ("upl-1.0", "universal permissive license", r"universal permissive license(?: upl)?(?: version)?(?: v? ?1 0)?", 80, 0.95),
+    ("ecl-2.0", "educational community license", r"educational community license(?: version)?(?: 2 0)?", 80, 0.95),
+    ("cecill", "cecill", r"cecill(?: (?:b|c))?(?: (?:version )?\d(?: \d)?)?(?: licen[sc]e)?", 75, 0.9),
+    ("mulan-psl-2.0", "mulan", r"mulan (?:psl|permissive software license)(?: v2)?", 80, 0.95),
+    ("bsl-business", "business source license", r"business source license(?: 1 1)?", 80, 0.95),
+    ("sspl-1.0", "server side public license", r"server side public license(?: sspl)?(?: (?:version|v))?(?: ?1)?", 80, 0.95),
+    ("elastic-2.0", "elastic license", r"elastic license(?: (?:version )?2 0)?", 80, 0.95),
+    ("commons-clause", "commons clause", r"commons clause(?: license condition)?(?: v1 0)?", 80, 0.9),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter|free trial|internal use)(?: license)?(?: 1 0 0)?", 80, 0.95),
+    ("llama", "llama", r"llama \d(?: \d)? community license(?: agreement)?", 85, 0.95),
+    ("openrail", "openrail", r"(?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: license)?", 80, 0.9),
+    ("rail", "responsible ai license", r"responsible ai license(?: v\d)?", 75, 0.9),
+    ("odc-by", "open data commons attribution", r"open data commons attribution(?: license)?(?: v?1 0)?", 80, 0.95),
+    ("pddl", "public domain dedication and license", r"(?:open data commons )?public domain dedication and license(?: pddl)?", 80, 0.95),
+    ("odbl", "open data commons open database", r"open data commons open database license(?: odbl)?", 82, 0.95),
+    ("cdla-permissive", "community data license agreement", r"community data license agreement permissive(?: (?:version )?\d 0)?", 82, 0.95),
+    ("cdla-sharing", "community data license agreement", r"community data license agreement sharing(?: (?:version )?1 0)?", 82, 0.95),
+    ("ogl-uk", "open government licence", r"open government licence(?: (?:v|version )?[123](?: 0)?)?", 80, 0.95),
+    ("etalab", "etalab", r"licence ouverte(?: \S+){0,2} etalab|etalab(?: \S+){0,2} licence", 75, 0.9),
+    ("dl-de", "datenlizenz deutschland", r"datenlizenz deutschland (?:namensnennung|zero)(?: (?:version )?2 0)?", 80, 0.95),
+    ("cc", "some rights reserved", r"some rights reserved", 30, 0.4),
+    ("cc", "creative commons", r"(?:licensed under a |under a )?creative commons licen[sc]e", 40, 0.6),
+    ("cc0-1.0", "creativecommons org publicdomain zero", r"creativecommons org publicdomain zero 1 0", 90, 1.0),
+    ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights", 80, 0.9),
+    ("public-domain-mark", "creativecommons org publicdomain mark", r"creativecommons org publicdomain mark 1 0", 90, 1.0),
+    ("public-domain", "no known copyright", r"no known copyright restrictions?", 55, 0.7),
+    ("public-domain", "work of the u s government", r"(?:is )?(?:a )?work of the u s government", 50, 0.7),
+    ("public-domain", "gemeinfrei", r"gemeinfrei(?:e|es|er|en)?", 45, 0.6),
+    ("public-domain", "domaine public", r"(?:dans le|du) domaine public", 45, 0.6),
+    ("public-domain", "dominio p", r"(?:en el|de) dominio p\S{1,3}blico", 45, 0.6),
+    ("reserved-de", "alle rechte vorbehalten", r"alle rechte vorbehalten", 50, 0.8),
+    ("reserved-fr", "tous droits r", r"tous droits r\S+serv\S+s", 50, 0.8),
+    ("reserved-es", "todos los derechos reservados", r"todos los derechos reservados", 50, 0.8),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?)(?: \S+){0,6} trade secrets?(?: \S+){0,4}", 45, 0.6),
+    ("proprietary", "proprietary information of", r"(?:confidential )?(?:and )?proprietary information of(?: \S+){1,3}", 45, 0.7),
+    ("proprietary", "no part of this", r"no part of this (?:publication|work|book|document|site|website) may be (?:reproduced|stored|copied|transmitted|distributed)", 55, 0.8),
+    ("proprietary", "do not distribute", r"(?:internal use only )?do not distribute", 40, 0.5),
+    ("proprietary", "internal use only", r"for internal use only", 40, 0.5),
+    ("proprietary", "personal use only", r"for (?:your )?(?:private (?:and )?)?personal use only", 40, 0.5),
+    ("proprietary", "end user license agreement", r"end user license agreement(?: eula)?", 45, 0.6),
+    ("proprietary", "under license from", r"used under license from(?: \S+){1,3}", 40, 0.5),
+    ("noncommercial", "non commercial", r"(?:for|strictly) non commercial (?:use|purposes?)(?: only)?", 45, 0.6),
+    ("noncommercial", "noncommercial", r"(?:for|strictly) noncommercial (?:use|purposes?)(?: only)?", 45, 0.6),
+    ("research-only", "research", r"for (?:academic |non commercial |noncommercial )?research (?:use|purposes?) only", 45, 0.6),
+    ("no-ai-training", "may not be used", r"may not be used (?:for|to)(?: \S+){0,3} (?:train|training)(?: \S+){0,4} (?:models?|systems?|ai)", 60, 0.8),
+    ("no-ai-training", "text and data mining", r"(?:reserves?|reserved)(?: \S+){0,6} text and data mining", 60, 0.8),
+    ("permission-required", "written permission", r"without (?:the )?(?:express |explicit |prior )+written permission", 42, 0.6),
+    ("attribution", "attribution required", r"attribution required", 35, 0.5),
+    ("attribution", "permission", r"(?:reprinted|used|reproduced) (?:here )?(?:by|with) permission(?: of)?", 35, 0.5),
 )
 
 
@@ -106,13 +227,17 @@ def rules() -> tuple[Rule, ...]:
                 label = f"{stem}-{suffix}"
                 out.append(Rule(label, keyword, rf"{lead}{name}{own} (?:v|version )?{version}", 90, 0.95))
                 out.append(Rule(label, keyword, rf"{name}{own} (?:v|version ){version}", 80, 0.9))
-                out.append(Rule(f"{label}-or-later", keyword, rf"{name}{own} (?:v|version )?{version} or (?:\(at your option\) )?(?:any )?later(?: version)?", 95, 0.95))
+                out.append(Rule(f"{label}-or-later", keyword, rf"{name}{own} (?:v|version )?{version} or (?:at your option )?(?:any )?later(?: version)?", 95, 0.95))
+                out.append(Rule(label, "spdx license identifier", rf"spdx license identifier {name} {version}(?: only)?", 99, 1.0))
+                out.append(Rule(f"{label}-or-later", "spdx license identifier", rf"spdx license identifier {name} {version} or later", 100, 1.0))
+                if " " in version:
+                    out.append(Rule(label, keyword, rf"{name} {version}", 70, 0.8))
             out.append(Rule(stem, keyword, rf"{lead}{name}{own}", 60, 0.8))
             if own != licence:
                 out.append(Rule(stem, keyword, name, 50, 0.7))
             else:
                 out.append(Rule(stem, keyword, rf"{name} licen[sc]e", 50, 0.7))
-            out.append(Rule(stem, "spdx license identifier", rf"spdx license identifier {name}(?: v?\d(?: \d)?)?", 99, 1.0))
+            out.append(Rule(stem, "spdx license identifier", rf"spdx license identifier {name}", 98, 1.0))
     for part, (short, long_) in _CC.items():
         out.append(Rule(f"cc-{part}", "cc by", rf"cc {short}", 60, 0.7))
         out.append(Rule(f"cc-{part}", "creative commons", rf"creative commons {long_}(?: international)?(?: public)?(?: licen[sc]e)?", 60, 0.85))
@@ -169,12 +294,27 @@ class Scanner:
 
 def resolve(hits: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Hits that stay: by descending priority, then length, then place, each stays unless one that stays contains its interval,
-    or overlaps it with a higher priority."""
+    or overlaps it with a higher priority.
+
+    So none that stays contains another: in order of their starts their ends rise too, and the last one that starts in time
+    decides either question.
+    """
     kept: list[tuple[int, int, Rule]] = []
+    spans: list[tuple[int, int]] = []  # of all kept, in order
+    above: list[tuple[int, int]] = []  # of those of a higher priority than the hit's
+    priority = None
     for hit in sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)):
         a, b, rule = hit
-        if not any((x <= a and b <= y) or (x <= b and a <= y and r.priority > rule.priority) for x, y, r in kept):
-            kept.append(hit)
+        if rule.priority != priority:
+            above, priority = list(spans), rule.priority
+        before = bisect.bisect_right(spans, a, key=lambda s: s[0])
+        if before and spans[before - 1][1] >= b:
+            continue
+        before = bisect.bisect_right(above, b, key=lambda s: s[0])
+        if before and above[before - 1][1] >= a:
+            continue
+        kept.append(hit)
+        bisect.insort(spans, (a, b))
     return sorted(kept, key=lambda h: (h[0], h[1], h[2].label))
 
 

@@ -2,46 +2,56 @@
 
 A surrogate is a function of the key, the entity and a number of attempts, 0 for nearly all. Collisions are looked for over all
 entities of the corpus; only entities that need a further attempt are joined back to their documents.
+
+A person is a surname and, where it is said, a given name. Surnames have surrogates of their own, and given names have them within
+a surname, so "Mr John Smith", "Dr Smith" and a later "John Smith" or "Smith" stay one person.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Señorita", "Sra", "г-жа", "κα"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κος"),
+    "n": ("Dr", "Doctor", "Prof", "Professor"),
 }
-#: Types and their patterns, in order of precedence at one place. No pattern has a group that captures.
+_TITLE = "(?:" + "|".join(t for own in _TITLES.values() for t in own) + r")\.? "
+_NAME = r"\p{Lu}\p{Ll}+"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Types and their patterns, in order of precedence at one place. No pattern has a group that captures; each begins where no
+#: letter of ASCII, digit or underscore stands before, with one of these, a plus sign, a colon or a letter of a title.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![\w])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+[1-9](?:[ .-]?\d){7,14}(?![\w])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){14,15}(?![\w-])",
     "national": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
-    "person": r"(?<!\w)(?:" + "|".join(t for own in _TITLES.values() for t in own) + r")\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
+    "ip6": rf"(?<![\w.:])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
+    "person": rf"(?<!\w){_TITLE}{_NAME}(?:[ -]{_NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Names by script and gender; a surname serves both, and Cyrillic ones take an ending by gender.
+#: One look behind and one ahead tell most places from a beginning before any pattern is tried.
+ANY = r"(?<!\w)(?=[\w+κг])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Given names by script and gender, and the syllables of surnames, which serve both genders; Cyrillic ones take an ending by gender.
 GIVEN = {
     "latin": {"f": ("Anna", "Clara", "Elena", "Emma", "Irene", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Rosa", "Sara", "Teresa", "Vera", "Zoe"), "m": ("Adam", "Bruno", "Carlos", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Marco", "Noah", "Oscar", "Paul", "Simon", "Victor")},
     "cyrillic": {"f": ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"), "m": ("Антон", "Борис", "Виктор", "Денис", "Иван", "Михаил", "Олег", "Павел")},
     "greek": {"f": ("Άννα", "Ελένη", "Ειρήνη", "Κατερίνα", "Μαρία", "Νίκη", "Σοφία", "Χριστίνα"), "m": ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος", "Χρήστος")},
 }
-FAMILY = {
-    "latin": ("Abbott", "Becker", "Castro", "Dumont", "Ekberg", "Fontaine", "Garner", "Hartmann", "Ibarra", "Jansen", "Keller", "Lambert", "Moreno", "Novak", "Ortega", "Palmer"),
-    "cyrillic": ("Белов", "Волков", "Громов", "Егоров", "Зайцев", "Козлов", "Орлов", "Соколов"),
-    "greek": ("Βλάχου", "Γεωργίου", "Δήμου", "Ιωάννου", "Λάμπρου", "Νικολάου", "Παύλου", "Χρήστου"),
+SYLLABLES = {
+    "latin": ("ba", "ce", "do", "fa", "ga", "ke", "la", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"),
+    "cyrillic": ("ба", "во", "га", "де", "жи", "зо", "ка", "ле", "ма", "но", "пе", "ро", "са", "ту", "фе", "хо"),
+    "greek": ("βα", "γο", "δε", "ζα", "θο", "κα", "λε", "μα", "νο", "πε", "ρι", "σα", "τα", "φο", "χα", "ψε"),
 }
+_ENDS = {"latin": ("n", "r", "l", "s"), "cyrillic": ("в", "в", "в", "в"), "greek": ("ς", "ς", "ς", "ς")}
 #: Rows that may be broadcast: exceptions, at some hundred bytes each.
 BROADCAST_ROWS = 50_000
-ROUNDS = 30
 
 
 def let(value: Column, body) -> Column:
@@ -61,18 +71,61 @@ def kind(entity: Column) -> Column:
     return out
 
 
+def _script(text: Column) -> Column:
+    return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def person(entity: Column) -> Column:
+    """title (with its dot and space), given (or empty), family, stem, script, gender of a titled name.
+
+    The first of two words is the given name. A gender that the title does not say is a guess by the given name's end. The
+    stem of a Cyrillic surname is without the ending of women's.
+    """
+    title = F.regexp_extract(entity, "^" + _TITLE, 0)
+    rest = F.regexp_replace(entity, "^" + _TITLE, "")
+    given = F.when(F.instr(rest, " ") > 0, F.substring_index(rest, " ", 1)).otherwise("")
+    bare = F.regexp_replace(title, r"[. ]", "")
+    gender = F.when(bare.isin(*_TITLES["f"]), "f").when(bare.isin(*_TITLES["m"]), "m").when(given.rlike("[aeаяαη]$"), "f").otherwise("m")
+    parts = F.struct(title.alias("title"), given.alias("given"), F.substring_index(rest, " ", -1).alias("family"), _script(rest).alias("script"), gender.alias("gender"))
+
+    def stemmed(p: Column) -> Column:
+        stem = F.when((p["script"] == "cyrillic") & (p["gender"] == "f"), F.regexp_replace(p["family"], "а$", "")).otherwise(p["family"])
+        return F.struct(p["title"].alias("title"), p["given"].alias("given"), p["family"].alias("family"), stem.alias("stem"), p["script"].alias("script"), p["gender"].alias("gender"))
+
+    return let(parts, stemmed)
+
+
+def people(found: Column) -> Column:
+    """The persons of a text's matches, those with given names first."""
+    all_ = F.array_distinct(F.transform(F.filter(found, lambda e: F.coalesce(kind(e) == "person", F.lit(False))), person))
+    return F.concat(F.filter(all_, lambda p: p["given"] != ""), F.filter(all_, lambda p: p["given"] == ""))
+
+
+def with_names(persons: Column) -> Column:
+    """The pattern of a text's entities: ANY, and its persons without a title, by both names or the surname."""
+    forms = F.array_distinct(F.concat(F.transform(F.filter(persons, lambda p: p["given"] != ""), lambda p: F.concat(p["given"], F.lit(" "), p["family"])), F.transform(persons, lambda p: p["family"])))
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\w-])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\w-])"))
+
+
 def canonical(kind_: Column, entity: Column) -> Column:
-    """What makes two mentions the same: letters in lower case for e-mail and secrets, digits for numbers, names without title's dot."""
+    """What makes two mentions the same: lower case for e-mail, secrets and long addresses, digits for numbers."""
     digits = F.regexp_replace(entity, r"\D", "")
     return (
-        F.when(kind_.isin("email", "secret"), F.lower(entity))
+        F.when(kind_.isin("email", "secret", "ip6"), F.lower(entity))
         .when(kind_.isin("card", "phone", "national"), digits)
         .when(kind_ == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind_ == "person", F.regexp_replace(entity, r"\. ", " "))
         .otherwise(entity)
     )
 
 
+def surname(p: Column) -> Column:
+    return F.concat(p["script"], F.lit("|"), p["stem"])
+
+
+def given_name(p: Column) -> Column:
+    return F.concat(p["script"], F.lit("|"), p["gender"], F.lit("|"), p["stem"], F.lit("|"), p["given"])
+
+
 def _number(digest: Column, at: int, below: int) -> Column:
     """A number below 2 ** 20 from hexadecimal digits at (from 0) of a digest."""
     return F.conv(F.substring(digest, at * 4 + 1, 8), 16, 10).cast("long") % below
@@ -101,139 +154,203 @@ def _renewed(text: Column, digest: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), change), "")
 
 
-def _picked(names: tuple[str, ...], digest: Column, at: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), (_number(digest, at, len(names)) + 1).cast("int"))
+def _digit(digest: Column, at: Column) -> Column:
+    """A hexadecimal digit of a digest as a number; at is from 0."""
+    return F.conv(F.substring(digest, at + 1, F.lit(1)), 16, 10).cast("int")
+
+
+def _surname(script: str, digest: Column, parts: Column) -> Column:
+    """A name of parts syllables, so of one of 16 ** parts."""
+    syllables = F.array(*map(F.lit, SYLLABLES[script]))
+    name = F.array_join(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.element_at(syllables, _digit(digest, k.cast("int")) + 1)), "")
+    return F.concat(F.initcap(name), F.element_at(F.array(*map(F.lit, _ENDS[script])), _digit(digest, F.lit(63)) % 4 + 1))
+
 
+def _given(script: str, gender: str, digest: Column, parts: Column) -> Column:
+    names = F.array(*map(F.lit, GIVEN[script][gender]))
+    return F.array_join(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.element_at(names, _digit(digest, k.cast("int")) % len(GIVEN[script][gender]) + 1)), "-")
 
-def surrogate(kind_: Column, canon: Column, attempts: Column, key: str) -> Column:
-    """The canonical form that stands for a canonical entity: same type, length and country or network digits, same script and gender.
 
-    Cards keep their first digit and Luhn's sum; addresses stay addresses; e-mail has a letter for a letter and a
-    domain under example.com, the same for the same domain; each further attempt at a name adds two more initials, so names never run out.
+def surrogate(kind_: Column, canon: Column, attempts: Column, key: str, syllables: int) -> Column:
+    """What stands for a canonical entity: same type, length and country, same script and gender.
+
+    Cards keep their first digit and Luhn's sum, bank accounts their country and check digits that hold, phones their country
+    code; addresses stay addresses; e-mail has a letter for a letter and a domain under example.com, the same for the same
+    domain. Surnames have syllables syllables and one more an attempt, given names one name an attempt, so names never run
+    out. A given name's surrogate stands after its script, gender and surname.
     """
     made = F.sha2(F.concat_ws("|", F.lit(key), kind_, canon, attempts.cast("string")), 256)
-    return let(made, lambda digest: _surrogate(kind_, canon, attempts, digest, key))
+    return let(made, lambda digest: _surrogate(kind_, canon, attempts, digest, key, syllables))
 
 
-def _surrogate(kind_: Column, canon: Column, attempts: Column, digest: Column, key: str) -> Column:
+def _surrogate(kind_: Column, canon: Column, attempts: Column, digest: Column, key: str, syllables: int) -> Column:
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 256)
     email = F.concat(_renewed(F.substring_index(canon, "@", 1), digest, F.lit(0)), F.when(attempts > 3, F.substring(digest, 1, 6)).otherwise(""), F.lit("@m"), F.substring(domain, 1, 8), F.lit(".example.com"))
-    fresh = _renewed(canon, digest, F.lit(1))
-    card = let(fresh, _card)
+    card = let(_renewed(canon, digest, F.lit(1)), _card)
     ip = F.concat_ws(".", (_number(digest, 0, 222) + 1).cast("string"), *(_number(digest, k, 256).cast("string") for k in (2, 4)), (_number(digest, 6, 254) + 1).cast("string"))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    title = F.substring_index(canon, " ", 1)
-    gender = F.when(title.isin(*_TITLES["f"]), "f").otherwise("m")
-    letters = F.upper(F.translate(F.substring(digest, F.lit(20), 2 * (attempts - 5)), "0123456789", "ghijklmnop"))
-    initials = F.when(attempts > 5, F.regexp_replace(letters, "(..)", " $1.")).otherwise("")
-    name = F
+    hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(digest, (i % 61 + 1).cast("int"), F.lit(1)))), "")
+    script, gender = F.substring_index(canon, "|", 1), F.element_at(F.split(canon, r"\|"), 2)
+    family, given = F, F
     for s in GIVEN:
+        family = family.when(script == s, F.concat(F.lit(f"{s}|"), _surname(s, digest, attempts + syllables)))
         for g in "fm":
-            family = _picked(FAMILY[s], digest, 8)
-            if s == "cyrillic" and g == "f":
-                family = F.concat(family, F.lit("а"))
-            two = F.concat(title, F.lit(" "), _picked(GIVEN[s][g], digest, 4), initials, F.lit(" "), family)
-            one = F.concat(title, initials, F.lit(" "), family)
-            name = name.when((script == s) & (gender == g), F.when(F.size(F.split(canon, "[ -]")) > 2, two).otherwise(one))
+            given = given.when((script == s) & (gender == g), _given(s, g, digest, attempts + 1))
     return (
         F.when(kind_ == "email", email)
         .when(kind_ == "card", card)
         .when(kind_ == "ip", ip)
-        .when(kind_ == "person", name)
-        .when(kind_ == "phone", _renewed(canon, digest, F.lit(1)))
-        .when(kind_ == "iban", _renewed(canon, digest, F.lit(2)))
-        .when(kind_ == "secret", _hex_like(canon, digest))
+        .when(kind_ == "ip6", hexed)
+        .when(kind_ == "family", family)
+        .when(kind_ == "given", F.concat(F.regexp_replace(canon, r"[^|]*$", ""), given))
+        .when(kind_ == "phone", _renewed(canon, digest, F.length(F.regexp_extract(canon, COUNTRY_CODE, 0))))
+        .when(kind_ == "iban", let(_renewed(canon, digest, F.lit(4)), _account))
+        .when(kind_ == "secret", F.substring(digest, F.lit(1), F.length(canon)))
         .otherwise(_renewed(canon, digest, F.lit(0)))
     )
 
 
+#: The country codes of telephone numbers, of one digit, of two, else of three.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def _card(fresh: Column) -> Column:
     """fresh with its last digit set so that Luhn's sum holds."""
     body = F.substring(fresh, F.lit(1), F.length(fresh) - 1)
     return let(F.concat(body, F.lit("0")), lambda zero: F.concat(F.substring(zero, F.lit(1), F.length(zero) - 1), ((10 - _luhn_rest(zero)) % 10).cast("string")))
 
 
-def _hex_like(canon: Column, digest: Column) -> Column:
-    return F.substring(digest, F.lit(1), F.length(canon))
+def _account(fresh: Column) -> Column:
+    """fresh with the check digits, its third and fourth characters, that make it 1 modulo 97 (letters count from 10, country last)."""
+    moved = F.concat(F.substring(fresh, F.lit(5), F.length(fresh)), F.substring(fresh, 1, 2), F.lit("00"))
+
+    def more(rest: Column, c: Column) -> Column:
+        value = F.conv(c, 36, 10).cast("int")
+        return (rest * F.when(value > 9, 100).otherwise(10) + value) % 97
 
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), more)
+    return F.concat(F.substring(fresh, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(fresh, F.lit(5), F.length(fresh)))
 
-def formatted(kind_: Column, entity: Column, canon: Column, put: Column) -> Column:
-    """The surrogate put in the mention's own format: its separators, its title's dot, or a secret's letters' case."""
+
+def formatted(kind_: Column, entity: Column, put: Column) -> Column:
+    """The surrogate put in the mention's own format: its separators, or a secret's letters' case."""
     spread = F.aggregate(
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
         lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substring(put, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))),
         lambda a: a["out"],
     )
-    dotted = F.when(entity.rlike(r"^\S+\. "), F.regexp_replace(put, r"^(\S+) ", "$1. ")).otherwise(put)
     # where lower and upper case are mixed, each letter takes the case that the entity has at its place
     mixed = F.array_join(F.transform(F.split(entity, ""), lambda c, i: let(F.substring(put, i + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
     cased = F.when(entity == F.lower(entity), put).when(entity == F.upper(entity), F.upper(put)).otherwise(mixed)
-    return F.when(kind_.isin("card", "phone", "national", "iban"), spread).when(kind_ == "person", dotted).when(kind_ == "secret", cased).otherwise(put)
+    return F.when(kind_.isin("card", "phone", "national", "iban"), spread).when(kind_.isin("secret", "ip6"), cased).otherwise(put)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, canon of every mention in docs (doc_id, text)."""
+    """doc_id, kind, canon of every mention in docs (doc_id, text); a person gives its surname and, if it has one, its given name."""
     found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))).alias("entity"))
     # a generator of one row keeps the condition above it
     found = found.select("doc_id", "entity", F.explode(F.array(kind(F.col("entity")))).alias("kind")).where("kind is not null")
-    return found.select("doc_id", "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"))
 
+    def of_person(p: Column) -> Column:
+        both = F.array(F.struct(F.lit("family").alias("kind"), surname(p).alias("canon")), F.struct(F.lit("given").alias("kind"), given_name(p).alias("canon")))
+        return F.when(p["given"] == "", F.slice(both, 1, 1)).otherwise(both)
+
+    plain = F.array(F.struct("kind", canonical(F.col("kind"), F.col("entity")).alias("canon")))
+    return found.select("doc_id", F.inline(F.when(F.col("kind") == "person", let(person(F.col("entity")), of_person)).otherwise(plain)))
+
+
+def syllables_for(surnames: int) -> int:
+    """As many that there are 256 times as many names as surnames, or more: few of them need a further attempt."""
+    n = 3
+    while 16 ** (n - 2) < surnames:
+        n += 1
+    return n
 
-def exceptions(mentions: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempts) of the entities whose surrogate at attempt 0 is a real entity or another's surrogate.
+
+def exceptions(mentions: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(kind, canon, attempts) of the entities whose surrogate at attempt 0 is a real entity or another's surrogate; the syllables of surnames.
 
     Each round tries the open entities once more: a surrogate that no entity of the corpus is, that no earlier round gave away,
-    and of several equal ones that of the smallest entity, is settled. Rounds see fewer and fewer entities.
+    and of several equal ones that of the smallest entity, is settled. Rounds see fewer and fewer entities, and end when none
+    is open. One number comes to the driver a round.
     """
-    all_ = written(mentions.select("kind", "canon").distinct(), "entities")
-    settled, open_ = None, all_
-    for attempt in range(ROUNDS):
-        tried = open_.withColumn("put", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key))
+    all_ = scratch.written(mentions.select("kind", "canon").distinct(), "entities")
+    syllables = syllables_for(all_.where("kind = 'family'").count())
+    settled, open_, attempt = None, all_, 0
+    while True:
+        tried = open_.withColumn("put", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key, syllables))
         real = all_.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
         taken = real if settled is None else real.union(settled.select("kind", "put"))
-        first = F.row_number().over(Window.partitionBy("kind", "put").orderBy("canon")) == 1
-        marked = tried.join(taken.withColumn("hit", F.lit(True)).distinct(), (F.col("kind") == F.col("k")) & (F.col("put") == F.col("c")), "left")
-        marked = written(marked.select("kind", "canon", "put", (F.col("hit").isNull() & first).alias("free")), "tried")
-        now = marked.where("free").select("kind", "canon", "put", F.lit(attempt).alias("attempts"))
+        tried = scratch.written(tried.join(taken, (F.col("kind") == F.col("k")) & (F.col("put") == F.col("c")), "left").select("kind", "canon", "put", F.col("c").isNull().alias("new")).distinct(), "tried")
+        first = tried.where("new").groupBy("kind", "put").agg(F.min("canon").alias("canon"))
+        now = first.select("kind", "canon", "put", F.lit(attempt).alias("attempts"))
         settled = now if settled is None else settled.union(now)
-        open_ = marked.where("not free").select("kind", "canon")
+        open_ = scratch.written(tried.select("kind", "canon").join(first.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
         if open_.isEmpty():
-            return settled.where("attempts > 0").select("kind", "canon", "attempts")
-    raise ValueError(f"some entities have no surrogate after {ROUNDS} attempts")
+            return settled.where("attempts > 0").select("kind", "canon", "attempts"), syllables
+        attempt += 1
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs in their own columns with surrogates in text, and the columns __p_n (entities, long) and __p_kinds (sorted, distinct).
 
-    docs: doc_id, text and any others. Types are those of PATTERNS; the longest list of them is tried at each place in order. The same
+    docs: doc_id, text and any others. Types are those of PATTERNS; the longest list of them is tried at each place in order.
+    Persons are found by titles; in a text with one, the same names without a title are found too. The same
     entity has the same surrogate everywhere, in the format of each mention; different entities have different ones, none of
     which is an entity of the corpus. Null text stays null with 0 entities; empty text stays empty. Rows that repeat a doc_id
-    are handled each. key: secret; another key gives other surrogates.
+    are handled each; a null doc_id is an id as any other. key: secret; another key gives other surrogates.
+
+    Texts are searched twice, once for the entities of the corpus and once for the result; they are shuffled only where more
+    than BROADCAST_ROWS documents hold an entity that needs a further attempt.
     """
-    extra = written(exceptions(entities(docs.select("doc_id", "text")), key), "exceptions")
-    held = entities(docs.select("doc_id", "text")).join(extra, ["kind", "canon"])
-    maps = written(held.distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempts"))).alias("__p_more")), "overrides")
+    with Scratch(docs.sparkSession, "pii") as scratch:
+        mentions = scratch.written(entities(docs.select("doc_id", "text")).distinct(), "mentions")
+        extra, syllables = exceptions(mentions, key, scratch)
+        held = mentions.join(scratch.written(extra, "exceptions"), ["kind", "canon"])
+        maps = written(held.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempts"))).alias("__p_more")), "overrides")
     maps = maps.withColumnRenamed("doc_id", "__p_id")
     n = maps.count()
     out = docs.join(F.broadcast(maps) if n <= BROADCAST_ROWS else maps, docs["doc_id"].eqNullSafe(F.col("__p_id")), "left") if n else docs.withColumn("__p_more", F.lit(None).cast("map<string,int>"))
-    out = out.withColumn("__p_found", F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
-    some = F.size("__p_found") > 0
-    out = out.withColumn("__p_parts", F.when(some, F.split("text", ANY, -1)))
-
-    def put(entity):
-        def with_kind(k):
-            def with_canon(c):
-                attempts = F.coalesce(F.element_at("__p_more", F.concat_ws("|", k, c)), F.lit(0))
-                return F.when(k.isNull(), entity).otherwise(let(surrogate(k, c, attempts, key), lambda s: formatted(k, entity, c, s)))
-
-            return let(canonical(k, entity), with_canon)
+    out = out.withColumn("__p_titled", F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
+    # generators of one row: what is made before them is made once
+    made = F.when(F.size("__p_titled") > 0, people(F.col("__p_titled"))).otherwise(F.lit(None))
+    out = out.withColumn("__p_people", F.explode(F.array(made)))
+    named = F.size("__p_people") > 0
+    out = out.withColumn("__p_pattern", F.explode(F.array(F.when(named, with_names(F.col("__p_people"))).otherwise(F.lit(ANY)))))
+    some = F.size("__p_titled") > 0
+    out = out.withColumn("__p_found", F.when(named, F.regexp_extract_all(F.col("text"), F.col("__p_pattern"), F.lit(0))).otherwise(F.col("__p_titled")))
+    out = out.withColumn("__p_parts", F.when(some, F.split("text", F.col("__p_pattern"), -1)))
+
+    def stand_in(kind_: Column, canon: Column) -> Column:
+        attempts = F.coalesce(F.element_at("__p_more", F.concat_ws("|", kind_, canon)), F.lit(0))
+        return surrogate(kind_, canon, attempts, key, syllables)
+
+    def of_person(p: Column) -> Column:
+        ending = F.when((p["script"] == "cyrillic") & (p["stem"] != p["family"]), "а").otherwise("")
+        family = F.concat(F.substring_index(stand_in(F.lit("family"), surname(p)), "|", -1), ending)
+        given = F.when(p["given"] == "", "").otherwise(F.concat(F.substring_index(stand_in(F.lit("given"), given_name(p)), "|", -1), F.lit(" ")))
+        return F.concat(p["title"], given, family)
+
+    def untitled(entity: Column) -> Column:
+        """The person of the text that entity, both names or a surname, is; null if none."""
+        same = F.filter("__p_people", lambda p: p["family"] == F.substring_index(entity, " ", -1))
+        p = F.coalesce(F.get(F.filter(same, lambda p: F.concat(p["given"], F.lit(" "), p["family"]) == entity), 0), F.get(F.filter(same, lambda p: p["family"] == entity), 0))
+        given = F.when(F.instr(entity, " ") > 0, p["given"]).otherwise("")
+        return F.when(p.isNotNull(), F.struct(F.lit("").alias("title"), given.alias("given"), *(p[c].alias(c) for c in ("family", "stem", "script", "gender"))))
+
+    def put(entity: Column) -> Column:
+        def with_kind(k: Column) -> Column:
+            plain = let(canonical(k, entity), lambda c: formatted(k, entity, stand_in(k, c)))
+            known = F.struct(k.alias("kind"), F.when(k == "person", let(person(entity), of_person)).otherwise(plain).alias("put"))
+            name = let(untitled(entity), lambda p: F.when(p.isNotNull(), F.struct(F.lit("person").alias("kind"), of_person(p).alias("put"))))
+            return F.coalesce(F.when(k.isNotNull(), known), name, F.struct(F.lit(None).cast("string").alias("kind"), entity.alias("put")))
 
         return let(kind(entity), with_kind)
 
-    out = out.withColumn("__p_put", F.when(some, F.transform("__p_found", put)))
-    joined = F.array_join(F.transform("__p_parts", lambda part, i: F.concat(part, F.coalesce(F.get("__p_put", i), F.lit("")))), "")
+    out = out.withColumn("__p_put", F.explode(F.array(F.when(some, F.transform("__p_found", put)))))
+    joined = F.array_join(F.transform("__p_parts", lambda part, i: F.concat(part, F.coalesce(F.get("__p_put", i)["put"], F.lit("")))), "")
     text = F.when(some, joined).otherwise(F.col("text"))
-    out = out.withColumn("__p_types", F.when(some, F.filter(F.transform("__p_found", kind), lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>")))
+    types = F.filter(F.transform("__p_put", lambda x: x["kind"]), lambda k: k.isNotNull())
+    out = out.withColumn("__p_types", F.when(some, types).otherwise(F.array().cast("array<string>")))
     n_found, kinds = F.size("__p_types").cast("long"), F.array_sort(F.array_distinct("__p_types"))
     return out.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns), n_found.alias("__p_n"), kinds.alias("__p_kinds"))

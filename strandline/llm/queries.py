@@ -38,7 +38,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archive, write_archive
 
-    found = read_archive(write_archive(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    found = read_archive(write_archive(pages), pages.select("url"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, written
 
+_CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 VERSION, LINES, DATE = "WARC/1.1", 300, "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -87,21 +88,23 @@ def _page(urn: str) -> int | None:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload of at least min_bytes another page with a larger page_id has too.
+    """(r_page_id, r_digest, refers_to) of the pages whose payload of at least min_bytes another page with a larger page_id has too.
 
     Payloads are equal when SHA-256 and length are. One row per task and payload is shuffled for the winners, then ids only.
+    A page_id may stand with several payloads, so a revisit is named by both.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")).where(F.col("bytes") >= min_bytes)
     winners = keyed.groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(winners, ["digest", "bytes"]).where("page_id < refers_to").select(F.col("page_id").alias("r_page_id"), "refers_to").distinct()
+    return keyed.join(winners, ["digest", "bytes"]).where("page_id < refers_to").select(F.col("page_id").alias("r_page_id"), F.col("digest").alias("r_digest"), "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, shards: int = 16, min_bytes: int = 0, level: int = 1) -> Archive:
     """Write a record per row of pages (page_id long, url, html; others are dropped) and the index, in the shared folder.
 
     Null html is an empty payload, a null url an empty one. Of equal payloads that of the largest page_id is the response and
-    the others revisit it; rows that repeat the largest page_id are responses each. A null page_id is a response. Each task
+    the others revisit it; rows that repeat the largest page_id are responses each. Rows of one page_id with different payloads
+    are records each, and a revisit's stated digest tells which of them it means. A null page_id is a response. Each task
     writes its archive under a name of its own, so a task that runs twice leaves a file that no index names. An empty table
     gives an archive without shards.
     """
@@ -110,9 +113,8 @@ def write_archive(pages: DataFrame, shards: int = 16, min_bytes: int = 0, level:
     files.create_dir(root)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     again = written(revisits(pages, min_bytes), "revisits")
-    rows = pages.join(again, pages["page_id"] == again["r_page_id"], "left").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "refers_to")
-    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-
+    digest = F.sha2(F.coalesce(pages["html"], F.lit("")).cast("binary"), 256)
+    rows = pages.join(again, (pages["page_id"] == again["r_page_id"]) & (digest == again["r_digest"]), "left").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "refers_to")
     def records(batches):
         store, root = _store(folder)
         name, at = f"captures-{uuid.uuid4().hex}.warc.gz", 0
@@ -129,7 +131,7 @@ def write_archive(pages: DataFrame, shards: int = 16, min_bytes: int = 0, level:
                 found.append((reversed_host_key(url), page_id, name, at, len(member)))
                 at += len(member)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _CAPTURE.types, strict=True)], schema=_CAPTURE)
         if out:
             out.close()
 
@@ -191,7 +193,7 @@ def captures(archive: Archive) -> DataFrame:
             for file, directory in zip(batch.column("file").to_pylist(), batch.column("directory").to_pylist(), strict=True):
                 for _, at, length in json.loads(store.open_input_stream(f"{root}/{directory}").read()):
                     rows = [(key, *rest) for key, rest in _block(store, root, file, at, length)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "page_id", "file", "offset", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CAPTURE.types, strict=True)], schema=_CAPTURE)
 
     n = max(1, archive.shards.count())
     return archive.shards.select("file", "directory").repartition(n, "file").mapInArrow(run, "key string, page_id long, file string, offset long, length long")
@@ -201,8 +203,9 @@ def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
     """(url, key, page_id, file, offset, length) of the captures of urls (column url), by two binary searches and one range read a block.
 
     The table of shards has as many rows as write_archive was told and is searched in every task; queries then go to their
-    shards by a shuffle, where each shard's directory is searched for them. Urls without captures give no rows; repeated urls
-    count once.
+    shards by a shuffle, where each shard's directory is searched for the blocks that may hold them, and on to the blocks by
+    another, so that a block is read once. A key with more captures than a shard holds stands in several, which are read in
+    tasks of their own. Urls without captures give no rows; repeated urls count once.
     """
     folder = archive.folder
     shards = archive.shards.select("first", "last", "file", "directory").orderBy("first", "last").collect()  # bounded: the parameter shards
@@ -219,10 +222,9 @@ def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["url", "key", "file", "directory"])
 
-    def in_shard(batches):
+    def to_blocks(batches):
         store, root = _store(folder)
         known: tuple = (None, [])
-        last: tuple = (None, [])
         for batch in batches:
             found = []
             for url, key, file, directory in zip(*(batch.column(c).to_pylist() for c in ("url", "key", "file", "directory")), strict=True):
@@ -230,16 +232,28 @@ def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
                     known = directory, json.loads(store.open_input_stream(f"{root}/{directory}").read())
                 at = max(0, bisect.bisect_left(known[1], key, key=lambda x: x[0]) - 1)
                 while at < len(known[1]) and known[1][at][0] <= key:
-                    if last[0] != (file, at):
-                        last = (file, at), _block(store, root, file, *known[1][at][1:])
-                    found += [(url, k, *rest) for k, rest in last[1] if k == key]
+                    found.append((url, key, file, *known[1][at][1:]))
                     at += 1
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["url", "key", "page_id", "file", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["url", "key", "file", "at", "size"])
+
+    def in_block(batches):
+        store, root = _store(folder)
+        last: tuple = (None, [], [])
+        for batch in batches:
+            for url, key, file, at, size in zip(*(batch.column(c).to_pylist() for c in ("url", "key", "file", "at", "size")), strict=True):
+                if last[0] != (file, at):
+                    lines = _block(store, root, file, at, size)
+                    last = (file, at), lines, [k for k, _ in lines]
+                begin, end = bisect.bisect_left(last[2], key), bisect.bisect_right(last[2], key)
+                if begin < end:
+                    rows = [(url, key, *rest) for _, rest in last[1][begin:end]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *_CAPTURE.types], strict=True)], names=["url", *_CAPTURE.names])
 
     asked = urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct().mapInArrow(to_shards, "url string, key string, file string, directory string")
-    asked = asked.repartition("file", F.substring(F.md5(F.col("key").cast("binary")), 1, 1)).sortWithinPartitions("file", "key")
-    return asked.mapInArrow(in_shard, "url string, key string, page_id long, file string, offset long, length long")
+    asked = asked.repartition("file").sortWithinPartitions("file", "key").mapInArrow(to_blocks, "url string, key string, file string, at long, size long")
+    asked = asked.repartition("file", "at").sortWithinPartitions("file", "at", "key")
+    return asked.mapInArrow(in_block, "url string, key string, page_id long, file string, offset long, length long")
 
 
 def read_records(archive: Archive, places: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -274,12 +288,17 @@ def read_records(archive: Archive, places: DataFrame, with_payload: bool = False
     return ordered.mapInArrow(run, spec)
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """Every record, found by the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to. A revisit has the size and
-    digest of the response that it refers to, and must state the same digest; a response must state its own."""
-    found = written(read_records(archive, captures(archive)), "records")
+def read_archive(archive: Archive, urls: DataFrame | None = None) -> DataFrame:
+    """Records, found by the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    With urls (column url): those of the captures of any of them, by lookup, which must include the responses that revisits
+    among them refer to; else all records. A revisit has the size and digest of the response that it refers to, which is that
+    of the page_id with the digest that it states; a response must state its own.
+    """
+    places = captures(archive) if urls is None else lookup(archive, urls).select("file", "offset", "length").distinct()
+    found = written(read_records(archive, places), "records")
     first = found.where("record_type = 'response'").select(F.col("page_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).distinct()
-    both = found.join(first, found["refers_to"] == first["o_id"], "left")
+    both = found.join(first, (found["refers_to"] == first["o_id"]) & (found["stated_digest"] == first["o_digest"]), "left")
     size, digest = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(F.col("o_bytes")), F.when(F.col("refers_to").isNull(), F.col("payload_digest")).otherwise(F.col("o_digest"))
     sure: Column = F.when(digest == F.col("stated_digest"), digest).otherwise(F.raise_error(F.concat(F.lit("digest of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
     return both.select("page_id", "url", size.alias("payload_bytes"), sure.alias("payload_digest"), "record_type", "refers_to")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from strandline.llm.license_scan import BASE, Rule, Scanner, resolve, rules, scan_licenses
 
@@ -81,3 +82,58 @@ def test_names_without_the_familys_keyword():
     assert labels("Released under the Expat License") == ["mit"]
     assert labels("Internet Systems Consortium license") == ["isc"]
     assert labels("Unauthorised copying is strictly prohibited") == labels("Unauthorized copying is strictly prohibited") == ["proprietary"]
+
+
+def test_versions_in_identifiers_win():
+    assert labels("SPDX-License-Identifier: GPL-3.0-only") == ["gpl-3.0"]
+    assert labels("SPDX-License-Identifier: GPL-2.0-or-later") == ["gpl-2.0-or-later"]
+    assert labels("SPDX-License-Identifier: Apache-2.0") == ["apache-2.0"]
+    assert labels("SPDX-License-Identifier: MIT") == ["mit"]
+    assert labels("SPDX-License-Identifier: MIT OR Apache-2.0") == ["mit", "apache-2.0"]
+    assert labels("SPDX-License-Identifier: LGPL-2.1") == ["lgpl-2.1"]
+
+
+def quadratic(hits):
+    kept = []
+    for a, b, rule in sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)):
+        if not any((x <= a and b <= y) or (x <= b and a <= y and r.priority > rule.priority) for x, y, r in kept):
+            kept.append((a, b, rule))
+    return sorted(kept, key=lambda h: (h[0], h[1], h[2].label))
+
+
+def test_resolve_against_all_pairs():
+    rng = random.Random(5)
+    for n in (0, 1, 5, 30, 200):
+        for _ in range(60):
+            hits = []
+            for _ in range(n):
+                a = rng.randrange(40 + n)
+                hits.append((a, a + rng.randrange(8), Rule(rng.choice("abc"), "k", "k", rng.choice([10, 20, 30]), 1.0)))
+            assert resolve(hits) == quadratic(hits)
+
+
+def test_many_hits_in_one_text():
+    s = Scanner(rules())
+    began = time.perf_counter()
+    found, _ = s.scan(s.words("licensed under the mit license. gpl v2. see text. " * 20_000)[0])
+    assert len(found) == 40_000 and time.perf_counter() - began < 20
+
+
+def unfiltered(text):
+    """Every rule tried on every text, without the automaton and the bisected resolution."""
+    plain = Scanner(rules()).words(text)[0]
+    hits = []
+    for rule in rules():
+        for m in re.finditer(rb"(?<= )(?:" + rule.pattern.encode() + rb")(?= )", plain):
+            hits.append((plain[: m.start()].count(b" ") - 1, plain[: m.end()].count(b" ") - 1, rule))
+    return [(a, b, r.label) for a, b, r in quadratic(hits)]
+
+
+def test_labels_against_a_scan_without_prefilter(spark):
+    texts = [strings(re._parser.parse(r.pattern))[-1] for r in rules()[::9]]
+    rng = random.Random(7)
+    texts = [" and ".join(rng.sample(texts, 3)) for _ in range(40)] + ["", "nothing to see"]
+    found = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert [(d["first"], d["last"], d["label"]) for d in r["detections"]] == unfiltered(texts[r["doc_id"]]), texts[r["doc_id"]]
