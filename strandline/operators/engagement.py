@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from ..plans.template import define
 
-for _relation, _name in (("reply", "cnt_replies"), ("reaction", "cnt_reactions"), ("repost", "cnt_reposts"), ("report", "fact_report_counts")):
+for _relation, _name in (("reply", "cnt_replies"), ("reaction", "cnt_reactions")):
     define(_name, f"Distinct {_relation} contributions of each target.", f"SELECT target_id, count(DISTINCT source_id) AS n FROM {{acts}} WHERE relation = '{_relation}' GROUP BY target_id")
-define("cnt_zaps", "Count and sats of payments of each target.", "SELECT target_id, count(*) AS n, @isum(sats) AS sats FROM {acts} WHERE relation = 'zap' GROUP BY target_id")
+define("cnt_zaps", "Count and sats of payments of each note, by id or by address, each receipt once a note.", """
+SELECT target_id, count(*) AS n, @isum(sats) AS sats FROM (SELECT source_id, target_id, sats FROM {acts} WHERE relation = 'zap' UNION SELECT a.source_id, d.id, a.sats FROM {address_acts} a JOIN {note_addresses} d ON a.address = d.address WHERE a.relation = 'zap') u GROUP BY target_id""")
 define(
     "cnt_event_counts",
     "All counters of every note, zero where there is nothing.",
@@ -16,7 +17,8 @@ FROM {notes} n LEFT JOIN {cnt_replies} r ON n.id = r.target_id LEFT JOIN {cnt_re
 LEFT JOIN {cnt_reposts} p ON n.id = p.target_id LEFT JOIN {cnt_zaps} z ON n.id = z.target_id""",
 )
 define("fact_reactions", "Reactions with the target's author.", "SELECT source_id, target_id, actor, author, created_at FROM {acts} WHERE relation = 'reaction'")
-define("fact_reposts", "Reposts with the target's author.", "SELECT source_id, target_id, actor, author, created_at FROM {acts} WHERE relation = 'repost'")
+define("fact_reposts", "Reposts with the target's author, and the text of the reply that quotes it by the same actor, if there is one.", """
+SELECT a.source_id, a.target_id, a.actor, a.author, a.created_at, q.text AS quote FROM {acts} a LEFT JOIN (SELECT actor, target_id, @first_by(text, id) AS text FROM {replies} WHERE text <> '' GROUP BY actor, target_id) q ON a.actor = q.actor AND a.target_id = q.target_id WHERE a.relation = 'repost'""")
 define("fact_zap_receipts", "Payments of notes: receipt, sender, receiver, target, sats.", "SELECT source_id AS receipt_id, actor AS sender, author AS receiver, target_id, sats, created_at FROM {acts} WHERE relation = 'zap'")
 define(
     "norm_reaction_key",
@@ -42,25 +44,22 @@ define(
 SELECT actor AS viewer, target_id, bool_or(relation = 'reaction') AS liked, bool_or(relation = 'reply') AS replied, bool_or(relation = 'repost') AS reposted, bool_or(relation = 'zap') AS zapped
 FROM {acts} GROUP BY actor, target_id""",
 )
-define(
-    "fact_event_actions",
-    "The newest three actors on a note, by kind of action.",
-    "SELECT target_id, relation, source_id, actor, rn FROM (SELECT a.*, row_number() OVER (PARTITION BY target_id, relation ORDER BY created_at DESC, source_id DESC) AS rn FROM {acts} a) r WHERE rn <= 3",
-)
+define("fact_event_actions", "Pages of the actors on a note by kind of action, newest first: of pages of three the first two, each with the cursor that the next begins after.", """
+SELECT target_id, relation, source_id, actor, rn, @div(rn - 1, 3) + 1 AS page, lag(source_id, 3) OVER (PARTITION BY target_id, relation ORDER BY rn) AS after_id FROM (SELECT a.*, row_number() OVER (PARTITION BY target_id, relation ORDER BY created_at DESC, source_id DESC) AS rn FROM {acts} a) r WHERE rn <= 6""")
 define(
     "fact_top_zap",
     "The largest single payment of each note.",
     "SELECT target_id, receipt_id, sender, sats FROM (SELECT z.*, row_number() OVER (PARTITION BY target_id ORDER BY sats DESC, created_at, receipt_id) AS rn FROM {fact_zap_receipts} z) r WHERE rn = 1",
 )
-define("fact_user_zaps", "The five largest payments sent by each user.", "SELECT sender, receipt_id, receiver, sats, rn FROM (SELECT z.*, row_number() OVER (PARTITION BY sender ORDER BY sats DESC, receipt_id) AS rn FROM {fact_zap_receipts} z) r WHERE rn <= 5")
+define("fact_user_zaps", "Payments that each user sent and received, the 20 largest and the 20 newest.", """
+SELECT who, side, sort, receipt_id, sats, rn FROM (SELECT u.*, row_number() OVER (PARTITION BY who, side, sort ORDER BY CASE WHEN sort = 'sats' THEN sats ELSE created_at END DESC, receipt_id DESC) AS rn FROM (
+  SELECT z.sender AS who, 'sent' AS side, s.sort, z.receipt_id, z.sats, z.created_at FROM {fact_zap_receipts} z CROSS JOIN (SELECT 'sats' AS sort UNION ALL SELECT 'time') s
+  UNION ALL SELECT z.receiver, 'received', s.sort, z.receipt_id, z.sats, z.created_at FROM {fact_zap_receipts} z CROSS JOIN (SELECT 'sats' AS sort UNION ALL SELECT 'time') s) u) r WHERE rn <= 20""")
 define("fact_zap_totals_profile", "Payments received by each profile.", "SELECT receiver, count(*) AS n, @isum(sats) AS sats FROM {payments} GROUP BY receiver")
-define(
-    "fact_note_stats",
-    "Counters of notes with the repliers and the last activity.",
-    """
-SELECT c.id, c.replies, c.reactions, c.reposts, c.zaps, c.sats, coalesce(x.people, 0) AS people, x.last_at
-FROM {cnt_event_counts} c LEFT JOIN (SELECT target_id, count(DISTINCT actor) AS people, max(created_at) AS last_at FROM {acts} GROUP BY target_id) x ON c.id = x.target_id""",
-)
+define("fact_note_stats", "Counters of notes with quotes, people and the last activity; engagement of its quotes and reposts rolled up.", """
+SELECT c.id, c.replies, c.reactions, c.reposts, c.zaps, c.sats, coalesce(x.people, 0) AS people, x.last_at, coalesce(q.n, 0) AS quotes, coalesce(q.engaged, 0) AS quote_engagement FROM {cnt_event_counts} c
+LEFT JOIN (SELECT target_id, count(DISTINCT actor) AS people, max(created_at) AS last_at FROM {acts} GROUP BY target_id) x ON c.id = x.target_id
+LEFT JOIN (SELECT q.target, count(DISTINCT q.event_id) AS n, @isum(k.replies + k.reactions + k.reposts + k.zaps) AS engaged FROM {ref_quotes} q JOIN {cnt_event_counts} k ON q.event_id = k.id WHERE q.kind = 'id' GROUP BY q.target) q ON @str(c.id) = q.target""")
 define(
     "norm_zap_bucket",
     "Histogram of payments by size.",
@@ -75,14 +74,10 @@ define(
 SELECT coalesce(a.followed, b.follower) AS profile, coalesce(a.n, 0) AS followers, coalesce(b.n, 0) AS following
 FROM (SELECT followed, count(*) AS n FROM {follow} GROUP BY followed) a FULL OUTER JOIN (SELECT follower, count(*) AS n FROM {follow} GROUP BY follower) b ON a.followed = b.follower""",
 )
-define(
-    "fact_follower_gain_loss",
-    "Whom a user's acts touched on a day and not on the active day before, and the reverse.",
-    """
-SELECT actor, day, @size(@minus(now, before)) AS gained, @size(@minus(before, now)) AS lost FROM (
-  SELECT actor, day, now, coalesce(lag(now) OVER (PARTITION BY actor ORDER BY day), @minus(now, now)) AS before
-  FROM (SELECT actor, @date(ts) AS day, @set(author) AS now FROM {acts} GROUP BY actor, @date(ts)) d) l""",
-)
+define("fact_follower_gain_loss", "Whom each contact list of an author adds and drops against the list before it.", """
+SELECT pubkey, id, created_at, @joined(CASE WHEN side = 'gained' THEN @str(followed) END) AS gained, @joined(CASE WHEN side = 'lost' THEN @str(followed) END) AS lost FROM (
+  SELECT l.pubkey, l.id, l.created_at, 'gained' AS side, n.followed FROM {contact_versions} l JOIN {contact_items} n ON l.id = n.event_id LEFT JOIN {contact_items} b ON l.before_id = b.event_id AND n.followed = b.followed WHERE b.followed IS NULL
+  UNION ALL SELECT l.pubkey, l.id, l.created_at, 'lost', b.followed FROM {contact_versions} l JOIN {contact_items} b ON l.before_id = b.event_id LEFT JOIN {contact_items} n ON l.id = n.event_id AND n.followed = b.followed WHERE n.followed IS NULL) c GROUP BY pubkey, id, created_at""")
 # joins by the shapes that queries use
 define("join_inner_equi", "Interactions with the facts of their source event.", "SELECT a.source_id, a.relation, e.kind, e.pubkey FROM {acts} a JOIN {ev} e ON a.source_id = e.id")
 define("join_full_outer", "Sent and received payments of each user side by side.", """
@@ -90,7 +85,7 @@ SELECT coalesce(a.actor, b.author) AS profile, coalesce(a.n, 0) AS sent, coalesc
 FROM (SELECT actor, count(*) AS n FROM {acts} WHERE relation = 'zap' GROUP BY actor) a FULL OUTER JOIN (SELECT author, count(*) AS n FROM {acts} WHERE relation = 'zap' GROUP BY author) b ON a.actor = b.author""")
 define("join_left_semi", "Notes with a payment.", "SELECT id, pubkey FROM {notes} n WHERE EXISTS (SELECT 1 FROM {acts} a WHERE a.target_id = n.id AND a.relation = 'zap')")
 define("join_left_anti", "Notes that answer nothing.", "SELECT id, pubkey FROM {notes} n WHERE NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.child = n.id)")
-define("join_self_mutual", "Reciprocal follow edges, once each.", "SELECT a.follower AS one, a.followed AS two FROM {follow} a JOIN {follow} b ON a.follower = b.followed AND a.followed = b.follower WHERE a.follower < a.followed")
+define("join_self_mutual", "Reciprocal follow edges, once each.", "SELECT one, two FROM (SELECT least(follower, followed) AS one, greatest(follower, followed) AS two, count(*) AS n FROM (SELECT DISTINCT follower, followed FROM {follow} WHERE follower <> followed) f GROUP BY 1, 2) p WHERE n = 2")
 define("join_cross_grid", "Notes by weekday and hour over the full grid.", """
 SELECT d.dow, h.hour, coalesce(n.n, 0) AS n FROM (SELECT @grid(0, 6) AS dow) d CROSS JOIN (SELECT @grid(0, 23) AS hour) h
 LEFT JOIN (SELECT @dow(ts) AS dow, hour(ts) AS hour, count(*) AS n FROM {notes} GROUP BY 1, 2) n ON n.dow = d.dow AND n.hour = h.hour""")
@@ -105,8 +100,22 @@ SELECT target_id, count(*) AS n FROM (
   UNION SELECT a.source_id, m.id FROM {acts} a JOIN (SELECT pubkey, max(id) AS id FROM {notes} GROUP BY pubkey) m ON a.author = m.pubkey) u GROUP BY target_id""")
 define("join_gate_open_if_empty", "Interactions of trusted actors, of all if nobody is trusted.", """
 SELECT a.source_id, a.actor FROM {acts} a CROSS JOIN (SELECT count(*) AS n FROM {trusted_users}) g LEFT JOIN {trusted_users} t ON a.actor = t.pubkey WHERE g.n = 0 OR t.pubkey IS NOT NULL""")
-define("trusted_users", "Users whose notes drew the most payments: the upper half by sats.", """
-SELECT author AS pubkey, sats FROM (SELECT author, @isum(sats) AS sats, percent_rank() OVER (ORDER BY sum(sats) DESC, author) AS pr FROM {acts} WHERE relation = 'zap' GROUP BY author) r WHERE pr <= 0.5""")
-define("join_lateral_topk", "For each tag its newest 20 posts, joined to the tag's other posts by the same author.", """
-SELECT a.tag, a.id, count(b.id) AS others FROM (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, id DESC) AS rn FROM {hashtags} h) r WHERE rn <= 20) a
-JOIN {hashtags} b ON a.tag = b.tag AND a.author = b.author AND a.id <> b.id GROUP BY a.tag, a.id""")
+define("trusted_users", "Users within the hops of trust, large accounts included.", "SELECT pubkey, hops FROM {trust_hops}")
+define("join_lateral_topk", "For each tag its newest 200 posts, each with the number of the tag's other posts by the same author.", """
+SELECT a.tag, a.id, b.n - 1 AS others FROM (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, id DESC) AS rn FROM {hashtags} h) r WHERE rn <= 200) a JOIN (SELECT tag, author, count(*) AS n FROM {hashtags} GROUP BY tag, author) b ON a.tag = b.tag AND a.author = b.author""")
+define("cnt_reposts", "Distinct reposts of each note: by id, and by an address that stands for the author's note of that identifier where the same repost doesn't name the note already.", """
+SELECT target_id, count(DISTINCT source_id) AS n FROM (SELECT source_id, target_id FROM {acts} WHERE relation = 'repost' UNION SELECT a.source_id, d.id FROM {address_acts} a JOIN {note_addresses} d ON a.address = d.address WHERE a.relation = 'repost') u GROUP BY target_id""")
+define("note_addresses", "The current note of each address that notes carry: address, id.", "SELECT value AS address, event_id AS id FROM (SELECT t.*, row_number() OVER (PARTITION BY value ORDER BY created_at DESC, event_id DESC) AS rn FROM {tags} t WHERE name = 'a') r WHERE rn = 1")
+define("address_acts", "Reposts and payments that name an address: source_id, relation, address, sats.", "SELECT source_id, relation, concat('30023:', @str(author), ':d', @str(k % 5)) AS address, sats FROM {acts} WHERE relation IN ('repost', 'zap') AND k % 3 = 0")
+define("join_left_enrich", "Notes with their counters, attributes and first hashtag, zero or null where there is none.", """
+SELECT n.id, n.pubkey, coalesce(r.n, 0) AS replies, coalesce(z.sats, 0) AS sats, coalesce(a.warned, false) AS warned, a.client, h.topic FROM {notes} n LEFT JOIN {cnt_replies} r ON n.id = r.target_id LEFT JOIN {cnt_zaps} z ON n.id = z.target_id
+LEFT JOIN {attr_event_attributes} a ON n.id = a.event_id LEFT JOIN (SELECT event_id, min(tag) AS topic FROM {norm_tag_hashtags} GROUP BY event_id) h ON n.id = h.event_id""")
+define("fact_report_counts", "Reports by day and type, of notes and of their authors' profiles: reports, reporters, and the share by trusted ones.", """
+SELECT @date(a.ts) AS day, r.type, count(*) AS n, count(DISTINCT a.actor) AS reporters, count(DISTINCT r.author) AS profiles, count(DISTINCT r.target_id) AS notes, @count_if(t.pubkey IS NOT NULL) AS by_trusted FROM {ref_reports} r JOIN {acts} a ON r.source_id = a.source_id LEFT JOIN {trusted_users} t ON a.actor = t.pubkey GROUP BY @date(a.ts), r.type""")
+define("fact_profile_reports", "Reports of each profile by type, with its first and last time.", "SELECT r.author, r.type, count(*) AS n, count(DISTINCT a.actor) AS reporters, min(a.created_at) AS first_at, max(a.created_at) AS last_at FROM {ref_reports} r JOIN {acts} a ON r.source_id = a.source_id GROUP BY r.author, r.type")
+define("contact_versions", "Contact lists with the one before: id, pubkey, created_at, before_id.", "SELECT id, pubkey, created_at, lag(id) OVER (PARTITION BY pubkey ORDER BY created_at, id) AS before_id FROM {states} WHERE kind = 3")
+define("contact_items", "Distinct followed of each contact list.", "SELECT DISTINCT event_id, @num(value) AS followed FROM {state_items} WHERE kind = 3 AND name = 'p'")
+define("fact_profile_edges", "Followers of each user in newest contact lists, how many it follows, and how many trusted followers it has.", """
+SELECT coalesce(a.followed, b.follower) AS pubkey, coalesce(a.n, 0) AS followers, coalesce(b.n, 0) AS following, coalesce(a.trusted, 0) AS trusted_followers
+FROM (SELECT c.followed, count(*) AS n, count(t.pubkey) AS trusted FROM {contacts} c LEFT JOIN {trusted_users} t ON c.follower = t.pubkey GROUP BY c.followed) a FULL OUTER JOIN (SELECT follower, count(*) AS n FROM {contacts} GROUP BY follower) b ON a.followed = b.follower""")
+define("join_self_pair", "Pairs of relays that carried the same event.", "SELECT a.relay AS one, b.relay AS two, count(*) AS n FROM {ingest_provenance} a JOIN {ingest_provenance} b ON a.event_id = b.event_id AND b.relay > a.relay GROUP BY a.relay, b.relay")

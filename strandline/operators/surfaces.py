@@ -5,9 +5,8 @@ from __future__ import annotations
 from ..plans.template import define
 
 # smaller surfaces; notes and acts stand in for their own kinds of event
-define("eco_polls", "Votes of each option of a poll: one a voter, the newest one.", """
-SELECT poll, option_, count(*) AS votes FROM (SELECT target_id AS poll, actor, k % 4 AS option_, row_number() OVER (PARTITION BY target_id, actor ORDER BY created_at DESC, source_id DESC) AS rn
-  FROM {acts} WHERE relation = 'reaction') v WHERE rn = 1 GROUP BY poll, option_""")
+define("eco_polls", "Votes of each option of a poll: one a voter, the newest one before the poll's end, three days after its note.", """
+SELECT poll, option_, count(*) AS votes FROM (SELECT a.target_id AS poll, a.actor, a.k % 4 AS option_, row_number() OVER (PARTITION BY a.target_id, a.actor ORDER BY a.created_at DESC, a.source_id DESC) AS rn FROM {acts} a JOIN {notes} n ON a.target_id = n.id WHERE a.relation = 'reaction' AND a.created_at <= n.created_at + 259200) v WHERE rn = 1 GROUP BY poll, option_""")
 define("eco_badges", "Awards of each badge, and how many holders wrote a note afterwards.", """
 SELECT b.badge, count(*) AS awards, count(DISTINCT b.actor) AS holders, count(DISTINCT CASE WHEN n.last_at > b.created_at THEN b.actor END) AS accepted FROM (SELECT target_id % 20 AS badge, actor, created_at FROM {acts} WHERE relation = 'repost') b
 LEFT JOIN (SELECT pubkey, max(created_at) AS last_at FROM {notes} GROUP BY pubkey) n ON b.actor = n.pubkey GROUP BY b.badge""")
@@ -16,46 +15,73 @@ SELECT g.id, g.goal, coalesce(z.sats, 0) AS raised, @div(coalesce(z.sats, 0) * 1
 define("eco_groups", "Messages, members and last time of each group, with its size class.", """
 SELECT grp, messages, members, last_at, CASE WHEN members < 5 THEN 'small' WHEN members < 12 THEN 'medium' ELSE 'large' END AS size FROM (SELECT pubkey % 12 AS grp, count(*) AS messages, count(DISTINCT pubkey) AS members, max(created_at) AS last_at FROM {notes} GROUP BY 1) g""")
 define("eco_live_chat", "Chats, chatters and last time of each live address.", "SELECT value AS address, count(*) AS chats, count(DISTINCT pubkey) AS chatters, max(created_at) AS last_at FROM {tags} WHERE name = 'a' GROUP BY value")
-define("note_live", "Live addresses with a chat in the last three days.", "SELECT l.address, l.last_at FROM {eco_live_chat} l CROSS JOIN {present} p WHERE l.last_at > @unix(p.as_of) - 259200")
+define("note_live", "Live addresses: open ones have a chat in the last three days and an event that has not ended, a day after its start.", """
+SELECT l.address, l.last_at, l.chats, CASE WHEN s.id IS NULL THEN 'unknown' WHEN s.created_at + 86400 * 10 < @unix(p.as_of) THEN 'ended' ELSE 'open' END AS status FROM {eco_live_chat} l LEFT JOIN {state_addressable} s ON l.address = concat(@str(s.kind), ':', @str(s.pubkey), ':', s.d) CROSS JOIN {present} p WHERE l.last_at > @unix(p.as_of) - 259200""")
 define("fact_nutzaps", "Token payments: sats, unit and mint of each.", "SELECT source_id, author AS receiver, sats, CASE WHEN k % 2 = 0 THEN 'sat' ELSE 'msat' END AS unit, concat('mint', @str(k % 5)) AS mint FROM {acts} WHERE relation = 'zap' AND sats > 0")
-define("attr_file_metadata", "Files that pages link: type and host.", "SELECT DISTINCT url, domain, lower(regexp_extract(url, '[.]([A-Za-z0-9]{2,4})$', 1)) AS extension FROM {links} WHERE @matches(url, '/[^/]+[.][A-Za-z0-9]{2,4}$')")
+define("attr_file_metadata", "Files of notes: the first address, type in lower case, size if it is a number, and digest.", """
+SELECT event_id, max(CASE WHEN name = 'url' THEN value END) AS url, max(CASE WHEN name = 'm' THEN lower(value) END) AS mime, max(CASE WHEN name = 'size' AND @matches(value, '^[0-9]+$') THEN @num(value) END) AS size, max(CASE WHEN name = 'x' AND @matches(value, '^[0-9a-f]{64}$') THEN value END) AS digest
+FROM {tags} WHERE name IN ('url', 'm', 'size', 'x') GROUP BY event_id HAVING max(CASE WHEN name = 'url' THEN value END) IS NOT NULL""")
 define("ref_zap_targets", "Payments whose receiver wrote the target, per author and target.", "SELECT author, target_id, count(*) AS n, @isum(sats) AS sats FROM {acts} WHERE relation = 'zap' GROUP BY author, target_id")
 # rankings
 define("disc_trust_hashtags", "Hashtags of tags by the weights of the authors of their notes.", """
 SELECT h.tag, count(*) AS notes, round(sum(coalesce(w.weight, 0)), 4) AS weight FROM {norm_tag_hashtags} h JOIN {notes} n ON h.event_id = n.id LEFT JOIN {disc_engager_weight} w ON n.pubkey = w.pubkey GROUP BY h.tag""")
-define("disc_rank_reasons", "For the trending notes the signals that do not rise from one place to the next.", """
-SELECT id, place, CASE WHEN coalesce(before_replies, replies) >= replies THEN 'replies' WHEN coalesce(before_reactions, reactions) >= reactions THEN 'reactions' ELSE 'score' END AS reason FROM (
-  SELECT t.id, row_number() OVER (ORDER BY t.score_7d DESC, t.id DESC) AS place, s.replies, s.reactions, lag(s.replies) OVER (ORDER BY t.score_7d DESC, t.id DESC) AS before_replies, lag(s.reactions) OVER (ORDER BY t.score_7d DESC, t.id DESC) AS before_reactions
-  FROM {disc_trending_notes} t JOIN {disc_note_stats} s ON t.id = s.id) r""")
-define("disc_personal_conversations", "For each viewer the three conversations with most participants that it engages.", """
-SELECT viewer, root, n, rn FROM (SELECT viewer, root, n, row_number() OVER (PARTITION BY viewer ORDER BY n DESC, root DESC) AS rn FROM (
-  SELECT c.viewer, d.root, count(DISTINCT n.pubkey) AS n FROM (SELECT DISTINCT actor AS viewer, author AS other FROM {acts} WHERE actor <> author) c JOIN {notes} n ON n.pubkey = c.other JOIN {thr_depth} d ON n.id = d.id WHERE d.depth > 0 GROUP BY c.viewer, d.root) g) r WHERE rn <= 3""")
-define("disc_personal_profiles", "For each viewer the five authors that most of those it engages engage.", """
-SELECT viewer, author, n, rn FROM (SELECT viewer, author, n, row_number() OVER (PARTITION BY viewer ORDER BY n DESC, author) AS rn FROM (
-  SELECT c.viewer, a.author, count(DISTINCT a.actor) AS n FROM (SELECT DISTINCT actor AS viewer, author AS other FROM {acts} WHERE actor <> author) c JOIN {acts} a ON a.actor = c.other WHERE a.author <> c.viewer AND a.author <> c.other GROUP BY c.viewer, a.author) g) r WHERE rn <= 5""")
-define("disc_personal_ranked", "For each viewer the three hashtags that most of those it engages use.", """
-SELECT viewer, tag, n, rn FROM (SELECT viewer, tag, n, row_number() OVER (PARTITION BY viewer ORDER BY n DESC, tag) AS rn FROM (
-  SELECT c.viewer, h.tag, count(DISTINCT n.pubkey) AS n FROM (SELECT DISTINCT actor AS viewer, author AS other FROM {acts} WHERE actor <> author) c JOIN {notes} n ON n.pubkey = c.other JOIN {norm_tag_hashtags} h ON h.event_id = n.id GROUP BY c.viewer, h.tag) g) r WHERE rn <= 3""")
-define("disc_curated", "The first ten long posts of each author by stored order.", "SELECT author, id, rn FROM (SELECT author, id, row_number() OVER (PARTITION BY author ORDER BY id) AS rn FROM {posts} WHERE length(text) >= 2000) r WHERE rn <= 10")
-define("sink_archive_day", "Leading five hashtags of each day with their usual number of authors.", """
-SELECT d.day, d.tag, d.authors, b.typical, d.rn FROM (SELECT day, tag, authors, row_number() OVER (PARTITION BY day ORDER BY authors DESC, n DESC, tag) AS rn FROM {eco_hashtag_daily}) d LEFT JOIN {eco_entity_baseline} b ON d.tag = b.tag WHERE d.rn <= 5""")
-define("disc_archive", "Each day's leading hashtags in one line.", "SELECT day, @joined(tag) AS tags, max(authors) AS authors FROM {sink_archive_day} GROUP BY day")
-define("sink_search_docs", "Documents for the search index newer than a mark, bodies trimmed.", "SELECT id, ts, substring(text, 1, 500) AS body, length(text) > 500 AS trimmed FROM {posts} WHERE ts > @time(2024-01-20 00:00:00)")
-define("srch_documents_rank", "For hashtags of fewest posts as queries: exact key, then prefix of the key, with popularity.", """
-SELECT q, key, score, rn FROM (SELECT q, key, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rn FROM (
-  SELECT q.tag AS q, d.key, CASE WHEN d.key = q.tag THEN 120 ELSE 80 END + least(d.size, 20) AS score FROM (SELECT tag FROM {srch_term_df} WHERE df = 2) q JOIN {srch_documents} d ON d.kind = 'hashtag' AND substring(d.key, 1, 4) = substring(q.tag, 1, 4) AND d.key LIKE concat(q.tag, '%')) s) r WHERE rn <= 5""")
-define("srch_note_score", "Lexical, recency and length parts of each result's score: 0.35, 0.45 and 0.2, halving every 72 hours.", """
-SELECT s.item_id, s.id, round(35e-2 * s.shared / t.terms + 45e-2 * exp(-ln(2e0) * (@unix(n.as_of) - @unix(p.ts)) / 259200e0) + 2e-1 * least(1, ln(1e0 + length(p.text)) / ln(5e3)), 6) AS score
-FROM {srch_notes} s JOIN {srch_query_terms} t ON s.item_id = t.item_id JOIN {posts} p ON s.id = p.id CROSS JOIN {post_now} n""")
-define("srch_note_rank", "Results with an author's second and later ones, and copies of a text, behind the others.", """
-SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY copy > 1, by_author > 2, score DESC, id) AS place FROM (
-  SELECT s.item_id, s.id, s.score, row_number() OVER (PARTITION BY s.item_id, coalesce(f.fingerprint, @str(s.id)) ORDER BY s.score DESC, s.id) AS copy, row_number() OVER (PARTITION BY s.item_id, p.author ORDER BY s.score DESC, s.id) AS by_author
-  FROM {srch_note_score} s JOIN {posts} p ON s.id = p.id LEFT JOIN {norm_content_fingerprint} f ON s.id = f.id) r""")
-define("srch_profile_rank", "Profiles found for a query by tier, then by number; bots behind.", "SELECT s.q, s.pubkey, row_number() OVER (PARTITION BY s.q ORDER BY s.tier + CASE WHEN f.bot THEN 5 ELSE 0 END, s.pubkey) AS place FROM {srch_profiles} s JOIN {attr_profile_fields} f ON s.pubkey = f.pubkey")
-define("srch_fresh_merge", "Each query's page with its newest matching post among it.", """
-SELECT item_id, id, max(fresh) AS fresh FROM (SELECT item_id, id, 0 AS fresh FROM {srch_notes} UNION ALL SELECT item_id, id, 1 FROM (
-  SELECT q.item_id, i.id, row_number() OVER (PARTITION BY q.item_id ORDER BY p.ts DESC, i.id DESC) AS rn FROM (SELECT b.item_id, min(lower(e.x)) AS term FROM {benchmark} b, @each_at(@extract_all(b.text, '[A-Za-z]{5,}'), e) GROUP BY b.item_id) q JOIN {srch_index} i ON q.term = i.term JOIN {posts} p ON i.id = p.id) r WHERE rn = 1) u GROUP BY item_id, id""")
-define("srch_enrich_authors", "Results with their author's leading language.", "SELECT s.item_id, s.id, p.author, a.lang FROM {srch_notes} s JOIN {posts} p ON s.id = p.id LEFT JOIN {auth_languages} a ON p.author = a.author AND a.rn = 1")
-define("srch_trust_filter", "Results of authors with 50 posts or more, by rank.", "SELECT s.item_id, s.id, row_number() OVER (PARTITION BY s.item_id ORDER BY s.rn) AS place FROM {srch_notes} s JOIN {posts} p ON s.id = p.id JOIN (SELECT author FROM {posts} GROUP BY author HAVING count(*) >= 50) t ON p.author = t.author")
-define("state_extended_lists", "Distinct items of each author's tags by name.", "SELECT pubkey, name, count(DISTINCT value) AS items FROM {tags} WHERE name IN ('p', 't', 'a') GROUP BY pubkey, name")
-define("ret_author_recent", "What the newest 20 events of 14 days leave out, by author.", "SELECT e.pubkey, count(*) AS dropped FROM {ev} e LEFT JOIN {state_author_recent} r ON e.id = r.id WHERE r.id IS NULL GROUP BY e.pubkey")
+define("disc_rank_reasons", "For the week's trending notes how often each signal rises from one place to the next, and the signal whose order agrees best with the ranking.", """
+SELECT signal, rises, row_number() OVER (ORDER BY rises, signal) AS place FROM (SELECT signal, @count_if(value > before) AS rises FROM (SELECT signal, value, lag(value) OVER (PARTITION BY signal ORDER BY score DESC, id DESC) AS before FROM (
+  SELECT n.id, n.score, g.signal, CASE g.signal WHEN 'replies' THEN CAST(c.replies AS DOUBLE) WHEN 'reactions' THEN CAST(c.reactions AS DOUBLE) WHEN 'zaps' THEN CAST(c.zaps AS DOUBLE) ELSE n.weight END AS value FROM (SELECT t.id, t.score_7d AS score, w.reply_w + w.zap_w AS weight FROM {disc_trending_notes} t JOIN {disc_weighted_engagement} w ON t.id = w.target_id AND w.days = 7) n
+  JOIN {cnt_event_counts} c ON n.id = c.id CROSS JOIN (SELECT 'replies' AS signal UNION ALL SELECT 'reactions' UNION ALL SELECT 'zaps' UNION ALL SELECT 'weight') g) u) l GROUP BY signal) g""")
+define("disc_personal_conversations", "For each viewer the three conversations of highest velocity that its cohort takes part in; of an author the five newest conversations are looked at.", """
+SELECT viewer, root, velocity, people, rn FROM (SELECT viewer, root, velocity, people, row_number() OVER (PARTITION BY viewer ORDER BY velocity DESC, people DESC, root DESC) AS rn FROM (
+  SELECT c.viewer, d.root, max(v.velocity) AS velocity, count(DISTINCT d.pubkey) AS people FROM {disc_personal_cohort} c JOIN (SELECT pubkey, root FROM (SELECT pubkey, root, row_number() OVER (PARTITION BY pubkey ORDER BY last_at DESC, root DESC) AS rn FROM (
+    SELECT n.pubkey, t.root, max(n.created_at) AS last_at FROM {thr_depth} t JOIN {notes} n ON t.id = n.id WHERE t.depth > 0 GROUP BY n.pubkey, t.root) g) x WHERE rn <= 5) d ON c.other = d.pubkey JOIN {thr_velocity} v ON d.root = v.root GROUP BY c.viewer, d.root) g) r WHERE rn <= 3""")
+define("disc_personal_profiles", "For each viewer the five profiles that its cohort engages, pays, follows, and newly follows most, whom it doesn't follow itself.", """
+SELECT viewer, list, author, value, rn FROM (SELECT u.viewer, u.list, u.author, u.value, row_number() OVER (PARTITION BY u.viewer, u.list ORDER BY u.value DESC, u.author) AS rn FROM (
+  SELECT c.viewer, 'engaged' AS list, a.author, count(DISTINCT a.actor) AS value FROM {disc_personal_cohort} c JOIN {recent_acts} a ON a.actor = c.other GROUP BY c.viewer, a.author UNION ALL SELECT c.viewer, 'supported', a.author, @isum(a.sats) FROM {disc_personal_cohort} c JOIN {recent_acts} a ON a.actor = c.other WHERE a.relation = 'zap' GROUP BY c.viewer, a.author
+  UNION ALL SELECT c.viewer, 'followed', f.other, count(*) FROM {disc_personal_cohort} c JOIN {disc_personal_cohort} f ON f.viewer = c.other GROUP BY c.viewer, f.other
+  UNION ALL SELECT c.viewer, 'rising', f.followed, count(*) FROM {disc_personal_cohort} c JOIN {contacts} f ON f.follower = c.other CROSS JOIN {present} p WHERE f.since > @unix(p.as_of) - 604800 GROUP BY c.viewer, f.followed) u
+LEFT JOIN {contacts} own ON u.viewer = own.follower AND u.author = own.followed WHERE own.follower IS NULL AND u.viewer <> u.author) r WHERE rn <= 5""")
+define("disc_personal_ranked", "For each viewer the three notes that its cohort bookmarks and pays most, and hashtags and clients that most of it use.", """
+SELECT viewer, list, item, value, rn FROM (SELECT viewer, list, item, value, row_number() OVER (PARTITION BY viewer, list ORDER BY value DESC, item) AS rn FROM (
+  SELECT c.viewer, 'zapped' AS list, @str(a.target_id) AS item, @isum(a.sats) AS value FROM {disc_personal_cohort} c JOIN {recent_acts} a ON a.actor = c.other WHERE a.relation = 'zap' GROUP BY c.viewer, a.target_id
+  UNION ALL SELECT c.viewer, 'bookmarked', i.value, count(DISTINCT i.pubkey) FROM {disc_personal_cohort} c JOIN {state_items} i ON i.pubkey = c.other JOIN {state_replaceable} r ON i.event_id = r.id WHERE i.kind = 10003 AND i.name = 'e' GROUP BY c.viewer, i.value
+  UNION ALL SELECT c.viewer, 'hashtag', t.tag, count(*) FROM {disc_personal_cohort} c JOIN {author_tags} t ON t.pubkey = c.other WHERE t.side = 'seed' GROUP BY c.viewer, t.tag
+  UNION ALL SELECT c.viewer, 'client', k.client, count(*) FROM {disc_personal_cohort} c JOIN (SELECT DISTINCT pubkey, value AS client FROM {tags} WHERE name = 'client') k ON k.pubkey = c.other GROUP BY c.viewer, k.client) u) r WHERE rn <= 3""")
+define("disc_curated", "Curated lists in their stored order, at most 30 items: follow sets by identifier, pins, and long posts of each author.", """
+SELECT list, owner, item, rn FROM (SELECT concat('set ', i.d) AS list, @str(i.pubkey) AS owner, i.value AS item, row_number() OVER (PARTITION BY i.pubkey, i.d ORDER BY i.idx) AS rn FROM {state_items} i JOIN {state_replaceable} r ON i.event_id = r.id WHERE i.kind = 30000
+UNION ALL SELECT 'pins', @str(pubkey), item, place FROM {state_pins} UNION ALL SELECT 'reads', author, @str(id), row_number() OVER (PARTITION BY author ORDER BY id) FROM {posts} WHERE length(text) >= 2000) u WHERE rn <= 30""")
+define("sink_archive_day", "One JSON document a day: its leading hashtags with authors and, in hundredths, their ratio to the usual.", """
+SELECT day, concat('{"day":"', @str(day), '","hashtags":[', @in_order(concat('{"tag":"', tag, '","authors":', @str(authors), ',"factor_x100":', coalesce(@str(CAST(floor(factor * 100) AS BIGINT)), 'null'), '}'), rn), ']}') AS document FROM {day_leaders} GROUP BY day""")
+define("disc_archive", "Each day's leading hashtags, one row each, with the day's posts and authors and the ratio to the usual.", "SELECT l.day, l.tag, l.rn, l.authors, l.factor, v.posts, v.all_authors FROM {day_leaders} l JOIN (SELECT @date(ts) AS day, count(*) AS posts, count(DISTINCT author) AS all_authors FROM {posts} GROUP BY @date(ts)) v ON l.day = v.day")
+define("sink_search_docs", "Search documents of the last ten days of posts for an outer index, whole words of the body up to 500 characters.", """
+SELECT id, ts, CASE WHEN length(text) <= 500 THEN text ELSE regexp_replace(substring(text, 1, 500), '[^ ]*$', '') END AS body, length(text) > 500 AS trimmed FROM {posts} CROSS JOIN {post_now} WHERE ts > as_of - INTERVAL 10 DAYS""")
+define("srch_documents_rank", "For hashtags that two posts have, and profiles' names and addresses, as queries: exact key 120, alias 95, title 90, prefix of the key 80, of the title 70, words in common up to 25, and popularity.", """
+SELECT q, kind, key, score, rn FROM (SELECT q, kind, key, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, kind, key) AS rn FROM (
+  SELECT q.q, d.kind, d.key, round(CASE WHEN lower(d.key) = q.q THEN 120 WHEN lower(d.alias) = q.q THEN 95 WHEN lower(d.title) = q.q THEN 90 WHEN lower(d.key) LIKE concat(q.q, '%') THEN 80 WHEN lower(d.title) LIKE concat(q.q, '%') THEN 70 ELSE 0 END + 25e0 * length(q.q) / greatest(length(q.q), length(d.title), 1) + least(10, ln(1e0 + d.popularity)), 6) AS score
+  FROM (SELECT tag AS q FROM {srch_term_df} WHERE df = 2 UNION SELECT lower(name) FROM {attr_profile_fields} WHERE pubkey % 50 = 0 UNION SELECT ln_address FROM {attr_profile_fields} WHERE pubkey % 50 = 0) q
+  JOIN (SELECT d.*, lower(e.x) AS handle FROM (SELECT d.*, concat(substring(lower(d.key), 1, 4), ' ', substring(lower(coalesce(d.title, '')), 1, 4), ' ', substring(lower(coalesce(d.alias, '')), 1, 4)) AS handles FROM {srch_documents} d WHERE d.kind IN ('hashtag', 'profile', 'identity', 'relay')) d, @each_at(@words(d.handles), e)) d
+    ON substring(q.q, 1, 4) = d.handle AND (lower(d.key) LIKE concat(q.q, '%') OR lower(d.title) LIKE concat(q.q, '%') OR lower(d.alias) = q.q) GROUP BY q.q, d.kind, d.key, d.alias, d.title, d.popularity) s) r WHERE rn <= 5""")
+define("srch_note_score", "Score of each result: 0.35 of its share of the query's terms (0.85 at least with the phrase), 0.45 of recency, halving every 72 hours, 0.2 of engagement; times 0.15 for stubs and 0.05 for automated texts.", """
+SELECT s.item_id, s.id, round((35e-2 * CASE WHEN s.phrase THEN greatest(85e-2, least(1e0, s.shared / CAST(t.terms AS DOUBLE))) ELSE least(1e0, s.shared / CAST(t.terms AS DOUBLE)) END + 45e-2 * exp(-ln(2e0) * greatest(@unix(n.as_of) - @unix(p.ts), 0) / 259200e0) + 2e-1 * least(1e0, ln(1e0 + p.raw) / ln(51e0)))
+  * CASE WHEN @size(@extract_all(p.text, '[^ \\n]+')) <= 3 THEN 15e-2 ELSE 1e0 END * CASE WHEN @matches(p.text, '[|][^|]*[|][^|]*[|][^|]*[|]') OR lower(p.author) LIKE '%rss feed%' THEN 5e-2 ELSE 1e0 END, 6) AS score
+FROM {srch_notes} s JOIN {srch_query_terms} t ON s.item_id = t.item_id JOIN {post_engagement} p ON s.id = p.id CROSS JOIN {post_now} n""")
+define("srch_note_rank", "Results in order: copies of a text by the same author within seven days at a fiftieth of their score; of an author's results at most two among the first 20, the others after them.", """
+SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN by_author <= 2 THEN 0 ELSE 1 END, score DESC, id) AS place FROM (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id, author ORDER BY score DESC, id) AS by_author FROM (
+  SELECT item_id, id, author, round(score * CASE WHEN copy > 1 THEN 2e-2 ELSE 1e0 END, 6) AS score FROM (SELECT s.item_id, s.id, p.author, s.score, row_number() OVER (PARTITION BY s.item_id, p.author, coalesce(f.fingerprint, @str(s.id)), @div(@unix(p.ts), 604800) ORDER BY s.score DESC, s.id) AS copy
+  FROM {srch_note_score} s JOIN {posts} p ON s.id = p.id LEFT JOIN {norm_content_fingerprint} f ON s.id = f.id) c) d) r""")
+define("srch_profile_rank", "Profiles found for a query by tier, bots five tiers behind, then by followers, activity, words and posts.", """
+SELECT q, pubkey, tier, score, row_number() OVER (PARTITION BY q ORDER BY tier, score DESC, pubkey) AS place FROM (SELECT s.q, s.pubkey, s.tier + CASE WHEN g.bot THEN 5 ELSE 0 END AS tier,
+  round(ln(1e0 + g.followers) + 3 * CASE WHEN g.last_at IS NULL THEN 0e0 ELSE exp(-ln(2e0) * greatest(@unix(p.as_of) - g.last_at, 0) / 1209600e0) END + CASE s.tier WHEN 0 THEN 1e0 WHEN 1 THEN 65e-2 ELSE 45e-2 END + 15e-2 * ln(1e0 + g.posts), 6) AS score FROM {srch_profiles} s JOIN {srch_profile_signals} g ON s.pubkey = g.pubkey CROSS JOIN {present} p) r""")
+define("srch_fresh_merge", "Each query's page, and where it has no post of the last three days its three newest matches by any of its terms, each post once.", """
+SELECT item_id, id, min(fresh) AS fresh FROM (SELECT item_id, id, 0 AS fresh FROM {srch_notes} UNION ALL SELECT r.item_id, r.id, 1 FROM (
+  SELECT q.item_id, i.id, row_number() OVER (PARTITION BY q.item_id ORDER BY p.ts DESC, i.id DESC) AS rn FROM (SELECT DISTINCT b.item_id, lower(e.x) AS term FROM {benchmark} b, @each_at(@extract_all(b.text, '[A-Za-z]{5,}'), e)) q JOIN {srch_index} i ON q.term = i.term JOIN {posts} p ON i.id = p.id CROSS JOIN {post_now} n WHERE p.ts > n.as_of - INTERVAL 3 DAYS GROUP BY q.item_id, i.id, p.ts) r
+  LEFT JOIN (SELECT DISTINCT s.item_id FROM {srch_notes} s JOIN {posts} p ON s.id = p.id CROSS JOIN {post_now} n WHERE p.ts > n.as_of - INTERVAL 3 DAYS AND s.rn <= 5) f ON r.item_id = f.item_id WHERE r.rn <= 3 AND f.item_id IS NULL) u GROUP BY item_id, id""")
+define("srch_enrich_authors", "Results with what is known of their author: posts, first and last time, leading language.", """
+SELECT s.item_id, s.id, p.author, a.lang, g.posts, g.first_at, g.last_at FROM {srch_notes} s JOIN {posts} p ON s.id = p.id LEFT JOIN {auth_languages} a ON p.author = a.author AND a.rn = 1 JOIN (SELECT author, count(*) AS posts, min(ts) AS first_at, max(ts) AS last_at FROM {posts} GROUP BY author) g ON p.author = g.author""")
+define("srch_trust_filter", "Profiles found for a query in three modes: all in order, the trusted lifted by ten places, the trusted only.", """
+SELECT mode, q, pubkey, row_number() OVER (PARTITION BY mode, q ORDER BY place - CASE WHEN trusted AND mode = 'prefer_trusted' THEN 10 ELSE 0 END, place) AS place FROM (SELECT m.mode, r.q, r.pubkey, r.place, t.pubkey IS NOT NULL AS trusted FROM {srch_profile_rank} r LEFT JOIN {trusted_users} t ON r.pubkey = t.pubkey
+  CROSS JOIN (SELECT 'all' AS mode UNION ALL SELECT 'prefer_trusted' UNION ALL SELECT 'trusted_only') m) x WHERE mode <> 'trusted_only' OR trusted""")
+define("state_extended_lists", "Items of each author's newest lists of every kind: mutes, pins, relays, bookmarks, interests, message relays, sets by identifier.", "SELECT r.pubkey, r.kind, r.d, r.id, i.name, count(DISTINCT i.value) AS items, @in_order(i.value, i.idx) AS in_order FROM {state_replaceable} r JOIN {state_items} i ON r.id = i.event_id WHERE r.kind >= 10000 GROUP BY r.pubkey, r.kind, r.d, r.id, i.name")
+define("ret_author_recent", "Events that each author's newest 20 of 14 days leave out, by age or by the cap.", """
+SELECT e.pubkey, @count_if(e.ts <= p.as_of - INTERVAL 14 DAYS) AS by_age, @count_if(e.ts > p.as_of - INTERVAL 14 DAYS) AS by_cap FROM {ev} e CROSS JOIN {present} p LEFT JOIN {state_author_recent} r ON e.id = r.id WHERE r.id IS NULL GROUP BY e.pubkey""")
+define("day_leaders", "Leading five hashtags of each day with their usual number of authors, and the ratio to it.", """
+SELECT d.day, d.tag, d.authors, b.typical, round(CASE WHEN b.days >= 7 THEN d.authors / b.typical END, 6) AS factor, d.rn FROM (SELECT day, tag, authors, row_number() OVER (PARTITION BY day ORDER BY authors DESC, n DESC, tag) AS rn FROM {eco_hashtag_daily}) d LEFT JOIN {eco_entity_baseline} b ON d.tag = b.tag WHERE d.rn <= 5""")
+define("post_engagement", "Engagement that stands for a post's: of the note with its number.", "SELECT p.id, p.author, p.ts, p.text, coalesce(4 * c.replies + 3 * c.reposts + c.reactions + 2 * c.zaps, 0) AS raw FROM {posts} p LEFT JOIN {cnt_event_counts} c ON p.id = c.id")

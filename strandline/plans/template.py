@@ -8,6 +8,7 @@ renders to DuckDB for the correctness gate.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 MACROS = {
     "unix": ("unix_timestamp({0})", "CAST(floor(epoch({0})) AS BIGINT)"),
     "isum": ("CAST(sum({0}) AS BIGINT)", "CAST(sum({0}) AS BIGINT)"),
-    "joined": ("array_join(array_sort(collect_set({0})), ',')", "array_to_string(list_sort(list(DISTINCT {0})), ',')"),
+    "joined": ("array_join(array_sort(collect_set({0})), ',')", "coalesce(array_to_string(list_sort(list(DISTINCT {0}) FILTER (WHERE {0} IS NOT NULL)), ','), '')"),
     "quantile": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "div": ("(({0}) div ({1}))", "(({0}) // ({1}))"),
     "dow": ("(dayofweek({0}) - 1)", "dayofweek({0})"),
@@ -39,10 +40,24 @@ MACROS = {
     "str": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
     "grid": ("explode(sequence({0}, {1}))", "unnest(range({0}, {1} + 1))"),
     "minus": ("array_except({0}, {1})", "list_filter({0}, lambda x: NOT list_contains({1}, x))"),
-    "count_if": ("count_if({0})", "CAST(count_if({0}) AS BIGINT)"),
+    "count_if": ("count_if({0})", "CAST(count(*) FILTER (WHERE {0}) AS BIGINT)"),
     "trunc": ("CAST(date_trunc({0}, {1}) AS TIMESTAMP_NTZ)", "date_trunc({0}, {1})"),
     "json": ("get_json_object({0}, {1})", "json_extract_string({0}, {1})"),
     "bits": ("bit_count({0})", "bit_count({0})"),
+    # values in the order of another, as one text; and the first of them
+    "in_order": ("array_join(transform(array_sort(collect_list(struct({1} AS o, {0} AS v))), x -> CAST(x.v AS STRING)), ',')", "string_agg(CAST({0} AS VARCHAR), ',' ORDER BY {1}, {0})"),
+    "first_by": ("min_by({0}, struct({1}, {0}))", "(list({0} ORDER BY {1}, {0}))[1]"),
+    "words": ("split({0}, ' ')", "string_split({0}, ' ')"),
+    "without_word": ("array_join(filter({0}, (x, i) -> i <> {1}), ' ')", "array_to_string(list_filter({0}, lambda x, i: i <> {1} + 1), ' ')"),
+    "element": ("element_at({0}, CAST({1} AS INT))", "({0})[{1}]"),
+    "letters": ("regexp_replace({0}, '[^\\\\p{{L}}]', '')", "regexp_replace({0}, '[^\\p{{L}}]', '', 'g')"),
+    "spoken": ("regexp_replace({0}, '[^\\\\p{{L}}\\\\p{{N}} ]+', ' ')", "regexp_replace({0}, '[^\\p{{L}}\\p{{N}} ]+', ' ', 'g')"),
+    "bucket_of": ("CAST(width_bucket({0}, {1}, {2}, {3}) AS BIGINT)", "CAST(CASE WHEN {0} < {1} THEN 0 WHEN {0} >= {2} THEN {3} + 1 ELSE floor(({0} - {1}) * {3} / ({2} - {1})) + 1 END AS BIGINT)"),
+    "num": ("try_cast({0} AS BIGINT)", "TRY_CAST({0} AS BIGINT)"),
+    "re": ("r'{0}'", "'{0}'"),
+    "no_text": ("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)"),
+    "no_time": ("CAST(NULL AS TIMESTAMP_NTZ)", "CAST(NULL AS TIMESTAMP)"),
+    "seconds_before": ("timestampadd(SECOND, -CAST({1} AS INT), {0})", "({0} - to_seconds(CAST({1} AS BIGINT)))"),
 }
 
 
@@ -95,7 +110,24 @@ class Operator:
         return expanded(re.sub(r"\{([a-z_]\w*)\}", r"\1", self.sql), 1)
 
 
-REGISTRY: dict[str, Operator] = {}
+@dataclass(frozen=True)
+class Computed:
+    """An operator that SQL text can't express in Spark, such as a loop over frontiers; sql is DuckDB's form."""
+
+    name: str
+    doc: str
+    inputs: tuple[str, ...]
+    run: Callable[..., DataFrame]
+    sql: str
+
+    def __call__(self, **frames: DataFrame) -> DataFrame:
+        return self.run(**{k: frames[k] for k in self.inputs})
+
+    def duckdb(self) -> str:
+        return self.sql
+
+
+REGISTRY: dict[str, Operator | Computed] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -106,15 +138,36 @@ def define(name: str, doc: str, sql: str) -> Operator:
     return out
 
 
+def define_computed(name: str, doc: str, inputs: tuple[str, ...], run: Callable[..., DataFrame], duckdb: str) -> Computed:
+    if name in REGISTRY or name in TABLES:
+        raise ValueError(f"{name} is defined twice")
+    REGISTRY[name] = out = Computed(name, doc, inputs, run, duckdb.strip())
+    return out
+
+
+#: Tables of loops (ranks, hops, chains), by application, folder and name: a loop runs once for the operators that read it.
+_LOOPS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The operator's result over the tables in sf_dir, its inputs built first."""
+    """The operator's result over the tables in sf_dir, its inputs built first.
+
+    What a Computed operator gives over a folder is kept as a table for the application, so the folder's files must not change
+    meanwhile.
+    """
     made = {} if made is None else made
+    if name not in made and isinstance(REGISTRY.get(name), Computed):
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _LOOPS:
+            own = REGISTRY[name]
+            _LOOPS[key] = own(**{k: build(spark, sf_dir, k, made) for k in own.inputs})
+        made[name] = _LOOPS[key]
     if name not in made:
         if name in TABLES:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         else:
             own = REGISTRY[name]
-            made[name] = own(**{k: build(spark, sf_dir, k, made) for k in own.inputs})
+            made[name] = own(**{k: build(spark, sf_dir, k, made) for k in own.inputs}) if own.inputs else spark.sql(expanded(own.sql, 0))
     return made[name]
 
 
@@ -130,4 +183,7 @@ def oracle(name: str) -> str:
 
     visit(name)
     ctes = ",\n".join(f"{k} AS ({REGISTRY[k].duckdb()})" for k in order[:-1])
-    return (f"WITH {ctes}\n" if ctes else "") + REGISTRY[name].duckdb()
+    own = REGISTRY[name].duckdb()
+    if ctes and own.startswith("WITH"):
+        own = f"SELECT * FROM ({own}) q"
+    return (f"WITH {ctes}\n" if ctes else "") + own

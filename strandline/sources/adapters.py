@@ -58,11 +58,7 @@ define(
     "The first five distinct words of four letters or more of a post that two posts have: id, author, ts, lang, tag.",
     """
 SELECT id, author, ts, lang, tag FROM (
-  SELECT w.*, row_number() OVER (PARTITION BY w.id ORDER BY w.pos, w.tag) AS rn FROM (
-    SELECT p.id, p.author, p.ts, p.lang, lower(e.x) AS tag, min(e.pos) AS pos
-    FROM {posts} p, @each_at(@extract_all(p.text, '[A-Za-z]{4,}'), e) GROUP BY p.id, p.author, p.ts, p.lang, lower(e.x)) w
-  JOIN (SELECT tag FROM (SELECT DISTINCT p.id, lower(e.x) AS tag FROM {posts} p, @each_at(@extract_all(p.text, '[A-Za-z]{4,}'), e)) d GROUP BY tag HAVING count(*) >= 2) t
-  ON w.tag = t.tag) r WHERE rn <= 5""",
+  SELECT w.*, row_number() OVER (PARTITION BY w.id ORDER BY w.pos, w.tag) AS rn FROM {post_words} w JOIN (SELECT tag FROM {post_words} GROUP BY tag HAVING count(*) >= 2) t ON w.tag = t.tag) r WHERE rn <= 5""",
 )
 define(
     "links",
@@ -86,25 +82,90 @@ define(
     "SELECT o_custkey % 12 AS relay, o_orderstatus <> 'F' AS ok, CAST(floor(o_totalprice) AS BIGINT) % 3000 AS latency_ms, o_orderdate AS ts FROM {orders}",
 )
 define("edges", "Thread edges of notes: child, parent, child_at, author.", "SELECT c.id AS child, p.id AS parent, c.ts AS child_at, c.pubkey AS author FROM {notes} c JOIN {notes} p ON c.target = p.id WHERE c.id <> p.id")
+define("windows", "Windows of rankings, in days.", "SELECT 1 AS days UNION ALL SELECT 7 UNION ALL SELECT 30")
 define(
     "tags",
-    "Tags of notes, one row each: event_id, pubkey, ts, k, idx, name, value, hint, marker. A tag's place in its event is idx.",
+    "Tags of notes, one row each: event_id, pubkey, created_at, ts, k, idx, name, value, hint (third value), marker (fourth). A tag's place in its event is idx.",
     """
 SELECT * FROM (SELECT e.id AS event_id, e.pubkey, e.created_at, e.ts, e.k, g.idx,
   CASE WHEN g.idx <= 1 THEN 'e' WHEN g.idx = 2 AND e.k % 2 = 0 THEN 'e' WHEN g.idx = 3 THEN 'p' WHEN g.idx = 4 AND e.k % 5 = 0 THEN 'q' WHEN g.idx = 5 THEN 't' WHEN g.idx = 6 AND e.k % 4 > 0 THEN 'client'
-    WHEN g.idx = 7 AND e.k % 13 = 0 THEN 'expiration' WHEN g.idx = 8 AND e.k % 4 = 0 THEN 'a' WHEN g.idx = 9 AND e.k % 17 = 0 THEN 'content-warning' WHEN g.idx = 10 AND e.k % 3 = 0 THEN 'emoji' WHEN g.idx = 11 THEN 'l' END AS name,
+    WHEN g.idx = 7 AND e.k % 13 = 0 THEN 'expiration' WHEN g.idx = 8 AND e.k % 4 = 0 THEN 'a' WHEN g.idx = 9 AND e.k % 17 = 0 THEN 'content-warning' WHEN g.idx = 10 AND e.k % 3 = 0 THEN 'emoji' WHEN g.idx = 11 THEN 'l'
+    WHEN g.idx = 12 AND e.k % 12 = 1 THEN 'E' WHEN g.idx = 12 AND e.k % 12 = 7 THEN 'A' WHEN g.idx = 13 AND e.k % 10 = 3 THEN 'proxy' WHEN g.idx = 14 AND e.k % 8 = 5 THEN 'nonce' WHEN g.idx = 15 AND e.k % 6 = 1 THEN 'k'
+    WHEN g.idx = 16 AND e.k % 14 = 2 THEN 'subject' WHEN g.idx = 17 AND e.k % 15 = 4 THEN 'alt' WHEN g.idx = 18 AND e.k % 16 = 6 THEN 'published_at' WHEN g.idx IN (19, 20) AND e.k % 11 = 0 THEN 'zap' WHEN g.idx = 21 AND e.k % 3 < 2 THEN 'L'
+    WHEN g.idx IN (22, 23, 24) AND e.k % 7 = 0 THEN 'i' WHEN g.idx = 25 AND e.k % 9 = 0 THEN 'url' WHEN g.idx = 26 AND e.k % 9 = 0 THEN 'm' WHEN g.idx = 27 AND e.k % 9 = 0 THEN 'size' WHEN g.idx = 28 AND e.k % 9 = 0 THEN 'x'
+    WHEN g.idx = 29 AND e.k % 21 = 0 THEN 'lang' WHEN g.idx = 30 THEN 't' END AS name,
   CASE g.idx WHEN 0 THEN @str(e.target) WHEN 1 THEN @str(greatest(e.target - e.k % 7, 0)) WHEN 2 THEN @str(greatest(e.target - e.k % 11, 0)) WHEN 3 THEN @str((e.pubkey * 7 + e.k) % 150)
     WHEN 4 THEN CASE WHEN e.k % 10 = 0 THEN concat('30023:', @str(e.pubkey), ':post') ELSE @str(e.target) END WHEN 5 THEN concat('#Tag', @str(e.k % 9)) WHEN 6 THEN concat('App ', @str(e.k % 8))
-    WHEN 7 THEN @str(e.created_at + e.k * 3600) WHEN 8 THEN concat('30023:', @str(e.pubkey), ':d', @str(e.k % 5)) WHEN 9 THEN 'reason' WHEN 10 THEN concat(':name', @str(e.k % 12), ':') ELSE concat('label', @str(e.k % 6)) END AS value,
-  concat('WSS://Relay', @str(e.k % 12), '.Example.com:443/') AS hint,
+    WHEN 7 THEN @str(e.created_at + e.k * 3600) WHEN 8 THEN concat('30023:', @str(e.pubkey), ':d', @str(e.k % 5)) WHEN 9 THEN 'reason' WHEN 10 THEN concat(':name', @str(e.k % 12), ':')
+    WHEN 11 THEN CASE WHEN e.k % 3 = 2 THEN CASE WHEN e.k % 2 = 0 THEN 'de' ELSE 'EN ' END ELSE concat('label', @str(e.k % 6)) END
+    WHEN 12 THEN CASE WHEN e.k % 12 = 1 THEN @str(greatest(e.target - e.k % 5, 0)) ELSE concat('30023:', @str(e.k % 40), ':d', @str(e.k % 3)) END WHEN 13 THEN concat('https://bridge.example/', @str(e.id)) WHEN 14 THEN @str(e.k * 17)
+    WHEN 15 THEN CASE WHEN e.k % 12 = 1 THEN '1' ELSE '30023' END WHEN 16 THEN concat(' Subject ', @str(e.k % 4)) WHEN 17 THEN 'a picture' WHEN 18 THEN @str(e.created_at - 86400) WHEN 21 THEN 'ugc'
+    WHEN 22 THEN concat('GitHub:user', @str(e.pubkey % 30)) WHEN 23 THEN concat('mastodon:m.example/@u', @str(e.pubkey % 50)) WHEN 24 THEN concat('github:other', @str(e.k)) WHEN 25 THEN concat('https://files.example/', @str(e.k % 23), '.jpg')
+    WHEN 26 THEN CASE WHEN e.k % 2 = 0 THEN 'image/jpeg' ELSE 'Video/MP4' END WHEN 27 THEN CASE WHEN e.k % 4 = 0 THEN 'unknown' ELSE @str(e.k * 1000) END WHEN 28 THEN @sha256(@str(e.k % 23)) WHEN 29 THEN 'fr'
+    WHEN 30 THEN CASE e.k % 4 WHEN 0 THEN concat('tag', @str(e.k % 9)) WHEN 1 THEN '2024' WHEN 2 THEN 'two words' ELSE concat('##TAG', @str(e.k % 5)) END ELSE @str((e.pubkey + g.idx) % 150) END AS value,
+  CASE WHEN g.idx = 11 THEN CASE WHEN e.k % 3 = 2 THEN 'ISO-639-1' ELSE '' END WHEN g.idx = 13 THEN CASE e.k % 3 WHEN 0 THEN 'activitypub' WHEN 1 THEN 'rss' ELSE 'web' END WHEN g.idx = 14 THEN @str(e.k % 12)
+    WHEN g.idx IN (0, 1, 2, 3) THEN CASE e.k % 16 WHEN 3 THEN 'ws://localhost:7000' WHEN 5 THEN 'wss://192.168.1.9/' WHEN 7 THEN 'https://relay.example.com' WHEN 9 THEN concat('wss://relay', @str(e.k % 3), '.example.com/inbox/') ELSE concat('WSS://Relay', @str(e.k % 12), '.Example.com:443/') END ELSE '' END AS hint,
   CASE WHEN g.idx = 0 THEN CASE e.k % 4 WHEN 0 THEN 'ROOT' WHEN 2 THEN 'reply' ELSE '' END WHEN g.idx = 1 THEN CASE e.k % 3 WHEN 0 THEN 'reply' WHEN 2 THEN 'mention' ELSE '' END ELSE '' END AS marker
-  FROM {ev} e CROSS JOIN (SELECT @grid(0, 11) AS idx) g WHERE e.kind = 1) t WHERE name IS NOT NULL""",
+  FROM {ev} e CROSS JOIN (SELECT @grid(0, 30) AS idx) g WHERE e.kind = 1) t WHERE name IS NOT NULL""",
 )
 define(
     "profiles",
     "Profile documents of customers: pubkey, doc (JSON), updated_at.",
     """
-SELECT c_custkey AS pubkey, concat('{"name": "', c_name, '", "nip05": "', lower(c_mktsegment), '@Example', @str(c_nationkey), '.com", "website": "https://www.site', @str(c_custkey % 40), '.org/x", "bot": ', CASE WHEN c_custkey % 20 = 0 THEN 'true' ELSE 'false' END, '}') AS doc
-FROM {customer}""",
+SELECT c_custkey AS pubkey, concat('{"name": "', c_name, '", "display_name": "', CASE WHEN c_custkey % 9 = 0 THEN 'RSS Feed' ELSE '' END, '", "nip05": "', lower(c_mktsegment), '@Example', @str(c_nationkey), '.com", "lud16": "User', @str(c_custkey % 700), '@Pay', @str(c_custkey % 7), '.Example", "website": "https://www.site', @str(c_custkey % 40), '.org/x", "bot": ', CASE WHEN c_custkey % 20 = 0 THEN 'true' ELSE 'false' END, '}') AS doc,
+  @seconds_before(@time(2024-01-31 00:00:00), c_custkey * 977) AS updated_at
+FROM {customer} UNION ALL SELECT c_custkey, concat('{"name": "old ', c_name, '", "nip05": "", "website": ""}'), @seconds_before(@time(2024-01-31 00:00:00), c_custkey * 977 + 86400) FROM {customer} WHERE c_custkey % 3 = 0""",
 )
 define("relay_lists", "Relays that each customer lists: pubkey, relay.", "SELECT DISTINCT o.o_custkey AS pubkey, s.relay FROM {sightings} s JOIN {orders} o ON s.event_id = o.o_orderkey WHERE o.o_orderpriority LIKE '1%' OR o.o_orderpriority LIKE '2%'")
+define(
+    "settings",
+    "Parameters of a run, one row: hops of trust, floor of trusted followers of a large account, weight of the untrusted, days of new followers, size of an author's list.",
+    "SELECT 2 AS max_hops, 12 AS large_floor, 1e-1 AS untrusted, 7 AS new_days, 20 AS recent_cap, 5e-1 AS cohort_share",
+)
+define(
+    "states",
+    "Replaceable and addressable events and deletions of users: id, pubkey, created_at, ts, kind, d, n (number of items).",
+    """
+SELECT id, pubkey, created_at, ts, kind, CASE WHEN kind >= 30000 THEN concat('d', @str(id % 3)) ELSE '' END AS d, id % 9 AS n FROM (
+  SELECT id, pubkey, created_at, ts, CASE k % 13 WHEN 0 THEN 0 WHEN 1 THEN 10000 WHEN 2 THEN 10001 WHEN 3 THEN 10002 WHEN 4 THEN 10003 WHEN 5 THEN 10015 WHEN 6 THEN 10050 WHEN 7 THEN 30023 WHEN 8 THEN 30315 WHEN 9 THEN 30000 WHEN 10 THEN 5 ELSE 3 END AS kind
+  FROM {ev} WHERE kind IN (0, 6, 7, 1984)) e""",
+)
+define(
+    "state_items",
+    "Items of those events' lists, one row a tag: event_id, pubkey, kind, d, created_at, idx, name, value, third.",
+    """
+SELECT s.id AS event_id, s.pubkey, s.kind, s.d, s.created_at, g.idx,
+  CASE WHEN s.kind IN (3, 30000) THEN 'p' WHEN s.kind = 10000 THEN CASE g.idx % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'word' ELSE 'e' END WHEN s.kind = 10002 THEN 'r' WHEN s.kind = 10015 THEN 't' WHEN s.kind = 10050 THEN 'relay'
+    WHEN s.kind IN (10003, 5) AND g.idx % 4 = 3 THEN 'a' ELSE 'e' END AS name,
+  CASE WHEN s.kind IN (3, 30000) THEN @str((s.pubkey * 7 + g.idx * 13 + s.id % 2) % 150 + 1) WHEN s.kind = 10000 THEN CASE g.idx % 3 WHEN 0 THEN @str((s.pubkey * 3 + g.idx) % 150 + 1) WHEN 1 THEN concat('word', @str(s.id % 6)) ELSE @str(s.id - g.idx) END
+    WHEN s.kind = 10002 THEN CASE WHEN g.idx = 4 THEN 'not a relay' ELSE concat('wss://relay', @str((s.pubkey + g.idx * g.idx) % 12), '.example.com/') END WHEN s.kind = 10015 THEN concat('Tag', @str((s.pubkey + g.idx) % 9)) WHEN s.kind = 10050 THEN concat('wss://relay', @str((s.pubkey + g.idx) % 12), '.example.com')
+    WHEN s.kind IN (10003, 5) AND g.idx % 4 = 3 THEN concat('30023:', @str(s.pubkey), ':d', @str(s.id % 3)) WHEN s.kind = 5 THEN @str(s.id - g.idx * 2 - 1) ELSE @str(greatest(s.id - g.idx * 5, 1)) END AS value,
+  CASE WHEN s.kind = 10002 THEN CASE g.idx % 3 WHEN 0 THEN '' WHEN 1 THEN 'read' ELSE 'write' END ELSE '' END AS third
+FROM {states} s CROSS JOIN (SELECT @grid(0, 8) AS idx) g WHERE g.idx < s.n""",
+)
+define(
+    "receipts",
+    "Payment receipts with what their tags hold: source_id, receipt_key, target_id, author, created_at, amount, description, invoice, p_tag.",
+    """
+SELECT source_id, actor AS receipt_key, target_id, author, created_at, CASE k % 4 WHEN 0 THEN @str(sats * 1000 + k % 1000) WHEN 1 THEN '-5' ELSE '' END AS amount,
+  CASE k % 5 WHEN 0 THEN concat('{"pubkey": "', @str(actor), '", "tags": [["p", "1"], ["amount", "', @str(sats * 1000 + 500), '"]]}') WHEN 1 THEN '{"pubkey": "nobody", "tags": []}' WHEN 2 THEN 'no json' ELSE '' END AS description,
+  concat(CASE k % 3 WHEN 0 THEN 'lnbc' WHEN 1 THEN 'LNTB' ELSE 'lnbcrt' END, CASE WHEN k % 17 = 3 THEN '' ELSE @str(k * 2345 + 1) END, CASE source_id % 5 WHEN 0 THEN 'm' WHEN 1 THEN 'u' WHEN 2 THEN 'n' WHEN 3 THEN 'p' ELSE '' END, '1pdata') AS invoice,
+  CASE WHEN k % 3 = 1 THEN @str(actor + 1) ELSE '' END AS p_tag FROM {acts} WHERE relation = 'zap'""",
+)
+define(
+    "replies",
+    "Replies with text: id, target_id, author (the target's), actor, created_at, text.",
+    """
+SELECT e.id, e.target - e.target % 25 AS target_id, (e.target - e.target % 25) % 150 + 1 AS author, e.pubkey AS actor, e.created_at,
+  CASE e.k % 12 WHEN 0 THEN 'GM!' WHEN 1 THEN 'Good morning, friend' WHEN 2 THEN 'nice one here' WHEN 3 THEN 'nice one there' WHEN 4 THEN 'great catch' WHEN 5 THEN 'great catchh' WHEN 6 THEN concat('I do not think that point ', @str(e.k), ' of the note holds for long')
+    WHEN 7 THEN 'the same long sentence that several people copied into their answers' WHEN 8 THEN 'https://files.example/a.png' WHEN 9 THEN 'gm now is coffee time in the whole wide world of ours' WHEN 10 THEN concat('thanks ', @str(e.k % 7)) ELSE '' END AS text
+FROM {ev} e WHERE e.kind IN (1, 7)""",
+)
+define("blocked", "Authors that the operators block: pubkey.", "SELECT c_custkey AS pubkey FROM {customer} WHERE c_acctbal < -700")
+define("seed_config", "Seeds as the configuration lists them: pubkey, as text.", "SELECT concat(' ', @str(c_custkey), ' ') AS pubkey FROM {customer} WHERE c_custkey <= 150 AND c_acctbal > 9200 UNION ALL SELECT @str(c_custkey) FROM {customer} WHERE c_custkey <= 12 UNION ALL SELECT ''")
+define("seed_before", "Seeds of the last run: pubkey, active.", "SELECT c_custkey AS pubkey, c_custkey % 2 = 0 AS active FROM {customer} WHERE c_custkey <= 30")
+define(
+    "post_words",
+    "Distinct words of four letters or more of posts, in lower case, with their first place: id, author, ts, lang, tag, pos.",
+    "SELECT p.id, p.author, p.ts, p.lang, lower(e.x) AS tag, min(e.pos) AS pos FROM {posts} p, @each_at(@extract_all(p.text, '[A-Za-z]{4,}'), e) GROUP BY p.id, p.author, p.ts, p.lang, lower(e.x)",
+)

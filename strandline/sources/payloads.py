@@ -22,9 +22,12 @@ EVENT = T.StructType(
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """relay_url and payload (text) of newline-delimited {relay_url, payload} files under path; blank lines are skipped."""
+    """relay_url, payload (text) and file of newline-delimited {relay_url, payload} files under path; blank lines are skipped.
+
+    Files in the order of their names are what a replay reads; Spark reads them side by side, so order by file where that matters.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
-    return lines.select(F.get_json_object("value", "$.relay_url").alias("relay_url"), F.coalesce(F.get_json_object("value", "$.payload"), F.col("value")).alias("payload"))
+    return lines.select(F.get_json_object("value", "$.relay_url").alias("relay_url"), F.coalesce(F.get_json_object("value", "$.payload"), F.col("value")).alias("payload"), F.col("_metadata.file_path").alias("file"))
 
 
 def canonical_id(e: Column) -> Column:
@@ -61,10 +64,11 @@ def validate_events(raw: DataFrame) -> DataFrame:
         ("content_too_large", "content", F.octet_length(e["content"]) > MAX_CONTENT),
         ("control_characters", "content", e["content"].rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")),
     ]
-    code, stage = F, F
-    for name, at, fails in checks:
-        code, stage = code.when(fails, name), stage.when(fails, at)
-    return raw.withColumn("error_code", code.otherwise(F.lit(None).cast("string"))).withColumn("error_stage", stage.otherwise(F.lit(None).cast("string"))).drop("__keys")
+    verdict = F
+    for name, at, fails in checks:  # one chain, so that no check runs twice
+        verdict = verdict.when(fails, F.struct(F.lit(name).alias("code"), F.lit(at).alias("stage")))
+    raw = raw.withColumn("__verdict", verdict.otherwise(F.lit(None)))
+    return raw.withColumn("error_code", F.col("__verdict.code")).withColumn("error_stage", F.col("__verdict.stage")).drop("__keys", "__verdict")
 
 
 def quarantine(validated: DataFrame) -> DataFrame:
@@ -83,7 +87,8 @@ def payloads_of(events: DataFrame) -> DataFrame:
     tags = F.array(F.array(F.lit("e"), hexed(F.lit("target"))), F.array(F.lit("t"), F.col("event_type")))
     content = F.when(n == 9, F.lit("a\u0001b")).otherwise(F.concat(F.lit("é says \"hi\" \\ "), F.col("event_type")))
     e = F.struct(F.sha2(F.col("user_id").cast("string"), 256).alias("pubkey"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"), F.when(n == 7, 70000).otherwise(kind).alias("kind"), tags.alias("tags"), content.alias("content"))
-    out = events.select("event_id", n.alias("n"), F.concat(F.lit("wss://relay"), (F.col("user_id") % 12).cast("string")).alias("relay_url"), e.alias("e"))
+    rest = [c for c in ("again",) if c in events.columns]
+    out = events.select("event_id", *rest, n.alias("n"), F.concat(F.lit("wss://relay"), (F.col("user_id") % 12).cast("string")).alias("relay_url"), e.alias("e"))
     made = canonical_id(F.col("e"))
     fields = F.struct(F.when(F.col("n") == 8, F.sha2(made, 256)).otherwise(made).alias("id"), "e.*", F.concat(F.when(F.col("n") == 6, F.lit("X")).otherwise(F.lit("a")), F.repeat(F.lit("b"), 127)).alias("sig"))
     good = F.to_json(fields)
@@ -95,7 +100,7 @@ def payloads_of(events: DataFrame) -> DataFrame:
         .when(F.col("n") == 5, F.regexp_replace("good", r'"kind":(\d+)', r'"kind":"$1"'))
         .otherwise(F.col("good"))
     )
-    return out.withColumn("good", good).select("event_id", "relay_url", payload.alias("payload"))
+    return out.withColumn("good", good).select("event_id", "relay_url", payload.alias("payload"), *rest)
 
 
 def _validate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +111,27 @@ def _stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_stats(validate_events(payloads_of(spark.read.parquet(f"{sf_dir}/events.parquet"))))
 
 
+def _quarantine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine(validate_events(payloads_of(spark.read.parquet(f"{sf_dir}/events.parquet")))).select("event_id", "relay_url", "error_code")
+
+
+def _fixture_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads written as files of lines and read back, by relay."""
+    from ..streaming.jobs import folder
+
+    path = folder(spark, "ndjson")
+    lines = payloads_of(spark.read.parquet(f"{sf_dir}/events.parquet")).where("payload <> '[1]'").select(F.to_json(F.struct("relay_url", "payload")).alias("value"))
+    lines.union(spark.createDataFrame([("",), ("  ",)], "value string")).repartition(3).write.text(path)
+    found = read_payloads(spark, path)
+    return found.groupBy("relay_url").agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("file") <= 3).alias("in_files"))
+
+
 _EXPECTED = """
 SELECT event_id, CASE n WHEN 1 THEN 'empty' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'not_object' WHEN 4 THEN 'missing_field' WHEN 5 THEN 'field_type' WHEN 6 THEN 'field_format'
   WHEN 7 THEN 'field_range' WHEN 8 THEN 'id_mismatch' WHEN 9 THEN 'control_characters' END AS error_code,
   CASE WHEN n = 1 THEN 'envelope' WHEN n IN (2, 3) THEN 'json' WHEN n IN (4, 5) THEN 'fields' WHEN n IN (6, 7) THEN 'format' WHEN n = 8 THEN 'hash' WHEN n = 9 THEN 'content' END AS error_stage
 FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20 AS n FROM events) e"""
-QUERIES = {"ingest_validate": _validate_query, "ingest_invalid_stats": _stats_query}
-ORACLES = {"ingest_validate": _EXPECTED, "ingest_invalid_stats": f"SELECT error_code, error_stage, count(*) AS n FROM ({_EXPECTED}) x WHERE error_code IS NOT NULL GROUP BY error_code, error_stage"}
+QUERIES = {"ingest_quarantine": _quarantine_query, "src_ndjson_fixture": _fixture_query, "ingest_validate": _validate_query, "ingest_invalid_stats": _stats_query}
+_RELAY = "SELECT event_id, concat('wss://relay', CAST(user_id % 12 AS VARCHAR)) AS relay_url, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20 AS n FROM events"
+ORACLES = {"ingest_quarantine": f"SELECT x.event_id, r.relay_url, x.error_code FROM ({_EXPECTED}) x JOIN ({_RELAY}) r ON x.event_id = r.event_id WHERE x.error_code IS NOT NULL",
+    "src_ndjson_fixture": f"SELECT relay_url, count(*) AS n, true AS in_files FROM ({_RELAY}) r WHERE n <> 3 GROUP BY relay_url", "ingest_validate": _EXPECTED, "ingest_invalid_stats": f"SELECT error_code, error_stage, count(*) AS n FROM ({_EXPECTED}) x WHERE error_code IS NOT NULL GROUP BY error_code, error_stage"}

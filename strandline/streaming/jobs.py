@@ -1,23 +1,36 @@
-"""Structured Streaming jobs. Each takes a streaming frame and a folder; the queries run them over the driver's files to the end."""
+"""Structured Streaming jobs. Each takes a streaming frame and a folder; the queries run them over the driver's files to the end.
+
+The queries' fixtures are the driver's events in several files, one a batch, with what the jobs are there for: repeats in later
+batches, parents that come after their children, and retractions.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.payloads import payloads_of, validate_events
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, or in one made here where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandline-')}"
+    """A new folder in spark.checkpoint.dir, which must be set: driver and executors share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def start(stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
     """Each batch to out/batch=<id>, written anew if the batch runs again: so every row counts once."""
 
@@ -27,14 +40,26 @@ def start(stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
     return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").foreachBatch(write).trigger(availableNow=True).start()
 
 
-def ingest(raw: DataFrame, out: str) -> StreamingQuery:
-    """Raw payloads (relay_url, payload) to out/events, out/quarantine and out/sightings; ids are dropped that the batch repeats."""
+def ingest(raw: DataFrame, out: str, blocked: DataFrame | None = None) -> StreamingQuery:
+    """Raw payloads (relay_url, payload) to out/events, out/quarantine and out/sightings.
+
+    blocked: pubkeys whose events don't pass the gate. An event is stored once: ids are dropped that the batch repeats, and those
+    that earlier batches stored on the same day of their own time, so only those days' files are read. Sightings of every
+    accepted event are kept, by relay. A batch that runs again replaces what it wrote.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         found = validate_events(batch).persist()
-        good = found.where("error_code is null")
-        good.select("e.*").dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
-        good.select(F.col("e.id").alias("event_id"), "relay_url").distinct().write.mode("overwrite").parquet(f"{out}/sightings/batch={batch_id}")
+        good = found.where("error_code is null").select("relay_url", "e.*")
+        if blocked is not None:
+            good = good.join(blocked, "pubkey", "left_anti")
+        new = good.drop("relay_url").dropDuplicates(["id"]).withColumn("day", F.to_date(F.timestamp_seconds("created_at")))
+        if batch_id > 0 and exists(spark, f"{out}/events"):
+            known = spark.read.parquet(f"{out}/events").where(F.col("batch") != batch_id).select("id", "day")
+            new = new.join(known, ["id", "day"], "left_anti")
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(f"{out}/events")
+        good.select(F.col("id").alias("event_id"), "relay_url").distinct().write.mode("overwrite").parquet(f"{out}/sightings/batch={batch_id}")
         found.where("error_code is not null").select("relay_url", "payload", "error_code", "error_stage").write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
         found.unpersist()
 
@@ -42,7 +67,7 @@ def ingest(raw: DataFrame, out: str) -> StreamingQuery:
 
 
 def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The first of the rows of an event_id that come within delay of each other by ts."""
+    """The first of the rows of an event_id that come within delay of each other by ts, over batches."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -52,34 +77,106 @@ def tumbling(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return hours.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("window.start").alias("hour"), "event_type", "n", "value")
 
 
-def sliding(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events of the last 24 hours by type, every 6 hours."""
-    days = events.withWatermark("ts", delay).groupBy(F.window("ts", "24 hours", "6 hours"), "event_type")
+def sliding(events: DataFrame, delay: str = "1 hour", size: str = "24 hours", step: str = "1 hour") -> DataFrame:
+    """Events of the last size by type, every step."""
+    days = events.withWatermark("ts", delay).groupBy(F.window("ts", size, step), "event_type")
     return days.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("since"), "event_type", "n")
 
 
+def sliding_week(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    return sliding(events, delay, "7 days", "1 day")
+
+
+def within_budget(events: DataFrame, per_hour: int = 3, keep_hours: int = 48) -> DataFrame:
+    """event_id, user_id, ts of the first per_hour events of each recipient (user_id) and hour, in order of arrival, then of time.
+
+    The state of a recipient is how many each of its last keep_hours hours has let through, so it doesn't grow with the stream.
+    """
+
+    def accept(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hours, counts = (list(x) for x in state.get) if state.exists else ([], [])
+        taken = dict(zip(hours, counts, strict=True))
+        for rows in chunks:
+            rows = rows.sort_values(["ts", "event_id"])
+            keep = []
+            for hour in rows["ts"].astype("int64") // 3_600_000_000_000 if str(rows["ts"].dtype).startswith("datetime64[ns") else rows["ts"].astype("datetime64[ns]").astype("int64") // 3_600_000_000_000:
+                keep.append(taken.get(hour, 0) < per_hour)
+                taken[hour] = min(per_hour, taken.get(hour, 0) + 1)
+            yield rows[keep][["event_id", "user_id", "ts"]]
+        last = sorted(taken)[-keep_hours:]
+        state.update(([int(h) for h in last], [int(taken[h]) for h in last]))
+
+    rows = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return rows.groupBy("user_id").applyInPandasWithState(accept, "event_id long, user_id long, ts timestamp_ntz", "hours array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def repaired(notes: DataFrame, delay: str = "60 days") -> DataFrame:
+    """child, parent, late of the references of notes (id, parent, ts, arrival) whose parent arrives, before or after the child.
+
+    Two streams of the same notes meet on the parent's id; each side waits for the other for delay of event time.
+    """
+    children = notes.where("parent is not null").withWatermark("ts", delay).select(F.col("id").alias("child"), "parent", F.col("ts").alias("child_ts"), F.col("arrival").alias("child_arrival"))
+    parents = notes.withWatermark("ts", delay).select(F.col("id").alias("known"), F.col("ts").alias("parent_ts"), F.col("arrival").alias("parent_arrival"))
+    meet = (F.col("parent") == F.col("known")) & F.expr(f"child_ts >= parent_ts - INTERVAL {delay} AND child_ts <= parent_ts + INTERVAL {delay}")
+    return children.join(parents, meet).select("child", "parent", (F.col("parent_arrival") > F.col("child_arrival")).alias("late"))
+
+
 def increments(events: DataFrame) -> DataFrame:
-    """A batch's additions to the counters of users: rows to be summed over batches, so that a batch counts once and can be taken back."""
-    return events.select("user_id", F.lit(1).cast("long").alias("events"), F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 100)).otherwise(0).cast("long").alias("sats"))
+    """A batch's additions to the counters of users: rows to be summed over batches, so that a batch counts once. Rows of sign -1
+    take an event back."""
+    sats: Column = F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 100)).otherwise(0).cast("long")
+    return events.select("user_id", F.col("sign").cast("long").alias("events"), (F.col("sign") * sats).alias("sats"))
+
+
+def recount_dirty(events: DataFrame, stored: str, out: str) -> StreamingQuery:
+    """Per batch: append its events to stored, and write the counters of the users that it touches, counted anew from their events only.
 
+    out holds user_id, events, last_at and the batch; a user's newest batch is its counter.
+    """
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("event_id", "user_id", "ts").write.mode("overwrite").parquet(f"{stored}/batch={batch_id}")
+        dirty = batch.select("user_id").distinct()
+        all_ = batch.sparkSession.read.parquet(stored).join(dirty, "user_id", "left_semi")
+        counted = all_.groupBy("user_id").agg(F.countDistinct("event_id").alias("events"), F.max("ts").alias("last_at"))
+        counted.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return events.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(write).trigger(availableNow=True).start()
+
+
+# the queries over the driver's events
+FILES = 3
+
+
+def _batches(spark: SparkSession, rows: DataFrame, arrival: Column) -> DataFrame:
+    """A stream of rows, one file a batch, in the order of arrival (0 to FILES - 1)."""
+    path = folder(spark, "files")
+    rows = rows.withColumn("arrival", arrival.cast("int"))
+    for k in range(FILES):  # file times must differ in order
+        rows.where(F.col("arrival") == k).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    schema = spark.read.parquet(f"{path}/0").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern may be a file; a path must be a folder
+def _by_time(spark: SparkSession, rows: DataFrame) -> Column:
+    """Thirds of the time that rows cover."""
+    a, b = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()  # two numbers
+    return F.least(F.floor((F.unix_timestamp("ts") - a) * FILES / F.lit(b - a + 1)), F.lit(FILES - 1))
 
 
-def _ended(query: StreamingQuery) -> None:
-    query.awaitTermination()
+def _in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return _batches(spark, rows, _by_time(spark, rows))
 
 
 def _query(job, mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = folder(spark, job.__name__)
-        _ended(start(job(_events(spark, sf_dir)), out, mode))
+        start(job(_in_time(spark, sf_dir)), out, mode).awaitTermination()
         return spark.read.parquet(out).drop("batch")
 
     return run
@@ -88,7 +185,7 @@ def _query(job, mode: str):
 def _last_batch(job):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = folder(spark, job.__name__)
-        _ended(start(job(_events(spark, sf_dir)), out, "complete"))
+        start(job(_in_time(spark, sf_dir)), out, "complete").awaitTermination()
         found = spark.read.parquet(out)
         last = found.agg(F.max("batch").alias("last"))  # one row
         return found.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("batch", "last")
@@ -98,30 +195,87 @@ def _last_batch(job):
 
 def _ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "ingest")
-    raw = payloads_of(_stream(spark, sf_dir)).select("relay_url", "payload")
-    _ended(ingest(raw, out))
+    rows = _rows(spark, sf_dir)
+    again = rows.where("event_id % 5 = 0").withColumn("again", F.lit(1))  # seen once more, a batch later, at another relay
+    both = rows.withColumn("again", F.lit(0)).union(again)
+    payloads = payloads_of(both.select("event_id", "user_id", "event_type", "props", F.col("ts"), "again")).withColumn("again", F.col("again"))
+    payloads = payloads.withColumn("relay_url", F.when(F.col("again") == 1, "wss://second").otherwise(F.col("relay_url")))
+    raw = _batches(spark, payloads.select("relay_url", "payload", "event_id", "again"), (F.col("event_id") + F.col("again")) % FILES)
+    blocked = rows.where("user_id % 10 = 0").select(F.sha2(F.col("user_id").cast("string"), 256).alias("pubkey")).distinct()
+    ingest(raw.select("relay_url", "payload"), out, blocked).awaitTermination()
     parts = [spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("part"), key.alias("key")) for name, key in (("events", F.lit("")), ("sightings", F.lit("")), ("quarantine", F.col("error_code")))]
     return parts[0].union(parts[1]).union(parts[2]).groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    parts = _by_time(spark, rows)
+    # every third event comes twice in its batch, every fourth again in the next batch
+    both = rows.withColumn("shift", F.lit(0)).union(rows.where("event_id % 3 = 0").withColumn("shift", F.lit(0))).union(rows.where("event_id % 4 = 0").withColumn("shift", F.lit(1)))
+    out = folder(spark, "dedup")
+    stream = _batches(spark, both, F.least(parts + F.col("shift"), F.lit(FILES - 1)))
+    start(deduplicated(stream, "40 days"), out).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+
+
+def _budget_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = folder(spark, "budget")
+    start(within_budget(_in_time(spark, sf_dir), 2), out).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id")
+
+
+def _repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    notes = _rows(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(k % 3 > 0, F.col("event_id") - 1 - k % 20).alias("parent"), "ts")
+    out = folder(spark, "repair")
+    start(repaired(_batches(spark, notes, F.col("id") % FILES)), out).awaitTermination()
+    return spark.read.parquet(out).select("child", "parent", "late")
+
+
 def _counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _query(increments, "append")(spark, sf_dir).groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("sats").alias("sats"))
+    rows = _rows(spark, sf_dir)
+    parts = _by_time(spark, rows)
+    taken_back = rows.where("event_id % 7 = 0").withColumn("sign", F.lit(-1)).withColumn("shift", F.lit(1))
+    both = rows.withColumn("sign", F.lit(1)).withColumn("shift", F.lit(0)).union(taken_back)
+    out = folder(spark, "increments")
+    start(increments(_batches(spark, both, F.least(parts + F.col("shift"), F.lit(FILES - 1)))), out).awaitTermination()
+    return spark.read.parquet(out).groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("sats").alias("sats"))
+
+
+def _dirty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, stored = folder(spark, "dirty"), folder(spark, "stored")
+    recount_dirty(_in_time(spark, sf_dir), stored, out).awaitTermination()
+    newest = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("events", "last_at"), "batch").alias("c"))
+    return newest.select("user_id", "c.events", F.unix_timestamp("c.last_at").alias("last_at"))
 
 
 QUERIES = {
     "str_ingest": _ingest_query,
-    "str_dedup": lambda spark, sf_dir: _query(deduplicated, "append")(spark, sf_dir).select("event_id", "user_id", "event_type"),
+    "str_dedup": _dedup_query,
     "str_tumbling": _last_batch(tumbling),
     "str_sliding": _last_batch(sliding),
+    "str_sliding_week": _last_batch(sliding_week),
+    "str_recipient_state": _budget_query,
+    "str_late_repair": _repair_query,
     "str_incremental_counts": _counts_query,
+    "str_dirty_recount": _dirty_query,
 }
-_N = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20"
+_N = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 ORACLES = {
     "str_ingest": f"""
-SELECT part, key, count(*) AS n FROM (SELECT unnest(['events', 'sightings']) AS part, '' AS key FROM (SELECT {_N} AS n FROM events) e WHERE n NOT BETWEEN 1 AND 9
-UNION ALL SELECT 'quarantine', ['empty', 'invalid_json', 'not_object', 'missing_field', 'field_type', 'field_format', 'field_range', 'id_mismatch', 'control_characters'][n] FROM (SELECT {_N} AS n FROM events) e WHERE n BETWEEN 1 AND 9) u GROUP BY part, key""",
+WITH e AS (SELECT event_id, user_id, {_N} % 20 AS n, user_id % 10 = 0 AS blocked FROM events), s AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE event_id % 5 = 0)
+SELECT 'events' AS part, '' AS key, count(*) AS n FROM e WHERE n NOT BETWEEN 1 AND 9 AND NOT blocked
+UNION ALL SELECT 'sightings', '', count(*) FROM s WHERE n NOT BETWEEN 1 AND 9 AND NOT blocked
+UNION ALL SELECT 'quarantine', ['empty', 'invalid_json', 'not_object', 'missing_field', 'field_type', 'field_format', 'field_range', 'id_mismatch', 'control_characters'][n], count(*) FROM s WHERE n BETWEEN 1 AND 9 GROUP BY n""",
     "str_dedup": "SELECT event_id, user_id, event_type FROM events",
     "str_tumbling": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
-    "str_sliding": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') - to_hours(6 * k) AS since, event_type, count(*) AS n FROM events, range(4) AS r(k) GROUP BY 1, 2",
-    "str_incremental_counts": "SELECT user_id, count(*) AS events, CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS sats FROM events GROUP BY user_id",
+    "str_sliding": "SELECT date_trunc('hour', ts)::TIMESTAMP - to_hours(k) AS since, event_type, count(*) AS n FROM events, range(24) AS r(k) GROUP BY 1, 2",
+    "str_sliding_week": "SELECT date_trunc('day', ts)::TIMESTAMP - to_days(k::INT) AS since, event_type, count(*) AS n FROM events, range(7) AS r(k) GROUP BY 1, 2",
+    "str_recipient_state": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) r WHERE rn <= 2",
+    "str_late_repair": f"""
+SELECT c.event_id AS child, p.event_id AS parent, p.event_id % 3 > c.event_id % 3 AS late FROM (SELECT event_id, event_id - 1 - {_N} % 20 AS target FROM events WHERE {_N} % 3 > 0) c JOIN events p ON c.target = p.event_id""",
+    "str_incremental_counts": """
+SELECT user_id, CAST(sum(sign) AS BIGINT) AS events, CAST(sum(sign * CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS sats
+FROM (SELECT *, 1 AS sign FROM events UNION ALL SELECT *, -1 FROM events WHERE event_id % 7 = 0) e GROUP BY user_id""",
+    "str_dirty_recount": "SELECT user_id, count(*) AS events, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_at FROM events GROUP BY user_id",
 }
