@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.folders import new_folder
 from ..plans.template import REGISTRY, define, define_computed
 from ..sources import adapters  # noqa: F401
 
@@ -15,15 +14,8 @@ CUT_EVERY = 2
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to a table in spark.checkpoint.dir and read back: cuts lineage and, unlike a checkpoint, computes df once.
-
-    spark.checkpoint.dir must be set, to a folder that driver and executors share.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
+    """df written to a table in spark.checkpoint.dir and read back: cuts lineage and, unlike a checkpoint, computes df once."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -179,7 +171,7 @@ SELECT c.follower AS viewer, c.followed AS node, 1e0 AS weight FROM {contacts} c
 
 
 def _trust_personalized(trust_merge_graph: DataFrame, viewers: DataFrame) -> DataFrame:
-    found = personalized(trust_merge_graph, viewers, 50).select("viewer", "node", F.round("score", 7).alias("score"))
+    found = personalized(trust_merge_graph, viewers, 50).select("viewer", "node", F.round("score", 5).alias("score"))
     return found
 
 
@@ -194,7 +186,7 @@ def _personalized_sql(rounds: int = ROUNDS, k: int = 50) -> str:
         got = f"(SELECT viewer, dst AS node, sum(score * share) AS got FROM e JOIN r{j} ON src = node GROUP BY viewer, dst)"
         back = f"(SELECT t.viewer, t.node, 0.15::DOUBLE * restart + 0.85::DOUBLE * coalesce(l.lost, 0) * restart AS back FROM t LEFT JOIN {lost} l ON t.viewer = l.viewer)"
         parts.append(f"r{j + 1} AS MATERIALIZED (SELECT viewer, node, 0.85::DOUBLE * coalesce(got, 0) + coalesce(back, 0) AS score FROM {got} g FULL OUTER JOIN {back} b USING (viewer, node))")
-    return "WITH " + ",\n".join(parts) + f"\nSELECT viewer, node, round(score, 7) AS score FROM (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY round(score, 10) DESC, node) AS rn FROM r{rounds}) x WHERE rn <= {k}"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT viewer, node, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY round(score, 10) DESC, node) AS rn FROM r{rounds}) x WHERE rn <= {k}"
 
 
 define_computed("trust_personalized", "The 50 best users for each viewer by walks that restart at the viewer and whom it follows.", ("trust_merge_graph", "viewers"), _trust_personalized, _personalized_sql())
