@@ -89,6 +89,29 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return out.reshape(-1, m)
 
 
+def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
+    """Signatures of non-empty sets, from slices of at most AT_ONCE elements: a set's is the least of its slices', place by place.
+
+    So a text of any length takes the memory of two slices.
+    """
+    out, group, owners, n = np.full((len(sets), m), np.inf), [], [], 0
+
+    def settle() -> None:
+        np.minimum.at(out, owners, super_minhash(group, m))
+
+    for i, s in enumerate(sets):
+        for at in range(0, len(s), AT_ONCE):
+            group.append(s[at : at + AT_ONCE])
+            owners.append(i)
+            n += len(group[-1])
+            if n >= AT_ONCE:
+                settle()
+                group, owners, n = [], [], 0
+    if group:
+        settle()
+    return out
+
+
 def _ids_and_sets(batch: pa.RecordBatch, width: int, known: dict) -> Iterator[tuple[list, list]]:
     """Ids and sets of a batch, some at a time, so that no more than AT_ONCE shingles (or one text's) are in memory."""
     ids, sets, n = [], [], 0
@@ -114,7 +137,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 keys: Iterator = iter(())
                 if full:
-                    signature = super_minhash(full, bands * rows).view(np.uint64).reshape(len(full), bands, rows)
+                    signature = signatures(full, bands * rows).view(np.uint64).reshape(len(full), bands, rows)
                     key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(full), 1))
                     for i in range(rows):
                         key = _mixed(key * _GOLDEN + signature[:, :, i])

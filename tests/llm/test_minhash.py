@@ -86,3 +86,16 @@ def test_signature_equals_the_definition_and_estimates():
 
 def test_shingles_of_long_text():
     assert len(shingles("x y " * 100_000, 3, {"x": 1}.__class__(zip([b"x", b"y"], [1, 2])))) == 2
+
+
+def test_long_sets_go_by_slices(monkeypatch):
+    import numpy as np
+
+    from strandline.llm import minhash
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 3, 49, 50, 51, 400, 2000, 7)]
+    whole = minhash.super_minhash(sets, 120)
+    for at_once in (10, 50, 5000):
+        monkeypatch.setattr(minhash, "AT_ONCE", at_once)
+        assert np.array_equal(minhash.signatures(sets, 120), whole)
