@@ -261,13 +261,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
        compared as well, inside tasks and by blocks (see across), so no pair of a bucket is left out.
 
     A third of all rows may be copies of one text: they are one class. Rows that repeat a doc_id with one text are alike in
-    every column; a doc_id with several texts is one node whose texts all count. An empty table gives no rows.
+    every column; a doc_id with several texts is one node whose texts all count. A row without doc_id joins the documents of
+    equal sets, and no others; where these have no doc_id either, its component_id is null and it is kept. An empty table
+    gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = written(sketches(docs, width, bands, rows), "sketches")
     classes = drawn.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     classes = written(classes, "classes")
-    members = written(classes.select("rep", "n", F.explode("buckets").alias("bucket")), "buckets")
+    members = written(classes.where("rep is not null").select("rep", "n", F.explode("buckets").alias("bucket")), "buckets")
     least = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("of")).where("of > 1")
     fits = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)
     stars = members.join(least, "bucket").where("rep > pivot.rep")

@@ -72,6 +72,13 @@ def test_empty_and_repeated_rows(spark):
     assert [r["component_id"] for r in found] == [5, 5, 5] and [r["kept"] for r in found].count(True) == 2
 
 
+def test_rows_without_id_take_no_links_from_others(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(base), ""), (7, " ".join(base[:198]), ""), (4, " ".join(base[1:]), ""), (None, "a text that stands alone here", "")]
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found} == {(None, None, True), (7, 4, False), (4, 4, True)} and len(found) == 4
+
+
 def test_signature_equals_the_definition_and_estimates():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 2**63, 900).astype(np.uint64)
