@@ -322,6 +322,18 @@ def removal_lists(removed: DataFrame) -> DataFrame:
     return removed.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"), F.sum(F.col("near").cast("long")).alias("n_near"))
 
 
+def without_places(lines: Column, places: Column) -> Column:
+    """lines without those at the sorted places (from 0): the runs between places, so the work grows with both and not with their product."""
+    # one element, so that a text is split once and not at each place
+    parts = F.array(F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines))).alias("ends")))
+
+    def runs(x: Column) -> Column:
+        following = lambda end, i: F.coalesce(F.get(x["ends"], i + 1), end + 1)
+        return F.flatten(F.transform(x["ends"], lambda end, i: F.slice(x["lines"], end + 2, following(end, i) - end - 1)))
+
+    return F.element_at(F.transform(parts, runs), 1)
+
+
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """docs without the removed lines, in its own columns; a document that loses all its words this way goes.
 
@@ -329,7 +341,7 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """
     lists = removal_lists(removed).select(F.col("doc_id").alias("__l_id"), F.col("places").alias("__l_places"))
     joined = docs.join(lists, docs["doc_id"] == F.col("__l_id"), "left")
-    kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("__l_places", i))
+    kept = without_places(F.split(docs["text"], "\n"), F.col("__l_places"))
     text = F.when(F.col("__l_places").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     wordless = lambda x: F.trim(F.coalesce(x, F.lit("")), F.lit(SPACES)) == ""
     joined = joined.withColumn("__l_text", text).where(F.col("__l_places").isNull() | ~wordless(F.col("__l_text")) | wordless(docs["text"]))

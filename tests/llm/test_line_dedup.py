@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Scratch
-from strandline.llm.line_dedup import banded_distance, block_candidates, finer_keys, key_sizes, keys, may_be_near, repeated_lines, shared_keys, sketch, star_pairs, texts_of, without_ends, without_lines
+from strandline.llm.line_dedup import banded_distance, block_candidates, finer_keys, key_sizes, keys, may_be_near, repeated_lines, shared_keys, sketch, star_pairs, texts_of, without_ends, without_lines, without_places
 
 
 def edit(a, b):
@@ -172,3 +172,16 @@ def test_short_lines_go_for_equal_lines_only(spark):
     docs = spark.createDataFrame([(1, "Les.\n\n}\nall rights reserved\n\t"), (2, " Les. \n\nLes!\nall rights reserved\n\t"), (3, "Les.\nown\nLes.\n}")], "doc_id long, text string")
     removed = repeated_lines(docs).collect()
     assert sorted(tuple(r) for r in removed) == [(2, 0, False), (2, 3, False), (3, 0, False), (3, 2, False), (3, 3, False)]
+
+
+def test_places_go_in_time_that_grows_with_lines(spark):
+    rng = random.Random(5)
+    rows = [([f"x{i}" for i in range(n)], sorted(rng.sample(range(n), k))) for n in (1, 2, 7, 30) for k in {0, 1, n // 2, n}]
+    df = spark.createDataFrame(rows, "lines array<string>, places array<int>")
+    for r in df.select("lines", "places", without_places(F.col("lines"), F.col("places")).alias("kept")).collect():
+        assert r["kept"] == [x for i, x in enumerate(r["lines"]) if i not in r["places"]]
+    # half of 400,000 lines: a search of all places for each line would be 4 * 10 ** 10 steps
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(399_999)), lambda i: i.cast("string")), "\n").alias("text"))
+    removed = spark.range(0, 400_000, 2).select(F.lit(0).cast("long").alias("doc_id"), F.col("id").cast("int").alias("place"), F.lit(False).alias("near"))
+    (left,) = without_lines(docs, removed).collect()
+    assert left["text"] == "\n".join(str(i) for i in range(1, 400_000, 2))
