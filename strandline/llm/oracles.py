@@ -100,4 +100,29 @@ q AS (SELECT v.lang, v.rule, v.score, bad_above / all_bad - good_above / all_goo
 z AS (SELECT lang, rule, score AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, score DESC) AS rn FROM q WHERE gain > 0) WHERE rn = 1),
 x AS (SELECT s.r, bool_or(coalesce(s.score > z.cutoff, false)) AS rejected FROM s LEFT JOIN z ON s.lang IS NOT DISTINCT FROM z.lang AND s.rule = z.rule GROUP BY s.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN x USING (r)""",
+    "op11_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, f),
+x AS (SELECT unnest(range(5)) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, list_aggregate(list_transform(o, lambda k: substr('ABCDE', (k + 1)::INT, 1)), 'string_agg', '') AS filter_order, unnest(range(1, 6))::INT AS step FROM p),
+r AS (
+  SELECT part, filter_order, step, o[step] AS filter, n, good, toxic, f[o[step] + 1] AS here,
+         len(list_filter(o[1 : step - 1], lambda k: f[k + 1])) > 0 AS before, len(list_filter(f, lambda v: v)) = 1 AS alone
+  FROM c, s),
+g AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (WHERE NOT before AND NOT here), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE here AND NOT before), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE here AND before), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE here AND alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (WHERE here AND NOT before), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE here AND NOT before), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
+FROM g""",
 }

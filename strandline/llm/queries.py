@@ -102,6 +102,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_lines", F.size("places").cast("long").alias("n_removed"), "n_near", F.array_join("places", ",").alias("removed_lines"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -113,4 +119,5 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
