@@ -125,4 +125,15 @@ g AS (
   FROM r GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
 FROM g""",
+    "op13_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS a, w FROM d),
+k AS (SELECT r, a, sha256(array_to_string(w[a : a + 34], ' ')) AS k FROM s),
+g AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(a, a + 35)) AS p FROM k JOIN g USING (k)),
+l AS (SELECT r, list(p) AS gone FROM c GROUP BY r),
+t AS (SELECT doc_id, w, len(w) AS n, coalesce(gone, []) AS gone FROM d LEFT JOIN l USING (r))
+SELECT doc_id, n::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM t""",
 }
