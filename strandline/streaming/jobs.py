@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.folders import new_folder as folder
 from ..sources.payloads import payloads_of, validate_events
+from .known import KnownIds
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -36,23 +37,24 @@ def ingest(raw: DataFrame, out: str, blocked: DataFrame | None = None) -> Stream
     """Raw payloads (relay_url, payload) to out/events, out/quarantine and out/sightings.
 
     blocked: pubkeys whose events don't pass the gate. An event is stored once: ids are dropped that the batch repeats, and those
-    that earlier batches stored on the same day of their own time, so only those days' files are read. Sightings of every
+    that earlier batches stored on the same day of their own time. Known ids are looked up by the batch's days (known.KnownIds): in a
+    filter a day, then, for those that it can't rule out, in that day's files, which alone are listed and read. Sightings of every
     accepted event are kept, by relay. A batch that runs again replaces what it wrote.
     """
+    known = KnownIds(raw.sparkSession, f"{out}/events", f"{out}/filters")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         found = validate_events(batch).persist()
         good = found.where("error_code is null").select("relay_url", "e.*")
         if blocked is not None:
             good = good.join(blocked, "pubkey", "left_anti")
         new = good.drop("relay_url").dropDuplicates(["id"]).withColumn("day", F.to_date(F.timestamp_seconds("created_at")))
-        if batch_id > 0 and exists(spark, f"{out}/events"):
-            known = spark.read.parquet(f"{out}/events").where(F.col("batch") != batch_id).select("id", "day")
-            new = new.join(known, ["id", "day"], "left_anti")
-        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(f"{out}/events")
+        new = known.new(new, batch_id).persist()
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{out}/events")
+        known.add(new, batch_id)
         good.select(F.col("id").alias("event_id"), "relay_url").distinct().write.mode("overwrite").parquet(f"{out}/sightings/batch={batch_id}")
         found.where("error_code is not null").select("relay_url", "payload", "error_code", "error_stage").write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        new.unpersist()
         found.unpersist()
 
     return raw.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(write).trigger(availableNow=True).start()
