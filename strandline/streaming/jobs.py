@@ -6,16 +6,13 @@ batches, parents that come after their children, and retractions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.folders import new_folder as folder
 from ..sources.payloads import payloads_of, validate_events
+from .budget import rocksdb, within_budget
 from .known import KnownIds
 
 
@@ -81,29 +78,6 @@ def sliding_week(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return sliding(events, delay, "7 days", "1 day")
 
 
-def within_budget(events: DataFrame, per_hour: int = 3, keep_hours: int = 48) -> DataFrame:
-    """event_id, user_id, ts of the first per_hour events of each recipient (user_id) and hour, in order of arrival, then of time.
-
-    The state of a recipient is how many each of its last keep_hours hours has let through, so it doesn't grow with the stream.
-    """
-
-    def accept(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hours, counts = (list(x) for x in state.get) if state.exists else ([], [])
-        taken = dict(zip(hours, counts, strict=True))
-        for rows in chunks:
-            rows = rows.sort_values(["ts", "event_id"])
-            keep = []
-            for hour in rows["ts"].astype("int64") // 3_600_000_000_000 if str(rows["ts"].dtype).startswith("datetime64[ns") else rows["ts"].astype("datetime64[ns]").astype("int64") // 3_600_000_000_000:
-                keep.append(taken.get(hour, 0) < per_hour)
-                taken[hour] = min(per_hour, taken.get(hour, 0) + 1)
-            yield rows[keep][["event_id", "user_id", "ts"]]
-        last = sorted(taken)[-keep_hours:]
-        state.update(([int(h) for h in last], [int(taken[h]) for h in last]))
-
-    rows = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(accept, "event_id long, user_id long, ts timestamp_ntz", "hours array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def repaired(notes: DataFrame, delay: str = "60 days") -> DataFrame:
     """child, parent, late of the references of notes (id, parent, ts, arrival) whose parent arrives, before or after the child.
 
@@ -214,7 +188,8 @@ def _dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _budget_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "budget")
-    start(within_budget(_in_time(spark, sf_dir), 2), out).awaitTermination()
+    with rocksdb(spark):
+        start(within_budget(_in_time(spark, sf_dir), 2), out).awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id")
 
 

@@ -63,3 +63,44 @@ def test_a_full_filter_and_reruns_change_nothing(spark, monkeypatch):
             assert {(r["id"], (r["day"] - DAY).days) for r in new.collect()} == pairs - seen
             store(known, new, batch)
         seen |= pairs
+
+
+def hours(spark, rows):
+    return spark.createDataFrame([(i, u, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for i, u, m in rows], "event_id long, user_id long, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def budget(spark, batches, per_hour=2, chunk=10_000):
+    """What passes, and the path of the state."""
+    from strandline.streaming.budget import rocksdb, within_budget
+    from strandline.streaming.jobs import start
+
+    path, out = new_folder(spark, "files"), new_folder(spark, "out")
+    for k, b in enumerate(batches):
+        hours(spark, b).coalesce(1).write.parquet(f"{path}/{k}")
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
+    with rocksdb(spark):
+        start(within_budget(stream, per_hour), out).awaitTermination()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return sorted(r["event_id"] for r in spark.read.parquet(out).collect()), f"{out}-state"
+
+
+def test_budget_does_not_depend_on_chunks(spark):
+    rng = random.Random(4)
+    batches = [[(k * 1000 + i, rng.randrange(3), k * 60 + rng.randrange(60)) for i in range(60)] for k in range(3)]
+    want = []
+    for b in batches:  # batches are an hour each, and hours don't meet
+        for u in range(3):
+            want += [i for _, i in sorted((m, i) for i, v, m in b if v == u)[:2]]
+    assert budget(spark, batches)[0] == budget(spark, batches, chunk=3)[0] == sorted(want)
+
+
+def test_an_hour_is_shared_by_batches(spark):
+    assert budget(spark, [[(1, 7, 5)], [(2, 7, 3), (3, 7, 50)], [(4, 7, 59), (5, 8, 59)]])[0] == [1, 2, 5]
+
+
+def test_an_idle_recipient_has_no_state(spark):
+    day = 24 * 60
+    _, state = budget(spark, [[(1, 7, 5), (2, 8, 6)], [(3, 8, day)], [(4, 9, 4 * day)], [(5, 9, 4 * day + 200)]])
+    held = spark.read.format("statestore").option("path", state).option("stateVarName", "taken").load()
+    assert {r[0] for r in held.select("key.user_id").collect()} == {9}
