@@ -189,12 +189,15 @@ def _candidates(size: int, gram: int, bits: int, shared):
             columns += [at if at is not None else none(pa.int32()), ranges if ranges is not None else none(pa.list_(pa.int32()))]
             return pa.record_batch(columns, ["k0", "k1", "doc_id", "tag", "place", "ranges"])
 
-        for k in range(0, len(k0), 200_000):
-            cut = slice(k, k + 200_000)
-            s, h = np.flatnonzero(single[cut]) + k, np.flatnonzero(head[cut]) + k
+        heads, singles = np.flatnonzero(head), np.flatnonzero(single)
+        singles = singles[np.lexsort((place[singles], of[singles]))]  # rows of a document together are smaller in the shuffle
+        for k in range(0, len(heads), 200_000):
+            h = heads[k : k + 200_000]
+            yield batch(k0[h], k1[h], None, None, None, None)
+        for k in range(0, len(singles), 200_000):
+            s = singles[k : k + 200_000]
             at = pa.array(of[s])
             yield batch(k0[s], k1[s], ids.take(at), tags.take(at), pa.array(place[s], pa.int32()), None)
-            yield batch(k0[h], k1[h], None, None, None, None)
         known = np.flatnonzero(~single)
         if len(known):
             by = np.lexsort((place[known], of[known]))
@@ -229,12 +232,12 @@ def _candidates(size: int, gram: int, bits: int, shared):
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, place, ranges) to (doc_id, tag, ranges): what stands in a batch of one document, in one row."""
+    """(doc_id, tag, place, ranges) to (doc_id, tag, places, ranges): the places of a document that a batch holds, in one row."""
+    names = ["doc_id", "tag", "places", "ranges"]
     for batch in batches:
-        if not batch.num_rows:
-            continue
         ranged = batch.filter(batch.column(3).is_valid())
-        yield ranged.select([0, 1, 3])
+        if ranged.num_rows:
+            yield pa.record_batch([ranged.column(0), ranged.column(1), pa.nulls(ranged.num_rows, pa.list_(pa.int32())), ranged.column(3)], names)
         plain = batch.filter(batch.column(2).is_valid())
         if plain.num_rows:
             none = plain.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -242,13 +245,12 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((place, tag, doc, none))
             none, doc, tag, place = none[order], doc[order], tag[order], place[order]
             begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (none[1:] != none[:-1])))
-            offsets = pa.array(np.append(begin, len(place)) * 2, pa.int32())
-            ranges = pa.ListArray.from_arrays(offsets, pa.array(np.stack([place, place + 1], axis=1).ravel(), pa.int32()))
-            yield pa.record_batch([pa.array(doc[begin], pa.int64(), mask=none[begin]), pa.array(tag[begin]), ranges], ["doc_id", "tag", "ranges"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(place)), pa.int32()), pa.array(place, pa.int32()))
+            yield pa.record_batch([pa.array(doc[begin], pa.int64(), mask=none[begin]), pa.array(tag[begin]), places, pa.nulls(len(begin), pa.list_(pa.int32()))], names)
 
 
 def _removed(size: int):
-    """(doc_id, text, ranges of window starts) to what is left."""
+    """(doc_id, text, places and ranges of window starts) to what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,10 +259,10 @@ def _removed(size: int):
                 text = batch.column(1)[i].as_buffer()
                 words = text.to_pybytes().split() if text is not None else []
                 n_words.append(len(words))
-                found = batch.column(2)[i].values
+                found = [np.zeros(0, "i8") if x.values is None else x.values.flatten().to_numpy() for x in (batch.column(2)[i], batch.column(3)[i])]
+                pairs = np.concatenate([np.stack([found[0], found[0] + 1], axis=1), found[1].reshape(-1, 2)])
                 runs = []
-                if found is not None and len(found):
-                    pairs = found.flatten().to_numpy().reshape(-1, 2)
+                if len(pairs):
                     pairs = pairs[pairs[:, 0].argsort(kind="stable")]
                     ends = np.maximum.accumulate(pairs[:, 1] + size - 1)  # a range of starts covers words to its last start's window's end
                     new = np.append(True, pairs[1:, 0] > ends[:-1])
@@ -306,7 +308,7 @@ def without_repeats(docs: DataFrame, size: int = 35, gram: int = 16, most_bits:
     found = rows.mapInArrow(_candidates(size, gram, bits, shared), "k0 long, k1 long, doc_id long, tag long, place int, ranges array<int>")
     counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k0", "k1")))
     places = counted.where("ranges is not null or (n > 1 and place is not null)").select("doc_id", "tag", "place", "ranges")
-    lists = places.mapInArrow(_by_document, "doc_id long, tag long, ranges array<int>")
-    lists = lists.groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("ranges")).withColumnRenamed("doc_id", "__s_doc").withColumnRenamed("tag", "__s_tag")
+    lists = places.mapInArrow(_by_document, "doc_id long, tag long, places array<int>, ranges array<int>")
+    lists = lists.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"), F.collect_list("ranges").alias("ranges")).withColumnRenamed("doc_id", "__s_doc").withColumnRenamed("tag", "__s_tag")
     joined = rows.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__s_doc")) & (F.col("tag") == F.col("__s_tag")), "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_removed(size), "doc_id long, n_words long, n_removed long, spans array<struct<from: int, to: int>>, text string")
+    return joined.select("doc_id", "text", "places", "ranges").mapInArrow(_removed(size), "doc_id long, n_words long, n_removed long, spans array<struct<from: int, to: int>>, text string")
