@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.folders import new_folder as folder
 from ..sources.payloads import payloads_of, validate_events
 from .budget import rocksdb, within_budget
+from .counters import ClaimedCounters, UserCounters
 from .known import KnownIds
 
 
@@ -89,29 +90,6 @@ def repaired(notes: DataFrame, delay: str = "60 days") -> DataFrame:
     return children.join(parents, meet).select("child", "parent", (F.col("parent_arrival") > F.col("child_arrival")).alias("late"))
 
 
-def increments(events: DataFrame) -> DataFrame:
-    """A batch's additions to the counters of users: rows to be summed over batches, so that a batch counts once. Rows of sign -1
-    take an event back."""
-    sats: Column = F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 100)).otherwise(0).cast("long")
-    return events.select("user_id", F.col("sign").cast("long").alias("events"), (F.col("sign") * sats).alias("sats"))
-
-
-def recount_dirty(events: DataFrame, stored: str, out: str) -> StreamingQuery:
-    """Per batch: append its events to stored, and write the counters of the users that it touches, counted anew from their events only.
-
-    out holds user_id, events, last_at and the batch; a user's newest batch is its counter.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("event_id", "user_id", "ts").write.mode("overwrite").parquet(f"{stored}/batch={batch_id}")
-        dirty = batch.select("user_id").distinct()
-        all_ = batch.sparkSession.read.parquet(stored).join(dirty, "user_id", "left_semi")
-        counted = all_.groupBy("user_id").agg(F.countDistinct("event_id").alias("events"), F.max("ts").alias("last_at"))
-        counted.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return events.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(write).trigger(availableNow=True).start()
-
-
 # the queries over the driver's events
 FILES = 3
 
@@ -202,20 +180,40 @@ def _repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth event comes again a batch later and counts once; every seventh is purged in the next batch, every 21st twice."""
     rows = _rows(spark, sf_dir)
     parts = _by_time(spark, rows)
-    taken_back = rows.where("event_id % 7 = 0").withColumn("sign", F.lit(-1)).withColumn("shift", F.lit(1))
-    both = rows.withColumn("sign", F.lit(1)).withColumn("shift", F.lit(0)).union(taken_back)
-    out = folder(spark, "increments")
-    start(increments(_batches(spark, both, F.least(parts + F.col("shift"), F.lit(FILES - 1)))), out).awaitTermination()
-    return spark.read.parquet(out).groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("sats").alias("sats"))
+    sats: Column = F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 100)).otherwise(0).cast("long")
+    adds = rows.select("event_id", F.col("user_id").alias("key"), "ts", F.lit(1).alias("sign"), F.explode(F.array(F.struct(F.lit("events").alias("counter"), F.lit(1).cast("long").alias("amount")), F.struct(F.lit("sats").alias("counter"), sats.alias("amount")))).alias("x"), parts.alias("part"))
+    adds = adds.select("event_id", "x.counter", "key", "x.amount", "ts", "sign", "part")
+    again = adds.where("event_id % 5 = 0 and event_id % 7 > 0").withColumn("part", F.col("part") + 1)
+    purged = adds.where("event_id % 7 = 0").withColumn("sign", F.lit(-1)).withColumn("part", F.col("part") + 1)
+    purged = purged.unionByName(purged.where("event_id % 21 = 0").withColumn("part", F.col("part") + 1))
+    both = adds.unionByName(again).unionByName(purged)
+    counters = ClaimedCounters(spark, folder(spark, "claimed"), buckets=8)
+    counters.start(_batches(spark, both, F.least(F.col("part"), F.lit(FILES - 1)))).awaitTermination()
+    sums = counters.sums()
+    each = lambda name: F.sum(F.when(F.col("counter") == name, F.col("amount")).otherwise(0))
+    return sums.groupBy(F.col("key").alias("user_id")).agg(each("events").alias("events"), each("sats").alias("sats"))
 
 
 def _dirty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, stored = folder(spark, "dirty"), folder(spark, "stored")
-    recount_dirty(_in_time(spark, sf_dir), stored, out).awaitTermination()
-    newest = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("events", "last_at"), "batch").alias("c"))
-    return newest.select("user_id", "c.events", F.unix_timestamp("c.last_at").alias("last_at"))
+    counters = UserCounters(spark, folder(spark, "dirty"), buckets=8)
+    counters.start(_in_time(spark, sf_dir)).awaitTermination()
+    return counters.counters.read().select("user_id", "events", F.unix_timestamp("last_at").alias("last_at"))
+
+
+def _scope_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of all users, written wrongly, then rebuilt for the users of ten events, five users, and a day."""
+    rows = _rows(spark, sf_dir)
+    counters = UserCounters(spark, folder(spark, "scopes"), buckets=8)
+    counters.apply(rows, 0)
+    wrong = counters.counters.read().select("user_id", F.lit(-1).cast("long").alias("events"), F.lit(None).cast("timestamp").alias("last_at"), F.lit(1).alias("version"))
+    counters.counters.upsert(wrong, 1)
+    counters.rebuild("event", of=rows.where("event_id < 10").select("event_id"))
+    counters.rebuild("author", of=rows.where("user_id between 1 and 5").select("user_id"))
+    counters.rebuild("range", since="2024-01-10 00:00:00", until="2024-01-10 06:00:00")
+    return counters.counters.read().select("user_id", "events", F.unix_timestamp("last_at").alias("last_at"))
 
 
 QUERIES = {
@@ -228,6 +226,7 @@ QUERIES = {
     "str_late_repair": _repair_query,
     "str_incremental_counts": _counts_query,
     "str_dirty_recount": _dirty_query,
+    "str_scoped_rebuild": _scope_query,
 }
 _N = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 ORACLES = {
@@ -247,4 +246,8 @@ SELECT c.event_id AS child, p.event_id AS parent, p.event_id % 3 > c.event_id %
 SELECT user_id, CAST(sum(sign) AS BIGINT) AS events, CAST(sum(sign * CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS sats
 FROM (SELECT *, 1 AS sign FROM events UNION ALL SELECT *, -1 FROM events WHERE event_id % 7 = 0) e GROUP BY user_id""",
     "str_dirty_recount": "SELECT user_id, count(*) AS events, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_at FROM events GROUP BY user_id",
+    "str_scoped_rebuild": """
+WITH s AS (SELECT user_id FROM events WHERE event_id < 10 OR user_id BETWEEN 1 AND 5 OR ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 06:00:00')
+SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM s) THEN count(*) ELSE -1 END AS events,
+       CASE WHEN user_id IN (SELECT user_id FROM s) THEN CAST(floor(epoch(max(ts))) AS BIGINT) END AS last_at FROM events GROUP BY user_id""",
 }

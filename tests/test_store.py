@@ -100,3 +100,10 @@ def test_new_columns_and_other_buckets(spark):
     assert store.near(spark.createDataFrame([(1,)], "who long"), user="who").where("user = 1").count() == 11
     store.upsert(spark.createDataFrame([], "id long, user long, note string"))
     assert store.read().count() == 51
+
+
+def test_rows_that_keep_rejects_go_after_the_merge(spark):
+    store = latest(spark, buckets=2)
+    store.upsert(spark.createDataFrame([(1, 0, 1, 1, "a"), (2, 0, 1, 1, "a")], ROW))
+    store.upsert(spark.createDataFrame([(1, 0, 2, 1, "gone")], ROW), keep="body <> 'gone'")
+    assert [r["pubkey"] for r in store.read().collect()] == [2]
