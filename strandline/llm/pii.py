@@ -9,7 +9,7 @@ a surname, so "Mr John Smith", "Dr Smith" and a later "John Smith" or "Smith" st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, written
@@ -52,6 +52,8 @@ SYLLABLES = {
 _ENDS = {"latin": ("n", "r", "l", "s"), "cyrillic": ("в", "в", "в", "в"), "greek": ("ς", "ς", "ς", "ς")}
 #: Rows that may be broadcast: exceptions, at some hundred bytes each.
 BROADCAST_ROWS = 50_000
+#: Attempts in an entity's own form, before telephone numbers and long addresses get longer; rounds of attempts.
+OWN_FORM, ROUNDS = 3, 20
 
 
 def let(value: Column, body) -> Column:
@@ -177,7 +179,8 @@ def surrogate(kind_: Column, canon: Column, attempts: Column, key: str, syllable
     Cards keep their first digit and Luhn's sum, bank accounts their country and check digits that hold, phones their country
     code; addresses stay addresses; e-mail has a letter for a letter and a domain under example.com, the same for the same
     domain. Surnames have syllables syllables and one more an attempt, given names one name an attempt, so names never run
-    out. A given name's surrogate stands after its script, gender and surname.
+    out. Nor do telephone numbers and addresses with colons: beyond OWN_FORM attempts a number has a digit more an attempt, up to 15,
+    and an address groups of four digits. A given name's surrogate stands after its script, gender and surname.
     """
     made = F.sha2(F.concat_ws("|", F.lit(key), kind_, canon, attempts.cast("string")), 256)
     return let(made, lambda digest: _surrogate(kind_, canon, attempts, digest, key, syllables))
@@ -189,6 +192,9 @@ def _surrogate(kind_: Column, canon: Column, attempts: Column, digest: Column, k
     card = let(_renewed(canon, digest, F.lit(1)), _card)
     ip = F.concat_ws(".", (_number(digest, 0, 222) + 1).cast("string"), *(_number(digest, k, 256).cast("string") for k in (2, 4)), (_number(digest, 6, 254) + 1).cast("string"))
     hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(digest, (i % 61 + 1).cast("int"), F.lit(1)))), "")
+    long_groups = F.array_join(F.transform(F.split(canon, ":"), lambda c, i: F.when(c == "", c).otherwise(F.substring(digest, (i * 5 + 1).cast("int"), F.lit(4)))), ":")
+    further = F.greatest(F.lit(0), F.least(attempts - OWN_FORM, 15 - F.length(canon))).cast("int")
+    number = _renewed(F.concat(canon, F.repeat(F.lit("0"), further)), digest, F.length(F.regexp_extract(canon, COUNTRY_CODE, 0)))
     script, gender = F.substring_index(canon, "|", 1), F.element_at(F.split(canon, r"\|"), 2)
     family, given = F, F
     for s in GIVEN:
@@ -199,10 +205,10 @@ def _surrogate(kind_: Column, canon: Column, attempts: Column, digest: Column, k
         F.when(kind_ == "email", email)
         .when(kind_ == "card", card)
         .when(kind_ == "ip", ip)
-        .when(kind_ == "ip6", hexed)
+        .when(kind_ == "ip6", F.when(attempts > OWN_FORM, long_groups).otherwise(hexed))
         .when(kind_ == "family", family)
         .when(kind_ == "given", F.concat(F.regexp_replace(canon, r"[^|]*$", ""), given))
-        .when(kind_ == "phone", _renewed(canon, digest, F.length(F.regexp_extract(canon, COUNTRY_CODE, 0))))
+        .when(kind_ == "phone", number)
         .when(kind_ == "iban", let(_renewed(canon, digest, F.lit(4)), _account))
         .when(kind_ == "secret", F.substring(digest, F.lit(1), F.length(canon)))
         .otherwise(_renewed(canon, digest, F.lit(0)))
@@ -237,7 +243,7 @@ def formatted(kind_: Column, entity: Column, put: Column) -> Column:
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
         lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substring(put, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substring(put, a["n"] + 1, F.length(put))),
     )
     # where lower and upper case are mixed, each letter takes the case that the entity has at its place
     mixed = F.array_join(F.transform(F.split(entity, ""), lambda c, i: let(F.substring(put, i + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
@@ -267,28 +273,70 @@ def syllables_for(surnames: int) -> int:
     return n
 
 
+def _form(kind_: Column, canon: Column) -> Column:
+    """What an entity shares with those that could stand for it: its country, script or first digit, and where it has digits and letters."""
+    mask = F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "[a-z]", "a")
+    return (
+        F.when(kind_ == "card", F.concat(F.substring(canon, 1, 1), mask))
+        .when(kind_ == "iban", F.concat(F.substring(canon, 1, 2), mask))
+        .when(kind_ == "phone", F.concat(F.regexp_extract(canon, COUNTRY_CODE, 0), mask))
+        .when(kind_ == "ip6", F.regexp_replace(canon, "[0-9a-f]", "0"))
+        .when(kind_ == "given", F.regexp_replace(canon, r"[^|]*$", ""))
+        .when(kind_ == "family", F.substring_index(canon, "|", 1))
+        .when(kind_ == "ip", "")
+        .otherwise(mask)
+    )
+
+
 def exceptions(mentions: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(kind, canon, attempts) of the entities whose surrogate at attempt 0 is a real entity or another's surrogate; the syllables of surnames.
+    """(kind, canon, put) of the entities whose surrogate at attempt 0 is a real entity or another's surrogate; the syllables of surnames.
 
     Each round tries the open entities once more: a surrogate that no entity of the corpus is, that no earlier round gave away,
     and of several equal ones that of the smallest entity, is settled. Rounds see fewer and fewer entities, and end when none
     is open. One number comes to the driver a round.
+
+    A form can be full: a corpus may hold nearly every value that it has. Entities still open after ROUNDS rounds, and all others of
+    their forms, exchange their values in an order by keyed hashes, each taking that of the next: distinct still, none its own,
+    but real. Where a form's only entity is left so, ValueError tells it.
     """
     all_ = scratch.written(mentions.select("kind", "canon").distinct(), "entities")
     syllables = syllables_for(all_.where("kind = 'family'").count())
-    settled, open_, attempt = None, all_, 0
-    while True:
+    settled, open_ = None, all_
+    for attempt in range(ROUNDS):
         tried = open_.withColumn("put", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key, syllables))
         real = all_.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
         taken = real if settled is None else real.union(settled.select("kind", "put"))
         tried = scratch.written(tried.join(taken, (F.col("kind") == F.col("k")) & (F.col("put") == F.col("c")), "left").select("kind", "canon", "put", F.col("c").isNull().alias("new")).distinct(), "tried")
         first = tried.where("new").groupBy("kind", "put").agg(F.min("canon").alias("canon"))
-        now = first.select("kind", "canon", "put", F.lit(attempt).alias("attempts"))
+        now = scratch.written(first.select("kind", "canon", "put", F.lit(attempt).alias("attempts")), "settled")
         settled = now if settled is None else settled.union(now)
-        open_ = scratch.written(tried.select("kind", "canon").join(first.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
+        open_ = scratch.written(tried.select("kind", "canon").join(now.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
         if open_.isEmpty():
-            return settled.where("attempts > 0").select("kind", "canon", "attempts"), syllables
-        attempt += 1
+            return settled.where("attempts > 0").select("kind", "canon", "put"), syllables
+    form = _form(F.col("kind"), F.col("canon")).alias("form")
+    full = open_.select("kind", form).distinct()
+    members = scratch.written(all_.withColumn("form", form).join(full, ["kind", "form"], "left_semi").withColumn("o", F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256)), "full")
+    turned = scratch.written(_next_of(members), "turned")
+    if not turned.where("put = canon").isEmpty():
+        raise ValueError("a form of entities has one entity and no other value")
+    rest = settled.where("attempts > 0").join(turned, ["kind", "canon"], "left_anti")
+    return rest.select("kind", "canon", "put").union(turned.select("kind", "canon", "put")), syllables
+
+
+def _next_of(members: DataFrame, cuts: int = 256) -> DataFrame:
+    """kind, canon, put: for each of members (kind, form, canon, o) the canon that comes next by o in its form, after the last the first.
+
+    Forms may be large, so windows run over the cuts of each form by o's first digits; the first of a cut follows the last of the one
+    before, which needs one row a cut.
+    """
+    cut = members.withColumn("cut", F.floor(F.conv(F.substring("o", 1, 4), 16, 10).cast("long") * cuts / 65536).cast("int"))
+    own = Window.partitionBy("kind", "form", "cut").orderBy("o")
+    inner = cut.withColumn("put", F.lead("canon").over(own))
+    firsts = cut.groupBy("kind", "form", "cut").agg(F.min_by("canon", "o").alias("first"))
+    form = Window.partitionBy("kind", "form").orderBy("cut")
+    whole = form.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = firsts.select("kind", "form", "cut", F.coalesce(F.lead("first").over(form), F.first("first").over(whole)).alias("follows"))
+    return inner.join(follows, ["kind", "form", "cut"]).select("kind", "canon", F.coalesce("put", "follows").alias("put"))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -297,7 +345,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     docs: doc_id, text and any others. Types are those of PATTERNS; the longest list of them is tried at each place in order.
     Persons are found by titles; in a text with one, the same names without a title are found too. The same
     entity has the same surrogate everywhere, in the format of each mention; different entities have different ones, none of
-    which is an entity of the corpus. Null text stays null with 0 entities; empty text stays empty. Rows that repeat a doc_id
+    which is an entity of the corpus, unless a form of entities is full (see exceptions). Null text stays null with 0 entities; empty text stays empty. Rows that repeat a doc_id
     are handled each; a null doc_id is an id as any other. key: secret; another key gives other surrogates.
 
     Texts are searched twice, once for the entities of the corpus and once for the result; they are shuffled only where more
@@ -307,10 +355,10 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         mentions = scratch.written(entities(docs.select("doc_id", "text")).distinct(), "mentions")
         extra, syllables = exceptions(mentions, key, scratch)
         held = mentions.join(scratch.written(extra, "exceptions"), ["kind", "canon"])
-        maps = written(held.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempts"))).alias("__p_more")), "overrides")
+        maps = written(held.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "put"))).alias("__p_more")), "overrides")
     maps = maps.withColumnRenamed("doc_id", "__p_id")
     n = maps.count()
-    out = docs.join(F.broadcast(maps) if n <= BROADCAST_ROWS else maps, docs["doc_id"].eqNullSafe(F.col("__p_id")), "left") if n else docs.withColumn("__p_more", F.lit(None).cast("map<string,int>"))
+    out = docs.join(F.broadcast(maps) if n <= BROADCAST_ROWS else maps, docs["doc_id"].eqNullSafe(F.col("__p_id")), "left") if n else docs.withColumn("__p_more", F.lit(None).cast("map<string,string>"))
     out = out.withColumn("__p_titled", F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
     # generators of one row: what is made before them is made once
     made = F.when(F.size("__p_titled") > 0, people(F.col("__p_titled"))).otherwise(F.lit(None))
@@ -322,8 +370,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     out = out.withColumn("__p_parts", F.when(some, F.split("text", F.col("__p_pattern"), -1)))
 
     def stand_in(kind_: Column, canon: Column) -> Column:
-        attempts = F.coalesce(F.element_at("__p_more", F.concat_ws("|", kind_, canon)), F.lit(0))
-        return surrogate(kind_, canon, attempts, key, syllables)
+        return F.coalesce(F.element_at("__p_more", F.concat_ws("|", kind_, canon)), surrogate(kind_, canon, F.lit(0), key, syllables))
 
     def of_person(p: Column) -> Column:
         ending = F.when((p["script"] == "cyrillic") & (p["stem"] != p["family"]), "а").otherwise("")

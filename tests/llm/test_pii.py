@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import pii
@@ -191,3 +192,30 @@ def test_names_of_one_title_do_not_run_out(spark):
     out = [r["text"] for r in pseudonymised(docs, "k").collect()]
     assert len(set(out)) == len(all_) and not set(out) & {f"{n} came" for n in all_}
     assert sum(x.startswith("Mr ") for x in out) == 10_000
+
+
+def test_short_addresses_and_numbers_do_not_run_out(spark):
+    hexes = "0123456789abcdef"
+    addresses = [f"{a}::{b}" for a in hexes for b in hexes if a.isdigit() or b.isdigit()][:220]
+    phones = [f"+211 {k:05d}" for k in range(0, 100_000, 7)]
+    lines = [f"host {x} up" for x in addresses] + [f"call {x} now" for x in phones]
+    out = [r["text"] for r in pseudonymised(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4), "k").collect()]
+    assert len(set(out)) == len(lines) and not set(out) & set(lines)
+    for t in out:
+        assert re.fullmatch(r"host [0-9a-f]{1,4}::[0-9a-f]{1,4} up|call \+211 \d{5,12} now", t), t
+
+
+def test_a_full_form_exchanges_its_values(spark, monkeypatch):
+    own = pii._surrogate
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    # as if no other number existed: every attempt gives the entity itself
+    monkeypatch.setattr(pii, "_surrogate", lambda kind_, canon, *rest: F.when(kind_ == "national", canon).otherwise(own(kind_, canon, *rest)))
+    numbers = [f"{k:03d}-{k % 90 + 10}-{k * 7:04d}" for k in range(1, 300)]
+    lines = [f"id {x} of Mr Stone" for x in numbers]
+    out = [r["text"] for r in pseudonymised(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "k").collect()]
+    put = {re.match(r"id (\S+) of Mr \w+", t)[1] for t in out}
+    assert put == set(numbers) and not any(a.split()[1] == b.split()[1] for a, b in zip(sorted(lines), [t for _, t in sorted(zip(lines, out, strict=True))], strict=True))
+    assert len({t.rsplit(" ", 1)[1] for t in out}) == 1 and "Stone" not in out[0]
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    with pytest.raises(ValueError, match="no other value"):
+        pseudonymised(spark.createDataFrame([(1, "id 123-45-6789")], "doc_id long, text string"), "k")
