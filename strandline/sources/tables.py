@@ -1,10 +1,12 @@
-"""Tables: reading with a fixed schema, and idempotent writes."""
+"""Tables: reading with a fixed schema, and the derived tables and states that batches are merged into."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
 #: Fixed schemas of the tables that jobs read; further columns of a file are left alone.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -34,20 +36,6 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return found
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None, keys: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
-    """Write a derived table so that writing it again changes nothing, and read it back.
-
-    With partition, only the partitions that df has rows of are replaced; without, the whole table is. With keys, rows of df with the
-    same keys are written once: that of the greatest order, or any if there is none, as they must be equal then.
-    """
-    if keys:
-        best = F.max_by(F.struct(*df.columns), F.col(order) if order else F.lit(1))
-        df = df.groupBy(*keys).agg(best.alias("__row")).select("__row.*")
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _tables_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [load(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in SCHEMAS]
     out = counts[0]
@@ -57,15 +45,41 @@ def _tables_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sink_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily activity, written in two overlapping runs: the second replaces the days that both hold."""
+    """Daily activity upserted by day and kind: a first run whose last days are wrong, then runs that hold those days in part, one of them twice."""
+    from ..plans.folders import new_folder
+    from ..plans.template import build
+
+    store = Store(spark, new_folder(spark, "sink"), ("day", "kind"), ("-run",), bucket_by=("day",), buckets=16)
+    daily = build(spark, sf_dir, "eco_kind_activity").select("day", "kind", "family", "n", "authors")
+    late = daily.where("day > '2024-01-10'")
+    runs = [daily.where("day < '2024-01-20'").withColumn("n", F.when(F.col("day") > "2024-01-10", F.lit(-1).cast("long")).otherwise(F.col("n"))), late.where("kind < 5"), late.where("kind >= 5")]
+    for k in (0, 1, 2, 1):
+        store.upsert(runs[k].withColumn("run", F.lit(k)), k)
+    return store.read().drop("run")
+
+
+def merged_states(states: DataFrame, store: Store, batch: int) -> None:
+    """Take a batch of events (pubkey, kind, d, id, created_at) into the store of the newest event of each replaceable kind and
+    author, and each addressable kind, author and identifier; ties by larger id."""
+    replaceable = "kind IN (0, 3) OR (kind >= 10000 AND kind < 20000) OR (kind >= 30000 AND kind < 40000)"
+    store.upsert(states.where(replaceable).select("pubkey", "kind", "d", "id", "created_at"), batch)
+
+
+def state_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    return Store(spark, path, ("pubkey", "kind", "d"), ("-created_at", "-id"), buckets=buckets)
+
+
+def _states_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest states by merging overlapping batches in any order of time, the second of them twice."""
+    from ..plans.folders import new_folder
     from ..plans.template import build
-    from ..streaming.jobs import folder
 
-    path = folder(spark, "sink")
-    daily = build(spark, sf_dir, "eco_kind_activity").select("kind", "family", "n", "authors", F.col("day").cast("string").alias("day"))
-    write_table(daily.where("day < '2024-01-20'").withColumn("n", F.when(F.col("day") > "2024-01-10", F.lit(-1).cast("long")).otherwise(F.col("n"))), path, "day")
-    again = daily.where("day > '2024-01-10'")
-    return write_table(again.union(again), path, "day", ("day", "kind"), "n").select("kind", "family", "n", "authors", F.to_date("day").alias("day"))
+    states = build(spark, sf_dir, "states")
+    store = state_store(spark, new_folder(spark, "states"), 16)
+    parts = [states.where("id % 3 <> 0"), states.where("id % 3 <> 1"), states.where("id % 4 = 0")]
+    for k in (0, 1, 1, 2):
+        merged_states(parts[k], store, k)
+    return store.read()
 
 
 def _sink_oracle() -> str:
@@ -74,8 +88,14 @@ def _sink_oracle() -> str:
     return oracle("eco_kind_activity")
 
 
-QUERIES = {"src_parquet_tables": _tables_query, "sink_tables": _sink_query}
+def _states_oracle() -> str:
+    from ..plans.template import oracle
+
+    return oracle("state_replaceable")
+
+
+QUERIES = {"src_parquet_tables": _tables_query, "sink_tables": _sink_query, "state_replaceable_merged": _states_query}
 
 
 def oracles() -> dict[str, str]:
-    return {"src_parquet_tables": " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {name}" for name in SCHEMAS), "sink_tables": _sink_oracle()}
+    return {"src_parquet_tables": " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {name}" for name in SCHEMAS), "sink_tables": _sink_oracle(), "state_replaceable_merged": _states_oracle()}
