@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import authors, discovery, ecosystem, engagement, graph, social, surfaces, tags, threads  # noqa: F401
+from ..operators import authors, discovery, ecosystem, engagement, graph, search, social, surfaces, tags, threads  # noqa: F401
 from ..sources import adapters, payloads, tables  # noqa: F401
 from ..streaming import jobs
 from .template import REGISTRY, build, oracle
 
 #: Frames that stand for inputs, not operators.
-ADAPTERS = ("present", "ev", "notes", "acts", "follow", "payments", "sightings", "posts", "post_now", "hashtags", "links", "chat", "probes", "edges", "tags", "profiles", "relay_lists", "short_words", "settings", "windows", "states", "state_items", "receipts", "replies", "blocked", "seed_config", "seed_before", "post_words")
+ADAPTERS = ("present", "ev", "notes", "acts", "follow", "payments", "sightings", "posts", "post_now", "hashtags", "links", "chat", "probes", "edges", "tags", "profiles", "relay_lists", "short_words", "settings", "windows", "states", "state_items", "receipts", "replies", "blocked", "seed_config", "seed_before", "post_words", "search_posts", "search_queries", "profile_texts", "profile_queries", "suggested_items")
 QUERIES = {name: (lambda spark, sf_dir, name=name: build(spark, sf_dir, name)) for name in REGISTRY if name not in ADAPTERS}
 ORACLES = {name: oracle(name) for name in QUERIES}
 QUERIES |= graph.QUERIES | payloads.QUERIES | tables.QUERIES | jobs.QUERIES
