@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.folders import Scratch
 from ..plans.template import define, define_computed
 from .graph import cut
 
@@ -33,6 +34,46 @@ def ancestors(thr_edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     return far.where("id <> ancestor").join(absent, "ancestor", "left").select("id", "ancestor", "distance", F.coalesce("absent", F.lit(False)).alias("missing"))
 
 
+def chains(edges: DataFrame, levels: int, scratch: Scratch) -> DataFrame:
+    """id, depth, root of every child of edges (child, parent; one parent a child): its last ancestor within levels, and how far that is.
+
+    Pointer jumping: a row a child points to an ancestor, and each round to what that points to, so a chain of any length takes the
+    logarithm of its length in rounds, and no round holds more than a row a child. A pointer that no child is has come to its
+    root. What has none after as many rounds as the number of children has binary digits leads into a cycle; those alone
+    get their ancestors one by one, up to where the cycle closes. Where a chain is longer than levels, its node's ancestor
+    there is found by the pointers of the rounds that add up to levels.
+    """
+    now = scratch.cut(edges.where("child is not null and parent is not null and child <> parent").select(F.col("child").alias("id"), F.col("parent").alias("at"), F.lit(1).cast("long").alias("far"), F.lit(False).alias("ended")))
+    jumps, n, open_ = [now], now.count(), -1
+    for _ in range(max(1, n.bit_length() + 1)):
+        onward = now.select(F.col("id").alias("__id"), F.col("at").alias("__at"), F.col("far").alias("__far"))
+        ended = F.col("__id").isNull()
+        now = scratch.cut(now.join(onward, F.col("at") == F.col("__id"), "left").select("id", F.coalesce("__at", "at").alias("at"), (F.col("far") + F.coalesce("__far", F.lit(0))).alias("far"), ended.alias("ended")))
+        jumps.append(now)
+        open_ = now.where("not ended").count()
+        if not open_:
+            break
+    short = now.where(f"ended and far <= {levels}").select("id", F.col("far").cast("int").alias("depth"), F.col("at").alias("root"))
+    # jumps[k] goes 2 ** k up
+    far = now.where(f"ended and far > {levels}").select("id", F.col("id").alias("at"))
+    for k in range(levels.bit_length()):
+        if levels >> k & 1 and k < len(jumps):
+            step = jumps[k].select(F.col("id").alias("__id"), F.col("at").alias("__at"))
+            far = far.join(step, F.col("at") == F.col("__id")).select("id", F.col("__at").alias("at"))
+    out = short.union(far.select("id", F.lit(levels).alias("depth"), F.col("at").alias("root")))
+    if open_ > 0:
+        caught = edges.join(now.where("not ended").select(F.col("id").alias("child")), "child", "left_semi")
+        ring = ancestors(caught.select("child", "parent", F.lit(False).alias("parent_missing")), levels)
+        out = out.union(ring.groupBy("id").agg(F.max("distance").alias("depth"), F.max_by("ancestor", "distance").alias("root")))
+    return out
+
+
+def depth_of(notes: DataFrame, thr_edges: DataFrame) -> DataFrame:
+    """id, depth, root of every note of notes (id), by thr_edges (child, parent, parent_missing)."""
+    with Scratch(notes.sparkSession, "depth") as scratch:
+        found = cut(chains(thr_edges.where("not parent_missing").select("child", "parent"), LEVELS, scratch))
+    return notes.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("root", "id").alias("root"))
+
 
 define("thr_edges", "Edges of replies to parent and root with whether each is missing.", """
 SELECT c.event_id AS child, c.parent, c.root, p.id IS NULL AS parent_missing, r.id IS NULL AS root_missing, n.pubkey AS author, n.ts AS child_at FROM (SELECT event_id, @num(parent) AS parent, @num(root) AS root FROM {thr_parent}) c JOIN {notes} n ON c.event_id = n.id
@@ -43,8 +84,10 @@ define_computed("thr_ancestors", "Ancestors of every note up to LEVELS levels, b
 WITH RECURSIVE w(id, ancestor, distance, path) AS (SELECT child, parent, 1, [child, parent] FROM thr_edges
   UNION ALL SELECT w.id, e.parent, w.distance + 1, list_append(w.path, e.parent) FROM w JOIN thr_edges e ON e.child = w.ancestor WHERE w.distance < {LEVELS} AND NOT list_contains(w.path, e.parent))
 SELECT w.id, w.ancestor, CAST(w.distance AS INTEGER) AS distance, w.ancestor IN (SELECT parent FROM thr_edges WHERE parent_missing) AS missing FROM w""")
-define("thr_depth", "Depth and root of every note: its furthest ancestor that is known, itself if it has none.", """
-SELECT n.id, coalesce(max(a.distance), 0) AS depth, coalesce(@first_by(a.ancestor, -a.distance), n.id) AS root FROM {notes} n LEFT JOIN (SELECT * FROM {thr_ancestors} WHERE NOT missing) a ON n.id = a.id GROUP BY n.id""")
+define_computed("thr_depth", "Depth and root of every note: its furthest ancestor that is known, of at most LEVELS, itself if it has none.", ("notes", "thr_edges"), lambda notes, thr_edges: depth_of(notes, thr_edges), f"""
+WITH RECURSIVE e AS (SELECT child, parent FROM thr_edges WHERE NOT parent_missing), w(id, ancestor, distance, path) AS (SELECT child, parent, 1, [child, parent] FROM e
+  UNION ALL SELECT w.id, e.parent, w.distance + 1, list_append(w.path, e.parent) FROM w JOIN e ON e.child = w.ancestor WHERE w.distance < {LEVELS} AND NOT list_contains(w.path, e.parent))
+SELECT n.id, coalesce(max(w.distance), 0)::INTEGER AS depth, coalesce(arg_max(w.ancestor, w.distance), n.id) AS root FROM notes n LEFT JOIN w ON n.id = w.id GROUP BY n.id""")
 define("thr_summary", "Per root: replies, participants, last activity, replies and authors of a day and a week, direct replies, latency of the first reply, branching times 100, depth.", """
 SELECT t.root, count(*) AS replies, count(DISTINCT n.pubkey) AS participants, max(n.created_at) AS last_at, @count_if(n.ts > p.as_of - INTERVAL 1 DAY) AS replies_24h, count(DISTINCT CASE WHEN n.ts > p.as_of - INTERVAL 1 DAY THEN n.pubkey END) AS authors_24h, @count_if(n.ts > p.as_of - INTERVAL 7 DAYS) AS replies_7d,
   count(DISTINCT CASE WHEN n.ts > p.as_of - INTERVAL 7 DAYS THEN n.pubkey END) AS authors_7d, @count_if(t.depth = 1) AS direct, greatest(min(n.created_at) - min(r.created_at), 0) AS first_reply_s, @div(100 * count(*), count(DISTINCT e.parent)) AS branching_x100, max(t.depth) AS depth

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+class Scratch:
+    """Tables that a loop writes, deleted when it ends: with Scratch(spark, name) as scratch. What it returns must stand elsewhere by then."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df written and read back: cuts lineage and, unlike a checkpoint, computes df once."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
