@@ -91,8 +91,8 @@ SELECT d.dow, h.hour, coalesce(n.n, 0) AS n FROM (SELECT @grid(0, 6) AS dow) d C
 LEFT JOIN (SELECT @dow(ts) AS dow, hour(ts) AS hour, count(*) AS n FROM {notes} GROUP BY 1, 2) n ON n.dow = d.dow AND n.hour = h.hour""")
 define("join_scalar_cross", "Totals of the network in one row.", """
 SELECT a.notes, b.acts, c.authors FROM (SELECT count(*) AS notes FROM {notes}) a CROSS JOIN (SELECT count(*) AS acts FROM {acts}) b CROSS JOIN (SELECT count(DISTINCT pubkey) AS authors FROM {ev}) c""")
-define("join_temporal_cursor", "Interactions newer than the actor's own last note, ties by id.", """
-SELECT a.author, count(*) AS unseen FROM {acts} a LEFT JOIN (SELECT pubkey, max(created_at) AS seen_at, max(id) AS seen_id FROM {notes} GROUP BY pubkey) c ON a.author = c.pubkey
+define("join_temporal_cursor", "Interactions newer than the actor's own last note, which is the row of the greatest time and, of those, of the greatest id.", """
+SELECT a.author, count(*) AS unseen FROM {acts} a LEFT JOIN (SELECT pubkey, max(created_at) AS seen_at, -@first_by(-id, -created_at) AS seen_id FROM {notes} GROUP BY pubkey) c ON a.author = c.pubkey
 WHERE c.pubkey IS NULL OR a.created_at > c.seen_at OR (a.created_at = c.seen_at AND a.source_id > c.seen_id) GROUP BY a.author""")
 define("join_or_union", "Interactions matched by id or by author's newest note, each once.", """
 SELECT target_id, count(*) AS n FROM (

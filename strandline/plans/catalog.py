@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import authors, discovery, ecosystem, engagement, graph, search, social, surfaces, tags, threads  # noqa: F401
+from ..operators import asof, authors, discovery, ecosystem, engagement, graph, search, social, surfaces, tags, threads  # noqa: F401
 from ..sources import adapters, payloads, tables  # noqa: F401
 from ..streaming import jobs
 from .template import REGISTRY, build, oracle
