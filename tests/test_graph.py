@@ -48,3 +48,27 @@ def test_hops_and_neighbourhoods(spark):
 
 def test_empty_graph(spark):
     assert pagerank(_edges(spark, [("a", "b")]).limit(0)).count() == 0
+
+
+def test_pushes_stay_local_and_within_their_error(spark, monkeypatch):
+    from strandline.operators import graph
+    from strandline.plans.folders import Scratch
+
+    rng = random.Random(9)
+    # many clusters; a viewer's walk hardly leaves its own
+    edges = [(c * 20 + rng.randrange(20), c * 20 + rng.randrange(20), 1.0 + rng.random()) for c in range(60) for _ in range(120)] + [(c * 20, (c * 20 + 20) % 1200, 0.01) for c in range(60)] + [(5, 5000, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    teleport = spark.createDataFrame([(1, 1, 1.0), (1, 5, 1.0), (2, 405, 1.0), (3, 999_999, 1.0)], "viewer long, node long, weight double")
+    rows = []
+    own = Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, x: rows.append((out := own(self, x)).count() if "left" in x.columns else 0) or (out if "left" in x.columns else own(self, x)))
+    scores, errors = graph.pushed(df, teleport, epsilon=1e-3)
+    got = {(r["viewer"], r["node"]): r["score"] for r in scores.collect()}
+    bound = {r["viewer"]: r["error"] for r in errors.collect()}
+    exact = {(r["viewer"], r["node"]): r["score"] for r in graph.personalized(df, teleport, 10**6, max_rounds=60, tolerance=1e-12).collect()}
+    assert {v for v, _ in got} == {1, 2} == set(bound)
+    for k, score in exact.items():
+        assert -1e-6 <= score - got.get(k, 0.0) <= bound[k[0]] + 1e-6
+    for v in bound:
+        assert abs(sum(s for (w, _), s in got.items() if w == v) + bound[v] - 1) < 1e-6 and bound[v] < 0.5
+    assert max(rows) < 150  # of 1,201 nodes for each of two viewers
