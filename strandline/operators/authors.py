@@ -29,10 +29,16 @@ LEFT JOIN (SELECT n.pubkey, count(*) AS n FROM {ref_quotes} q JOIN {notes} n ON
 define("auth_weighted_notes", "Weighted engagement of each note: 3 replies, 2 reposts, 1 reaction, 2 payments, and sats over 100.", """
 SELECT n.id, n.pubkey, n.ts, round(3 * c.replies + 2 * c.reposts + c.reactions + 2 * c.zaps + c.sats / 100e0, 6) AS value FROM {cnt_event_counts} c JOIN {notes} n ON c.id = n.id""")
 define("auth_top_notes", "The three notes of each author with most weighted engagement.", "SELECT pubkey, id, value, rn FROM (SELECT w.*, row_number() OVER (PARTITION BY pubkey ORDER BY value DESC, id DESC) AS rn FROM {auth_weighted_notes} w) r WHERE rn <= 3")
+define("auth_two_windows", "Weighted engagement of each author's notes of the last 14 days and of the 14 before, and the mean a note.", """
+SELECT pubkey, round(sum(CASE WHEN d < 14 THEN value ELSE 0 END), 4) AS now, round(sum(CASE WHEN d >= 14 AND d < 28 THEN value ELSE 0 END), 4) AS before, round(avg(CASE WHEN d < 14 THEN value END), 4) AS per_note
+FROM (SELECT w.pubkey, w.value, @days(@date(a.as_of), @date(w.ts)) AS d FROM {auth_weighted_notes} w CROSS JOIN {present} a) x GROUP BY pubkey""")
+define("auth_levels", "Percentile of each value of engagement among all authors: 100 less the share, of the others, that have more. Values are counted once, within bands of their logarithm, of which there are a thousand at most.", """
+SELECT v.now, round(100e0 - CASE WHEN t.n > 1 THEN 100e0 * (b.more + v.more) / (t.n - 1) ELSE 0 END, 6) AS level FROM (SELECT now, band, coalesce(sum(n) OVER (PARTITION BY band ORDER BY now DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM (
+  SELECT now, count(*) AS n, CAST(floor(least(1000, 50 * ln(1 + now))) AS INT) AS band FROM {auth_two_windows} GROUP BY now) c) v
+JOIN (SELECT band, coalesce(sum(n) OVER (ORDER BY band DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM (SELECT CAST(floor(least(1000, 50 * ln(1 + now))) AS INT) AS band, count(*) AS n FROM {auth_two_windows} GROUP BY 1) g) b ON v.band = b.band
+CROSS JOIN (SELECT count(*) AS n FROM {auth_two_windows}) t""")
 define("auth_performance", "Weighted engagement of the last 14 days against the 14 before: totals, mean a note, change in percent, and the author's percentile among all.", """
-SELECT pubkey, now, before, per_note, round(CASE WHEN before > 0 THEN 100 * (now - before) / before END, 4) AS change_pct, @bucket_of(ln(1 + now), 0, 12, 100) AS level FROM (
-  SELECT pubkey, round(sum(CASE WHEN d < 14 THEN value ELSE 0 END), 4) AS now, round(sum(CASE WHEN d >= 14 AND d < 28 THEN value ELSE 0 END), 4) AS before, round(avg(CASE WHEN d < 14 THEN value END), 4) AS per_note
-  FROM (SELECT w.pubkey, w.value, @days(@date(a.as_of), @date(w.ts)) AS d FROM {auth_weighted_notes} w CROSS JOIN {present} a) x GROUP BY pubkey) y""")
+SELECT w.pubkey, w.now, w.before, w.per_note, round(CASE WHEN w.before > 0 THEN 100 * (w.now - w.before) / w.before END, 4) AS change_pct, l.level FROM {auth_two_windows} w JOIN {auth_levels} l ON w.now = l.now""")
 define("auth_recycle", "Old notes of an author's upper fifth that were not reposted in the last week.", """
 SELECT id, pubkey, value FROM (SELECT w.*, percent_rank() OVER (PARTITION BY pubkey ORDER BY value) AS pr FROM {auth_weighted_notes} w) r CROSS JOIN {present} a
 WHERE pr >= 0.8 AND r.ts < a.as_of - INTERVAL 14 DAYS AND NOT EXISTS (SELECT 1 FROM {acts} x WHERE x.target_id = r.id AND x.relation = 'repost' AND x.created_at > (SELECT @unix(max(as_of)) - 604800 FROM {present}))""")
@@ -53,7 +59,7 @@ define("auth_graph_stats", "Mutual follows, reciprocity, follow-back and ghost f
 SELECT p.pubkey, p.followers, p.following, coalesce(m.n, 0) AS mutual, CASE WHEN p.following > 0 THEN @div(10000 * coalesce(m.n, 0), p.following) END AS reciprocity_bps, CASE WHEN p.followers > 0 THEN @div(10000 * coalesce(m.n, 0), p.followers) END AS follow_back_bps, CASE WHEN p.followers > 0 THEN @div(10000 * coalesce(g.n, 0), p.followers) END AS ghost_bps FROM {fact_profile_edges} p
 LEFT JOIN (SELECT a.follower, count(*) AS n FROM {contacts} a JOIN {contacts} b ON a.follower = b.followed AND a.followed = b.follower GROUP BY a.follower) m ON p.pubkey = m.follower
 LEFT JOIN (SELECT c.followed, count(*) AS n FROM {contacts} c LEFT JOIN (SELECT DISTINCT n.pubkey FROM {notes} n CROSS JOIN {present} p WHERE n.ts > p.as_of - INTERVAL 30 DAYS) l ON c.follower = l.pubkey WHERE l.pubkey IS NULL GROUP BY c.followed) g ON p.pubkey = g.followed""")
-define("auth_first_seen", "First event of each author.", "SELECT pubkey, min(created_at) AS first_at, min_by(id, created_at * 100000000 + id) AS first_id FROM {ev} GROUP BY pubkey")
+define("auth_first_seen", "First event of each author.", "SELECT pubkey, min(created_at) AS first_at, @first_by(id, created_at) AS first_id FROM {ev} GROUP BY pubkey")
 define("auth_account_state", "State of each account from its hops, profile, notes and engagement by the trusted; tracked ones have a floor and an override wins.", """
 SELECT pubkey, derived, CASE WHEN override_ IS NOT NULL THEN override_ WHEN tracked AND derived IN ('unknown', 'observed', 'candidate') THEN 'tracked' ELSE derived END AS state FROM (
   SELECT s.pubkey, CASE WHEN b.pubkey IS NOT NULL THEN 'blocked' END AS override_, s.pubkey % 20 = 0 AS tracked, CASE WHEN t.hops <= 2 THEN 'trusted' WHEN p.pubkey IS NOT NULL AND s.notes >= 10 AND coalesce(g.n, 0) >= 3 THEN 'meaningful'

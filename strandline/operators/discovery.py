@@ -81,8 +81,8 @@ SELECT one, two, reasons, score, rn FROM (SELECT one, two, reasons, score, row_n
   UNION ALL SELECT n.id, b.id, 'author', 20 + least(20, b.engaged) FROM {notes} n JOIN {best_of_author} b ON n.pubkey = b.pubkey AND n.id <> b.id
   UNION ALL SELECT one, two, 'repost', max(score) FROM (SELECT target_id AS one, id AS two, 50 AS score FROM {repost_notes} UNION ALL SELECT id, target_id, 45 FROM {repost_notes}) l GROUP BY one, two
   UNION ALL SELECT one, two, 'thread', max(score) FROM (SELECT parent AS one, child AS two, 35 AS score FROM {thr_edges} WHERE NOT parent_missing UNION ALL SELECT child, parent, 30 FROM {thr_edges} WHERE NOT parent_missing) t GROUP BY one, two) u GROUP BY one, two) g) r WHERE rn <= 10""")
-define("disc_paid_rankings", "Support of each receiver in 30 days, a year and all time: at most 100000 sats a sender, own payments left out; with the largest supporter.", """
-SELECT days, receiver, @isum(least(sats, 100000)) AS support, count(*) AS senders, @isum(sats) AS sats, max_by(sender, sats * 1000000 + length(sender)) IS NOT NULL AS supported FROM (
+define("disc_paid_rankings", "Support of each receiver in 30 days, a year and all time: at most 100000 sats a sender, own payments left out; with the largest supporter, ties by name.", """
+SELECT days, receiver, @isum(least(sats, 100000)) AS support, count(*) AS senders, @isum(sats) AS sats, @first_by(sender, -sats) AS supporter FROM (
   SELECT w.days, p.receiver, p.sender, @isum(p.sats) AS sats FROM {payments} p CROSS JOIN (SELECT 30 AS days UNION ALL SELECT 365 UNION ALL SELECT 100000) w CROSS JOIN (SELECT max(ts) AS as_of FROM {payments}) m WHERE p.sender <> p.receiver AND @days(@date(m.as_of), @date(p.ts)) < w.days GROUP BY w.days, p.receiver, p.sender) s GROUP BY days, receiver""")
 define("disc_most_followed", "The 30 profiles with most followers.", "SELECT profile, followers FROM {fact_follower_edges} ORDER BY followers DESC, profile LIMIT 30")
 define("disc_trust_filter", "The week's trending notes in three modes: all in order, the trusted lifted by ten places, the trusted only.", """

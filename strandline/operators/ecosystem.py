@@ -25,18 +25,19 @@ define("eco_zap_hourly", "Payments of notes by weekday and hour.", "SELECT @dow(
 define("eco_zap_edges", "Totals of each pair that paid twice or more, first and last time, and the pair's share of what the receiver got.", """
 SELECT e.sender, e.receiver, e.n, e.sats, e.first_at, e.last_at, round(e.sats / CAST(r.sats AS DOUBLE), 6) AS share FROM (SELECT sender, receiver, count(*) AS n, @isum(sats) AS sats, min(ts) AS first_at, max(ts) AS last_at FROM {payments} GROUP BY sender, receiver HAVING count(*) >= 2) e
 JOIN (SELECT receiver, @isum(sats) AS sats FROM {payments} GROUP BY receiver) r ON e.receiver = r.receiver""")
-define("eco_content_shape_daily", "Histogram of posts' lengths by day, and hashtags.", """
-SELECT @date(ts) AS day, count(*) AS n, @count_if(length(text) < 280) AS short, @count_if(length(text) >= 280 AND length(text) < 2000) AS medium, @count_if(length(text) >= 2000) AS long_, @isum(length(text)) AS chars FROM {posts} GROUP BY @date(ts)""")
+define("eco_content_shape_daily", "Histogram of posts' lengths by day, with their characters and hashtags.", """
+SELECT @date(p.ts) AS day, count(*) AS n, @count_if(length(p.text) < 280) AS short, @count_if(length(p.text) >= 280 AND length(p.text) < 2000) AS medium, @count_if(length(p.text) >= 2000) AS long_, @isum(length(p.text)) AS chars, @isum(coalesce(h.n, 0)) AS hashtags, @count_if(h.n > 0) AS tagged
+FROM {posts} p LEFT JOIN (SELECT id, count(*) AS n FROM {hashtags} GROUP BY id) h ON p.id = h.id GROUP BY @date(p.ts)""")
 define("eco_hashtag_daily", "Events and authors by hashtag and day.", "SELECT tag, @date(ts) AS day, count(*) AS n, count(DISTINCT author) AS authors FROM {hashtags} GROUP BY tag, @date(ts)")
 define("eco_hashtag_momentum", "Each hashtag's last week against the week before: emerging, fading or steady.", """
 SELECT tag, recent, prior, CASE WHEN prior >= 20 AND recent >= 2 * prior THEN 'emerging' WHEN prior > 0 AND 2 * recent < prior THEN 'fading' ELSE 'steady' END AS state,
   round(CASE WHEN prior = 0 THEN recent ELSE (recent - prior) / greatest(prior, 1e0) END, 6) AS z
 FROM (SELECT d.tag, @isum(CASE WHEN @days(@date(p.as_of), d.day) < 7 THEN d.n ELSE 0 END) AS recent, @isum(CASE WHEN @days(@date(p.as_of), d.day) BETWEEN 7 AND 13 THEN d.n ELSE 0 END) AS prior
   FROM {eco_hashtag_daily} d CROSS JOIN {post_now} p GROUP BY d.tag) x WHERE recent + prior >= 20""")
-define("eco_domain_momentum", "Links' domains by distinct hosts that link them from pages that the newest week saw, against the week before; hosts of one page only count if the domain is their own.", """
-SELECT domain, recent, prior, CASE WHEN prior >= 8 AND recent >= 2 * prior THEN 'emerging' WHEN prior > 0 AND 2 * recent < prior THEN 'fading' ELSE 'steady' END AS state, round(CASE WHEN prior = 0 THEN recent ELSE (recent - prior) / greatest(prior, 1e0) END, 6) AS z FROM (
-  SELECT l.domain, count(DISTINCT CASE WHEN l.ts > a.as_of - INTERVAL 7 DAYS THEN @str(l.id) END) AS recent, count(DISTINCT CASE WHEN l.ts <= a.as_of - INTERVAL 7 DAYS AND l.ts > a.as_of - INTERVAL 14 DAYS THEN @str(l.id) END) AS prior
-  FROM {links} l JOIN (SELECT author, count(DISTINCT id) AS pages FROM {links} GROUP BY author) t ON l.author = t.author AND (t.pages >= 2 OR l.domain = l.author) CROSS JOIN (SELECT max(ts) AS as_of FROM {links}) a WHERE l.domain <> '' GROUP BY l.domain) x WHERE recent + prior >= 1""")
+define("eco_domain_momentum", "Domains by the distinct trusted authors that link them in the last seven whole days, against the seven before; those that eight have in either.", """
+SELECT domain, recent, prior, CASE WHEN prior >= 8 AND recent >= 2 * prior AND recent >= 8 THEN 'emerging' WHEN prior > 0 AND 2 * recent < prior THEN 'fading' ELSE 'steady' END AS state, round(CASE WHEN prior = 0 THEN recent ELSE (recent - prior) / greatest(prior, 1e0) END, 6) AS z FROM (
+  SELECT d.domain, count(DISTINCT CASE WHEN @days(@date(p.as_of), d.day) BETWEEN 1 AND 7 THEN d.author END) AS recent, count(DISTINCT CASE WHEN @days(@date(p.as_of), d.day) BETWEEN 8 AND 14 THEN d.author END) AS prior
+  FROM {domain_author_daily} d JOIN {trusted_users} t ON d.author = t.pubkey CROSS JOIN {present} p WHERE @days(@date(p.as_of), d.day) BETWEEN 1 AND 14 GROUP BY d.domain) x WHERE recent >= 8 OR prior >= 8""")
 define("eco_author_daily", "Fine rollup: day, hashtag or domain, author, language.", """
 SELECT @date(ts) AS day, 'hashtag' AS entity, tag, author, lang, count(*) AS n FROM {hashtags} GROUP BY @date(ts), tag, author, lang UNION ALL SELECT @date(ts), 'domain', domain, author, @no_text(), count(*) FROM {links} WHERE domain <> '' GROUP BY @date(ts), domain, author""")
 define("eco_top_from_daily", "The leading 50 hashtags and domains of 30 days from the fine rollup, of all and of each language.", """

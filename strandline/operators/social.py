@@ -46,8 +46,8 @@ define("norm_domain", "Pages by canonical domain: a host of valid labels without
 SELECT CASE WHEN domain IN ('youtu.be', 'm.youtube.com', 'music.youtube.com') THEN 'youtube.com' WHEN domain IN ('twitter.com', 'mobile.twitter.com', 'm.twitter.com') THEN 'x.com' ELSE domain END AS domain, count(DISTINCT id) AS pages FROM (SELECT id, regexp_replace(regexp_replace(domain, '[.]$', ''), '^www[.]', '') AS domain FROM {links}) l
 WHERE length(domain) <= 253 AND @matches(domain, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?([.][a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*$') GROUP BY 1""")
 define("norm_hashtags", "Hashtags of each note, sorted.", "SELECT event_id AS id, count(*) AS n, @joined(tag) AS tags FROM {norm_tag_hashtags} GROUP BY event_id")
-define("norm_content_fingerprint", "Fingerprint of each post of 40 characters or more.", """
-SELECT id, @sha256(plain) AS fingerprint FROM (SELECT id, trim(@replace_all(lower(@replace_all(text, 'https?://[^ ]+', '')), '[ \\n\\t]+', ' ')) AS plain FROM {posts}) p WHERE length(plain) >= 40""")
+define("norm_content_fingerprint", "Fingerprint of each post that has 40 characters or more without links and mentions, in lower case, with one space between words.", """
+SELECT id, @sha256(plain) AS fingerprint FROM (SELECT id, trim(@replace_all(lower(@replace_all(@replace_all(text, '(?i)https?://[^ \\n\\r\\t]+', ' '), '(?i)nostr:(?:npub|nprofile|note|nevent)1[a-z0-9]+', ' ')), '[ \\n\\r\\t]+', ' ')) AS plain FROM {posts}) p WHERE length(plain) >= 40""")
 define("lang_chart_label", "Languages for charts, with a bucket for none.", "SELECT CASE WHEN lang IS NULL OR lang = '' THEN 'und' ELSE lang END AS label, count(*) AS n FROM {posts} GROUP BY 1")
 define("note_preview_class", "Class of each post, and the first 80 characters of its first line with words for a list.", """
 SELECT id, CASE WHEN trim(text) = '' THEN 'empty' WHEN @matches(trim(text), '^[{]') OR @matches(text, '(^|\\n)[A-Z_]{3,}=') THEN 'config' WHEN @size(@extract_all(text, 'https?://')) >= 3 THEN 'links' WHEN @size(@extract_all(text, '[0-9a-f]{32,}')) >= 1 THEN 'identifiers' WHEN @size(@extract_all(text, '[|]')) >= 20 THEN 'table' ELSE 'text' END AS class,
@@ -60,10 +60,11 @@ UNION ALL SELECT 'identity', concat(platform, ':', identity), identity, length(i
 UNION ALL SELECT 'hashtag', tag, tag, length(tag), concat('#', tag), max(ts), count(DISTINCT id) FROM {hashtags} GROUP BY tag UNION ALL SELECT 'relay', @str(relay), concat('relay ', @str(relay)), 0, @no_text(), max(seen_at), count(DISTINCT event_id) FROM {sightings} GROUP BY relay""")
 define("srch_index", "Postings: word, post, occurrences; words of five letters or more.", "SELECT lower(e.x) AS term, p.id, count(*) AS n FROM {posts} p, @each_at(@extract_all(p.text, '[A-Za-z]{5,}'), e) GROUP BY lower(e.x), p.id")
 define("srch_term_df", "Posts of each hashtag.", "SELECT tag, count(DISTINCT id) AS df FROM {hashtags} GROUP BY tag")
-define("srch_notes", "For the benchmark items as queries the twenty posts that share most distinct words with them, with whether they hold all of a query's first five words in one run, of posts of the last 30 days.", """
+define("srch_notes", "For the benchmark items as queries the twenty posts of the last 30 days that share most distinct words with them, with whether they hold all of a query's first five words in one run.", """
 SELECT s.item_id, s.id, s.shared, s.rn, position(q.phrase IN lower(p.text)) > 0 AS phrase FROM (SELECT item_id, id, shared, rn FROM (SELECT item_id, id, shared, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, id) AS rn FROM (
-  SELECT q.item_id, i.id, count(*) AS shared FROM (SELECT DISTINCT b.item_id, lower(e.x) AS term FROM {benchmark} b, @each_at(@extract_all(b.text, '[A-Za-z]{5,}'), e)) q JOIN {srch_index} i ON q.term = i.term GROUP BY q.item_id, i.id) g) r WHERE rn <= 20) s
-JOIN {posts} p ON s.id = p.id JOIN (SELECT item_id, lower(regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+)', 1)) AS phrase FROM {benchmark}) q ON s.item_id = q.item_id CROSS JOIN {post_now} n WHERE p.ts > n.as_of - INTERVAL 30 DAYS""")
+  SELECT q.item_id, i.id, count(*) AS shared FROM (SELECT DISTINCT b.item_id, lower(e.x) AS term FROM {benchmark} b, @each_at(@extract_all(b.text, '[A-Za-z]{5,}'), e)) q JOIN {srch_index} i ON q.term = i.term
+  JOIN (SELECT p.id FROM {posts} p CROSS JOIN {post_now} n WHERE p.ts > n.as_of - INTERVAL 30 DAYS) w ON i.id = w.id GROUP BY q.item_id, i.id) g) r WHERE rn <= 20) s
+JOIN {posts} p ON s.id = p.id JOIN (SELECT item_id, lower(regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+)', 1)) AS phrase FROM {benchmark}) q ON s.item_id = q.item_id""")
 define("srch_query_terms", "Terms of each query: distinct words in lower case with their folded form, phrases of the words in capitals that follow each other, and its length.", """
 SELECT item_id, @size(@extract_all(text, '[A-Za-z]+')) AS words, count(DISTINCT lower(e.x)) AS terms, @size(@extract_all(text, '[A-Z][a-z]+( [A-Z][a-z]+)+')) AS phrases, @sha256(trim(@replace_all(lower(text), '[^a-z0-9]+', ' '))) AS folded FROM {benchmark} b, @each_at(@extract_all(b.text, '[A-Za-z]+'), e) GROUP BY item_id, text""")
 define("srch_suggest", "For each first three letters the three leading hashtags and profiles.", """
@@ -96,7 +97,7 @@ SELECT m.muter, m.muted, c.n AS muted_by FROM (SELECT DISTINCT i.pubkey AS muter
 JOIN (SELECT i.value, count(DISTINCT i.pubkey) AS n FROM {state_items} i JOIN {state_replaceable} r ON i.event_id = r.id WHERE i.kind = 10000 AND i.name = 'p' GROUP BY i.value) c ON @str(m.muted) = c.value""")
 define("mod_hidden", "Replies that a mute list of the target's author hides: by author, by event, by a word of their text.", """
 SELECT r.id, r.author AS viewer, max(CASE WHEN i.name = 'p' THEN 1 ELSE 0 END) = 1 AS by_author, max(CASE WHEN i.name = 'e' THEN 1 ELSE 0 END) = 1 AS by_event, max(CASE WHEN i.name = 'word' THEN 1 ELSE 0 END) = 1 AS by_word FROM {replies} r JOIN {state_replaceable} s ON s.pubkey = r.author AND s.kind = 10000
-JOIN {state_items} i ON i.event_id = s.id AND ((i.name = 'p' AND i.value = @str(r.actor)) OR (i.name = 'e' AND i.value = @str(r.target_id)) OR (i.name = 'word' AND position(replace(i.value, 'word', 'point ') IN lower(r.text)) > 0)) GROUP BY r.id, r.author""")
+JOIN {state_items} i ON i.event_id = s.id AND ((i.name = 'p' AND i.value = @str(r.actor)) OR (i.name = 'e' AND i.value = @str(r.target_id)) OR (i.name = 'word' AND position(lower(i.value) IN lower(r.text)) > 0)) GROUP BY r.id, r.author""")
 define("mod_lists", "Items of each author's newest moderation lists: mutes by kind, and follow sets by identifier.", "SELECT i.pubkey, i.kind, i.d, i.name, count(DISTINCT i.value) AS n, @joined(i.value) AS items FROM {state_items} i JOIN {state_replaceable} r ON i.event_id = r.id WHERE i.kind IN (10000, 30000) GROUP BY i.pubkey, i.kind, i.d, i.name")
 define("soc_followers_page", "Pages of ten followers of each user, newest first, the first two, with whether the follow is mutual.", """
 SELECT f.followed, f.follower, f.rn, CASE WHEN f.rn <= 10 THEN 1 ELSE 2 END AS page, b.follower IS NOT NULL AS mutual FROM (SELECT followed, follower, row_number() OVER (PARTITION BY followed ORDER BY since DESC, follower) AS rn FROM {contacts}) f LEFT JOIN {contacts} b ON f.followed = b.follower AND f.follower = b.followed WHERE f.rn <= 20""")
@@ -132,7 +133,8 @@ define("trust_frontier", "The 100 users to fetch next: half by trust, the others
 SELECT pubkey, min(list) AS list FROM (SELECT pubkey, 'trust' AS list FROM {trust_top} WHERE rank <= 50 UNION ALL SELECT pubkey, 'large' FROM (SELECT pubkey, row_number() OVER (ORDER BY trusted_followers DESC, pubkey) AS rn FROM (SELECT pubkey, trusted_followers FROM {fact_profile_edges} ORDER BY trusted_followers DESC, pubkey LIMIT 50) f) l) u GROUP BY pubkey""")
 define("trust_crawl_frontier", "The 50 users to read lists of next: within the hops, without a newest contact list, nearest first.", """
 SELECT pubkey, hops, rn FROM (SELECT t.pubkey, t.hops, row_number() OVER (ORDER BY t.hops, t.pubkey) AS rn FROM (SELECT h.pubkey, h.hops FROM {trust_hops} h LEFT JOIN (SELECT pubkey FROM {state_contact_lists} WHERE n >= 4) d ON h.pubkey = d.pubkey WHERE d.pubkey IS NULL ORDER BY h.hops, h.pubkey LIMIT 50) t) r""")
-define("term_deletes", "Terms of five characters or more without one and, from eight on, without two of their characters, and themselves: what terms within as many edits share.", """
+define("term_deletes", "Terms of four characters or more without one and, from eight on, without two of their characters, wherever they stand, and themselves: what terms within as many edits share.", """
 SELECT DISTINCT tag, df, rest FROM (SELECT tag, df, tag AS rest FROM {srch_term_df} WHERE length(tag) >= 4
-UNION ALL SELECT t.tag, t.df, concat(substring(t.tag, 1, g.at - 1), substring(t.tag, g.at + 1)) FROM {srch_term_df} t CROSS JOIN (SELECT @grid(1, 30) AS at) g WHERE g.at <= length(t.tag) AND length(t.tag) >= 4
-UNION ALL SELECT t.tag, t.df, concat(substring(t.tag, 1, g.at - 1), substring(t.tag, g.at + 1, h.at - g.at - 1), substring(t.tag, h.at + 1)) FROM {srch_term_df} t CROSS JOIN (SELECT @grid(1, 30) AS at) g CROSS JOIN (SELECT @grid(2, 30) AS at) h WHERE g.at < h.at AND h.at <= length(t.tag) AND length(t.tag) >= 8) d""")
+UNION ALL SELECT tag, df, concat(substring(tag, 1, one - 1), substring(tag, one + 1)) FROM (SELECT tag, df, @grid(1, length(tag)) AS one FROM {srch_term_df} WHERE length(tag) >= 4) o
+UNION ALL SELECT tag, df, concat(substring(tag, 1, one - 1), substring(tag, one + 1, two - one - 1), substring(tag, two + 1)) FROM (SELECT tag, df, one, @grid(one + 1, length(tag)) AS two FROM (SELECT tag, df, @grid(1, length(tag) - 1) AS one FROM {srch_term_df} WHERE length(tag) >= 8) f) t) d""")
+

@@ -63,9 +63,9 @@ define("srch_note_score", "Score of each result: 0.35 of its share of the query'
 SELECT s.item_id, s.id, round((35e-2 * CASE WHEN s.phrase THEN greatest(85e-2, least(1e0, s.shared / CAST(t.terms AS DOUBLE))) ELSE least(1e0, s.shared / CAST(t.terms AS DOUBLE)) END + 45e-2 * exp(-ln(2e0) * greatest(@unix(n.as_of) - @unix(p.ts), 0) / 259200e0) + 2e-1 * least(1e0, ln(1e0 + p.raw) / ln(51e0)))
   * CASE WHEN @size(@extract_all(p.text, '[^ \\n]+')) <= 3 THEN 15e-2 ELSE 1e0 END * CASE WHEN @matches(p.text, '[|][^|]*[|][^|]*[|][^|]*[|]') OR lower(p.author) LIKE '%rss feed%' THEN 5e-2 ELSE 1e0 END, 6) AS score
 FROM {srch_notes} s JOIN {srch_query_terms} t ON s.item_id = t.item_id JOIN {post_engagement} p ON s.id = p.id CROSS JOIN {post_now} n""")
-define("srch_note_rank", "Results in order: copies of a text by the same author within seven days at a fiftieth of their score; of an author's results at most two among the first 20, the others after them.", """
+define("srch_note_rank", "Results in order: a copy of a text by the same author within seven days of the one before it at a fiftieth of its score; of an author's results at most two among the first 20, the others after them.", """
 SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN by_author <= 2 THEN 0 ELSE 1 END, score DESC, id) AS place FROM (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id, author ORDER BY score DESC, id) AS by_author FROM (
-  SELECT item_id, id, author, round(score * CASE WHEN copy > 1 THEN 2e-2 ELSE 1e0 END, 6) AS score FROM (SELECT s.item_id, s.id, p.author, s.score, row_number() OVER (PARTITION BY s.item_id, p.author, coalesce(f.fingerprint, @str(s.id)), @div(@unix(p.ts), 604800) ORDER BY s.score DESC, s.id) AS copy
+  SELECT item_id, id, author, round(score * CASE WHEN copy > 1 THEN 2e-2 ELSE 1e0 END, 6) AS score FROM (SELECT s.item_id, s.id, p.author, s.score, CASE WHEN @unix(p.ts) - lag(@unix(p.ts)) OVER (PARTITION BY s.item_id, p.author, coalesce(f.fingerprint, @str(s.id)) ORDER BY p.ts, s.id) <= 604800 THEN 2 ELSE 1 END AS copy
   FROM {srch_note_score} s JOIN {posts} p ON s.id = p.id LEFT JOIN {norm_content_fingerprint} f ON s.id = f.id) c) d) r""")
 define("srch_profile_rank", "Profiles found for a query by tier, bots five tiers behind, then by followers, activity, words and posts.", """
 SELECT q, pubkey, tier, score, row_number() OVER (PARTITION BY q ORDER BY tier, score DESC, pubkey) AS place FROM (SELECT s.q, s.pubkey, s.tier + CASE WHEN g.bot THEN 5 ELSE 0 END AS tier,

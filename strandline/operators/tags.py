@@ -44,7 +44,7 @@ WHERE NOT @matches(relay, '^wss?://(localhost|127[.][0-9.]+|10[.][0-9.]+|192[.]1
 define("attr_relay_hints", "Valid relay hints in e and p tags by day.", """
 SELECT day, relay, count(*) AS n FROM (SELECT @date(ts) AS day, regexp_replace(lower(trim(hint)), '/$', '') AS relay FROM {tags} WHERE name IN ('e', 'p') AND @matches(lower(trim(hint)), '^wss?://[a-z0-9.-]+(:[0-9]+)?(/[^?#]*)?$')
   AND NOT @matches(lower(trim(hint)), '^wss?://(localhost|127[.]|10[.]|192[.]168[.]|169[.]254[.])')) h GROUP BY day, relay""")
-define("norm_tag_hashtags", "Hashtags of tags: trimmed, lower case, without marks, of letters, digits and underscores and not of digits alone; each once an event.", "SELECT DISTINCT event_id, tag FROM (SELECT event_id, lower(@replace_all(trim(value), '^#+', '')) AS tag FROM {tags} WHERE name = 't') t WHERE @matches(tag, '^[a-z0-9_]+$') AND NOT @matches(tag, '^[0-9]+$')")
+define("norm_tag_hashtags", "Hashtags of tags: trimmed, lower case, without marks, of up to 64 letters, digits, underscores and hyphens, the first a letter or digit, and not of digits alone; each once an event.", "SELECT DISTINCT event_id, tag FROM (SELECT event_id, lower(@replace_all(trim(value), '^#+', '')) AS tag FROM {tags} WHERE name = 't') t WHERE @matches(tag, '^[a-z0-9][a-z0-9_-]{0,63}$') AND NOT @matches(tag, '^[0-9]+$')")
 define("eco_client_daily", "Notes and authors by client and day.", "SELECT value AS client, @date(ts) AS day, count(*) AS n, count(DISTINCT pubkey) AS authors FROM {tags} WHERE name = 'client' GROUP BY value, @date(ts)")
 define("eco_content_flags", "Notes by day: all, with a warning, expiring, from a bridge by its protocol, and with the work that they claim.", """
 SELECT @date(n.ts) AS day, count(*) AS notes, @count_if(a.warned) AS warned, @count_if(a.expires_at IS NOT NULL) AS expiring, @count_if(a.protocol IN ('activitypub', 'atproto', 'rss', 'web')) AS bridged, @count_if(a.protocol = 'activitypub') AS activitypub, @count_if(a.protocol = 'rss') AS rss,

@@ -137,7 +137,7 @@ define(
 SELECT s.id AS event_id, s.pubkey, s.kind, s.d, s.created_at, g.idx,
   CASE WHEN s.kind IN (3, 30000) THEN 'p' WHEN s.kind = 10000 THEN CASE g.idx % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'word' ELSE 'e' END WHEN s.kind = 10002 THEN 'r' WHEN s.kind = 10015 THEN 't' WHEN s.kind = 10050 THEN 'relay'
     WHEN s.kind IN (10003, 5) AND g.idx % 4 = 3 THEN 'a' ELSE 'e' END AS name,
-  CASE WHEN s.kind IN (3, 30000) THEN @str((s.pubkey * 7 + g.idx * 13 + s.id % 2) % 150 + 1) WHEN s.kind = 10000 THEN CASE g.idx % 3 WHEN 0 THEN @str((s.pubkey * 3 + g.idx) % 150 + 1) WHEN 1 THEN concat('word', @str(s.id % 6)) ELSE @str(s.id - g.idx) END
+  CASE WHEN s.kind IN (3, 30000) THEN @str((s.pubkey * 7 + g.idx * 13 + s.id % 2) % 150 + 1) WHEN s.kind = 10000 THEN CASE g.idx % 3 WHEN 0 THEN @str((s.pubkey * 3 + g.idx) % 150 + 1) WHEN 1 THEN concat('point ', @str(s.id % 6)) ELSE @str(s.id - g.idx) END
     WHEN s.kind = 10002 THEN CASE WHEN g.idx = 4 THEN 'not a relay' ELSE concat('wss://relay', @str((s.pubkey + g.idx * g.idx) % 12), '.example.com/') END WHEN s.kind = 10015 THEN concat('Tag', @str((s.pubkey + g.idx) % 9)) WHEN s.kind = 10050 THEN concat('wss://relay', @str((s.pubkey + g.idx) % 12), '.example.com')
     WHEN s.kind IN (10003, 5) AND g.idx % 4 = 3 THEN concat('30023:', @str(s.pubkey), ':d', @str(s.id % 3)) WHEN s.kind = 5 THEN @str(s.id - g.idx * 2 - 1) ELSE @str(greatest(s.id - g.idx * 5, 1)) END AS value,
   CASE WHEN s.kind = 10002 THEN CASE g.idx % 3 WHEN 0 THEN '' WHEN 1 THEN 'read' ELSE 'write' END ELSE '' END AS third
@@ -169,3 +169,5 @@ define(
     "Distinct words of four letters or more of posts, in lower case, with their first place: id, author, ts, lang, tag, pos.",
     "SELECT p.id, p.author, p.ts, p.lang, lower(e.x) AS tag, min(e.pos) AS pos FROM {posts} p, @each_at(@extract_all(p.text, '[A-Za-z]{4,}'), e) GROUP BY p.id, p.author, p.ts, p.lang, lower(e.x)",
 )
+define("domain_author_daily", "Which authors link a domain on which day: domain, author, day. Some domains rise, some fade.", """
+SELECT DISTINCT concat('site', @str(CASE WHEN k % 5 = 3 AND day_ago > 7 THEN 9 WHEN k % 5 = 4 AND day_ago <= 7 THEN 9 ELSE k % 5 END), '.org') AS domain, author, day FROM (SELECT e.k, e.pubkey AS author, @date(e.ts) AS day, @days(@date(p.as_of), @date(e.ts)) AS day_ago FROM {ev} e CROSS JOIN {present} p WHERE e.kind IN (1, 7)) x""")

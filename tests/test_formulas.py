@@ -158,3 +158,72 @@ def test_personalized_ranks(spark):
     found = {(r["viewer"], r["node"]): r["score"] for r in personalized(edges, teleport, 3).collect()}
     assert {n for v, n in found if v == "v"} == set(sorted(score, key=score.get)[-3:]) and {n for v, n in found if v == "w"} == {"x", "y"}
     assert all(found["v", n] == pytest.approx(score[n], abs=1e-8) for v, n in found if v == "v")
+
+
+def test_hashtags_of_tags(spark):
+    values = ["##Go-Lang", " a_b ", "_x", "2024", "a" * 64, "a" * 65, "ok!", "-x", "é", "A_B"]
+    tags = frame(spark, "event_id long, name string, value string", [(1, "t", v) for v in values] + [(1, "p", "go")])
+    assert sorted(r["tag"] for r in run("norm_tag_hashtags", tags=tags)) == sorted(["a" * 64, "a_b", "go-lang"])
+
+
+def test_domain_momentum_by_trusted_authors(spark):
+    def linked(domain, authors, ago):
+        return [(domain, a, ago) for a in authors]
+
+    days = linked("rise", range(20), 3) + linked("rise", range(8), 10) + linked("fade", range(3), 2) + linked("fade", range(9), 9) + linked("few", range(7), 1) + linked("few", range(7), 9)
+    days += linked("unknown", range(100, 130), 1) + linked("today", range(20), 0) + linked("steady", range(8), 7) + linked("steady", range(8), 1) + linked("steady", range(4), 14)
+    daily = frame(spark, "domain string, author long, ago int", days).selectExpr("domain", "author", "date_sub(date'2024-03-15', ago) AS day")
+    found = run("eco_domain_momentum", domain_author_daily=daily, trusted_users=spark.range(50).selectExpr("id AS pubkey"), present=spark.sql("SELECT timestamp_ntz'2024-03-15 12:00:00' AS as_of"))
+    assert {r["domain"]: (r["recent"], r["prior"], r["state"], r["z"]) for r in found} == {"rise": (20, 8, "emerging", 1.5), "fade": (3, 9, "fading", -0.666667), "steady": (8, 4, "steady", 1.0)}
+
+
+def test_percentile_of_performance(spark):
+    values = [0.0, 0.0, 0.5, 3.0, 3.0, 3.0, 1000.0, 1e9]
+    two = frame(spark, "pubkey long, now double, before double, per_note double", [(k, v, 0.0, 0.0) for k, v in enumerate(values)])
+    found = {r["now"]: r["level"] for r in run("auth_levels", auth_two_windows=two)}
+    assert found == {v: round(100 - 100 * sum(x > v for x in values) / 7, 6) for v in values}
+    assert run("auth_levels", auth_two_windows=two.limit(1)) == [{"now": 0.0, "level": 100.0}]
+
+
+def test_the_largest_supporter(spark):
+    at = "timestamp_ntz'2024-01-01'"
+    payments = spark.sql(f"SELECT * FROM VALUES ('b', 'r', 5L, {at}), ('a', 'r', 3L, {at}), ('a', 'r', 2L, {at}), ('r', 'r', 99L, {at}), ('long name', 's', 200000L, {at}), ('c', 's', 1L, {at}) AS t(sender, receiver, sats, ts)")
+    found = {(r["receiver"], r["days"]): (r["supporter"], r["support"], r["senders"]) for r in run("disc_paid_rankings", payments=payments)}
+    assert found["r", 30] == ("a", 10, 2) and found["s", 365] == ("long name", 100001, 2)
+
+
+def test_fingerprints_without_links_and_mentions(spark):
+    body = "forty characters of plain text are enough here"
+    texts = [body, f"{body.upper()}\n\nHTTPS://x.example/a?b", f"nostr:npub1abc {body}  nostr:note1xyz", f"x {body}", "https://example.org/" + "a" * 60]
+    found = {r["id"]: r["fingerprint"] for r in run("norm_content_fingerprint", posts=frame(spark, "id long, text string", list(enumerate(texts))))}
+    assert found[0] == found[1] == found[2] != found[3] and 4 not in found
+
+
+def test_copies_within_seven_days_of_the_one_before(spark):
+    days = {1: 0, 2: 6, 3: 12, 4: 20, 5: 1}  # across calendar weeks; 5 is another author's
+    posts = spark.createDataFrame([(k, "b" if k == 5 else "a", d) for k, d in days.items()], "id long, author string, d int").selectExpr("id", "author", "timestamp_ntz'2024-01-04' + make_interval(0, 0, 0, d) AS ts")
+    score = frame(spark, "item_id long, id long, score double", [(1, k, 1.0) for k in days])
+    prints = frame(spark, "id long, fingerprint string", [(k, "f") for k in days])
+    assert {r["id"]: r["score"] for r in run("srch_note_rank", srch_note_score=score, posts=posts, norm_content_fingerprint=prints)} == {1: 1.0, 2: 0.02, 3: 0.02, 4: 1.0, 5: 1.0}
+
+
+def test_edits_far_into_a_word_are_found(spark):
+    word = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnop"
+    df = frame(spark, "tag string, df long", [(word, 500), (word[:38] + "z" + word[39:], 2), ("short", 2), ("shart", 300)])
+    deletes = REGISTRY["term_deletes"](srch_term_df=df)
+    assert {r["rest"] for r in deletes.where("tag = 'short'").collect()} == {"short", "hort", "sort", "shrt", "shot", "shor"}
+    found = {(r["tag"], r["better"], r["distance"]) for r in run("srch_correction", term_deletes=deletes)}
+    assert found == {(word[:38] + "z" + word[39:], word, 1), ("short", "shart", 1)}
+
+
+def test_the_cursor_is_one_row(spark):
+    notes = frame(spark, "pubkey long, created_at long, id long", [(1, 10, 900), (1, 20, 5)])  # the newest note has a small id
+    acts = frame(spark, "author long, created_at long, source_id long", [(1, 20, 6), (1, 20, 5), (1, 20, 4), (1, 21, 1), (1, 19, 999), (2, 1, 1)])
+    assert {r["author"]: r["unseen"] for r in run("join_temporal_cursor", acts=acts, notes=notes)} == {1: 2, 2: 1}
+
+
+def test_muted_words_as_they_stand(spark):
+    replies = frame(spark, "id long, author long, actor long, target_id long, text string", [(1, 7, 3, 50, "A sword POINT 4 here"), (2, 7, 3, 50, "nothing")])
+    lists = frame(spark, "pubkey long, kind int, id long", [(7, 10000, 99)])
+    items = frame(spark, "event_id long, name string, value string", [(99, "word", "Point 4"), (99, "word", "word x")])
+    assert [(r["id"], r["by_word"], r["by_author"]) for r in run("mod_hidden", replies=replies, state_replaceable=lists, state_items=items)] == [(1, True, False)]
