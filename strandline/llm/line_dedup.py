@@ -41,13 +41,13 @@ def keys(lines: DataFrame, threshold: int) -> DataFrame:
     return rows.select(*lines.columns, "own", "key")
 
 
-def finer_keys(lines: DataFrame, threshold: int, parts: int) -> DataFrame:
+def finer_keys(lines: DataFrame, threshold: int, parts: int, more: tuple[str, ...] = ()) -> DataFrame:
     """lines (column line and others) with own and key, as keys gives them, but of all segments but threshold of parts ones.
 
     A line within threshold edits differs from another inside at most threshold segments. Each choice of the segments left out
     gives keys: their edits move what stands after them by -1, 0 or 1 each, and by the difference of the lengths in all. So
     lines that share a key differ inside the segments left out only. What remains is threshold + 1 runs of segments, hashed
-    as they are.
+    as they are. more: "rest", what is left out, its parts joined by line feeds, and "k_d", by how much the line is the longer one.
     """
     runs, places = range(threshold + 1), set()
     for out in combinations(range(1, parts + 1), threshold):
@@ -69,7 +69,50 @@ def finer_keys(lines: DataFrame, threshold: int, parts: int) -> DataFrame:
     rows = rows.where(" and ".join(f"{a} >= 0 and {b} <= k_n" for a, b in zip(starts, stops, strict=True)))
     texts = ", ".join(f"substring(line, {a} + 1, {b} - {a})" for a, b in zip(starts, stops, strict=True))
     names = ", ".join(f"k_e{k}" for k in range(threshold))
-    return rows.withColumn("key", F.expr(f"xxhash64(k_m, {names}, {texts})")).select(*lines.columns, "own", "key")
+    rows = rows.withColumn("key", F.expr(f"xxhash64(k_m, {names}, {texts})"))
+    if "rest" in more:
+        rows = rows.where(" and ".join(f"{starts[k + 1]} >= {stops[k]}" for k in range(threshold)))
+        rows = rows.withColumn("rest", F.expr("concat_ws('\n', " + ", ".join(f"substring(line, {stops[k]} + 1, {starts[k + 1]} - {stops[k]})" for k in range(threshold)) + ")"))
+    return rows.select(*lines.columns, "own", "key", *more)
+
+
+def rest_keys(rows: DataFrame, threshold: int) -> DataFrame:
+    """key, id, first, own of rows (key, id, first, own, k_d, rest): keys of the rests' own segments, within each key.
+
+    Of a key's lines only what it leaves out differs, so lines within threshold edits have rests within as many, which share a segment.
+    """
+    drawn = keys(rows.select("id", "first", F.col("own").alias("is_own"), F.col("key").alias("of"), F.col("rest").alias("line")), threshold)
+    return drawn.where(F.col("own") == F.col("is_own")).select(F.xxhash64("of", "key").alias("key"), "id", "first", "own").distinct()
+
+
+def patterns(rows: DataFrame, threshold: int) -> DataFrame:
+    """key, id, first, own of rows (key, id, first, own, k_d, rest): a row for each way to take up to threshold characters of the rest
+    out or to leave their place open.
+
+    Two rests within threshold edits differ by w characters replaced, x that only the owner has and y that only the probe has, w + x + y
+    at most threshold: with those places open, or taken out, they are the same; and rests that agree so are as near. So those that
+    share a key here, an owner and a probe, are near, however many they are. Line feeds, which part the rests, stay.
+    """
+    now = rows.select("key", "id", "first", "own", "k_d", F.col("rest").alias("t"), F.lit(1).alias("at"), F.lit(0).alias("w"), F.lit(0).alias("x"), F.lit("").alias("open"))
+    every = now
+    for _ in range(threshold):
+        each = now.where("at <= length(t)").withColumn("p", F.explode(F.expr("sequence(at, length(t))"))).where("substring(t, p, 1) <> '\n'")
+        kept = each.select("key", "id", "first", "own", "k_d", F.expr("concat(substring(t, 1, p - 1), ' ', substring(t, p + 1))").alias("t"), F.expr("p + 1").alias("at"), F.expr("w + 1").alias("w"), "x", F.expr("concat(open, ',', p)").alias("open"))
+        out = each.select("key", "id", "first", "own", "k_d", F.expr("concat(substring(t, 1, p - 1), substring(t, p + 1))").alias("t"), F.expr("p").alias("at"), "w", F.expr("x + 1").alias("x"), "open")
+        now = kept.union(out)
+        every = every.union(now)
+    # an owner meets probes that have y more or less characters of their own; a probe knows how many, from the lengths
+    sides = F.expr(f"if(own, sequence(x, greatest(x, {threshold} - w - x)), array(x))")
+    made = every.withColumn("y", F.explode(sides)).withColumn("o", F.expr("if(own, x, y - k_d)")).where(f"o >= 0 and w + o + y <= {threshold}")
+    return made.select(F.xxhash64("key", "w", "o", "y", "t", "open").alias("key"), "id", "first", "own")
+
+
+def earliest_partners(rows: DataFrame) -> DataFrame:
+    """a, b: for each line of rows (key, id, first, own), all pairs of whose owners and probes are near, the first line that it meets, if it is earlier."""
+    order = F.struct("first", "id")
+    ends = rows.groupBy("key").agg(F.min(F.when(F.col("own"), order)).alias("owner"), F.min(F.when(~F.col("own"), order)).alias("probe")).where("owner is not null and probe is not null")
+    met = rows.join(ends, "key").withColumn("other", F.when(F.col("own"), F.col("probe")).otherwise(F.col("owner"))).where(F.col("other") < order)
+    return met.groupBy("id").agg(F.min("other").alias("other")).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
 
 
 def sketch(line: Column) -> Column:
@@ -268,6 +311,25 @@ def near_by_keys(rows: DataFrame, texts: DataFrame, near: DataFrame | None, thre
     return near, hot
 
 
+def near_by_rests(rows: DataFrame, texts: DataFrame, near: DataFrame, threshold: int, parts: int, most_open: int, scratch: Scratch) -> DataFrame:
+    """near with what the lines of texts (those of the keys of rows, drawn by parts, that are still large) find by what their keys leave out.
+
+    The rests are short. Their segments tell most apart; where very many lines share even those, the lines meet by patterns, each of
+    which holds near lines only, so a line looks at the first of each and no group is compared within itself.
+    """
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_open).select("key")
+    drawn = finer_keys(texts.select("line", "id", "first"), threshold, parts, ("k_d", "rest"))
+    rests = scratch.written(drawn.join(large, "key", "left_semi").select("key", "id", "first", "own", "k_d", "rest"), "rests")
+    near, hot = near_by_keys(shared_keys(rest_keys(rests, threshold), scratch), texts, near, threshold, most_open, scratch)
+    # rests of few characters may share no segment
+    hot = scratch.written(hot.union(rests.where(F.length("rest") <= 2 * threshold + 2).select("id")).distinct(), "hot")
+    if hot.isEmpty():
+        return near
+    met = scratch.written(patterns(rests.join(hot, "id", "left_semi"), threshold), "patterns")
+    open_ = scratch.written(earliest_partners(met), "met")
+    return scratch.written(near.union(near_lines(open_, texts, threshold, scratch)).distinct(), "near")
+
+
 def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 1, near_chars: int = 24, finer: tuple[int, ...] = (6, 12), most_open: int = 1000) -> DataFrame:
     """Lines to remove: doc_id, place (from 0), near (boolean), one row each.
 
@@ -282,8 +344,9 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 1, near
     by their segments' hashes. Of the lines of a key each is compared with the first one, so a group of lines alike costs a
     comparison a line; only lines that stay are then compared with the earlier lines of their keys, by sketches, in blocks.
     Where more than most_open lines of a key stay, they share a passage without being alike: their lines are cut into more
-    segments (finer), and meet only where all segments but threshold agree. What is still large at the finest is compared by
-    blocks as it is. No comparison is left out.
+    segments (finer), and meet only where all segments but threshold agree. Where keys are still large at the finest, as those of
+    lines from one template, their lines meet by what the keys leave out (near_by_rests), so that blocks never hold more than
+    most_open lines against as many, and the work grows with lines and the lengths left out. No comparison is left out.
     """
     if near_chars <= threshold:
         raise ValueError("near_chars must be above threshold")
@@ -296,12 +359,14 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 1, near
         rows = shared_keys(keys(lines, threshold).select("key", "id", "first", "own"), scratch)
         texts = texts_of(rows.select("id").distinct(), long_, scratch)
         near, hot = near_by_keys(rows, texts, None, threshold, most_open if finer else None, scratch)
-        for k, parts in enumerate(finer):
+        for parts in finer:
             if hot.isEmpty():
                 break
             again = texts.join(hot, "id", "left_semi")
             rows = shared_keys(finer_keys(again.select("line", "id", "first"), threshold, parts).select("key", "id", "first", "own"), scratch)
-            near, hot = near_by_keys(rows, again, near, threshold, most_open if k + 1 < len(finer) else None, scratch)
+            near, hot = near_by_keys(rows, again, near, threshold, most_open, scratch)
+        if hot is not None and not hot.isEmpty():
+            near = near_by_rests(rows, texts.join(hot, "id", "left_semi"), near, threshold, finer[-1], most_open, scratch)
         near = near.withColumn("near", F.lit(True))
         second = F.xxhash64(F.lit("second"), "line")
 

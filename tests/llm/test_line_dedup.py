@@ -185,3 +185,53 @@ def test_places_go_in_time_that_grows_with_lines(spark):
     removed = spark.range(0, 400_000, 2).select(F.lit(0).cast("long").alias("doc_id"), F.col("id").cast("int").alias("place"), F.lit(False).alias("near"))
     (left,) = without_lines(docs, removed).collect()
     assert left["text"] == "\n".join(str(i) for i in range(1, 400_000, 2))
+
+
+def test_template_lines_against_brute_force(spark, monkeypatch):
+    from strandline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = random.Random(12)
+    field = lambda k: rng.choice([f"{rng.randrange(16**10):010x}", f"{k:05d}", f"{k}", f"{k % 40}é{k % 3}"])
+    docs = [(i, f"the parcel with the reference {field(i)} has left the depot and is on its way to you") for i in range(220)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    expected = brute(docs, 2, 24)
+    assert 20 < len(expected) < 200
+    for most in (8, 40):
+        assert sorted(tuple(r) for r in repeated_lines(df, most_open=most).collect()) == expected, most
+
+
+def test_patterns_are_exact(spark):
+    from strandline.llm.line_dedup import patterns
+
+    rng = random.Random(13)
+    rests = ["".join(rng.choices("abc", k=rng.randrange(0, 4))) + "\n" + "".join(rng.choices("abc", k=rng.randrange(0, 4))) for _ in range(60)]
+    rows = [(1, i, 0, True, 0, r) for i, r in enumerate(rests)] + [(1, i, 0, False, d, r) for i, r in enumerate(rests) for d in range(3)]
+    made = patterns(spark.createDataFrame(rows, "key long, id long, first long, own boolean, k_d int, rest string"), 2)
+    left, right = (made.where(F.col("own") == own).select("key", F.col("id").alias(name)).distinct() for own, name in ((True, "a"), (False, "b")))
+    got = {(r["a"], r["b"]) for r in left.join(right, "key").select("a", "b").distinct().collect()}
+    parted = lambda x, y: sum(edit(p, q) for p, q in zip(x.split("\n"), y.split("\n"), strict=True))
+    # a probe is as long as its owner, or longer
+    want = {(a, b) for a, x in enumerate(rests) for b, y in enumerate(rests) if 0 <= len(y) - len(x) <= 2 and parted(x, y) <= 2}
+    assert got == want
+
+
+def test_what_blocks_hold_grows_with_template_lines(spark, monkeypatch):
+    from strandline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    own, held = line_dedup.block_candidates, []
+
+    def counted(members, sizes, threshold, most):
+        each = F.ceil(F.col("n_open") / 16) * F.col("n_all") + F.ceil(F.col("n_all") / 16) * F.col("n_open")
+        held.append(sizes.agg(F.sum(each)).first()[0] or 0)
+        return own(members, sizes, threshold, most)
+
+    monkeypatch.setattr(line_dedup, "block_candidates", counted)
+    rng, sums = random.Random(14), []
+    for n in (400, 800, 1600):
+        held.clear()
+        lines = [f"the parcel with the reference {rng.randrange(16**16):016x} has left the depot and is on its way to your door in the city" for _ in range(n)]
+        assert repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), most_open=64).count() == 0
+        sums.append(sum(held))
+    assert sums[2] < 20 * 1600 and sums[2] < 3 * max(sums[1], 400) < 9 * max(sums[0], 400)
