@@ -30,7 +30,7 @@ define("auth_weighted_notes", "Weighted engagement of each note: 3 replies, 2 re
 SELECT n.id, n.pubkey, n.ts, round(3 * c.replies + 2 * c.reposts + c.reactions + 2 * c.zaps + c.sats / 100e0, 6) AS value FROM {cnt_event_counts} c JOIN {notes} n ON c.id = n.id""")
 define("auth_top_notes", "The three notes of each author with most weighted engagement.", "SELECT pubkey, id, value, rn FROM (SELECT w.*, row_number() OVER (PARTITION BY pubkey ORDER BY value DESC, id DESC) AS rn FROM {auth_weighted_notes} w) r WHERE rn <= 3")
 define("auth_two_windows", "Weighted engagement of each author's notes of the last 14 days and of the 14 before, and the mean a note.", """
-SELECT pubkey, round(sum(CASE WHEN d < 14 THEN value ELSE 0 END), 4) AS now, round(sum(CASE WHEN d >= 14 AND d < 28 THEN value ELSE 0 END), 4) AS before, round(avg(CASE WHEN d < 14 THEN value END), 4) AS per_note
+SELECT pubkey, round(sum(CASE WHEN d < 14 THEN value ELSE 0 END), 4) AS now, round(sum(CASE WHEN d >= 14 AND d < 28 THEN value ELSE 0 END), 4) AS before, round(avg(CASE WHEN d < 14 THEN value END), 6) AS per_note
 FROM (SELECT w.pubkey, w.value, @days(@date(a.as_of), @date(w.ts)) AS d FROM {auth_weighted_notes} w CROSS JOIN {present} a) x GROUP BY pubkey""")
 define("auth_levels", "Percentile of each value of engagement among all authors: 100 less the share, of the others, that have more. Values are counted once, within bands of their logarithm, of which there are a thousand at most.", """
 SELECT v.now, round(100e0 - CASE WHEN t.n > 1 THEN 100e0 * (b.more + v.more) / (t.n - 1) ELSE 0 END, 6) AS level FROM (SELECT now, band, coalesce(sum(n) OVER (PARTITION BY band ORDER BY now DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM (

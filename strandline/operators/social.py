@@ -70,7 +70,7 @@ SELECT item_id, @size(@extract_all(text, '[A-Za-z]+')) AS words, count(DISTINCT
 define("srch_suggest", "For each first three letters the three leading hashtags and profiles.", """
 SELECT list, prefix, item, weight, rn FROM (SELECT list, prefix, item, weight, row_number() OVER (PARTITION BY list, prefix ORDER BY weight DESC, item) AS rn FROM (SELECT 'hashtag' AS list, substring(tag, 1, 3) AS prefix, tag AS item, df AS weight FROM {srch_term_df} WHERE length(tag) >= 3
 UNION ALL SELECT 'profile', lower(substring(regexp_replace(f.name, '^[^#]*#0*', ''), 1, 3)), f.name, coalesce(e.followers, 0) FROM {attr_profile_fields} f LEFT JOIN {fact_profile_edges} e ON f.pubkey = e.pubkey) u) r WHERE rn <= 3""")
-define("srch_correction", "For hashtags of five letters or more that fewer than ten posts have, the most frequent term within one edit (two from eight letters on) that at least 100 posts have, and eight times as many.", """
+define("srch_correction", "For terms of five letters or more that fewer than ten posts have, the most frequent term within one edit (two from eight letters on) that at least 100 posts have, and eight times as many.", """
 SELECT tag, better, df, distance FROM (SELECT c.tag, c.better, c.df, c.distance, row_number() OVER (PARTITION BY c.tag ORDER BY c.df DESC, c.distance, c.better) AS rn FROM (
   SELECT DISTINCT a.tag, b.tag AS better, b.df, levenshtein(a.tag, b.tag) AS distance FROM (SELECT tag, df, rest FROM {term_deletes} WHERE length(tag) >= 5 AND df < 10) a JOIN (SELECT tag, df, rest FROM {term_deletes} WHERE df >= 100) b ON a.rest = b.rest WHERE b.df >= 8 * a.df AND a.tag <> b.tag) c WHERE c.distance <= 1 OR (c.distance = 2 AND length(c.tag) >= 8)) r WHERE rn = 1""")
 define("srch_profile_signals", "Followers, posts, engagement, last activity, trust and whether a bot, for ranking profiles.", """
@@ -134,7 +134,7 @@ SELECT pubkey, min(list) AS list FROM (SELECT pubkey, 'trust' AS list FROM {trus
 define("trust_crawl_frontier", "The 50 users to read lists of next: within the hops, without a newest contact list, nearest first.", """
 SELECT pubkey, hops, rn FROM (SELECT t.pubkey, t.hops, row_number() OVER (ORDER BY t.hops, t.pubkey) AS rn FROM (SELECT h.pubkey, h.hops FROM {trust_hops} h LEFT JOIN (SELECT pubkey FROM {state_contact_lists} WHERE n >= 4) d ON h.pubkey = d.pubkey WHERE d.pubkey IS NULL ORDER BY h.hops, h.pubkey LIMIT 50) t) r""")
 define("term_deletes", "Terms of four characters or more without one and, from eight on, without two of their characters, wherever they stand, and themselves: what terms within as many edits share.", """
-SELECT DISTINCT tag, df, rest FROM (SELECT tag, df, tag AS rest FROM {srch_term_df} WHERE length(tag) >= 4
-UNION ALL SELECT tag, df, concat(substring(tag, 1, one - 1), substring(tag, one + 1)) FROM (SELECT tag, df, @grid(1, length(tag)) AS one FROM {srch_term_df} WHERE length(tag) >= 4) o
-UNION ALL SELECT tag, df, concat(substring(tag, 1, one - 1), substring(tag, one + 1, two - one - 1), substring(tag, two + 1)) FROM (SELECT tag, df, one, @grid(one + 1, length(tag)) AS two FROM (SELECT tag, df, @grid(1, length(tag) - 1) AS one FROM {srch_term_df} WHERE length(tag) >= 8) f) t) d""")
+SELECT DISTINCT tag, df, rest FROM (SELECT tag, df, tag AS rest FROM {search_terms} WHERE length(tag) >= 4
+UNION ALL SELECT tag, df, concat(substring(tag, 1, one - 1), substring(tag, one + 1)) FROM (SELECT tag, df, @grid(1, length(tag)) AS one FROM {search_terms} WHERE length(tag) >= 4) o
+UNION ALL SELECT tag, df, concat(substring(tag, 1, one - 1), substring(tag, one + 1, two - one - 1), substring(tag, two + 1)) FROM (SELECT tag, df, one, @grid(one + 1, length(tag)) AS two FROM (SELECT tag, df, @grid(1, length(tag) - 1) AS one FROM {search_terms} WHERE length(tag) >= 8) f) t) d""")
 

@@ -171,3 +171,6 @@ define(
 )
 define("domain_author_daily", "Which authors link a domain on which day: domain, author, day. Some domains rise, some fade.", """
 SELECT DISTINCT concat('site', @str(CASE WHEN k % 5 = 3 AND day_ago > 7 THEN 9 WHEN k % 5 = 4 AND day_ago <= 7 THEN 9 ELSE k % 5 END), '.org') AS domain, author, day FROM (SELECT e.k, e.pubkey AS author, @date(e.ts) AS day, @days(@date(p.as_of), @date(e.ts)) AS day_ago FROM {ev} e CROSS JOIN {present} p WHERE e.kind IN (1, 7)) x""")
+define("search_terms", "Terms for spelling: hashtags and frequent words with their posts, and misspelt forms of frequent words, a letter short, that a few posts have: tag, df.", """
+SELECT tag, max(df) AS df FROM (SELECT tag, df FROM {srch_term_df} UNION ALL SELECT tag, df FROM {frequent_words} UNION ALL SELECT concat(substring(tag, 1, 2), substring(tag, 4)), 1 + length(tag) % 5 FROM {frequent_words} WHERE length(tag) >= 6) t GROUP BY tag""")
+define("frequent_words", "Words of posts that a fiftieth of them have, and a hundred at least: tag, df.", "SELECT w.tag, count(*) AS df FROM {post_words} w CROSS JOIN (SELECT count(*) AS n FROM {posts}) p GROUP BY w.tag, p.n HAVING count(*) >= 100 AND count(*) * 50 >= p.n")

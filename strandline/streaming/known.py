@@ -73,7 +73,9 @@ class KnownIds:
         if held is not None:
             old = held.where(F.col("day").isin([d for d in self.days(rows) if d is not None])).select("day", "shard", F.posexplode("words").alias("word", "bits"))
             bits = bits.unionByName(old)
-        words = bits.groupBy("day", "shard", "word").agg(F.bit_or("bits").alias("bits"))
-        whole = words.groupBy("day", "shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.try_element_at(F.col("m"), w), F.lit(0).cast("long")))
+        # every word of a filter is there, so that they stand in an array
+        empty = bits.select("day", "shard").distinct().select("day", "shard", F.explode(F.sequence(F.lit(0), F.lit(WORDS - 1))).alias("word"), F.lit(0).cast("long").alias("bits"))
+        words = bits.unionByName(empty).groupBy("day", "shard", "word").agg(F.bit_or("bits").alias("bits"))
+        whole = words.groupBy("day", "shard").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
+        dense = F.transform("w", lambda x: x["bits"])
         self.filters.upsert(whole.select("day", "shard", dense.alias("words"), F.lit(batch).alias("batch")), batch)

@@ -124,7 +124,7 @@ def test_newest_state_wins(spark):
 
 def test_correction(spark):
     df = frame(spark, "tag string, df long", [("bitcoin", 400), ("bitcion", 3), ("bitcoim", 9), ("nostrich", 200), ("nosttrch", 1), ("bitco", 2), ("coin", 1), ("bitcoyn", 60)])
-    found = {r["tag"]: (r["better"], r["distance"]) for r in run("srch_correction", term_deletes=REGISTRY["term_deletes"](srch_term_df=df))}
+    found = {r["tag"]: (r["better"], r["distance"]) for r in run("srch_correction", term_deletes=REGISTRY["term_deletes"](search_terms=df))}
     assert found == {"bitcoim": ("bitcoin", 1), "nosttrch": ("nostrich", 2)}
 
 
@@ -210,7 +210,7 @@ def test_copies_within_seven_days_of_the_one_before(spark):
 def test_edits_far_into_a_word_are_found(spark):
     word = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnop"
     df = frame(spark, "tag string, df long", [(word, 500), (word[:38] + "z" + word[39:], 2), ("short", 2), ("shart", 300)])
-    deletes = REGISTRY["term_deletes"](srch_term_df=df)
+    deletes = REGISTRY["term_deletes"](search_terms=df)
     assert {r["rest"] for r in deletes.where("tag = 'short'").collect()} == {"short", "hort", "sort", "shrt", "shot", "shor"}
     found = {(r["tag"], r["better"], r["distance"]) for r in run("srch_correction", term_deletes=deletes)}
     assert found == {(word[:38] + "z" + word[39:], word, 1), ("short", "shart", 1)}
