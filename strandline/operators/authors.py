@@ -62,9 +62,9 @@ LEFT JOIN (SELECT c.followed, count(*) AS n FROM {contacts} c LEFT JOIN (SELECT
 define("auth_first_seen", "First event of each author.", "SELECT pubkey, min(created_at) AS first_at, @first_by(id, created_at) AS first_id FROM {ev} GROUP BY pubkey")
 define("auth_account_state", "State of each account from its hops, profile, notes and engagement by the trusted; tracked ones have a floor and an override wins.", """
 SELECT pubkey, derived, CASE WHEN override_ IS NOT NULL THEN override_ WHEN tracked AND derived IN ('unknown', 'observed', 'candidate') THEN 'tracked' ELSE derived END AS state FROM (
-  SELECT s.pubkey, CASE WHEN b.pubkey IS NOT NULL THEN 'blocked' END AS override_, s.pubkey % 20 = 0 AS tracked, CASE WHEN t.hops <= 2 THEN 'trusted' WHEN p.pubkey IS NOT NULL AND s.notes >= 10 AND coalesce(g.n, 0) >= 3 THEN 'meaningful'
+  SELECT s.pubkey, CASE WHEN b.pubkey IS NOT NULL THEN 'blocked' END AS override_, k.pubkey IS NOT NULL AS tracked, CASE WHEN t.hops <= 2 THEN 'trusted' WHEN p.pubkey IS NOT NULL AND s.notes >= 10 AND coalesce(g.n, 0) >= 3 THEN 'meaningful'
     WHEN coalesce(g.n, 0) >= 1 OR (p.pubkey IS NOT NULL AND s.seen >= 5) THEN 'candidate' WHEN s.seen >= 2 THEN 'observed' ELSE 'unknown' END AS derived FROM (SELECT pubkey, @count_if(kind = 1) AS notes, count(*) AS seen FROM {ev} GROUP BY pubkey) s LEFT JOIN {trusted_users} t ON s.pubkey = t.pubkey
-  LEFT JOIN (SELECT DISTINCT pubkey FROM {states} WHERE kind = 0) p ON s.pubkey = p.pubkey LEFT JOIN (SELECT a.author, count(DISTINCT a.actor) AS n FROM {acts} a JOIN {trusted_users} u ON a.actor = u.pubkey WHERE a.actor <> a.author GROUP BY a.author) g ON s.pubkey = g.author LEFT JOIN {blocked} b ON s.pubkey = b.pubkey) x""")
+  LEFT JOIN (SELECT DISTINCT pubkey FROM {states} WHERE kind = 0) p ON s.pubkey = p.pubkey LEFT JOIN (SELECT a.author, count(DISTINCT a.actor) AS n FROM {acts} a JOIN {trusted_users} u ON a.actor = u.pubkey WHERE a.actor <> a.author GROUP BY a.author) g ON s.pubkey = g.author LEFT JOIN {blocked} b ON s.pubkey = b.pubkey LEFT JOIN {tracked_accounts} k ON s.pubkey = k.pubkey) x""")
 define("auth_completeness", "Coverage of each account: profile, notes and payments that were seen.", """
 SELECT pubkey, CASE WHEN profiles > 0 AND notes > 0 AND paid > 0 THEN 'full' WHEN notes > 0 THEN 'partial' ELSE 'sparse' END AS coverage FROM (SELECT pubkey, @count_if(kind = 0) AS profiles, @count_if(kind = 1) AS notes, @count_if(kind = 9735) AS paid FROM {ev} GROUP BY pubkey) c""")
 define("auth_state_transitions", "Weeks in which an account's state by what was seen until then changed: unknown, observed from two events on, candidate from five with a profile.", """

@@ -100,7 +100,7 @@ SELECT relay, popularity, probe, latency, yield_, duplicates, failures, propagat
 define("rel_transition", "Next state of each relay from its state and score: admitted ones stay down to 50, others enter from 60, at most five in all; failing ones are held back, others wait or are rejected.", """
 SELECT relay, score, before, CASE WHEN NOT eligible THEN CASE WHEN failures >= 12 THEN 'quarantined' WHEN score < 30 THEN 'rejected' ELSE 'candidate' END WHEN rn <= 5 THEN 'admitted' ELSE 'candidate' END AS state FROM (
   SELECT relay, score, failures, before, eligible, row_number() OVER (PARTITION BY eligible ORDER BY CASE WHEN before = 'admitted' THEN 0 ELSE 1 END, score DESC, relay) AS rn FROM (
-    SELECT relay, score, failures, CASE WHEN relay % 3 = 0 THEN 'admitted' ELSE 'candidate' END AS before, failures < 12 AND score >= CASE WHEN relay % 3 = 0 THEN 50 ELSE 60 END AS eligible FROM {rel_score}) s) r""")
+    SELECT c.relay, c.score, c.failures, coalesce(b.before, 'candidate') AS before, c.failures < 12 AND c.score >= CASE WHEN b.before = 'admitted' THEN 50 ELSE 60 END AS eligible FROM {rel_score} c LEFT JOIN {relay_states} b ON c.relay = b.relay) s) r""")
 define("rel_coverage", "Relays that carried events in only one of the last two years.", """
 SELECT coalesce(a.relay, b.relay) AS relay, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS now FROM (SELECT relay, count(*) AS n FROM {sightings} CROSS JOIN (SELECT max(seen_at) AS t FROM {sightings}) m WHERE seen_at <= t - INTERVAL 365 DAYS GROUP BY relay) a
 FULL OUTER JOIN (SELECT relay, count(*) AS n FROM {sightings} CROSS JOIN (SELECT max(seen_at) AS t FROM {sightings}) m WHERE seen_at > t - INTERVAL 365 DAYS GROUP BY relay) b ON a.relay = b.relay""")

@@ -78,7 +78,7 @@ SELECT f.pubkey, coalesce(e.followers, 0) AS followers, coalesce(p.posts, 0) AS
 LEFT JOIN {fact_profile_edges} e ON f.pubkey = e.pubkey LEFT JOIN {disc_profile_stats} p ON f.pubkey = p.pubkey LEFT JOIN {trusted_users} t ON f.pubkey = t.pubkey""")
 # messages, notifications, moderation
 define("dm_contacts", "Peers of each user by the last message either way, with what was sent and received.", """
-SELECT who, peer, @isum(sent) AS sent, @isum(received) AS received, max(created_at) AS last_at FROM (SELECT actor AS who, author AS peer, 1 AS sent, 0 AS received, created_at FROM {acts} WHERE actor <> author UNION ALL SELECT author, actor, 0, 1, created_at FROM {acts} WHERE actor <> author) u GROUP BY who, peer""")
+SELECT who, peer, @isum(sent) AS sent, @isum(received) AS received, max(created_at) AS last_at FROM (SELECT sender AS who, receiver AS peer, 1 AS sent, 0 AS received, created_at FROM {direct_messages} UNION ALL SELECT receiver, sender, 0, 1, created_at FROM {direct_messages}) u GROUP BY who, peer""")
 define("dm_messages", "Pages of four turns of each conversation, newest first, in a range of turns, with the cursor after which the next begins.", """
 SELECT root, id, turn, rn, @div(rn - 1, 4) + 1 AS page, lag(id, 4) OVER (PARTITION BY root ORDER BY rn) AS after_id FROM (SELECT root, id, turn, row_number() OVER (PARTITION BY root ORDER BY turn DESC, id DESC) AS rn FROM {chat} WHERE turn >= 0 AND turn < 1000000) r""")
 define("dm_unread", "Unread turns of each receiver and conversation after its cursor, its own last turn, those deleted left out; and the latest.", """

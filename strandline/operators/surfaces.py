@@ -5,19 +5,18 @@ from __future__ import annotations
 from ..plans.template import define
 
 # smaller surfaces; notes and acts stand in for their own kinds of event
-define("eco_polls", "Votes of each option of a poll: one a voter, the newest one before the poll's end, three days after its note.", """
-SELECT poll, option_, count(*) AS votes FROM (SELECT a.target_id AS poll, a.actor, a.k % 4 AS option_, row_number() OVER (PARTITION BY a.target_id, a.actor ORDER BY a.created_at DESC, a.source_id DESC) AS rn FROM {acts} a JOIN {notes} n ON a.target_id = n.id WHERE a.relation = 'reaction' AND a.created_at <= n.created_at + 259200) v WHERE rn = 1 GROUP BY poll, option_""")
-define("eco_badges", "Awards of each badge, and how many holders wrote a note afterwards.", """
-SELECT b.badge, count(*) AS awards, count(DISTINCT b.actor) AS holders, count(DISTINCT CASE WHEN n.last_at > b.created_at THEN b.actor END) AS accepted FROM (SELECT target_id % 20 AS badge, actor, created_at FROM {acts} WHERE relation = 'repost') b
-LEFT JOIN (SELECT pubkey, max(created_at) AS last_at FROM {notes} GROUP BY pubkey) n ON b.actor = n.pubkey GROUP BY b.badge""")
+define("eco_polls", "Votes of each option of a poll: one a voter, the newest one before the poll's end.", """
+SELECT poll, option_, count(*) AS votes FROM (SELECT v.poll, v.actor, v.option_, row_number() OVER (PARTITION BY v.poll, v.actor ORDER BY v.created_at DESC, v.source_id DESC) AS rn FROM {poll_votes} v JOIN {polls} p ON v.poll = p.poll WHERE v.created_at <= p.ends_at) v WHERE rn = 1 GROUP BY poll, option_""")
+define("eco_badges", "Awards of each badge, its holders, and how many of them accepted it.", """
+SELECT b.badge, count(*) AS awards, count(DISTINCT b.actor) AS holders, count(DISTINCT a.actor) AS accepted FROM {badge_awards} b LEFT JOIN {badge_acceptances} a ON b.badge = a.badge AND b.actor = a.actor GROUP BY b.badge""")
 define("eco_goals", "Sats raised against the goal of each note with one.", """
-SELECT g.id, g.goal, coalesce(z.sats, 0) AS raised, @div(coalesce(z.sats, 0) * 10000, g.goal) AS done_bps FROM (SELECT id, 1000 * (1 + k % 5) AS goal FROM {notes} WHERE k % 4 = 0) g LEFT JOIN {cnt_zaps} z ON g.id = z.target_id""")
+SELECT g.id, g.goal, coalesce(z.sats, 0) AS raised, @div(coalesce(z.sats, 0) * 10000, g.goal) AS done_bps FROM {goals} g LEFT JOIN {cnt_zaps} z ON g.id = z.target_id""")
 define("eco_groups", "Messages, members and last time of each group, with its size class.", """
-SELECT grp, messages, members, last_at, CASE WHEN members < 5 THEN 'small' WHEN members < 12 THEN 'medium' ELSE 'large' END AS size FROM (SELECT pubkey % 12 AS grp, count(*) AS messages, count(DISTINCT pubkey) AS members, max(created_at) AS last_at FROM {notes} GROUP BY 1) g""")
+SELECT grp, messages, members, last_at, CASE WHEN members < 5 THEN 'small' WHEN members < 12 THEN 'medium' ELSE 'large' END AS size FROM (SELECT grp, count(*) AS messages, count(DISTINCT pubkey) AS members, max(created_at) AS last_at FROM {group_messages} GROUP BY grp) g""")
 define("eco_live_chat", "Chats, chatters and last time of each live address.", "SELECT value AS address, count(*) AS chats, count(DISTINCT pubkey) AS chatters, max(created_at) AS last_at FROM {tags} WHERE name = 'a' GROUP BY value")
 define("note_live", "Live addresses: open ones have a chat in the last three days and an event that has not ended, a day after its start.", """
 SELECT l.address, l.last_at, l.chats, CASE WHEN s.id IS NULL THEN 'unknown' WHEN s.created_at + 86400 * 10 < @unix(p.as_of) THEN 'ended' ELSE 'open' END AS status FROM {eco_live_chat} l LEFT JOIN {state_addressable} s ON l.address = concat(@str(s.kind), ':', @str(s.pubkey), ':', s.d) CROSS JOIN {present} p WHERE l.last_at > @unix(p.as_of) - 259200""")
-define("fact_nutzaps", "Token payments: sats, unit and mint of each.", "SELECT source_id, author AS receiver, sats, CASE WHEN k % 2 = 0 THEN 'sat' ELSE 'msat' END AS unit, concat('mint', @str(k % 5)) AS mint FROM {acts} WHERE relation = 'zap' AND sats > 0")
+define("fact_nutzaps", "Token payments of an amount: sats, unit and mint of each.", "SELECT source_id, receiver, sats, unit, mint FROM {token_payments} WHERE sats > 0")
 define("attr_file_metadata", "Files of notes: the first address, type in lower case, size if it is a number, and digest.", """
 SELECT event_id, max(CASE WHEN name = 'url' THEN value END) AS url, max(CASE WHEN name = 'm' THEN lower(value) END) AS mime, max(CASE WHEN name = 'size' AND @matches(value, '^[0-9]+$') THEN @num(value) END) AS size, max(CASE WHEN name = 'x' AND @matches(value, '^[0-9a-f]{64}$') THEN value END) AS digest
 FROM {tags} WHERE name IN ('url', 'm', 'size', 'x') GROUP BY event_id HAVING max(CASE WHEN name = 'url' THEN value END) IS NOT NULL""")

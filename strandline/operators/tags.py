@@ -25,7 +25,7 @@ SELECT event_id, root, root_by, parent, parent_by FROM (SELECT event_id, @first_
   FROM {tags} WHERE name IN ('E', 'A', 'e', 'a') GROUP BY event_id) c WHERE root IS NOT NULL""")
 define("cnt_comments", "Comments of each target by distinct source: as the root or the parent, by id or by address.", """
 SELECT target, count(DISTINCT event_id) AS n, count(DISTINCT CASE WHEN side = 'root' THEN event_id END) AS as_root FROM (SELECT root AS target, event_id, 'root' AS side FROM {ref_comments} UNION ALL SELECT parent, event_id, 'parent' FROM {ref_comments} WHERE parent IS NOT NULL) u GROUP BY target""")
-define("ref_reports", "Reports with target, its author and type.", "SELECT source_id, target_id, author, CASE k % 4 WHEN 0 THEN 'spam' WHEN 1 THEN 'nudity' WHEN 2 THEN 'impersonation' ELSE 'other' END AS type FROM {acts} WHERE relation = 'report'")
+define("ref_reports", "Reports with target, its author and type.", "SELECT a.source_id, a.target_id, a.author, t.type FROM {acts} a JOIN {report_types} t ON a.source_id = t.source_id WHERE a.relation = 'report'")
 define("attr_event_attributes", "What single tags of a note say: client, expiry, warning, bridge's protocol, work asked and done, target kind, subject, alternative text, publication, splits.", """
 SELECT event_id, client, expires_at, warned, protocol, pow_target, 4 * zeros + CASE WHEN substring(hash, zeros + 1, 1) = '1' THEN 3 WHEN substring(hash, zeros + 1, 1) IN ('2', '3') THEN 2 WHEN substring(hash, zeros + 1, 1) IN ('4', '5', '6', '7') THEN 1 ELSE 0 END AS pow_bits, target_kind, subject, alt, published_at, splits FROM (
   SELECT event_id, max(CASE WHEN name = 'client' THEN value END) AS client, max(CASE WHEN name = 'expiration' AND @matches(value, '^[0-9]+$') THEN @num(value) END) AS expires_at, bool_or(name = 'content-warning') AS warned,
@@ -69,7 +69,7 @@ define("attr_profile_fields", "Fields of each newest profile document.", """
 SELECT pubkey, trim(@json(doc, '$.name')) AS name, trim(@json(doc, '$.display_name')) AS display_name, lower(split_part(@json(doc, '$.nip05'), '@', 2)) AS nip05_domain, lower(trim(@json(doc, '$.lud16'))) AS ln_address, lower(split_part(@json(doc, '$.lud16'), '@', 2)) AS ln_domain,
   lower(regexp_extract(@json(doc, '$.website'), '^https?://(?:www[.])?([^/:]+)', 1)) AS site, coalesce(@json(doc, '$.bot'), 'false') = 'true' AS bot FROM {state_profiles_latest}""")
 define("attr_ln_lookup", "For a table of payment addresses in any case the profile of each, the smallest if several have it, null if none.", """
-SELECT q.address, min(f.pubkey) AS pubkey, count(f.pubkey) AS n FROM (SELECT DISTINCT concat('USER', @str(c_custkey), '@pay', @str(c_custkey % 7), '.EXAMPLE') AS address FROM {customer}) q LEFT JOIN {attr_profile_fields} f ON lower(trim(q.address)) = f.ln_address GROUP BY q.address""")
+SELECT q.address, min(f.pubkey) AS pubkey, count(f.pubkey) AS n FROM {ln_queries} q LEFT JOIN {attr_profile_fields} f ON lower(trim(q.address)) = f.ln_address GROUP BY q.address""")
 define("attr_external_identities", "Platform and identity that notes' i tags claim, the first of a platform for each note.", """
 SELECT event_id, platform, identity FROM (SELECT event_id, lower(split_part(value, ':', 1)) AS platform, regexp_replace(value, '^[^:]*:', '') AS identity, row_number() OVER (PARTITION BY event_id, lower(split_part(value, ':', 1)) ORDER BY idx) AS rn FROM {tags} WHERE name = 'i' AND @matches(value, '^[^:]+:.+')) r WHERE rn = 1""")
 define("eco_identity", "The 50 leading domains of names, payment addresses and sites, with their share of the profiles that have one.", """
@@ -77,11 +77,10 @@ SELECT field, domain, n, round(n / all_, 6) AS share, rn FROM (SELECT d.field, d
   SELECT field, domain, count(*) AS n FROM (SELECT 'nip05' AS field, nip05_domain AS domain FROM {attr_profile_fields} UNION ALL SELECT 'ln', ln_domain FROM {attr_profile_fields} UNION ALL SELECT 'site', site FROM {attr_profile_fields}) u WHERE domain <> '' GROUP BY field, domain) d
 JOIN (SELECT 'nip05' AS field, @count_if(nip05_domain <> '') AS all_ FROM {attr_profile_fields} UNION ALL SELECT 'ln', @count_if(ln_domain <> '') FROM {attr_profile_fields} UNION ALL SELECT 'site', @count_if(site <> '') FROM {attr_profile_fields}) t ON d.field = t.field) r WHERE rn <= 50""")
 define("state_profiles_latest", "Newest profile document of each author, ties by the larger document.", "SELECT pubkey, doc, updated_at FROM (SELECT p.*, row_number() OVER (PARTITION BY pubkey ORDER BY updated_at DESC, doc DESC) AS rn FROM {profiles} p) r WHERE rn = 1")
-define("srch_profiles", "For the first ten characters and the numbers of names as queries, the five best profiles: exact name, then prefix, then part.", """
+define("srch_profiles", "For queries by names and numbers, the five best profiles: exact name, then prefix, then part.", """
 SELECT q, pubkey, tier, rn FROM (SELECT q, pubkey, tier, row_number() OVER (PARTITION BY q ORDER BY tier, pubkey) AS rn FROM (
   SELECT w.q, f.pubkey, min(CASE WHEN lower(f.name) = w.q THEN 0 WHEN lower(f.name) LIKE concat(w.q, '%') THEN 1 ELSE 2 END) AS tier FROM (
-    SELECT pubkey, name, e.x AS token FROM {attr_profile_fields}, @each_at(@words(@replace_all(lower(name), '[^a-z0-9]+', ' ')), e)) f JOIN (SELECT DISTINCT lower(name) AS q, regexp_extract(lower(name), '([a-z0-9]+)$', 1) AS token FROM {attr_profile_fields} WHERE pubkey % 50 = 0
-    UNION SELECT DISTINCT regexp_extract(name, '([0-9]+)$', 1), regexp_extract(name, '([0-9]+)$', 1) FROM {attr_profile_fields} WHERE pubkey % 50 = 0) w ON f.token = w.token GROUP BY w.q, f.pubkey) t) r WHERE rn <= 5""")
+    SELECT pubkey, name, e.x AS token FROM {attr_profile_fields}, @each_at(@words(@replace_all(lower(name), '[^a-z0-9]+', ' ')), e)) f JOIN {profile_lookups} w ON f.token = w.token GROUP BY w.q, f.pubkey) t) r WHERE rn <= 5""")
 define("srch_identifier", "Events and profiles that an identifier names exactly: numbers, and hexadecimal digests of keys in any case.", """
 SELECT q.q, 'event' AS entity, e.id, e.kind FROM (SELECT DISTINCT value AS q FROM {tags} WHERE name = 'q' AND @matches(value, '^[0-9]+$')) q JOIN {ev} e ON CAST(q.q AS BIGINT) = e.id
 UNION ALL SELECT h.q, 'profile', p.pubkey, 0 FROM (SELECT DISTINCT upper(@sha256(@str(pubkey))) AS q FROM {notes}) h JOIN (SELECT pubkey, @sha256(@str(pubkey)) AS hex FROM {state_profiles_latest}) p ON lower(h.q) = p.hex""")
@@ -95,7 +94,7 @@ SELECT d.relay, d.users, s.last_at, coalesce(s.last_at > t.as_of - INTERVAL 90 D
 define("rel_lists_daily", "Relay lists by day: how many, mean and median of their relays.", """
 SELECT day, count(*) AS lists, round(avg(n), 6) AS mean, round(@quantile(n, 0.5), 6) AS p50 FROM (SELECT s.id, @date(s.ts) AS day, count(i.idx) AS n FROM {states} s LEFT JOIN {state_items} i ON s.id = i.event_id AND @matches(i.value, '^wss?://') WHERE s.kind = 10002 GROUP BY s.id, @date(s.ts)) l GROUP BY day""")
 define("rel_software", "Relays by software and version, and those that support each feature.", """
-SELECT software, version, count(*) AS relays, @isum(events) AS events, @count_if(features >= 2) AS searchable FROM (SELECT relay, concat('soft', @str(relay % 3)) AS software, concat('1.', @str(relay % 4)) AS version, relay % 5 AS features, count(*) AS events FROM {sightings} GROUP BY relay) r GROUP BY software, version""")
+SELECT d.software, d.version, count(*) AS relays, @isum(s.events) AS events, @count_if(d.features >= 2) AS searchable FROM {relay_documents} d JOIN (SELECT relay, count(*) AS events FROM {sightings} GROUP BY relay) s ON d.relay = s.relay GROUP BY d.software, d.version""")
 define("state_relay_lists", "Newest relay list of each author: relays to read from, to write to, and all; a relay without marker is for both.", """
 SELECT i.pubkey, count(*) AS n, @count_if(i.third IN ('', 'write')) AS writes, @count_if(i.third IN ('', 'read')) AS reads, @joined(CASE WHEN i.third IN ('', 'write') THEN i.value END) AS write_relays FROM {state_items} i JOIN {state_replaceable} r ON i.event_id = r.id
 WHERE i.kind = 10002 AND i.name = 'r' AND @matches(i.value, '^wss?://') GROUP BY i.pubkey""")
@@ -119,10 +118,10 @@ SELECT id, detected, confidence FROM (SELECT id, lang AS detected, round(share,
     SELECT w.id, m.lang, sum(CASE WHEN m.all_ > w.n THEN CAST(w.n AS DOUBLE) * power(CAST(m.uses - CASE WHEN m.lang = w.lang THEN w.n ELSE 0 END AS DOUBLE) / (m.all_ - w.n), 4) ELSE 0e0 END) AS votes
     FROM {short_words} w JOIN {word_counts} m ON w.word = m.word GROUP BY w.id, m.lang) v WHERE votes > 0) s) r JOIN (SELECT id AS clean_id FROM {lang_clean_text} WHERE letters >= 20) c ON id = clean_id WHERE rn = 1 AND confidence >= 6e-1 AND gap >= 25e-2""")
 define("short_words", "Words of at most four letters of each post's clean text, counted.", "SELECT p.id, p.lang, lower(e.x) AS word, count(*) AS n FROM {lang_clean_text} p, @each_at(@extract_all(p.clean, '[A-Za-zÀ-ÿ]+'), e) WHERE length(e.x) <= 4 GROUP BY p.id, p.lang, lower(e.x)")
-define("lang_decide", "Language of each post and where it is from: its tag, its text, the post that it answers (the one before of its author's ten), its author's language; else why there is none.", """
+define("lang_decide", "Language of each post and where it is from: its tag, its text, the post that it answers, its author's language; else why there is none.", """
 SELECT c.id, coalesce(t.code, d.detected, a.detected, p.lang) AS lang, CASE WHEN t.code IS NOT NULL THEN 1e0 WHEN d.detected IS NOT NULL THEN d.confidence WHEN coalesce(a.detected, p.lang) IS NOT NULL THEN 4e-1 END AS confidence,
   CASE WHEN t.code IS NOT NULL THEN 'tag' WHEN d.detected IS NOT NULL THEN 'content' WHEN a.detected IS NOT NULL THEN 'thread' WHEN p.lang IS NOT NULL THEN 'author' WHEN c.letters < 20 THEN 'short' ELSE 'uncertain' END AS source
-FROM {lang_clean_text} c LEFT JOIN {lang_tags} t ON c.id = t.id LEFT JOIN {lang_detect} d ON c.id = d.id LEFT JOIN {lang_detect} a ON c.id % 10 > 0 AND a.id = c.id - 1 LEFT JOIN {lang_prior} p ON c.author = p.author""")
+FROM {lang_clean_text} c LEFT JOIN {lang_tags} t ON c.id = t.id LEFT JOIN {lang_detect} d ON c.id = d.id LEFT JOIN {post_parents} x ON c.id = x.id LEFT JOIN {lang_detect} a ON a.id = x.parent LEFT JOIN {lang_prior} p ON c.author = p.author""")
 define("norm_reply_phrase", "Phrase of each reply: its words in lower case without links, identifiers and marks, whole; a reply of media files only is its files; and whether it is a greeting.", """
 SELECT id, target_id, author, actor, created_at, phrase, phrase = '' OR @matches(phrase, '^(gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good)( (gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good))*$')
   OR @matches(phrase, '^(good )?(gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon)( (gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good))*( [^ ]+){0,4}$')

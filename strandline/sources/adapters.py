@@ -174,3 +174,20 @@ SELECT DISTINCT concat('site', @str(CASE WHEN k % 5 = 3 AND day_ago > 7 THEN 9 W
 define("search_terms", "Terms for spelling: hashtags and frequent words with their posts, and misspelt forms of frequent words, a letter short, that a few posts have: tag, df.", """
 SELECT tag, max(df) AS df FROM (SELECT tag, df FROM {srch_term_df} UNION ALL SELECT tag, df FROM {frequent_words} UNION ALL SELECT concat(substring(tag, 1, 2), substring(tag, 4)), 1 + length(tag) % 5 FROM {frequent_words} WHERE length(tag) >= 6) t GROUP BY tag""")
 define("frequent_words", "Words of posts that a fiftieth of them have, and a hundred at least: tag, df.", "SELECT w.tag, count(*) AS df FROM {post_words} w CROSS JOIN (SELECT count(*) AS n FROM {posts}) p GROUP BY w.tag, p.n HAVING count(*) >= 100 AND count(*) * 50 >= p.n")
+define("address_acts", "Reposts and payments that name an address: source_id, relation, address, sats.", "SELECT source_id, relation, concat('30023:', @str(author), ':d', @str(k % 5)) AS address, sats FROM {acts} WHERE relation IN ('repost', 'zap') AND k % 3 = 0")
+define("report_types", "Types of reports, as their tags say: source_id, type.", "SELECT source_id, CASE k % 4 WHEN 0 THEN 'spam' WHEN 1 THEN 'nudity' WHEN 2 THEN 'impersonation' ELSE 'other' END AS type FROM {acts} WHERE relation = 'report'")
+define("post_parents", "Posts that answer another: id, parent.", "SELECT id, id - 1 AS parent FROM {posts} WHERE id % 10 > 0")
+define("relay_documents", "What relays say of themselves: relay, software, version, features.", "SELECT DISTINCT relay, concat('soft', @str(relay % 3)) AS software, concat('1.', @str(relay % 4)) AS version, relay % 5 AS features FROM {sightings}")
+define("relay_states", "States of relays before their next: relay, before.", "SELECT DISTINCT relay, CASE WHEN relay % 3 = 0 THEN 'admitted' ELSE 'candidate' END AS before FROM {sightings}")
+define("tracked_accounts", "Accounts that are tracked whatever they do: pubkey.", "SELECT DISTINCT pubkey FROM {ev} WHERE pubkey % 20 = 0")
+define("polls", "Polls and when they end, three days after their note: poll, ends_at.", "SELECT id AS poll, created_at + 259200 AS ends_at FROM {notes}")
+define("poll_votes", "Votes: poll, source_id, actor, option_, created_at.", "SELECT target_id AS poll, source_id, actor, k % 4 AS option_, created_at FROM {acts} WHERE relation = 'reaction'")
+define("badge_awards", "Awards of badges: badge, actor, created_at.", "SELECT target_id % 20 AS badge, actor, created_at FROM {acts} WHERE relation = 'repost'")
+define("badge_acceptances", "Badges that their holders accepted, by a note after the award: badge, actor.", "SELECT DISTINCT b.badge, b.actor FROM {badge_awards} b JOIN {notes} n ON b.actor = n.pubkey AND n.created_at > b.created_at")
+define("goals", "Goals of notes in sats: id, goal.", "SELECT id, 1000 * (1 + k % 5) AS goal FROM {notes} WHERE k % 4 = 0")
+define("group_messages", "Messages in groups: grp, id, pubkey, created_at.", "SELECT pubkey % 12 AS grp, id, pubkey, created_at FROM {notes}")
+define("token_payments", "Token payments: source_id, receiver, sats, unit, mint.", "SELECT source_id, author AS receiver, sats, CASE WHEN k % 2 = 0 THEN 'sat' ELSE 'msat' END AS unit, concat('mint', @str(k % 5)) AS mint FROM {acts} WHERE relation = 'zap'")
+define("ln_queries", "Payment addresses that are looked up, in any case: address.", "SELECT DISTINCT concat('USER', @str(c_custkey), '@pay', @str(c_custkey % 7), '.EXAMPLE') AS address FROM {customer}")
+define("direct_messages", "Messages between two users: sender, receiver, created_at.", "SELECT actor AS sender, author AS receiver, created_at FROM {acts} WHERE actor <> author")
+define("profile_lookups", "Queries for profiles by name, and by the number in a name: q, token.", "SELECT DISTINCT lower(name) AS q, regexp_extract(lower(name), '([a-z0-9]+)$', 1) AS token FROM {attr_profile_fields} WHERE pubkey % 50 = 0 UNION SELECT DISTINCT regexp_extract(name, '([0-9]+)$', 1), regexp_extract(name, '([0-9]+)$', 1) FROM {attr_profile_fields} WHERE pubkey % 50 = 0")
+define("reaction_contents", "Contents of reactions: source_id, content.", "SELECT source_id, CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN '+' WHEN 2 THEN '-' ELSE concat(':emoji_', @str(k % 60), ':') END AS content FROM {acts} WHERE relation = 'reaction'")
