@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from ..plans.template import REGISTRY, build
+from .payloads import canonical_id, validate_events
 
 #: Kinds of the event format.
 NOTE, PROFILE, REPOST, REACTION, RECEIPT, REPORT, DELETION, RELAYS = 1, 0, 6, 7, 9735, 1984, 5, 10002
@@ -107,3 +109,42 @@ class ReadModel:
 
     def __call__(self, operator: str) -> DataFrame:
         return build(self.spark, self.name, operator, self.made)
+
+
+def _payloads(events: DataFrame) -> DataFrame:
+    """payload: of every ten of the driver's events the first is a note, and the others are about it, by their types."""
+    rows = events.withColumn("g", F.floor(F.col("event_id") / 10))
+    first = rows.groupBy("g").agg(F.min("event_id").alias("head"))
+    rows = rows.join(first, "g").withColumn("is_head", F.col("event_id") == F.col("head"))
+
+    def signed(df: DataFrame, kind: Column, tags: Column) -> DataFrame:
+        e = F.struct(F.sha2(F.col("user_id").cast("string"), 256).alias("pubkey"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"), kind.alias("kind"), tags.alias("tags"), F.concat(F.lit("number "), F.col("event_id").cast("string")).alias("content"))
+        made = df.select("g", e.alias("e")).withColumn("hex", canonical_id(F.col("e")))
+        return made.select("g", "hex", F.to_json(F.struct(F.col("hex").alias("id"), "e.*", F.repeat(F.lit("a"), 128).alias("sig"))).alias("payload"))
+
+    none = F.array().cast("array<array<string>>")
+    heads = signed(rows.where("is_head"), F.lit(NOTE), none)
+    others = rows.where("not is_head").join(heads.select("g", "hex"), "g")
+    kind = F.when(F.col("event_type") == "view", NOTE).when(F.col("event_type") == "click", REACTION).when(F.col("event_type") == "purchase", RECEIPT).otherwise(REPORT)
+    amount = F.array(F.lit("amount"), (F.floor(F.col("value") * 100) * 1000).cast("string"))
+    about = F.array(F.array(F.lit("e"), F.col("hex"), F.lit(""), F.lit("root")), amount)
+    return heads.unionByName(signed(others, kind, about)).select("payload")
+
+
+def _read_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads through validation and the read model to interactions and threads."""
+    checked = validate_events(_payloads(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    model = ReadModel(cut(checked.where("error_code is null").select("e.*")))
+    acts = model("acts").groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_id").alias("targets"), F.countDistinct("actor").alias("actors"), F.sum("sats").alias("sats"))
+    depth = model("thr_depth").agg(F.lit("depth").alias("relation"), F.sum("depth").cast("long").alias("n"), F.countDistinct("root").alias("targets"), F.lit(0).cast("long").alias("actors"), F.lit(0).cast("long").alias("sats"))
+    return acts.unionByName(depth)
+
+
+QUERIES = {"ingest_read_model": _read_model_query}
+ORACLES = {
+    "ingest_read_model": """
+WITH e AS (SELECT *, event_id // 10 AS g, event_id = min(event_id) OVER (PARTITION BY event_id // 10) AS head FROM events),
+r AS (SELECT *, CASE event_type WHEN 'view' THEN 'reply' WHEN 'click' THEN 'reaction' WHEN 'purchase' THEN 'zap' ELSE 'report' END AS relation FROM e WHERE NOT head)
+SELECT relation, count(*) AS n, count(DISTINCT g) AS targets, count(DISTINCT user_id) AS actors, CAST(sum(CASE WHEN relation = 'zap' THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS sats FROM r GROUP BY relation
+UNION ALL SELECT 'depth', (SELECT count(*) FROM r WHERE relation = 'reply'), (SELECT count(*) FROM e WHERE head), 0, 0"""
+}
