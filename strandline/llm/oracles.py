@@ -86,19 +86,27 @@ s AS (
          unnest([n_symbols / n_words, n_marks / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words, word_chars / n_words, -word_chars / n_words, -n_words::DOUBLE]) AS score
   FROM b),
 l AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT lang, rule, score, good FROM s JOIN l USING (doc_id) WHERE NOT base_failed AND score IS NOT NULL),
-a AS (SELECT lang, rule, score, sum(good) AS good, sum(1 - good) AS bad FROM h GROUP BY ALL),
+h AS (SELECT s.r, lang, rule, score, good, substr(sha256(doc_id::VARCHAR), 1, 1) < '8' AS shapes FROM s JOIN l USING (doc_id) WHERE NOT base_failed AND score IS NOT NULL),
+a AS (
+  SELECT *, sum(good) FILTER (WHERE shapes) OVER p AS good_all, sum(1 - good) FILTER (WHERE shapes) OVER p AS bad_all,
+         coalesce(sum(good) FILTER (WHERE shapes) OVER w, 0) AS good_from, coalesce(sum(1 - good) FILTER (WHERE shapes) OVER w, 0) AS bad_from
+  FROM h WINDOW p AS (PARTITION BY lang, rule), w AS (PARTITION BY lang, rule ORDER BY score DESC)),
+y AS (SELECT *, (good_from + bad_from) / nullif(good_all + bad_all, 0) AS share FROM a),
+e AS (SELECT *, (bad_from / nullif(bad_all, 0) - good_from / nullif(good_all, 0)) / nullif(sqrt(share * (1 - share) * (1 / nullif(good_all, 0) + 1 / nullif(bad_all, 0))), 0) AS apart FROM y),
 v AS (
-  SELECT lang, rule, score, coalesce(sum(good) OVER w, 0) AS good_above, coalesce(sum(bad) OVER w, 0) AS bad_above, sum(good) OVER p AS all_good, sum(bad) OVER p AS all_bad
-  FROM a WINDOW p AS (PARTITION BY lang, rule), w AS (PARTITION BY lang, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-n AS (SELECT DISTINCT lang, rule, all_good FROM v),
+  SELECT * FROM (SELECT *, max(apart) OVER (PARTITION BY lang, rule) AS clear, min(good_from) FILTER (WHERE shapes AND good = 0) OVER (PARTITION BY lang, rule ORDER BY score) AS level FROM e)
+  WHERE clear >= 4),
+n AS (SELECT lang, sum(good) AS n FROM (SELECT DISTINCT r, lang, good FROM h WHERE NOT shapes) GROUP BY lang),
 k AS (
-  SELECT lang, rule, k, sum(exp(lgamma(all_good + 1) - lgamma(k + 1) - lgamma(all_good - k + 1) + k * ln(0.05 / 7) + (all_good - k) * ln(1 - 0.05 / 7))) OVER (PARTITION BY lang, rule ORDER BY k) AS tail
-  FROM (SELECT n.*, unnest(range(0, ceil(all_good * 0.05 / 7)::BIGINT + 1)) AS k FROM n)),
-m AS (SELECT lang, rule, max(k) AS most FROM k WHERE tail <= 0.05 / (7 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM h))) GROUP BY lang, rule),
-q AS (SELECT v.lang, v.rule, v.score, bad_above / all_bad - good_above / all_good AS gain FROM v JOIN m ON v.lang IS NOT DISTINCT FROM m.lang AND v.rule = m.rule WHERE good_above <= most),
-z AS (SELECT lang, rule, score AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, score DESC) AS rn FROM q WHERE gain > 0) WHERE rn = 1),
-x AS (SELECT s.r, bool_or(coalesce(s.score > z.cutoff, false)) AS rejected FROM s LEFT JOIN z ON s.lang IS NOT DISTINCT FROM z.lang AND s.rule = z.rule GROUP BY s.r)
+  SELECT lang, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.05) + (n - k) * ln(0.95))) OVER (PARTITION BY lang ORDER BY k) AS tail
+  FROM (SELECT lang, n, unnest(range(0, ceil(n * 0.05)::BIGINT + 1)) AS k FROM n)),
+m AS (SELECT lang, max(k) AS most FROM k WHERE tail <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) GROUP BY lang),
+d2 AS (SELECT lang, r, good, min(level) AS level FROM v WHERE NOT shapes GROUP BY lang, r, good HAVING min(level) <= floor(max(good_all) * 0.05)),
+u AS (SELECT lang, level, sum(sum(good)) OVER w AS good, sum(sum(1 - good)) OVER w AS bad FROM d2 GROUP BY lang, level WINDOW w AS (PARTITION BY lang ORDER BY level)),
+q AS (SELECT u.lang, level, bad - good AS gain FROM u JOIN m ON u.lang IS NOT DISTINCT FROM m.lang WHERE good <= most),
+best AS (SELECT lang, level FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gain DESC, level) AS rn FROM q WHERE gain > 0) WHERE rn = 1),
+z AS (SELECT v.lang, rule, min(score) AS cutoff FROM v JOIN best ON v.lang IS NOT DISTINCT FROM best.lang WHERE shapes AND good = 0 AND good_from <= best.level GROUP BY v.lang, rule),
+x AS (SELECT s.r, bool_or(coalesce(s.score >= z.cutoff, false)) AS rejected FROM s LEFT JOIN z ON s.lang IS NOT DISTINCT FROM z.lang AND s.rule = z.rule GROUP BY s.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN x USING (r)""",
     "op11_filter_audit": r"""
 WITH d AS (
