@@ -122,13 +122,26 @@ define("lang_decide", "Language of each post and where it is from: its tag, its
 SELECT c.id, coalesce(t.code, d.detected, a.detected, p.lang) AS lang, CASE WHEN t.code IS NOT NULL THEN 1e0 WHEN d.detected IS NOT NULL THEN d.confidence WHEN coalesce(a.detected, p.lang) IS NOT NULL THEN 4e-1 END AS confidence,
   CASE WHEN t.code IS NOT NULL THEN 'tag' WHEN d.detected IS NOT NULL THEN 'content' WHEN a.detected IS NOT NULL THEN 'thread' WHEN p.lang IS NOT NULL THEN 'author' WHEN c.letters < 20 THEN 'short' ELSE 'uncertain' END AS source
 FROM {lang_clean_text} c LEFT JOIN {lang_tags} t ON c.id = t.id LEFT JOIN {lang_detect} d ON c.id = d.id LEFT JOIN {post_parents} x ON c.id = x.id LEFT JOIN {lang_detect} a ON a.id = x.parent LEFT JOIN {lang_prior} p ON c.author = p.author""")
-define("norm_reply_phrase", "Phrase of each reply: its words in lower case without links, identifiers and marks, whole; a reply of media files only is its files; and whether it is a greeting.", """
-SELECT id, target_id, author, actor, created_at, phrase, phrase = '' OR @matches(phrase, '^(gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good)( (gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good))*$')
-  OR @matches(phrase, '^(good )?(gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon)( (gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good))*( [^ ]+){0,4}$')
-  OR (length(rest) <= 64 AND @matches(rest, '^(gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good|a|and|your|enjoy|have|great|wonderful|lovely|nice|blessed|pleasant|beautiful|awesome|sweet|dear|soul|day|peace|coffee|rest|hug|hugs|thanks|thank|wish|wishing|friend|friends|happy|best|luck|one|weekend|dream|dreams|well)( (gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good|a|and|your|enjoy|have|great|wonderful|lovely|nice|blessed|pleasant|beautiful|awesome|sweet|dear|soul|day|peace|coffee|rest|hug|hugs|thanks|thank|wish|wishing|friend|friends|happy|best|luck|one|weekend|dream|dreams|well)){0,7}$')) AS greeting
-FROM (SELECT id, target_id, author, actor, created_at, phrase, trim(regexp_replace(phrase, '^(good )?(gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon)( (gm|gn|ge|ga|pv|pura|vida|hi|hey|yo|sup|hello|morning|mornin|night|evening|afternoon|good))*( |$)', '')) AS rest FROM (
+# Fixed values, as surveyed: words that greet, and words that wishes add to them.
+GREETINGS = "gm gn ge ga pv pura vida hi hey yo sup hello morning mornin night evening afternoon"
+WISHES = "a and your enjoy have great wonderful lovely nice blessed pleasant beautiful awesome sweet dear soul day peace coffee rest hug hugs thanks thank wish wishing friend friends happy best luck one weekend dream dreams well"
+
+
+def _with_greetings(sql: str) -> str:
+    """sql with <greeting>, <opening> (good, too) and <any> (wishes, too) as alternatives of a pattern."""
+    words = {"<greeting>": GREETINGS, "<opening>": f"{GREETINGS} good", "<any>": f"{GREETINGS} good {WISHES}"}
+    for name, of in words.items():
+        sql = sql.replace(name, of.replace(" ", "|"))
+    return sql
+
+
+define("norm_reply_phrase", "Phrase of each reply: its words in lower case without links, identifiers and marks, whole; a reply of media files only is its files; and whether it is a greeting.", _with_greetings("""
+SELECT id, target_id, author, actor, created_at, phrase, phrase = '' OR @matches(phrase, '^(<opening>)( (<opening>))*$')
+  OR @matches(phrase, '^(good )?(<greeting>)( (<opening>))*( [^ ]+){0,4}$')
+  OR (length(rest) <= 64 AND @matches(rest, '^(<any>)( (<any>)){0,7}$')) AS greeting
+FROM (SELECT id, target_id, author, actor, created_at, phrase, trim(regexp_replace(phrase, '^(good )?(<greeting>)( (<opening>))*( |$)', '')) AS rest FROM (
   SELECT id, target_id, author, actor, created_at, CASE WHEN plain = '' AND media <> '' THEN concat('media:', media) ELSE plain END AS phrase FROM (
-    SELECT id, target_id, author, actor, created_at, trim(@replace_all(@spoken(@replace_all(lower(text), 'https?://[^ ]+|www[.][^ ]+|(npub|nprofile|nevent|naddr|note)1[0-9a-z]+', ' ')), '[ \\n\\t]+', ' ')) AS plain, regexp_extract(lower(text), 'https?://([^ ?#]+[.](?:png|jpe?g|gif|webp|mp4|webm))', 1) AS media FROM {replies}) r) p) q""")
+    SELECT id, target_id, author, actor, created_at, trim(@replace_all(@spoken(@replace_all(lower(text), 'https?://[^ ]+|www[.][^ ]+|(npub|nprofile|nevent|naddr|note)1[0-9a-z]+', ' ')), '[ \\n\\t]+', ' ')) AS plain, regexp_extract(lower(text), 'https?://([^ ?#]+[.](?:png|jpe?g|gif|webp|mp4|webm))', 1) AS media FROM {replies}) r) p) q"""))
 define("disc_reply_discount", "Reply weight of each window and target: each vote outside piles, the greatest of each pile once, of greetings by the root of their number; the substantive part, and the share that unlocks.", """
 SELECT CAST(split_part(p.target_id, ' ', 1) AS INT) AS days, CAST(split_part(p.target_id, ' ', 2) AS BIGINT) AS target_id, @isum(people) AS repliers, @isum(CASE WHEN pile IS NULL THEN people ELSE 0 END) AS substantive_repliers, round(sum(CASE WHEN pile IS NULL THEN total WHEN pile = 'greeting' THEN sqrt(CAST(people AS DOUBLE)) * most ELSE most END), 6) AS total,
   round(sum(CASE WHEN pile IS NULL THEN total ELSE 0e0 END), 6) AS substantive, round(CASE WHEN sum(CASE WHEN pile IS NULL THEN 0 ELSE people END) <= sum(CASE WHEN pile IS NULL THEN people ELSE 0 END) THEN 1e0 ELSE sum(CASE WHEN pile IS NULL THEN people ELSE 0 END) / CAST(sum(people) AS DOUBLE) END, 6) AS unlock_share
