@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandline.sources.payloads import canonical_id, payloads_of, read_payloads, validate_events
+from strandline.sources.payloads import canonical_id, invalid_stats, payloads_of, quarantine, read_payloads, validate_events
 
 
 def test_codes_in_order(spark):
@@ -26,3 +27,10 @@ def test_reading_files(spark, tmp_path):
     (tmp_path / "a/one.ndjson").write_text('{"relay_url": "wss://r", "payload": {"id": "x"}}\n\nnot json\n')
     found = {(r["relay_url"], r["payload"]) for r in read_payloads(spark, str(tmp_path)).collect()}
     assert found == {("wss://r", '{"id":"x"}'), (None, "not json")}
+
+
+@pytest.mark.parametrize("made", [quarantine, invalid_stats])
+def test_conditions_on_the_verdict_copy_no_check(spark, made):
+    events = spark.createDataFrame([(1, 2, "view", '{"k": 3}', None)], "event_id long, user_id long, event_type string, props string, ts timestamp")
+    plan = made(validate_events(payloads_of(events)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") <= 8
