@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut
 from ..plans.template import REGISTRY, build
-from .payloads import canonical_id, validate_events
+from .payloads import canonical_id, driver_events, validate_events
 
 #: Kinds of the event format.
 NOTE, PROFILE, REPOST, REACTION, RECEIPT, REPORT, DELETION, RELAYS = 1, 0, 6, 7, 9735, 1984, 5, 10002
@@ -46,11 +46,13 @@ def frames(events: DataFrame) -> dict[str, DataFrame]:
     An event that comes several times counts once. Of a note's references the operators' rules choose its parent; reactions,
     reposts, receipts and reports are about their last e tag. An event without a target makes no interaction; a tag without
     a name or value makes no row, and neither does an unknown target.
+
+    Events, tags and targets, which most frames read, are written to tables, so that they are made once.
     """
-    once = events.dropDuplicates(["id"]).select(F.col("id").alias("hex"), number(F.col("id")).alias("id"), number(F.col("pubkey")).alias("pubkey"), "created_at", F.timestamp_seconds("created_at").cast("timestamp_ntz").alias("ts"), "kind", "tags", "content")
+    once = cut(events.dropDuplicates(["id"]).select(F.col("id").alias("hex"), number(F.col("id")).alias("id"), number(F.col("pubkey")).alias("pubkey"), "created_at", F.timestamp_seconds("created_at").cast("timestamp_ntz").alias("ts"), "kind", "tags", "content"))
     at = lambda k: F.coalesce(F.get("tag", F.lit(k)), F.lit(""))
     each = once.select("id", "pubkey", "created_at", "ts", "kind", F.posexplode("tags").alias("idx", "tag")).where("size(tag) >= 2 and tag[0] <> ''")
-    each = each.select(F.col("id").alias("event_id"), "pubkey", "created_at", "ts", "kind", F.lit(0).cast("long").alias("k"), F.col("idx").cast("long").alias("idx"), at(0).alias("name"), F.trim(at(1)).alias("raw"), _rewritten(F.trim(at(1))).alias("value"), at(2).alias("hint"), at(3).alias("marker"))
+    each = cut(each.select(F.col("id").alias("event_id"), "pubkey", "created_at", "ts", "kind", F.lit(0).cast("long").alias("k"), F.col("idx").cast("long").alias("idx"), at(0).alias("name"), F.trim(at(1)).alias("raw"), _rewritten(F.trim(at(1))).alias("value"), at(2).alias("hint"), at(3).alias("marker")))
     tags = each.where(F.col("kind") == NOTE).select("event_id", "pubkey", "created_at", "ts", "k", "idx", "name", "value", "hint", "marker")
 
     lists = F.col("kind").isin(PROFILE, 3, DELETION) | F.col("kind").between(10000, 19999) | F.col("kind").between(30000, 39999)
@@ -61,7 +63,7 @@ def frames(events: DataFrame) -> dict[str, DataFrame]:
     notes = once.where(F.col("kind") == NOTE).select("id", "pubkey", "created_at", "ts", F.lit(0).cast("long").alias("k"))
     parents = REGISTRY["thr_parent"](ref_etag_relations=REGISTRY["ref_etag_relations"](tags=tags)).select("event_id", F.expr("try_cast(parent as bigint)").alias("target"))
     about = each.where(F.col("kind").isin(REPOST, REACTION, RECEIPT, REPORT) & (F.col("name") == "e")).groupBy("event_id").agg(F.max_by(F.expr("try_cast(value as bigint)"), "idx").alias("target"))
-    targets = parents.union(about).where("target is not null")
+    targets = cut(parents.union(about).where("target is not null"))
 
     first = lambda name: F.min_by(F.when(F.col("name") == name, F.col("raw")), F.when(F.col("name") == name, F.col("idx")))
     held = each.where(F.col("kind") == RECEIPT).groupBy("event_id").agg(*(F.coalesce(first(n), F.lit("")).alias(c) for n, c in (("amount", "amount"), ("description", "request"), ("bolt11", "invoice"), ("P", "payer"))))
@@ -133,8 +135,8 @@ def _payloads(events: DataFrame) -> DataFrame:
 
 def _read_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads through validation and the read model to interactions and threads."""
-    checked = validate_events(_payloads(spark.read.parquet(f"{sf_dir}/events.parquet")))
-    model = ReadModel(cut(checked.where("error_code is null").select("e.*")))
+    checked = validate_events(_payloads(driver_events(spark, sf_dir)))
+    model = ReadModel(checked.where("error_code is null").select("e.*"))
     acts = model("acts").groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_id").alias("targets"), F.countDistinct("actor").alias("actors"), F.sum("sats").alias("sats"))
     depth = model("thr_depth").agg(F.lit("depth").alias("relation"), F.sum("depth").cast("long").alias("n"), F.countDistinct("root").alias("targets"), F.lit(0).cast("long").alias("actors"), F.lit(0).cast("long").alias("sats"))
     return acts.unionByName(depth)

@@ -93,3 +93,12 @@ def test_no_events(spark):
     empty = spark.createDataFrame([], "id string, pubkey string, created_at long, kind int, tags array<array<string>>, content string")
     model = ReadModel(empty)
     assert all(f.count() == 0 for name, f in model.made.items() if name != "present") and model("cnt_replies").count() == 0
+
+
+def test_read_model_reads_each_event_once(spark):
+    from strandline.sources.payloads import EVENT
+    from strandline.sources.read_model import frames
+
+    events = spark.createDataFrame([("0" * 64, "1" * 64, 5, 1, [["t", "a"]], "x", "2" * 128)], EVENT)
+    for name, frame in frames(events).items():  # tables of the model, not the events it was made from
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 0, name
