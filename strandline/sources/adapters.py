@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..plans.template import define
+from ..operators import hashtags as words_of_posts
+from ..plans.template import define, define_computed
 
 define("present", "The fixed present: the newest event's time.", "SELECT max(ts) AS as_of FROM {events}")
 define(
@@ -59,6 +60,8 @@ define(
     """
 SELECT id, author, ts, lang, tag FROM (
   SELECT w.*, row_number() OVER (PARTITION BY w.id ORDER BY w.pos, w.tag) AS rn FROM {post_words} w JOIN (SELECT tag FROM {post_words} GROUP BY tag HAVING count(*) >= 2) t ON w.tag = t.tag) r WHERE rn <= 5""",
+    ("posts", "tag_counts"),
+    lambda posts, tag_counts: words_of_posts.hashtags(posts, tag_counts),
 )
 define(
     "links",
@@ -173,7 +176,8 @@ define("domain_author_daily", "Which authors link a domain on which day: domain,
 SELECT DISTINCT concat('site', @str(CASE WHEN k % 5 = 3 AND day_ago > 7 THEN 9 WHEN k % 5 = 4 AND day_ago <= 7 THEN 9 ELSE k % 5 END), '.org') AS domain, author, day FROM (SELECT e.k, e.pubkey AS author, @date(e.ts) AS day, @days(@date(p.as_of), @date(e.ts)) AS day_ago FROM {ev} e CROSS JOIN {present} p WHERE e.kind IN (1, 7)) x""")
 define("search_terms", "Terms for spelling: hashtags and frequent words with their posts, and misspelt forms of frequent words, a letter short, that a few posts have: tag, df.", """
 SELECT tag, max(df) AS df FROM (SELECT tag, df FROM {srch_term_df} UNION ALL SELECT tag, df FROM {frequent_words} UNION ALL SELECT concat(substring(tag, 1, 2), substring(tag, 4)), 1 + length(tag) % 5 FROM {frequent_words} WHERE length(tag) >= 6) t GROUP BY tag""")
-define("frequent_words", "Words of posts that a fiftieth of them have, and a hundred at least: tag, df.", "SELECT w.tag, count(*) AS df FROM {post_words} w CROSS JOIN (SELECT count(*) AS n FROM {posts}) p GROUP BY w.tag, p.n HAVING count(*) >= 100 AND count(*) * 50 >= p.n")
+define("frequent_words", "Words of posts that a fiftieth of them have, and a hundred at least: tag, df.", "SELECT w.tag, count(*) AS df FROM {post_words} w CROSS JOIN (SELECT count(*) AS n FROM {posts}) p GROUP BY w.tag, p.n HAVING count(*) >= 100 AND count(*) * 50 >= p.n", ("posts", "tag_counts"), lambda posts, tag_counts: words_of_posts.frequent(posts, tag_counts))
+define_computed("tag_counts", "Posts of each word, and the post of a word that only one has: tag, df, id.", ("posts",), lambda posts: words_of_posts.tag_counts(posts), "SELECT tag, count(*) AS df, min(id) AS id FROM post_words GROUP BY tag")
 define("address_acts", "Reposts and payments that name an address: source_id, relation, address, sats.", "SELECT source_id, relation, concat('30023:', @str(author), ':d', @str(k % 5)) AS address, sats FROM {acts} WHERE relation IN ('repost', 'zap') AND k % 3 = 0")
 define("report_types", "Types of reports, as their tags say: source_id, type.", "SELECT source_id, CASE k % 4 WHEN 0 THEN 'spam' WHEN 1 THEN 'nudity' WHEN 2 THEN 'impersonation' ELSE 'other' END AS type FROM {acts} WHERE relation = 'report'")
 define("post_parents", "Posts that answer another: id, parent.", "SELECT id, id - 1 AS parent FROM {posts} WHERE id % 10 > 0")
