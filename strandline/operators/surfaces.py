@@ -2,8 +2,37 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..plans.folders import cut
 from ..plans.template import define
 
+
+def _documents_rank(srch_term_df: DataFrame, attr_profile_fields: DataFrame, srch_documents: DataFrame) -> DataFrame:
+    """srch_documents_rank by equal prefixes: a document's key and title are cut to each length that a query has, so all profiles whose
+    names begin alike don't meet all queries that do. Queries with characters that LIKE reads as patterns go by LIKE."""
+    some = attr_profile_fields.where("pubkey % 50 = 0")
+    queries = cut(srch_term_df.where("df = 2").select(F.col("tag").alias("q")).union(some.select(F.lower("name"))).union(some.select("ln_address")).where("q is not null").distinct())
+    documents = srch_documents.where("kind in ('hashtag', 'profile', 'identity', 'relay') and key is not null").select("kind", "key", "title", "alias", "popularity")
+    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("key", "title", "alias")}
+    handles = F.split(F.concat_ws(" ", *(F.substring(x, 1, 4) for x in low.values())), " ")
+    documents = cut(documents.withColumn("handles", handles))
+    special = F.col("q").rlike(r"[%_\\]")
+    # one row; as many numbers as queries have lengths
+    lengths = queries.where(~special).agg(F.collect_set(F.length("q")).alias("lengths"))
+    cuts = [F.transform(F.filter("lengths", lambda n: n <= F.length(low[c])), lambda n: F.substring(low[c], F.lit(1), n)) for c in ("key", "title")]
+    heads = F.array_distinct(F.concat(*cuts, F.array(low["alias"])))
+    by_head = documents.crossJoin(F.broadcast(lengths)).select(*documents.columns, F.explode(heads).alias("head"))
+    plain = by_head.join(queries.where(~special), F.col("head") == F.col("q")).drop("head").where(F.array_contains("handles", F.substring("q", 1, 4)))
+    like = F.expr("lower(key) LIKE concat(q, '%') OR lower(title) LIKE concat(q, '%') OR lower(alias) = q")
+    others = documents.select(*documents.columns, F.explode(F.array_distinct("handles")).alias("handle")).join(queries.where(special), F.col("handle") == F.substring("q", 1, 4)).drop("handle").where(like)
+    found = plain.unionByName(others).select("q", "kind", "key", "title", "alias", "popularity").distinct()
+    rated = found.where(like).select("q", "kind", "key", F.expr("""round(CASE WHEN lower(key) = q THEN 120 WHEN lower(alias) = q THEN 95 WHEN lower(title) = q THEN 90 WHEN lower(key) LIKE concat(q, '%') THEN 80 WHEN lower(title) LIKE concat(q, '%') THEN 70 ELSE 0 END
+      + 25e0 * length(q) / greatest(length(q), length(title), 1) + least(10, ln(1e0 + popularity)), 6)""").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "kind", "key")
+    return cut(rated.withColumn("rn", F.row_number().over(order)).where("rn <= 5"))
+
 # smaller surfaces; notes and acts stand in for their own kinds of event
 define("eco_polls", "Votes of each option of a poll: one a voter, the newest one before the poll's end.", """
 SELECT poll, option_, count(*) AS votes FROM (SELECT v.poll, v.actor, v.option_, row_number() OVER (PARTITION BY v.poll, v.actor ORDER BY v.created_at DESC, v.source_id DESC) AS rn FROM {poll_votes} v JOIN {polls} p ON v.poll = p.poll WHERE v.created_at <= p.ends_at) v WHERE rn = 1 GROUP BY poll, option_""")
@@ -57,7 +86,7 @@ SELECT q, kind, key, score, rn FROM (SELECT q, kind, key, score, row_number() OV
   SELECT q.q, d.kind, d.key, round(CASE WHEN lower(d.key) = q.q THEN 120 WHEN lower(d.alias) = q.q THEN 95 WHEN lower(d.title) = q.q THEN 90 WHEN lower(d.key) LIKE concat(q.q, '%') THEN 80 WHEN lower(d.title) LIKE concat(q.q, '%') THEN 70 ELSE 0 END + 25e0 * length(q.q) / greatest(length(q.q), length(d.title), 1) + least(10, ln(1e0 + d.popularity)), 6) AS score
   FROM (SELECT tag AS q FROM {srch_term_df} WHERE df = 2 UNION SELECT lower(name) FROM {attr_profile_fields} WHERE pubkey % 50 = 0 UNION SELECT ln_address FROM {attr_profile_fields} WHERE pubkey % 50 = 0) q
   JOIN (SELECT d.*, lower(e.x) AS handle FROM (SELECT d.*, concat(substring(lower(d.key), 1, 4), ' ', substring(lower(coalesce(d.title, '')), 1, 4), ' ', substring(lower(coalesce(d.alias, '')), 1, 4)) AS handles FROM {srch_documents} d WHERE d.kind IN ('hashtag', 'profile', 'identity', 'relay')) d, @each_at(@words(d.handles), e)) d
-    ON substring(q.q, 1, 4) = d.handle AND (lower(d.key) LIKE concat(q.q, '%') OR lower(d.title) LIKE concat(q.q, '%') OR lower(d.alias) = q.q) GROUP BY q.q, d.kind, d.key, d.alias, d.title, d.popularity) s) r WHERE rn <= 5""")
+    ON substring(q.q, 1, 4) = d.handle AND (lower(d.key) LIKE concat(q.q, '%') OR lower(d.title) LIKE concat(q.q, '%') OR lower(d.alias) = q.q) GROUP BY q.q, d.kind, d.key, d.alias, d.title, d.popularity) s) r WHERE rn <= 5""", ("srch_term_df", "attr_profile_fields", "srch_documents"), _documents_rank)
 define("srch_note_score", "Score of each result: 0.35 of its share of the query's terms (0.85 at least with the phrase), 0.45 of recency, halving every 72 hours, 0.2 of engagement; times 0.15 for stubs and 0.05 for automated texts.", """
 SELECT s.item_id, s.id, round((35e-2 * CASE WHEN s.phrase THEN greatest(85e-2, least(1e0, s.shared / CAST(t.terms AS DOUBLE))) ELSE least(1e0, s.shared / CAST(t.terms AS DOUBLE)) END + 45e-2 * exp(-ln(2e0) * greatest(@unix(n.as_of) - @unix(p.ts), 0) / 259200e0) + 2e-1 * least(1e0, ln(1e0 + p.raw) / ln(51e0)))
   * CASE WHEN @size(@extract_all(p.text, '[^ \\n]+')) <= 3 THEN 15e-2 ELSE 1e0 END * CASE WHEN @matches(p.text, '[|][^|]*[|][^|]*[|][^|]*[|]') OR lower(p.author) LIKE '%rss feed%' THEN 5e-2 ELSE 1e0 END, 6) AS score

@@ -1,4 +1,4 @@
-"""Hashtags and words without rows of all words, against the SQL that they stand for."""
+"""Hashtags and words without rows of all words, and documents by equal prefixes, against the SQL that they stand for."""
 
 from pyspark.sql import functions as F
 
@@ -22,3 +22,11 @@ def test_hashtags_and_frequent_words_as_sql_has_them(spark):
     counts = hashtags.tag_counts(posts)
     assert rows_of_spark(hashtags.hashtags(posts, counts)) == rows_of_spark(by_sql("hashtags", post_words=post_words))
     assert rows_of_spark(counts.select("tag", "df")) == rows_of_spark(post_words.groupBy("tag").agg(F.count(F.lit(1)).alias("df")))
+
+
+def test_documents_of_one_beginning_meet_only_their_queries(spark):
+    terms = spark.createDataFrame([("customers", 2), ("cust", 2), ("abc", 2), ("zz_z", 2), ("nobody", 1)], "tag string, df long")
+    fields = spark.createDataFrame([(50, "Customer#1", "u_1@pay"), (100, "Customer#10", None), (7, "Customer#12", "x@y"), (150, "ab c", "a%b")], "pubkey long, name string, ln_address string")
+    documents = spark.createDataFrame([("profile", "50", "Customer#1", "u_1@pay", 3), ("profile", "7", "Customer#12", "ua1@pay", 0), ("hashtag", "abcd", "abcd", "#abcd", 1), ("hashtag", "zzaz", "zzaz", None, 1), ("relay", "1", None, None, 9), ("identity", "ab c:x", "ab c", "ab", 2), ("post", "cust", "cust", None, 1), ("profile", "9", "customers", None, 0)], "kind string, key string, title string, alias string, popularity long")
+    found = REGISTRY["srch_documents_rank"](srch_term_df=terms, attr_profile_fields=fields, srch_documents=documents)
+    assert rows_of_spark(found) == rows_of_spark(by_sql("srch_documents_rank", srch_term_df=terms, attr_profile_fields=fields, srch_documents=documents))
