@@ -91,17 +91,23 @@ def repaired(notes: DataFrame, delay: str = "60 days") -> DataFrame:
 
 
 # the queries over the driver's events
-FILES = 3
+FILES, FILE_ROWS = 3, 50_000
 
 
 def _batches(spark: SparkSession, rows: DataFrame, arrival: Column) -> DataFrame:
-    """A stream of rows, one file a batch, in the order of arrival (0 to FILES - 1)."""
+    """A stream of rows, those of an arrival (0 to FILES - 1, in that order) one batch.
+
+    Each arrival has as many files as the others, one for every FILE_ROWS rows of the smallest one, so that tasks share a batch.
+    """
     path = folder(spark, "files")
     rows = rows.withColumn("arrival", arrival.cast("int"))
+    sizes = [r["n"] for r in rows.groupBy("arrival").agg(F.count(F.lit(1)).alias("n")).collect()]  # FILES numbers
+    files = max(1, min(sizes) // FILE_ROWS) if len(sizes) == FILES else 1
     for k in range(FILES):  # file times must differ in order
-        rows.where(F.col("arrival") == k).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+        own = rows.where(F.col("arrival") == k)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(f"{path}/{k}")
     schema = spark.read.parquet(f"{path}/0").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +150,7 @@ def _ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     again = rows.where("event_id % 5 = 0").withColumn("again", F.lit(1))  # seen once more, a batch later, at another relay
     both = rows.withColumn("again", F.lit(0)).union(again)
-    payloads = payloads_of(both.select("event_id", "user_id", "event_type", "props", F.col("ts"), "again")).withColumn("again", F.col("again"))
+    payloads = payloads_of(both.repartition("event_id").select("event_id", "user_id", "event_type", "props", F.col("ts"), "again")).withColumn("again", F.col("again"))
     payloads = payloads.withColumn("relay_url", F.when(F.col("again") == 1, "wss://second").otherwise(F.col("relay_url")))
     raw = _batches(spark, payloads.select("relay_url", "payload", "event_id", "again"), (F.col("event_id") + F.col("again")) % FILES)
     blocked = rows.where("user_id % 10 = 0").select(F.sha2(F.col("user_id").cast("string"), 256).alias("pubkey")).distinct()

@@ -191,3 +191,17 @@ def test_scopes(spark):
     assert right() == set(range(10))
     with pytest.raises(ValueError, match="scope"):
         c.rebuild("some")
+
+
+def test_a_batch_of_many_rows_has_several_files(spark, monkeypatch):
+    from strandline.streaming import jobs
+
+    monkeypatch.setattr(jobs, "FILE_ROWS", 100)
+    seen = []
+    stream = jobs._batches(spark, spark.range(1000).withColumnRenamed("id", "x"), F.col("x") % jobs.FILES)
+
+    def look(batch, batch_id):
+        seen.append((len(batch.inputFiles()) > 1 or batch.select(F.input_file_name()).distinct().count() > 1, {r[0] for r in batch.select("arrival").distinct().collect()}, batch.count()))
+
+    stream.writeStream.option("checkpointLocation", jobs.folder(spark, "seen")).foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(True, {0}, 334), (True, {1}, 333), (True, {2}, 333)]
