@@ -1,6 +1,6 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
-Counts of a text are made inside its row, so nothing is shuffled but the labelled sample.
+Counts of a text are made inside its row, so nothing is shuffled but ids and counts of labelled documents, or of all if labels are many.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ RULES = {
     "few_words": "cast(-n_words as double)",
 }
 WINDOW = 5
+#: Labels, rows of two numbers, that are sent to every executor.
+SMALL = 1_000_000
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -88,11 +90,12 @@ def most_errors(n: Column, risk: float, doubt: Column) -> Column:
     return F.when(best >= 0, best)
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, doubt: float = 0.05, max_labels: int = 100_000, clear: float = 4.0) -> DataFrame:
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, doubt: float = 0.05, max_labels: int | None = None, clear: float = 4.0) -> DataFrame:
     """(stratum, cutoffs): for each stratum a map from a rule to the score from which on it rejects. Rules without one don't reject.
 
-    labels: doc_id and quality (1 good, 0 bad; a doc_id with both counts as good). At most max_labels of them, those first by a
-    hash of doc_id, are joined to their documents; those that fail the base rules are left out. Another hash of doc_id halves them.
+    labels: doc_id and quality (1 good, 0 bad; a doc_id with both counts as good). All of them are joined to their documents,
+    or, if max_labels is given, that many at most, those first by a hash of doc_id; those that fail the base rules are left out. Another
+    hash of doc_id halves them. Up to SMALL labels go to the documents; more meet counts of all documents, so that no text is shuffled.
 
     The first half shapes a sequence of joint cutoffs. A rule takes part in a stratum if at some score the share of bad documents
     from there on is above that of good ones by clear standard errors. At level j each rule rejects from its lowest bad document
@@ -106,11 +109,17 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     no cutoffs.
     """
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__q_good"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).withColumnRenamed("doc_id", "__q_id")
-    # at most max_labels rows of two numbers
-    held = docs.select("doc_id", "text", F.col(stratum).alias("stratum")).join(F.broadcast(sample), F.col("doc_id") == F.col("__q_id"))
+    sample = sample.withColumnRenamed("doc_id", "__q_id")
+    if max_labels is not None:
+        sample = sample.orderBy(F.xxhash64("__q_id"), "__q_id").limit(max_labels)
     with Scratch(docs.sparkSession, "quality") as scratch:
-        held = with_counts(held).where(~base_failed()).withColumns({"row": F.monotonically_increasing_id(), "shapes": F.sha2(F.col("doc_id").cast("string"), 256) < "8"})
+        sample = scratch.written(sample, "sample")
+        held, same = docs.select("doc_id", "text", F.col(stratum).alias("stratum")), F.col("doc_id") == F.col("__q_id")
+        if sample.count() <= SMALL:
+            held = with_counts(held.join(F.broadcast(sample), same))
+        else:
+            held = with_counts(held).drop("text").join(sample, same)
+        held = held.where(~base_failed()).withColumns({"row": F.monotonically_increasing_id(), "shapes": F.sha2(F.col("doc_id").cast("string"), 256) < "8"})
         held = scratch.written(held.drop("text"), "labelled").withColumnRenamed("__q_good", "good")
         scores = F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*map(_score, RULES)))).alias("rule", "score")
         rows = held.select("row", "stratum", "good", "shapes", scores).where("score is not null")
@@ -149,7 +158,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options)
     gives no rows.
     """
     found = cutoffs(docs, labels, stratum, **options).select(F.col("stratum").alias("__q_stratum"), F.col("cutoffs").alias("__q_cutoffs"))
-    # a row for each stratum of the labelled sample, which has max_labels rows at most
+    # a row for each stratum that has cutoffs
     out = with_counts(docs).join(F.broadcast(found), F.col(stratum).eqNullSafe(F.col("__q_stratum")), "left")
     over = [F.coalesce(_score(rule) >= F.element_at("__q_cutoffs", F.lit(rule)), F.lit(False)) for rule in RULES]
     out = out.withColumn("__q_base_failed", base_failed())

@@ -157,3 +157,16 @@ def test_three_hundred_good_labels_suffice(spark):
     found = {r["doc_id"]: r["__q_kept"] for r in judged(d, y).collect()}
     assert all(not found[i] for i, q in labels if not q)
     assert sum(not found[i] for i, q in labels if q) <= 15
+
+
+def test_all_labels_count_whether_few_or_many(spark, monkeypatch):
+    import inspect
+
+    from strandline.llm import quality
+
+    assert inspect.signature(cutoffs).parameters["max_labels"].default is None
+    docs, labels = labelled(1500, True)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    few = cutoffs(d, y).collect()
+    monkeypatch.setattr(quality, "SMALL", 0)
+    assert few and cutoffs(d, y).collect() == few
