@@ -105,7 +105,7 @@ define("join_lateral_topk", "For each tag its newest 200 posts, each with the nu
 SELECT a.tag, a.id, b.n - 1 AS others FROM (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, id DESC) AS rn FROM {hashtags} h) r WHERE rn <= 200) a JOIN (SELECT tag, author, count(*) AS n FROM {hashtags} GROUP BY tag, author) b ON a.tag = b.tag AND a.author = b.author""")
 define("cnt_reposts", "Distinct reposts of each note: by id, and by an address that stands for the author's note of that identifier where the same repost doesn't name the note already.", """
 SELECT target_id, count(DISTINCT source_id) AS n FROM (SELECT source_id, target_id FROM {acts} WHERE relation = 'repost' UNION SELECT a.source_id, d.id FROM {address_acts} a JOIN {note_addresses} d ON a.address = d.address WHERE a.relation = 'repost') u GROUP BY target_id""")
-define("note_addresses", "The current note of each address that notes carry: address, id.", "SELECT value AS address, event_id AS id FROM (SELECT t.*, row_number() OVER (PARTITION BY value ORDER BY created_at DESC, event_id DESC) AS rn FROM {tags} t WHERE name = 'a') r WHERE rn = 1")
+define("note_addresses", "The current note of each address that notes carry: address, id.", "SELECT value AS address, event_id AS id FROM (SELECT t.*, row_number() OVER (PARTITION BY value ORDER BY created_at DESC, event_id DESC) AS rn FROM {tags} t WHERE name = 'a') r WHERE rn = 1", kept=True)
 define("join_left_enrich", "Notes with their counters, attributes and first hashtag, zero or null where there is none.", """
 SELECT n.id, n.pubkey, coalesce(r.n, 0) AS replies, coalesce(z.sats, 0) AS sats, coalesce(a.warned, false) AS warned, a.client, h.topic FROM {notes} n LEFT JOIN {cnt_replies} r ON n.id = r.target_id LEFT JOIN {cnt_zaps} z ON n.id = z.target_id
 LEFT JOIN {attr_event_attributes} a ON n.id = a.event_id LEFT JOIN (SELECT event_id, min(tag) AS topic FROM {norm_tag_hashtags} GROUP BY event_id) h ON n.id = h.event_id""")

@@ -77,7 +77,7 @@ def depth_of(notes: DataFrame, thr_edges: DataFrame) -> DataFrame:
 
 define("thr_edges", "Edges of replies to parent and root with whether each is missing.", """
 SELECT c.event_id AS child, c.parent, c.root, p.id IS NULL AS parent_missing, r.id IS NULL AS root_missing, n.pubkey AS author, n.ts AS child_at FROM (SELECT event_id, @num(parent) AS parent, @num(root) AS root FROM {thr_parent}) c JOIN {notes} n ON c.event_id = n.id
-LEFT JOIN {notes} p ON c.parent = p.id LEFT JOIN {notes} r ON c.root = r.id WHERE c.event_id <> c.parent""")
+LEFT JOIN {notes} p ON c.parent = p.id LEFT JOIN {notes} r ON c.root = r.id WHERE c.event_id <> c.parent""", kept=True)
 define("thr_unresolved", "References whose target is absent, and those that a note that came later than its reply resolves.", """
 SELECT child, parent, 'missing' AS state FROM {thr_edges} WHERE parent_missing UNION ALL SELECT e.child, e.parent, 'repaired' FROM {thr_edges} e JOIN {notes} p ON e.parent = p.id WHERE NOT e.parent_missing AND p.ts > e.child_at""")
 define_computed("thr_ancestors", "Ancestors of every note up to LEVELS levels, by their least distance, with whether they are missing; cycles end where they close.", ("thr_edges",), ancestors, f"""

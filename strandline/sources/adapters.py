@@ -25,6 +25,7 @@ SELECT e.id AS source_id, n.id AS target_id,
   CASE e.kind WHEN 1 THEN 'reply' WHEN 6 THEN 'repost' WHEN 7 THEN 'reaction' WHEN 9735 THEN 'zap' ELSE 'report' END AS relation,
   e.pubkey AS actor, n.pubkey AS author, e.created_at, e.ts, e.sats, e.k
 FROM {ev} e JOIN {notes} n ON e.target = n.id WHERE e.kind IN (1, 6, 7, 9735, 1984) AND e.id <> n.id""",
+    kept=True,
 )
 define(
     "follow",
