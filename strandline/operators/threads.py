@@ -91,7 +91,7 @@ SELECT n.id, coalesce(max(w.distance), 0)::INTEGER AS depth, coalesce(arg_max(w.
 define("thr_summary", "Per root: replies, participants, last activity, replies and authors of a day and a week, direct replies, latency of the first reply, branching times 100, depth.", """
 SELECT t.root, count(*) AS replies, count(DISTINCT n.pubkey) AS participants, max(n.created_at) AS last_at, @count_if(n.ts > p.as_of - INTERVAL 1 DAY) AS replies_24h, count(DISTINCT CASE WHEN n.ts > p.as_of - INTERVAL 1 DAY THEN n.pubkey END) AS authors_24h, @count_if(n.ts > p.as_of - INTERVAL 7 DAYS) AS replies_7d,
   count(DISTINCT CASE WHEN n.ts > p.as_of - INTERVAL 7 DAYS THEN n.pubkey END) AS authors_7d, @count_if(t.depth = 1) AS direct, greatest(min(n.created_at) - min(r.created_at), 0) AS first_reply_s, @div(100 * count(*), count(DISTINCT e.parent)) AS branching_x100, max(t.depth) AS depth
-FROM {thr_depth} t JOIN {notes} n ON t.id = n.id JOIN {notes} r ON t.root = r.id JOIN {thr_edges} e ON t.id = e.child CROSS JOIN {present} p WHERE t.depth > 0 GROUP BY t.root""")
+FROM {thr_depth} t JOIN {notes} n ON t.id = n.id JOIN {notes} r ON t.root = r.id JOIN {thr_edges} e ON t.id = e.child CROSS JOIN {present} p WHERE t.depth > 0 GROUP BY t.root""", kept=True)
 define("thr_velocity", "Hot rank of a conversation: none for one author; small groups capped by authors a reply; else weight and bonus.", """
 SELECT root, replies, participants, round(CASE WHEN participants <= 1 THEN 0 WHEN participants <= 5 THEN (participants - 1) * least(1e0, 8e0 * participants / greatest(replies, 1))
   ELSE replies + least(replies, 50) * 15e-2 END, 6) AS velocity FROM {thr_summary}""")

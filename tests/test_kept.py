@@ -14,6 +14,12 @@ def test_steps_of_note_scores_are_tables(spark):
         assert found.columns == REGISTRY[name](**{k: build(spark, FOLDER, k) for k in REGISTRY[name].inputs}).columns
 
 
+def test_summaries_and_profile_windows_are_tables(spark):
+    for name in ("thr_summary", "disc_profile_windows", "disc_profile_score"):
+        found = build(spark, FOLDER, name)
+        assert found.inputFiles() and all("/cut-" in f for f in found.inputFiles()), name
+
+
 def test_frames_that_are_given_are_not_kept_for_a_folder(spark):
     acts = build(spark, FOLDER, "acts").limit(0)
     assert build(spark, FOLDER, "cnt_replies", {"acts": acts}).isEmpty()
