@@ -20,6 +20,11 @@ def test_summaries_and_profile_windows_are_tables(spark):
         assert found.inputFiles() and all("/cut-" in f for f in found.inputFiles()), name
 
 
+def test_newest_profiles_are_a_table(spark):
+    found = build(spark, FOLDER, "state_profiles_latest")
+    assert found.inputFiles() and all("/cut-" in f for f in found.inputFiles())
+
+
 def test_frames_that_are_given_are_not_kept_for_a_folder(spark):
     acts = build(spark, FOLDER, "acts").limit(0)
     assert build(spark, FOLDER, "cnt_replies", {"acts": acts}).isEmpty()
