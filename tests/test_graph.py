@@ -72,3 +72,18 @@ def test_pushes_stay_local_and_within_their_error(spark, monkeypatch):
     for v in bound:
         assert abs(sum(s for (w, _), s in got.items() if w == v) + bound[v] - 1) < 1e-6 and bound[v] < 0.5
     assert max(rows) < 150  # of 1,201 nodes for each of two viewers
+
+
+def test_personal_ranks_read_the_edges_that_walks_reach(spark, monkeypatch):
+    from strandline.operators import graph
+
+    near, far = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "end")], [(f"f{i}", f"f{i + 1}") for i in range(40)] + [("f3", "a")]
+    starts = spark.createDataFrame([("a", "a", 1.0)], "viewer string, node string, weight double")
+    assert {r["node"] for r in graph.reachable(_edges(spark, near + far), starts, 9).collect()} == {"a", "b", "c", "end"}
+    assert {r["node"] for r in graph.reachable(_edges(spark, far), starts.selectExpr("viewer", "'f0' AS node", "weight"), 3).collect()} == {"f0", "f1", "f2"}
+    sizes, before = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: sizes.append(before(df)) or sizes[-1])
+    found = graph.personalized(_edges(spark, near + far), starts, 9, max_rounds=6).collect()
+    tables = [t for t in sizes if t.columns == ["src", "dst", "share"]]
+    assert tables[-1].count() == len(near)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, graph.personalized(_edges(spark, near), starts, 9, max_rounds=6).collect()))
