@@ -2,36 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.folders import cut
 from ..plans.template import define
 
 
+def _lead(text: Column) -> Column:
+    """Up to four characters of text, before the first that LIKE reads as a wildcard."""
+    return F.substring(F.regexp_extract(text, "^[^_%]*", 0), 1, 4)
+
+
+def _starts(text: Column, sizes: Column) -> Column:
+    """text cut to each of sizes, as an array."""
+    return F.transform(sizes, lambda n: F.substring(F.coalesce(text, F.lit("")), F.lit(1), n))
+
+
+def _rated(found: DataFrame, key_begins: Column) -> DataFrame:
+    """q, kind, key, score, rn: the five best documents of each q, of which found has k, a and t, key, alias and title in lower case, and size, the title's."""
+    tier = F.when(F.col("k") == F.col("q"), 120).when(F.col("a") == F.col("q"), 95).when(F.col("t") == F.col("q"), 90).when(key_begins, 80).otherwise(70)
+    rated = found.withColumn("tier", tier).select("q", "kind", "key", F.expr("round(tier + 25e0 * length(q) / greatest(length(q), size, 1) + least(10, ln(1e0 + popularity)), 6)").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "kind", F.asc_nulls_last("key"))
+    return rated.withColumn("rn", F.row_number().over(order)).where("rn <= 5")
+
+
 def _documents_rank(srch_term_df: DataFrame, attr_profile_fields: DataFrame, srch_documents: DataFrame) -> DataFrame:
-    """srch_documents_rank by equal prefixes: a document's key and title are cut to each length that a query has, so all profiles whose
-    names begin alike don't meet all queries that do. Queries with characters that LIKE reads as patterns go by LIKE."""
-    some = attr_profile_fields.where("pubkey % 50 = 0")
-    queries = cut(srch_term_df.where("df = 2").select(F.col("tag").alias("q")).union(some.select(F.lower("name"))).union(some.select("ln_address")).where("q is not null").distinct())
-    documents = srch_documents.where("kind in ('hashtag', 'profile', 'identity', 'relay') and key is not null").select("kind", "key", "title", "alias", "popularity")
-    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("key", "title", "alias")}
-    handles = F.split(F.concat_ws(" ", *(F.substring(x, 1, 4) for x in low.values())), " ")
-    documents = cut(documents.withColumn("handles", handles))
-    special = F.col("q").rlike(r"[%_\\]")
-    # one row; as many numbers as queries have lengths
-    lengths = queries.where(~special).agg(F.collect_set(F.length("q")).alias("lengths"))
-    cuts = [F.transform(F.filter("lengths", lambda n: n <= F.length(low[c])), lambda n: F.substring(low[c], F.lit(1), n)) for c in ("key", "title")]
-    heads = F.array_distinct(F.concat(*cuts, F.array(low["alias"])))
-    by_head = documents.crossJoin(F.broadcast(lengths)).select(*documents.columns, F.explode(heads).alias("head"))
-    plain = by_head.join(queries.where(~special), F.col("head") == F.col("q")).drop("head").where(F.array_contains("handles", F.substring("q", 1, 4)))
-    like = F.expr("lower(key) LIKE concat(q, '%') OR lower(title) LIKE concat(q, '%') OR lower(alias) = q")
-    others = documents.select(*documents.columns, F.explode(F.array_distinct("handles")).alias("handle")).join(queries.where(special), F.col("handle") == F.substring("q", 1, 4)).drop("handle").where(like)
-    found = plain.unionByName(others).select("q", "kind", "key", "title", "alias", "popularity").distinct()
-    rated = found.where(like).select("q", "kind", "key", F.expr("""round(CASE WHEN lower(key) = q THEN 120 WHEN lower(alias) = q THEN 95 WHEN lower(title) = q THEN 90 WHEN lower(key) LIKE concat(q, '%') THEN 80 WHEN lower(title) LIKE concat(q, '%') THEN 70 ELSE 0 END
-      + 25e0 * length(q) / greatest(length(q), length(title), 1) + least(10, ln(1e0 + popularity)), 6)""").alias("score"))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "kind", "key")
-    return cut(rated.withColumn("rn", F.row_number().over(order)).where("rn <= 5"))
+    """srch_documents_rank by equal prefixes: all documents' keys and titles are cut to the shapes (length, places of _) of the queries that
+    begin as they do. What a document has for a query follows from the cut alone, so cuts are ranked before they meet the queries, and one
+    that very many documents share leaves a task as five rows. Queries with % go by LIKE, among what begins as they do."""
+    queries = cut(srch_term_df.select(F.col("tag").alias("q")).union(attr_profile_fields.select(F.lower("name"))).union(attr_profile_fields.select("ln_address")).where("q is not null").distinct())
+    queries = queries.withColumn("lead", _lead(F.col("q")))
+    wild = queries.where(F.contains("q", F.lit("%")))
+    plain = queries.where(~F.contains("q", F.lit("%")))
+    none = F.array().cast("array<int>")
+    open_ = F.when(F.contains("q", F.lit("_")), F.filter(F.sequence(F.lit(1), F.length("q")), lambda i: F.substring("q", i, F.lit(1)) == "_")).otherwise(none)
+    shapes = cut(plain.groupBy("lead").agg(F.collect_set(F.struct(F.length("q").alias("n"), open_.alias("open"))).alias("shapes")))
+    # one row: a number, and five at most
+    limits = F.broadcast(cut(plain.agg(F.max(F.length("q")).alias("longest"), F.collect_set(F.length("lead")).alias("sizes"))))
+    # titles by digest and no longer than tells them from queries
+    short = F.substring(F.lower("title"), F.lit(1), F.col("longest") + 1)
+    documents = cut(srch_documents.crossJoin(limits).select("kind", "key", "alias", "popularity", F.length("title").alias("size"), F.sha2("title", 256).alias("digest"), short.alias("t")).distinct())
+    documents = documents.withColumn("k", F.lower("key")).withColumn("a", F.lower("alias"))
+    k, a, t = F.col("k"), F.col("a"), F.col("t")
+    starts = F.array_distinct(F.concat(_starts(k, F.col("sizes")), _starts(t, F.col("sizes")), F.array(F.coalesce(_lead(a), F.lit("")))))
+    met = documents.crossJoin(limits).withColumn("lead", F.explode(starts)).join(shapes, "lead")
+
+    def heads(text: Column) -> Column:
+        """text cut to the shapes of its lead, _ at their open places."""
+        cuts = F.transform(F.filter("shapes", lambda s: s.n <= F.length(text)), lambda s: F.reduce(s.open, F.substring(text, F.lit(1), s.n), lambda head, i: F.overlay(head, F.lit("_"), i, F.lit(1))))
+        return F.when(F.startswith(text, F.col("lead")), cuts).otherwise(F.array().cast("array<string>"))
+
+    alias = F.when(_lead(a) == F.col("lead"), F.array(a)).otherwise(F.array().cast("array<string>"))
+    met = met.withColumn("of_key", heads(k)).withColumn("q", F.explode(F.array_distinct(F.concat("of_key", heads(t), alias))))
+    found = _rated(met, F.array_contains("of_key", F.col("q"))).join(plain.select("q"), "q")
+    if not wild.isEmpty():
+        whole = srch_documents.select("kind", "key", "title", "alias", "popularity").distinct().withColumns({"k": F.lower("key"), "t": F.lower("title"), "a": F.lower("alias"), "size": F.length("title")})
+        each = F.sequence(F.lit(0), F.lit(4))
+        starts = F.array_distinct(F.concat(_starts(k, each), _starts(t, each), F.array(F.coalesce(_lead(a), F.lit("")))))
+        # a backslash stands for itself, as in DuckDB
+        pattern = F.concat(F.replace(F.col("q"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+        like = {x: F.coalesce(F.like(F.col(x), pattern), F.lit(False)) for x in ("k", "t")}
+        pairs = whole.withColumn("lead", F.explode(starts)).join(wild, "lead").where(like["k"] | like["t"] | (a == F.col("q")))
+        found = found.unionByName(_rated(pairs, like["k"]))
+    return cut(found.select("q", "kind", "key", "score", "rn"))
 
 # smaller surfaces; notes and acts stand in for their own kinds of event
 define("eco_polls", "Votes of each option of a poll: one a voter, the newest one before the poll's end.", """
@@ -81,12 +115,11 @@ SELECT day, concat('{"day":"', @str(day), '","hashtags":[', @in_order(concat('{"
 define("disc_archive", "Each day's leading hashtags, one row each, with the day's posts and authors and the ratio to the usual.", "SELECT l.day, l.tag, l.rn, l.authors, l.factor, v.posts, v.all_authors FROM {day_leaders} l JOIN (SELECT @date(ts) AS day, count(*) AS posts, count(DISTINCT author) AS all_authors FROM {posts} GROUP BY @date(ts)) v ON l.day = v.day")
 define("sink_search_docs", "Search documents of the last ten days of posts for an outer index, whole words of the body up to 500 characters.", """
 SELECT id, ts, CASE WHEN length(text) <= 500 THEN text ELSE regexp_replace(substring(text, 1, 500), '[^ ]*$', '') END AS body, length(text) > 500 AS trimmed FROM {posts} CROSS JOIN {post_now} WHERE ts > as_of - INTERVAL 10 DAYS""")
-define("srch_documents_rank", "For hashtags that two posts have, and profiles' names and addresses, as queries: exact key 120, alias 95, title 90, prefix of the key 80, of the title 70, words in common up to 25, and popularity.", """
+define("srch_documents_rank", "For all hashtags, and all profiles' names and addresses, as queries on all documents: exact key 120, alias 95, title 90, prefix of the key 80, of the title 70, words in common up to 25, and popularity.", """
 SELECT q, kind, key, score, rn FROM (SELECT q, kind, key, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, kind, key) AS rn FROM (
   SELECT q.q, d.kind, d.key, round(CASE WHEN lower(d.key) = q.q THEN 120 WHEN lower(d.alias) = q.q THEN 95 WHEN lower(d.title) = q.q THEN 90 WHEN lower(d.key) LIKE concat(q.q, '%') THEN 80 WHEN lower(d.title) LIKE concat(q.q, '%') THEN 70 ELSE 0 END + 25e0 * length(q.q) / greatest(length(q.q), length(d.title), 1) + least(10, ln(1e0 + d.popularity)), 6) AS score
-  FROM (SELECT tag AS q FROM {srch_term_df} WHERE df = 2 UNION SELECT lower(name) FROM {attr_profile_fields} WHERE pubkey % 50 = 0 UNION SELECT ln_address FROM {attr_profile_fields} WHERE pubkey % 50 = 0) q
-  JOIN (SELECT d.*, lower(e.x) AS handle FROM (SELECT d.*, concat(substring(lower(d.key), 1, 4), ' ', substring(lower(coalesce(d.title, '')), 1, 4), ' ', substring(lower(coalesce(d.alias, '')), 1, 4)) AS handles FROM {srch_documents} d WHERE d.kind IN ('hashtag', 'profile', 'identity', 'relay')) d, @each_at(@words(d.handles), e)) d
-    ON substring(q.q, 1, 4) = d.handle AND (lower(d.key) LIKE concat(q.q, '%') OR lower(d.title) LIKE concat(q.q, '%') OR lower(d.alias) = q.q) GROUP BY q.q, d.kind, d.key, d.alias, d.title, d.popularity) s) r WHERE rn <= 5""", ("srch_term_df", "attr_profile_fields", "srch_documents"), _documents_rank)
+  FROM (SELECT tag AS q FROM {srch_term_df} UNION SELECT lower(name) FROM {attr_profile_fields} UNION SELECT ln_address FROM {attr_profile_fields}) q
+  JOIN {srch_documents} d ON q.q IS NOT NULL AND (lower(d.key) LIKE concat(q.q, '%') OR lower(d.title) LIKE concat(q.q, '%') OR lower(d.alias) = q.q) GROUP BY q.q, d.kind, d.key, d.alias, d.title, d.popularity) s) r WHERE rn <= 5""", ("srch_term_df", "attr_profile_fields", "srch_documents"), _documents_rank)
 define("srch_note_score", "Score of each result: 0.35 of its share of the query's terms (0.85 at least with the phrase), 0.45 of recency, halving every 72 hours, 0.2 of engagement; times 0.15 for stubs and 0.05 for automated texts.", """
 SELECT s.item_id, s.id, round((35e-2 * CASE WHEN s.phrase THEN greatest(85e-2, least(1e0, s.shared / CAST(t.terms AS DOUBLE))) ELSE least(1e0, s.shared / CAST(t.terms AS DOUBLE)) END + 45e-2 * exp(-ln(2e0) * greatest(@unix(n.as_of) - @unix(p.ts), 0) / 259200e0) + 2e-1 * least(1e0, ln(1e0 + p.raw) / ln(51e0)))
   * CASE WHEN @size(@extract_all(p.text, '[^ \\n]+')) <= 3 THEN 15e-2 ELSE 1e0 END * CASE WHEN @matches(p.text, '[|][^|]*[|][^|]*[|][^|]*[|]') OR lower(p.author) LIKE '%rss feed%' THEN 5e-2 ELSE 1e0 END, 6) AS score
